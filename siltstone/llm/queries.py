@@ -6,27 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, packing, warc
-from .common import table
+from . import ann, fingerprint, langid, packing, toxicity, warc
+from .common import crc32_mod, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"), held_out).where("not held_out")
+    scored = toxicity.score(docs, toxicity.train(docs.where("not held_out"), labels), "held_out")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
+    "op4_nearest": op4_nearest,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
