@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, langid, packing, toxicity, warc
+from . import ann, fingerprint, langid, linededup, packing, sentencepiece, toxicity, warc
 from .common import crc32_mod, table
 
 
@@ -32,6 +32,17 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return docs.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model"))
+    out = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out)
@@ -49,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_nearest": op4_nearest,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
@@ -58,4 +71,5 @@ def oracle() -> dict[str, str]:
     return {
         "op1_fingerprints": fingerprint.sql(),
         "op3_warc": warc.sql(),
+        "op6_line_dedup": linededup.sql(),
     }
