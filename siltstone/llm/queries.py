@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, langid, linededup, packing, sentencepiece, toxicity, warc
+from . import ann, fingerprint, langid, linededup, neardup, packing, sentencepiece, toxicity, warc
 from .common import crc32_mod, table
 
 
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.load(public_tokenizers.path("piece_bpe_32k.model"))
     out = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents"), model), model)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_nearest": op4_nearest,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
