@@ -29,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import flat
 from .common import hash128, materialise
 from .components import components
+from .shared import pack, planes, shared_hashes, text_batches, unpack, unplanes
 from .shingles import HASH_BITS, mix, shingles
 
 BANDS, ROWS = 21, 3
@@ -43,75 +42,6 @@ SAMPLES = BANDS * ROWS
 TABLE_BITS = 16
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as compressed byte planes of their differences."""
-    d = np.diff(x, prepend=x.dtype.type(0)) if len(x) else x
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unplanes(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).reshape(-1).view("<u8"), dtype=np.uint64)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
-def text_batches(texts: pa.ChunkedArray, most: int = 1 << 20, rows: int = 2000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of texts of about `most` bytes."""
-    at = 0
-    for chunk in texts.chunks:
-        data, offsets = flat(chunk)
-        i = 0
-        while i < len(chunk):
-            j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
-            yield at + i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            i = j
-        at += len(chunk)
-
-
-def shared_shingles(docs: DataFrame, buckets: int, n_words: int) -> DataFrame:
-    """(split, text) -> split, hashes, counts: packed shingles of the split that occur in two documents or more."""
-    width = (1 << HASH_BITS) // buckets + 1
-
-    def post(key: tuple, table: pa.Table) -> pa.Table:
-        found = [shingles(d, o, n_words)[1] for _, d, o in text_batches(table["text"])]
-        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        cut = np.searchsorted(h, (np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width)))
-        some = np.flatnonzero(np.diff(cut))
-        parts = [(i, _planes(h[cut[i] : cut[i + 1]]), _pack(n[cut[i] : cut[i + 1]].astype("<u4"))) for i in some]
-        s = key[0].as_py()
-        return pa.table({"split": pa.array([s] * len(parts), pa.int64()), "bucket": pa.array([p[0] for p in parts], pa.int64()), "h": pa.array([p[1] for p in parts], pa.binary()), "n": pa.array([p[2] for p in parts], pa.binary())})
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        splits = table["split"].to_pylist()
-        hs = [_unplanes(x.as_py()) for x in table["h"]]
-        ns = [_unpack(x.as_py(), "<u4") for x in table["n"]]
-        owner = np.repeat(np.arange(len(splits), dtype=np.int32), [len(x) for x in hs])
-        h, n = np.concatenate(hs), np.concatenate(ns)
-        del hs, ns
-        order = np.argsort(h, kind="stable")
-        h, n, owner = h[order], n[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total = np.add.reduceat(n.astype(np.int64), first)
-        many = np.repeat(total, np.diff(np.append(first, len(h))))
-        keep = many >= 2
-        h, many, owner = h[keep], many[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
-        h, many, owner = h[order], many[order], owner[order]
-        cut = np.searchsorted(owner, np.arange(len(splits) + 1))
-        some = np.flatnonzero(np.diff(cut))
-        return pa.table({"split": pa.array([splits[i] for i in some], pa.int64()), "h": pa.array([_planes(h[cut[i] : cut[i + 1]]) for i in some], pa.binary()), "n": pa.array([_pack(many[cut[i] : cut[i + 1]].astype("<u8")) for i in some], pa.binary())})
-
-    posted = docs.groupBy("split").applyInArrow(post, "split long, bucket long, h binary, n binary")
-    return posted.groupBy("bucket").applyInArrow(count, "split long, h binary, n binary")
-
-
 class Sampler:
     """Improved consistent weighted sampling; the variates of (element, sample) come from fixed tables by hash."""
 
@@ -146,8 +76,8 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
     log_n = math.log(max(n_docs, 2))
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = np.concatenate([_unplanes(x.as_py()) for x in right["h"]]) if right.num_rows else np.zeros(0, np.uint64)
-        n = np.concatenate([_unpack(x.as_py(), "<u8") for x in right["n"]]) if right.num_rows else np.zeros(0, np.uint64)
+        h = np.concatenate([unplanes(x.as_py()) for x in right["h"]]) if right.num_rows else np.zeros(0, np.uint64)
+        n = np.concatenate([unpack(x.as_py(), "<u8") for x in right["n"]]) if right.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(h)
         h, idf = h[order], (1 + np.log(n_docs / n[order].astype(np.float64)) / log_n).astype(np.float32)
         sampler, rows = Sampler(), left.num_rows
@@ -185,7 +115,7 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
             short = np.ascontiguousarray((got & np.uint64(0xFFFF)).astype("<u2").T)
             for j, i in enumerate(ids):
                 w_out[at + i], bands[at + i], samples[at + i] = float(total[i]), key[:, j], short[j].tobytes()
-                vec[at + i], val[at + i] = _planes(x[starts[j] : ends[j]]), _pack(weight[starts[j] : ends[j]])
+                vec[at + i], val[at + i] = planes(x[starts[j] : ends[j]]), pack(weight[starts[j] : ends[j]])
         return pa.table({"doc_id": left["doc_id"], "t1": left["t1"], "t2": left["t2"], "w": pa.array(w_out, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "vec": pa.array(vec, pa.binary()), "val": pa.array(val, pa.binary())})
 
     return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, bands array<long>, samples binary, vec binary, val binary")
@@ -206,8 +136,8 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     continue
                 raw = batch.column(3)[i].as_py()
                 if raw != last:
-                    last, x, v = raw, _unplanes(raw), _unpack(batch.column(4)[i].as_py(), "<f4").astype(np.float64)
-                y, u = _unplanes(batch.column(6)[i].as_py()), _unpack(batch.column(7)[i].as_py(), "<f4").astype(np.float64)
+                    last, x, v = raw, unplanes(raw), unpack(batch.column(4)[i].as_py(), "<f4").astype(np.float64)
+                y, u = unplanes(batch.column(6)[i].as_py()), unpack(batch.column(7)[i].as_py(), "<f4").astype(np.float64)
                 p = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 hit = x[p] == y
                 m = np.minimum(v[p[hit]], u[hit]).sum()
@@ -266,7 +196,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, s
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.lower(text).alias("text"))
     # equal texts go to one split unless there are many: their copies spread by id
     d = d.withColumn("split", F.pmod(F.xxhash64("t1", "doc_id"), F.lit(splits)))
-    signed = materialise(signatures(d, shared_shingles(d, buckets, n_words), max(n_docs, 1), threshold, n_words), "neardup-signed")
+    signed = materialise(signatures(d, shared_hashes(d, buckets, lambda data, offsets: shingles(data, offsets, n_words)[1], HASH_BITS), max(n_docs, 1), threshold, n_words), "neardup-signed")
     key = F.struct("t1", "t2").alias("t")
     able = signed.where("bands is not null")
     texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "samples", "vec", "val")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, langid, linededup, neardup, packing, sentencepiece, toxicity, warc
+from . import ann, fingerprint, langid, linededup, neardup, packing, sentencepiece, suffixes, toxicity, warc
 from .common import crc32_mod, table
 
 
@@ -32,6 +32,11 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_nearest": op4_nearest,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sentencepiece": op8_sentencepiece,
