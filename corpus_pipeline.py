@@ -1,6 +1,83 @@
+"""The corpus pipeline: language ID, line dedup, near dedup, suffix-array dedup and packing, in this order.
+
+Each stage reads what its predecessor kept, as rows with the columns of `documents`, and its decisions
+take effect: rejected documents go, texts lose their removed parts (n_chars follows). The last stage
+returns the pieces of the packed sequences.
+
+Defined cases: null texts are rejected by the first stage; texts that lose all their lines stay as
+empty documents until near dedup keeps one of them; rows with equal id and text are one document from near dedup on;
+an empty table passes through; columns other than those of documents are dropped.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import langid, linededup, neardup, packing, suffixes
+from siltstone.llm.common import crc32_mod, hash128, materialise, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose best language has a mean probability below this is undecided and goes.
+LEAST_SCORE = 0.35
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    model = langid.train(docs.where(crc32_mod(F.col("doc_id"), 3) != 1))
+    scored = langid.predict(docs.select("doc_id", "text", F.col("text").alias("kept"), "lang", "source"), model)
+    kept = scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _documents(kept.withColumnRenamed("kept", "text"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on many sites stay at their first occurrence only."""
+    return _documents(linededup.remove_boilerplate(docs.select(COLUMNS)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class stays."""
+    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("k")).agg(F.min(F.struct("t1", "t2")).alias("t"))
+    t1, t2 = hash128(F.coalesce("text", F.lit("")))
+    d = docs.select(COLUMNS).withColumns({"t1": t1, "t2": t2})
+    kept = d.join(first, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t1") == F.col("t.t1")) & (F.col("t2") == F.col("t.t2")), "left_semi")
+    return _documents(kept.dropDuplicates(["doc_id", "t1", "t2"]))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that occur elsewhere go."""
+    t1, t2 = hash128(F.coalesce("text", F.lit("")))
+    kept = suffixes.dedup(docs, with_text=True).select(F.col("doc_id").alias("k"), F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.col("kept")).dropDuplicates(["k", "k1", "k2"])
+    d = docs.select("doc_id", "lang", "source", t1.alias("t1"), t2.alias("t2"))
+    d = d.join(kept, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
+    return _documents(d.withColumnRenamed("kept", "text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", pack),
+]
+
+#: Language ID, near dedup, suffix dedup and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
