@@ -1,8 +1,9 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF word shingles.
 
 Words are runs of letters and digits of the lower-cased text, shingles five words (all, if fewer). A
-shingle weighs tf * idf with idf = 1 + ln(N / df) / ln(N), df counted over all N documents. Two texts
-are linked if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8;
+shingle weighs tf * idf with idf = 2 + ln(N / df) / ln(N), df counted over all N documents (a damped form: the rarest
+shingle weighs half as much again as one in every document, whatever N is, so that a large group of copies,
+whose common shingles are frequent only by these copies, stays alike). Two texts are linked if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8;
 equal texts are one text; a class is a connected component of links.
 
 1. Documents are dealt to splits. Every split sends its shingle hashes, packed and pre-counted, to
@@ -13,9 +14,9 @@ equal texts are one text; a class is a connected component of links.
    similarity and sampling distribution stay the same, and work falls to the shared shingles. Improved
    consistent weighted sampling gives 63 samples, banded 21 x 3: a pair at 0.8 is missed with probability 3e-7.
 3. In a band's bucket every text is paired with the bucket's leader, pairs are verified by exact weighted
-   Jaccard, components are found. Where a bucket still holds several components, members of different ones are
-   compared by their samples in blocks (nothing is emitted), and pairs within five standard errors of the
-   threshold are verified too. So buckets never emit all their pairs, and no candidate is capped.
+   Jaccard, components are found. Where a bucket still holds several components, all pairs of the region are
+   verified, as matrix products over blocks of texts; a block emits at most one link for each of its
+   texts. So buckets never emit all their pairs, no candidate is capped, and no link between classes is lost.
 
 Defined cases: null counts as the empty text; texts without words are alike only if equal; rows may
 repeat; a class is named by its smallest doc_id (null only if all are null); an empty table gives no
@@ -40,6 +41,8 @@ from .shingles import HASH_BITS, mix, shingles
 BANDS, ROWS = 21, 3
 SAMPLES = BANDS * ROWS
 TABLE_BITS = 16
+#: The least weight of a shingle: that of one in every document.
+FLOOR = 2.0
 
 
 class Sampler:
@@ -72,18 +75,18 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: float, n_words: int) -> DataFrame:
-    """(split, doc_id, t1, t2, text) and replies by split -> doc_id, t1, t2 and, for texts that can have links, w, bands, samples, vec, val."""
+    """(split, doc_id, t1, t2, text) and replies by split -> doc_id, t1, t2 and, for texts that can have links, w, bands, vec, val."""
     log_n = math.log(max(n_docs, 2))
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         h = np.concatenate([unplanes(x.as_py()) for x in right["h"]]) if right.num_rows else np.zeros(0, np.uint64)
         n = np.concatenate([unpack(x.as_py(), "<u8") for x in right["n"]]) if right.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(h)
-        h, idf = h[order], (1 + np.log(n_docs / n[order].astype(np.float64)) / log_n).astype(np.float32)
+        h, idf = h[order], (FLOOR + np.log(n_docs / n[order].astype(np.float64)) / log_n).astype(np.float32)
         sampler, rows = Sampler(), left.num_rows
-        lone = np.float32(1 + math.log(n_docs) / log_n) if n_docs > 1 else np.float32(1)
+        lone = np.float32(FLOOR + math.log(n_docs) / log_n) if n_docs > 1 else np.float32(FLOOR)
         t1 = left["t1"].to_numpy().astype(np.int64)
-        w_out, bands, samples, vec, val = ([None] * rows for _ in range(5))
+        w_out, bands, vec, val = ([None] * rows for _ in range(4))
         for at, data, offsets in text_batches(left["text"]):
             doc, x, tf = shingles(data, offsets, n_words)
             place = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
@@ -112,13 +115,12 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
             for i in range(ROWS):
                 key = mix(key + band[:, i])
             key = mix(key + np.arange(BANDS, dtype=np.uint64)[:, None]).astype(np.int64)
-            short = np.ascontiguousarray((got & np.uint64(0xFFFF)).astype("<u2").T)
             for j, i in enumerate(ids):
-                w_out[at + i], bands[at + i], samples[at + i] = float(total[i]), key[:, j], short[j].tobytes()
+                w_out[at + i], bands[at + i] = float(total[i]), key[:, j]
                 vec[at + i], val[at + i] = planes(x[starts[j] : ends[j]]), pack(weight[starts[j] : ends[j]])
-        return pa.table({"doc_id": left["doc_id"], "t1": left["t1"], "t2": left["t2"], "w": pa.array(w_out, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64())), "samples": pa.array(samples, pa.binary()), "vec": pa.array(vec, pa.binary()), "val": pa.array(val, pa.binary())})
+        return pa.table({"doc_id": left["doc_id"], "t1": left["t1"], "t2": left["t2"], "w": pa.array(w_out, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64())), "vec": pa.array(vec, pa.binary()), "val": pa.array(val, pa.binary())})
 
-    return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, bands array<long>, samples binary, vec binary, val binary")
+    return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, bands array<long>, vec binary, val binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -151,40 +153,90 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def leader_pairs(banded: DataFrame) -> DataFrame:
-    """(t, band) -> distinct (a, b): every text of a bucket with the bucket's first text."""
-    lead = banded.groupBy("band").agg(F.min("t").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return banded.join(lead, "band").where("t <> a").select("a", F.col("t").alias("b")).distinct()
+    """(t, band) -> distinct (a, b): every text of a bucket with the bucket's leader.
 
+    The leader is the text with most company over all its buckets: the original in the middle of a group
+    of edited copies rather than one of the copies.
+    """
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = banded.join(sizes, "band")
+    company = full.groupBy("t").agg(F.sum("n").alias("company"))
+    full = full.drop("n").join(company, "t")
+    lead = full.groupBy("band").agg(F.max_by("t", F.struct("company", "t")).alias("a"))
+    return full.join(lead, "band").where("t <> a").select("a", F.col("t").alias("b")).distinct()
 
-def cross_pairs(banded: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, block: int = 1500) -> DataFrame:
-    """(a, b) of different components in one bucket whose samples agree within five standard errors of the threshold."""
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / SAMPLES)
+
+def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Sums of minima [left, right] of weighted sets: hashes x and weights v of every set.
+
+    Every distinct weight of an element is a column worth its step over the next smaller one, and a set
+    has the columns up to its own weight; so the sums are products of indicator matrices.
+    """
+    h, w = np.concatenate(x), np.concatenate(v).astype(np.float64)
+    owner = np.repeat(np.arange(len(x)), [len(i) for i in x])
+    order = np.lexsort((w, h))
+    h, w, owner = h[order], w[order], owner[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    column = np.concatenate([[True], fresh[1:] | (w[1:] != w[:-1])])
+    at = np.flatnonzero(column)
+    step = w[at] - np.where(fresh[at], 0, np.concatenate([[0], w[at][:-1]]))
+    number = np.cumsum(column) - 1
+    below = number - number[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] + 1  # columns of the element up to this weight
+    ends = np.cumsum(below)
+    col = np.repeat(number - below + 1 - (ends - below), below) + np.arange(int(ends[-1]))
+    row = np.repeat(owner, below)
+    shared = np.bincount(col, minlength=len(at)) >= 2
+    place = np.cumsum(shared) - 1
+    keep = shared[col]
+    col, row, step = place[col[keep]], row[keep], np.sqrt(step[shared])
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    out = np.zeros((len(left), len(right)))
+    for lo in range(0, len(step), width):
+        i, j = np.searchsorted(col, [lo, lo + width])
+        dense = np.zeros((len(x), min(width, len(step) - lo)))
+        dense[row[i:j], col[i:j] - lo] = step[col[i:j]]
+        out += dense[left] @ dense[right].T
+    return out
+
+
+def cross_links(banded: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, block: int = 1000) -> DataFrame:
+    """(a, b): links between components that share buckets, enough to connect what is connected.
+
+    Buckets with several components are chained to regions; all pairs of a region are verified, exactly, in
+    blocks of `block` texts by `block`, and a block gives at most one link for each of its texts.
+    """
     b = banded.join(roots, F.col("t") == F.col("node"), "left").select("band", "t", F.coalesce("root", "t").alias("root"))
-    mixed = b.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
-    b = b.join(mixed, "band").join(texts.select("t", "w", "samples"), "t")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    b = b.withColumn("i", F.pmod(F.xxhash64("t"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    b = b.select("band", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "t", "root", "w", "samples")
+    mixed = b.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("t").alias("hub")).where("lo <> hi").select("band", "hub")
+    b = materialise(b.join(mixed, "band").select("t", "root", "hub").distinct(), "neardup-mixed")
+    region = components(b.select(F.col("t").alias("a"), F.col("hub").alias("b")), "neardup-regions").select(F.col("node").alias("t"), F.col("root").alias("region"))
+    sizes = region.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    r = b.select("t", "root").distinct().join(region, "t").join(sizes, "region").join(texts.select("t", "w", "vec", "val"), "t")
+    r = r.withColumn("i", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    r = r.select("region", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
     kind = texts.schema["t"].dataType.simpleString()
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i = table["i"].to_numpy()
-        p, q = key[1].as_py(), key[2].as_py()
-        s = np.frombuffer(b"".join(table["samples"].to_pylist()), "<u2").reshape(-1, SAMPLES)
-        w, roots_ = table["w"].to_numpy(), np.unique(np.array(table["root"].to_pylist(), object).astype(str), return_inverse=True)[1]
-        left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
+        left, right = np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py())
+        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
         ta: list[int] = []
         tb: list[int] = []
-        for x in left:
-            y = right[(roots_[right] != roots_[x]) & ((right > x) if p == q else True)]
-            y = y[np.minimum(w[y], w[x]) >= (threshold - 1e-6) * np.maximum(w[y], w[x])]
-            y = y[(s[y] == s[x]).mean(axis=1) >= least]
-            ta += [int(x)] * len(y)
-            tb += y.tolist()
+        if len(left) and len(right) and root.max() > 0:
+            x = [unplanes(o.as_py()) for o in table["vec"]]
+            m = overlaps(x, [unpack(o.as_py(), "<f4") for o in table["val"]], left, right)
+            w = table["w"].to_numpy()
+            near = m >= (threshold - 1e-9) * (w[left][:, None] + w[right][None] - m)
+            for a, b in zip(*np.nonzero(near & (root[left][:, None] != root[right][None])), strict=True):
+                a, b = left[a], right[b]
+                if root[a] != root[b]:
+                    ta.append(int(a))
+                    tb.append(int(b))
+                    root[root == root[a]] = root[b]
         t = table["t"].combine_chunks()
         return pa.table({"a": t.take(pa.array(ta, pa.int64())), "b": t.take(pa.array(tb, pa.int64()))})
 
-    return b.groupBy("band", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return r.groupBy("region", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, split_chars: int = 4 << 20, bucket_chars: int = 16 << 20) -> DataFrame:
@@ -199,11 +251,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, s
     signed = materialise(signatures(d, shared_hashes(d, buckets, lambda data, offsets: shingles(data, offsets, n_words)[1], HASH_BITS), max(n_docs, 1), threshold, n_words), "neardup-signed")
     key = F.struct("t1", "t2").alias("t")
     able = signed.where("bands is not null")
-    texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "samples", "vec", "val")))
+    texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "vec", "val")))
     texts = materialise(texts, "neardup-texts")
     banded = able.select(key, "bands").dropDuplicates(["t"]).select("t", F.explode("bands").alias("band"))
     links = materialise(verify(leader_pairs(banded), texts, threshold).select("a", "b"), "neardup-links")
-    more = verify(cross_pairs(banded, components(links), texts, threshold), texts, threshold).select("a", "b")
+    more = cross_links(banded, components(links), texts, threshold)
     roots = components(links.union(more))
     names = signed.groupBy(key).agg(F.min("doc_id").alias("lowest")).join(roots, F.col("t") == F.col("node"), "left")
     names = names.select(F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2"), F.coalesce("root", "t").alias("root"), "lowest")

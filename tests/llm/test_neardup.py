@@ -17,7 +17,7 @@ def brute(rows, threshold=0.8):
 
     df = Counter(g for _, t in rows for g in grams(t))
     n = len(rows)
-    idf = {g: 1 + math.log(n / c) / math.log(max(n, 2)) for g, c in df.items()}
+    idf = {g: 2 + math.log(n / c) / math.log(max(n, 2)) for g, c in df.items()}
     texts = sorted({t or "" for _, t in rows})
     sets = [{g: c * idf[g] for g, c in grams(t).items()} for t in texts]
     root = list(range(len(texts)))
@@ -79,6 +79,16 @@ def test_samples_estimate_similarity():
     assert abs((got[:, 0] == got[:, 1]).mean() - want) < 0.2
 
 
+def test_overlaps_equal_sums_of_minima():
+    rng = np.random.default_rng(8)
+    x = [np.sort(rng.choice(60, 30, replace=False)).astype(np.uint64) for _ in range(9)]
+    v = [rng.integers(1, 4, 30).astype("f4") * 1.25 for _ in x]
+    sets = [dict(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(x, v, strict=True)]
+    got = neardup.overlaps(x, v, np.arange(3), np.arange(3, 9), width=7)
+    want = [[sum(min(a[k], b[k]) for k in a.keys() & b.keys()) for b in sets[3:]] for a in sets[:3]]
+    assert np.allclose(got, want)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(60)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 150, (90, 2))] + [(1, 1), (2, 1)]
