@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from siltstone.plans import ingest
+
+PARTS = [ingest.C]
+QUERIES = {name: q for c in PARTS for name, q in c.queries.items()}
+ORACLE: dict[str, str] = {name: q for c in PARTS for name, q in c.oracle.items()}
