@@ -183,7 +183,8 @@ def judge_reply(c: Column) -> Column:
     """score (0 to 1, 4 places), label, reason, error of a judge's JSON reply."""
     block = json_block(c)
     v = F.try_parse_json(block)
-    score = F.least(F.greatest(F.try_variant_get(v, "$.score", "double"), F.lit(0.0)), F.lit(1.0))
+    raw = F.try_variant_get(v, "$.score", "double")
+    score = F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
     verdict = F.lower(strip(F.try_variant_get(v, "$.verdict", "string")))
     label = F.when(verdict.isin("acceptable", "accept", "correct", "ok"), F.lit("acceptable")).when(verdict.isin("incorrect", "wrong", "reject", "bad"), F.lit("incorrect"))
     reason = F.nullif(strip(F.try_variant_get(v, "$.reason", "string")), F.lit(""))

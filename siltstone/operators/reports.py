@@ -63,7 +63,8 @@ def proximity(c: str, threshold: float, span: float) -> Column:
 
 
 def ambiguity(f1: str = "word_f1", bert: str = "bertscore_f1", cov: str = "context_coverage", cit: str = "citation_faithfulness", judge: str = "judge_score") -> Column:
-    gap = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(bert) - F.col(f1))), F.lit(0.0))
+    apart = F.col(bert) - F.col(f1)
+    gap = F.when(apart.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), apart)))
     near = [proximity(c, *AMBIGUOUS[n]) for c, n in ((f1, "word_f1"), (cov, "context_coverage"), (cit, "citation_faithfulness"))]
     return F.bround(0.45 * gap + 0.20 * near[0] + 0.20 * near[1] + 0.10 * near[2] + 0.05 * proximity(judge, 0.50, 0.25), 4)
 

@@ -30,26 +30,26 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", bl
     to = lambda d, m, name: d.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(m)).alias(name))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = to(vectors, blocks, "b").withColumn("qb", every(q_blocks))
-    right = to(queries, q_blocks, "qb").withColumn("b", every(blocks))
+    right = to(queries, q_blocks, "qb").withColumn("b", every(blocks)).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("b").alias("b2"), F.col("qb").alias("qb2"))
     key = vectors.schema["id"].dataType.simpleString()
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         empty = {"query_id": x["id"].slice(0, 0), "id": x["id"].slice(0, 0), "score": pa.array([], pa.float64())}
         if not x.num_rows or not y.num_rows:
             return pa.table(empty)
-        m = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        a, q = m(x), m(y)
+        m = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        a, q = m(x, "v"), m(y, "qv")
         order = np.argsort(x["id"].to_numpy(), kind="stable")
         ids, a = x["id"].to_numpy()[order], a[order]
         score = q @ a.T if metric == "ip" else -((q * q).sum(1)[:, None] - 2 * q @ a.T + (a * a).sum(1)[None])
-        score[y["id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        score[y["qid"].to_numpy()[:, None] == ids[None]] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")[:, :k]
         value = np.take_along_axis(score, best, axis=1)
         rows, cols = np.nonzero(np.isfinite(value))
         out = value[rows, cols] if metric == "ip" else -value[rows, cols]
-        return pa.table({"query_id": y["id"].take(pa.array(rows)), "id": pa.array(ids[best[rows, cols]]), "score": pa.array(out)})
+        return pa.table({"query_id": y["qid"].take(pa.array(rows)), "id": pa.array(ids[best[rows, cols]]), "score": pa.array(out)})
 
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(run, f"query_id {key}, id {key}, score double")
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b2", "qb2")).applyInArrow(run, f"query_id {key}, id {key}, score double")
     score = F.col("score").desc() if metric == "ip" else F.col("score").asc()
     w = Window.partitionBy("query_id").orderBy(score, "id")
     return found.withColumn("score", F.bround("score", 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
