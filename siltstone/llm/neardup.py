@@ -13,10 +13,10 @@ equal texts are one text; a class is a connected component of links.
    the others the shingles that no other document has are replaced by one element of their total weight:
    similarity and sampling distribution stay the same, and work falls to the shared shingles. Improved
    consistent weighted sampling gives 63 samples, banded 21 x 3: a pair at 0.8 is missed with probability 3e-7.
-3. In a band's bucket every text is paired with the bucket's leader, pairs are verified by exact weighted
-   Jaccard, components are found. Where a bucket still holds several components, all pairs of the region are
-   verified, as matrix products over blocks of texts; a block emits at most one link for each of its
-   texts. So buckets never emit all their pairs, no candidate is capped, and no link between classes is lost.
+3. Texts that share buckets are chained to regions. A region is verified by exact weighted Jaccard, all pairs
+   at once as matrix products over blocks of texts; a block gives each text one text that it is linked to, never
+   its pairs. Regions of several blocks join their blocks' components by their heads first, and compare
+   blocks in full only where components are still apart. No candidate is capped, and no link between classes is lost.
 
 Defined cases: null counts as the empty text; texts without words are alike only if equal; rows may
 repeat; a class is named by its smallest doc_id (null only if all are null); an empty table gives no
@@ -26,7 +26,6 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,49 +122,6 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
     return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, bands array<long>, vec binary, val binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) of texts (t, w, vec, val) -> a, b, similarity of those at least threshold."""
-    side = lambda n: texts.select(F.col("t").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("w", "vec", "val")))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x, v = None, None, None
-        for batch in batches:
-            ok, value = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                wa, wb = batch.column(2)[i].as_py(), batch.column(5)[i].as_py()
-                if min(wa, wb) < (threshold - 1e-6) * max(wa, wb):
-                    continue
-                raw = batch.column(3)[i].as_py()
-                if raw != last:
-                    last, x, v = raw, unplanes(raw), unpack(batch.column(4)[i].as_py(), "<f4").astype(np.float64)
-                y, u = unplanes(batch.column(6)[i].as_py()), unpack(batch.column(7)[i].as_py(), "<f4").astype(np.float64)
-                p = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                hit = x[p] == y
-                m = np.minimum(v[p[hit]], u[hit]).sum()
-                value[i] = m / (wa + wb - m)
-                ok[i] = value[i] >= threshold - 1e-9
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(value)], names=["a", "b", "similarity"]).filter(pa.array(ok))
-
-    cols = ["a", "b", "a_w", "a_vec", "a_val", "b_w", "b_vec", "b_val"]
-    t = texts.schema["t"].dataType.simpleString()
-    return both.select(*cols).mapInArrow(run, f"a {t}, b {t}, similarity double")
-
-
-def leader_pairs(banded: DataFrame) -> DataFrame:
-    """(t, band) -> distinct (a, b): every text of a bucket with the bucket's leader.
-
-    The leader is the text with most company over all its buckets: the original in the middle of a group
-    of edited copies rather than one of the copies.
-    """
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = banded.join(sizes, "band")
-    company = full.groupBy("t").agg(F.sum("n").alias("company"))
-    full = full.drop("n").join(company, "t")
-    lead = full.groupBy("band").agg(F.max_by("t", F.struct("company", "t")).alias("a"))
-    return full.join(lead, "band").where("t <> a").select("a", F.col("t").alias("b")).distinct()
-
-
 def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
     """Sums of minima [left, right] of weighted sets: hashes x and weights v of every set.
 
@@ -200,43 +156,87 @@ def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right:
     return out
 
 
-def cross_links(banded: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float, block: int = 1000) -> DataFrame:
-    """(a, b): links between components that share buckets, enough to connect what is connected.
+def _blocks(rows: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(t, region, root) with the texts' vectors, the number of blocks of their region and their own block i."""
+    sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    r = rows.join(sizes, "region").join(texts, "t")
+    return r.withColumn("i", F.pmod(F.xxhash64("t", F.lit("block")), F.col("blocks")).cast("int"))
+
+
+def _joined(table: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[list[int], list[int], np.ndarray]:
+    """Links (rows a, b) that join the roots of left and right rows, one for each join, and the rows' roots after them."""
+    root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    ta: list[int] = []
+    tb: list[int] = []
+    if len(left) and len(right) and root.max() > 0:
+        x = [unplanes(o.as_py()) for o in table["vec"]]
+        m = overlaps(x, [unpack(o.as_py(), "<f4") for o in table["val"]], left, right)
+        w = table["w"].to_numpy()
+        near = m >= (threshold - 1e-9) * (w[left][:, None] + w[right][None] - m)
+        for a, b in zip(*np.nonzero(near), strict=True):
+            a, b = left[a], right[b]
+            if root[a] != root[b]:
+                ta.append(int(a))
+                tb.append(int(b))
+                root[root == root[a]] = root[b]
+    return ta, tb, root
+
+
+def _within(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(t, head): every text of a block with one text of its component in the block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        every = np.arange(table.num_rows)
+        _, _, root = _joined(table, every, every, threshold)
+        _, first, number = np.unique(root, return_index=True, return_inverse=True)
+        t = table["t"].combine_chunks()
+        return pa.table({"t": t, "head": t.take(pa.array(first[number]))})
+
+    r = rows.select("region", "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
+    return r.groupBy("region", "i").applyInArrow(run, f"t {kind}, head {kind}")
 
-    Buckets with several components are chained to regions; all pairs of a region are verified, exactly, in
-    blocks of `block` texts by `block`, and a block gives at most one link for each of its texts.
-    """
-    b = banded.join(roots, F.col("t") == F.col("node"), "left").select("band", "t", F.coalesce("root", "t").alias("root"))
-    mixed = b.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("t").alias("hub")).where("lo <> hi").select("band", "hub")
-    b = materialise(b.join(mixed, "band").select("t", "root", "hub").distinct(), "neardup-mixed")
-    region = components(b.select(F.col("t").alias("a"), F.col("hub").alias("b")), "neardup-regions").select(F.col("node").alias("t"), F.col("root").alias("region"))
-    sizes = region.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    r = b.select("t", "root").distinct().join(region, "t").join(sizes, "region").join(texts.select("t", "w", "vec", "val"), "t")
-    r = r.withColumn("i", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    r = r.select("region", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
-    kind = texts.schema["t"].dataType.simpleString()
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
+def _across(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(a, b): links between different blocks of a region, one for each join of two roots in a pair of blocks."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         i = table["i"].to_numpy()
-        left, right = np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py())
-        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
-        ta: list[int] = []
-        tb: list[int] = []
-        if len(left) and len(right) and root.max() > 0:
-            x = [unplanes(o.as_py()) for o in table["vec"]]
-            m = overlaps(x, [unpack(o.as_py(), "<f4") for o in table["val"]], left, right)
-            w = table["w"].to_numpy()
-            near = m >= (threshold - 1e-9) * (w[left][:, None] + w[right][None] - m)
-            for a, b in zip(*np.nonzero(near & (root[left][:, None] != root[right][None])), strict=True):
-                a, b = left[a], right[b]
-                if root[a] != root[b]:
-                    ta.append(int(a))
-                    tb.append(int(b))
-                    root[root == root[a]] = root[b]
+        ta, tb, _ = _joined(table, np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py()), threshold)
         t = table["t"].combine_chunks()
         return pa.table({"a": t.take(pa.array(ta, pa.int64())), "b": t.take(pa.array(tb, pa.int64()))})
 
-    return r.groupBy("region", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
+    r = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j")
+    r = r.select("region", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
+    return r.groupBy("region", "p", "q").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+    """(t, band) and texts (t, w, vec, val) -> t, head: texts with one text of their component, for all that share a bucket.
+
+    Texts that share buckets are chained to regions, and a region is verified in blocks of texts. A region of one
+    block is done after `_within`. In a larger one the components' heads are compared first, which joins a
+    group of close copies of any size; only between components that are still apart all pairs of blocks follow.
+    """
+    hubs = banded.groupBy("band").agg(F.min("t").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = banded.join(hubs, "band").where("t <> hub").select(F.col("t").alias("a"), F.col("hub").alias("b"))
+    region = components(edges, "neardup-regions").select(F.col("node").alias("t"), F.col("root").alias("region"))
+    kind = texts.schema["t"].dataType.simpleString()
+    rows = materialise(_blocks(region.withColumn("root", F.col("t")), texts, block), "neardup-blocks")
+    heads = materialise(_within(rows, threshold, kind), "neardup-heads")
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return heads
+    some = large.select("t", "region").join(heads, "t")
+    tops = some.select(F.col("head").alias("t"), "region").distinct()
+    links = _within(_blocks(tops.withColumn("root", F.col("t")), texts, block), threshold, kind).select(F.col("t").alias("a"), F.col("head").alias("b"))
+    joins = materialise(links.union(some.select(F.col("t").alias("a"), F.col("head").alias("b"))), "neardup-joins")
+    root = components(joins, "neardup-roots")
+    open_ = large.drop("root").join(root, F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
+    apart = open_.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+    more = _across(open_.join(apart, "region"), threshold, kind)
+    final = components(joins.union(more), "neardup-roots").select(F.col("node").alias("t"), F.col("root").alias("head"))
+    small = heads.join(large.select("t"), "t", "left_anti")
+    return small.union(large.select("t").join(final, "t", "left").select("t", F.coalesce("head", "t").alias("head")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, split_chars: int = 4 << 20, bucket_chars: int = 16 << 20) -> DataFrame:
@@ -254,11 +254,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, s
     texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "vec", "val")))
     texts = materialise(texts, "neardup-texts")
     banded = able.select(key, "bands").dropDuplicates(["t"]).select("t", F.explode("bands").alias("band"))
-    links = materialise(verify(leader_pairs(banded), texts, threshold).select("a", "b"), "neardup-links")
-    more = cross_links(banded, components(links), texts, threshold)
-    roots = components(links.union(more))
-    names = signed.groupBy(key).agg(F.min("doc_id").alias("lowest")).join(roots, F.col("t") == F.col("node"), "left")
-    names = names.select(F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2"), F.coalesce("root", "t").alias("root"), "lowest")
+    heads = linked(banded, texts, threshold)
+    names = signed.groupBy(key).agg(F.min("doc_id").alias("lowest")).join(heads, "t", "left")
+    names = names.select(F.col("t.t1").alias("t1"), F.col("t.t2").alias("t2"), F.coalesce("head", "t").alias("root"), "lowest")
     classes = names.groupBy("root").agg(F.min("lowest").alias("class_id"))
     named = names.join(classes, "root").select("t1", "t2", "class_id")
     return signed.select("doc_id", "t1", "t2").join(named, ["t1", "t2"]).select("doc_id", "t1", "t2", "class_id")

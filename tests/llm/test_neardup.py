@@ -67,6 +67,21 @@ def test_equals_brute_force(spark, rows):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)
 
 
+def test_large_regions_equal_brute_force(spark, rows):
+    """Blocks of five texts: components meet by their heads, then by pairs of blocks."""
+    import pyspark.sql.functions as F
+
+    rows = [r for r in rows if r[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = neardup.linked
+    try:
+        neardup.linked = lambda banded, texts, threshold: whole(banded.withColumn("band", F.lit(1)), texts, threshold, block=5)
+        got = neardup.near_duplicates(df).collect()
+    finally:
+        neardup.linked = whole
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute(rows)
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(0)
     s = neardup.Sampler()
