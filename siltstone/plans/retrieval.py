@@ -181,3 +181,53 @@ def followup_rewrite(t, spark):
 def context_budget(t, spark):
     w = t("lineitem").select((F.col("l_linenumber") * 4096).alias("w")).distinct()
     return w.select("w", T.context_budget(F.col("w")).alias("budget"))
+
+
+def _index(t):
+    """Chunks of all documents; a document cites those of the same source that come right after it."""
+    from siltstone.operators import corpus
+    from siltstone.plans import plugins, retriever
+
+    d = t("documents").select("doc_id", "text", "source")
+    chunks = corpus.chunks(d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    cites = d.select(F.col("doc_id").cast("string").alias("src"), (F.col("doc_id") + 1).cast("string").alias("dst"))
+    return retriever.build(chunks, plugins.HashingEmbedder(), {"cites": cites}), plugins.OverlapReranker()
+
+
+def _retrieve(t, strategy: str, rerank: bool = False, expand: bool = False):
+    from siltstone.plans import retriever
+
+    index, ranker = _index(t)
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = retriever.Retriever(index, ranker if rerank else None).retrieve(q, strategy, 5, expand=expand)
+    return out.select("query_id", "rank", "chunk_id", F.bround("score", 6).alias("score"), "retrieval_method")
+
+
+@C.add()
+def retrieve_dense(t, spark):
+    return _retrieve(t, "dense")
+
+
+@C.add()
+def retrieve_hybrid(t, spark):
+    return _retrieve(t, "hybrid")
+
+
+@C.add()
+def retrieve_graph(t, spark):
+    return _retrieve(t, "graph")
+
+
+@C.add()
+def retrieve_hybrid_graph(t, spark):
+    return _retrieve(t, "hybrid_graph")
+
+
+@C.add()
+def retrieve_unified_graph(t, spark):
+    return _retrieve(t, "unified_graph")
+
+
+@C.add()
+def retrieve_hybrid_reranked(t, spark):
+    return _retrieve(t, "hybrid", rerank=True, expand=True)

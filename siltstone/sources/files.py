@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import schemas
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table: computed once, read by every plan that needs it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist in whatever store they name; the others are left out, as a scan of optional files does."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if path.getFileSystem(conf).exists(path):
-            found.append(p)
-    return found
+    """The paths that exist; the others are left out, as a scan of optional files does."""
+    return [p for p in paths if exists(spark, p)]
 
 
 def read_documents(spark: SparkSession, paths: list[str], schema: str = schemas.RAW_DOCUMENT) -> DataFrame:

@@ -6,20 +6,12 @@ Event times are cast from TIMESTAMP_NTZ, which watermarks do not take. A query r
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+from siltstone.sources.files import exists, shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, event_time: str | None = None, late: str = "1 hour", files_per_batch: int = 100) -> DataFrame:
@@ -68,17 +60,12 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint or f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    if not _exists(spark, f"{base}/out"):
+    if not exists(spark, f"{base}/out"):
         return spark.createDataFrame([], schema)
     out = spark.read.schema(schema).parquet(f"{base}/out") if mode == "complete" else spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/out").drop("batch")
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def append_json(stream: DataFrame, path: str, checkpoint: str, line: Column):
     """An append-only log: one JSON line a row, exactly once by the sink's own log."""
     return stream.select(line.alias("value")).writeStream.format("text").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
