@@ -7,6 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Counts and positions are longs in every result, whatever their expression gives.
+LONG = {"n", "n_distinct", "n_chars", "chunk_index", "total_chunks", "position", "rank", "rerank_rank", "tokens", "used", "pair", "back"}
+
+
+def result(df: DataFrame) -> DataFrame:
+    wide = {c: df[c].cast("long") for c, kind in df.dtypes if kind == "int" and c in LONG}
+    return df.withColumns(wide) if wide else df
+
+
 class Catalog:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +28,7 @@ class Catalog:
             name = f.__name__
 
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark)
+                return result(f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark))
 
             self.queries[name] = run
             if sql:
@@ -35,5 +44,5 @@ def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
 
 
 def sql_values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    lit = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::BIGINT" if isinstance(x, int) else repr(x)
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"

@@ -43,7 +43,7 @@ def bm25_topk(t, spark):
 
 @C.add(rf"""WITH {BM25}, x AS (SELECT item_id, string_agg(d.text, ' ' ORDER BY rank) AS p FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY item_id),
 k AS (SELECT b.item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-zàâäéèêëîïôöùûüç]+')) AS kw, list_distinct(regexp_extract_all(lower(p), '[a-zàâäéèêëîïôöùûüç]+')) AS pt FROM benchmark b JOIN x USING (item_id))
-SELECT item_id, round_even(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_intersect(kw, pt)) / len(kw) END, 6) AS recall, 1.0 AS coverage FROM k""")
+SELECT item_id, round_even(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_intersect(kw, pt)) / len(kw) END, 6) AS recall, 1.0::DOUBLE AS coverage FROM k""")
 def retrieval_only_eval(t, spark):
     top = _bm25(t, 3).join(t("documents").select("doc_id", "text"), "doc_id")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x.text), " ")
