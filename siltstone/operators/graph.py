@@ -177,3 +177,24 @@ def expand(seeds: DataFrame, boosted: DataFrame, chunks: DataFrame, k: int) -> D
     pool = seeds.select("q", "doc", "chunk_id", "score", F.lit(0.0).alias("graph_boost"), F.lit(1).alias("is_seed")).unionByName(near)
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("is_seed").desc(), "doc", "chunk_id")
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# How numbered acts are named in the gazette (case matters), and how an article's own header looks.
+GAZETTE = {
+    "loi": r"Loi\s+n°\s+(\d+[\d\-./]*)", "ordonnance": r"Ordonnance\s+Souveraine\s+n°\s+(\d+[\d\-./]*)",
+    "arrete": r"Arrêté\s+Ministériel\s+n°\s+(\d+[\d\-./]*)", "projet": r"Projet\s+de\s+loi\s+n°\s+(\d+[\d\-./]*)",
+}
+ARTICLE_HEADER = r"(?im)(?:^|\n)\s*Art(?:icle)?\.?\s+(\d+(?:-\d+)?(?:er|bis|ter)?)\s*[-–—.]"
+
+
+def gazette_references(text: Column) -> Column:
+    """(kind, number) of every numbered act that a gazette text names."""
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("number")))
+
+    return F.array_distinct(F.concat(*[found(k, p) for k, p in GAZETTE.items()]))
+
+
+def article_headers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(ARTICLE_HEADER), 1)

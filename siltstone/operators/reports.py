@@ -142,3 +142,21 @@ def composite(kw: Column, f1: Column) -> Column:
 def falsy(a: Column, b: Column) -> Column:
     """a unless it is null or zero, else b."""
     return F.coalesce(F.nullif(a, F.lit(0.0)), b)
+
+
+def label(metadata: Column, chunk_id: Column) -> Column:
+    """What a source card says of a chunk: nature, number, court, journal and chunk, those that are known."""
+    get = lambda k: F.nullif(F.element_at(metadata, k), F.lit(""))
+    named = lambda prefix, c: F.when(c.isNotNull(), F.concat(F.lit(prefix), c))
+    return F.concat_ws(" · ", get("document_nature"), named("n° ", get("document_number")), get("jurisdiction"), named("Journal ", get("journal_number")), named("chunk ", F.nullif(chunk_id, F.lit(""))))
+
+
+def most_common(df: DataFrame, item: str, n: int = 6) -> DataFrame:
+    return df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), item).limit(n)
+
+
+def best_by(df: DataFrame, key: str, high: list[str], low: list[str]) -> DataFrame:
+    """(metric, key): the row that is best in each metric; of equal ones the smallest key."""
+    best = [F.max_by(key, F.struct(c, -F.col(key))).alias(c) for c in high] + [F.min_by(key, F.struct(c, key)).alias(c) for c in low]
+    names = [*high, *low]
+    return df.agg(*best).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("metric", key))

@@ -154,3 +154,21 @@ def graph_pool_topk(t, spark):
 @C.add("SELECT 'doc' AS label, count(*) AS n FROM customer UNION ALL SELECT 'cites', count(*) FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) UNION ALL SELECT 'theme', count(*) FROM nation")
 def graph_stats(t, spark):
     return graph.counts(doc=t("customer"), cites=t("orders").select("o_custkey", "o_orderkey").distinct(), theme=t("nation"))
+
+
+GAZETTE = [(1, "Loi n° 1.048 et Ordonnance Souveraine n° 16.675; loi n° 9"), (2, "Arrêté Ministériel n° 2020-461, Projet de loi n° 973"), (3, "rien")]
+NUMBERED = [(1, "loi", "1.048"), (1, "ordonnance", "16.675"), (2, "arrete", "2020-461"), (2, "projet", "973")]
+
+
+@C.add(f"SELECT id, kind, number FROM {sql_values(NUMBERED, 'id, kind, number')}")
+def gazette_references(t, spark):
+    d = values(spark, GAZETTE, "id long, text string")
+    return d.select("id", F.explode(graph.gazette_references(F.col("text"))).alias("r")).select("id", "r.*")
+
+
+HEADERS = [(1, "Art. 5 - Objet\nArticle 1er. Champ\nvoir Art. 9 - non"), (2, "Article premier")]
+
+
+@C.add(f"SELECT id, article FROM {sql_values([(1, '5'), (1, '1er')], 'id, article')}")
+def article_headers(t, spark):
+    return values(spark, HEADERS, "id long, text string").select("id", F.explode(graph.article_headers(F.col("text"))).alias("article"))

@@ -228,3 +228,32 @@ def prompt_ablation(t, spark):
 def annotation_packet(t, spark):
     j = t("labels").join(t("events"), F.col("user_id") == F.col("doc_id"), "left")
     return j.groupBy("doc_id", "quality").agg(F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).alias("top5"), F.count("event_id").alias("top20"))
+
+
+@C.add(f"""WITH {RUNS}, g AS (SELECT model, round_even(avg(kw), 6) AS kw, round_even(avg(f1), 6) AS f1, round_even(avg(cov), 6) AS cov, round_even(avg(latency), 6) AS latency FROM runs GROUP BY model)
+SELECT 'kw' AS metric, max_by(model, (kw, -model)) AS model FROM g UNION ALL SELECT 'f1', max_by(model, (f1, -model)) FROM g UNION ALL SELECT 'cov', max_by(model, (cov, -model)) FROM g UNION ALL SELECT 'latency', min_by(model, (latency, model)) FROM g""")
+def best_by_metric(t, spark):
+    g = _runs(t).groupBy("model").agg(*[F.bround(F.avg(c), 6).alias(c) for c in ("kw", "f1", "cov", "latency")])
+    return R.best_by(g, "model", ["kw", "f1", "cov"], ["latency"])
+
+
+@C.add("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 6")
+def most_common_hosts(t, spark):
+    return R.most_common(t("pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")), "host")
+
+
+@C.add("SELECT role, round_even(avg(length(text)), 4) AS mean_length, count(*) AS n FROM conversations GROUP BY role")
+def answer_lengths(t, spark):
+    return t("conversations").groupBy("role").agg(F.bround(F.avg(F.length("text")), 4).alias("mean_length"), F.count(F.lit(1)).alias("n"))
+
+
+@C.add(f"WITH {RUNS} SELECT id FROM runs WHERE topic = 'view' AND kw IS NOT NULL INTERSECT SELECT id FROM runs WHERE f1 IS NOT NULL INTERSECT SELECT id FROM runs WHERE cov IS NOT NULL")
+def aligned_ids(t, spark):
+    r = _runs(t)
+    return r.where("topic = 'view' and kw is not null").select("id").intersect(r.where("f1 is not null").select("id")).intersect(r.where("cov is not null").select("id"))
+
+
+@C.add("SELECT doc_id, concat_ws(' · ', lang, 'n° ' || doc_id, 'chunk ' || source) AS card FROM documents")
+def source_cards(t, spark):
+    m = F.create_map(F.lit("document_nature"), F.col("lang"), F.lit("document_number"), F.col("doc_id").cast("string"), F.lit("jurisdiction"), F.lit(""))
+    return t("documents").select("doc_id", R.label(m, F.col("source")).alias("card"))
