@@ -231,3 +231,8 @@ def retrieve_unified_graph(t, spark):
 @C.add()
 def retrieve_hybrid_reranked(t, spark):
     return _retrieve(t, "hybrid", rerank=True, expand=True)
+
+
+@C.add()
+def retrieve_vector(t, spark):
+    return _retrieve(t, "vector")

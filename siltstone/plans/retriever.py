@@ -1,4 +1,4 @@
-"""The retriever: index tables, six strategies, query expansion, over-fetch and reranking, many questions at once."""
+"""The retriever: index tables, seven strategies, query expansion, over-fetch and reranking, many questions at once."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from siltstone.operators import fusion, graph, lexical, vectors
 from siltstone.plans.plugins import Embedder, Reranker
 from siltstone.sources.files import materialise
 
-STRATEGIES = ("dense", "hybrid", "graph", "hybrid_graph", "unified", "unified_graph")
+STRATEGIES = ("dense", "vector", "hybrid", "graph", "hybrid_graph", "unified", "unified_graph")
 
 
 class MissingDependency(RuntimeError):
@@ -85,6 +85,7 @@ class Retriever:
 
         With a reranker k * candidates rows are fetched and scored against the original question. Graph strategies without
         edges fall back to their seeds, and say so in the method. Unified strategies have fixed weights.
+        The score of `vector` is a squared distance, so the smallest comes first; all others are larger for better rows.
         """
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {strategy}")
@@ -93,8 +94,8 @@ class Retriever:
         n = k * candidates if self.reranker else k
         q = questions.withColumn("text", T.expand_query(F.col("text"))) if expand else questions
         name = strategy
-        if strategy == "dense":
-            found = self._dense(q, n)
+        if strategy in ("dense", "vector"):
+            found = self._dense(q, n, "ip" if strategy == "dense" else "l2")
         elif strategy in ("hybrid", "unified"):
             found = self._hybrid(q, n, weights, 1.2 if strategy == "unified" else lexical.K1)
         else:
