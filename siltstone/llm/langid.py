@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import chunks, flat
+from .common import small_batches
 
 WIDTHS = (2, 3, 4)
 SIZE = 256
@@ -157,6 +158,7 @@ def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **op
 
 def predict(docs: DataFrame, model: Model | None, block: int = 512) -> DataFrame:
     """docs (doc_id, text, any passed columns) -> doc_id, passed columns, lang_pred, score (columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
     passed = [c for c in docs.columns if c not in ("doc_id", "text", "lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("doc_id", *passed).schema

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialise
+from .common import hash128, materialise, small_batches
 from .components import components
 from .shared import pack, planes, shared_hashes, text_batches, unpack, unplanes
 from .shingles import HASH_BITS, mix, shingles
@@ -242,6 +242,7 @@ def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, split_chars: int = 4 << 20, bucket_chars: int = 16 << 20) -> DataFrame:
     """(doc_id, text) -> doc_id, t1, t2 (the text's 128-bit hash), class_id: one row per document."""
     text = F.coalesce("text", F.lit(""))
+    small_batches(docs.sparkSession)
     n_docs, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     splits, buckets = max(1, chars // split_chars), max(1, chars // bucket_chars)
     t1, t2 = hash128(text)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SEQUENCE_BITS = 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,6 +119,7 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int = 64, end_id: int = 0) -> DataFrame:
     """One row per piece of every document (doc_id, text): place, digest and window."""
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kind = pa.schema([(n, pa.int64()) for n in names])
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks
+from .common import small_batches
 
 MARK = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
@@ -271,6 +272,7 @@ class Encoder:
 
 def encode(docs: DataFrame, m: Model) -> DataFrame:
     """(doc_id, text) -> doc_id, ids array<int>, n_tokens long, ids_crc32 long (of little-endian 32-bit ids)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

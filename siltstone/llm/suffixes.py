@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialise
+from .common import hash128, materialise, small_batches
 from .shared import shared_hashes, text_batches, unpack, unplanes
 from .shingles import _BYTE, _P, _P_INV, _power, mix
 
@@ -330,6 +330,7 @@ def count_windows(edges: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 64 << 20, most_runs: int = 5000, runs_per_task: int = 10_000) -> DataFrame:
     """(doc_id, text) -> doc_id, t1, t2, n_bytes, n_removed, n_spans, kept_sha256, kept (with_text), spans (start, end, start, ...)."""
     text = F.coalesce("text", F.lit(""))
+    small_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     splits, buckets = max(1, size // split_bytes), max(1, size // bucket_bytes)
     t1, t2 = hash128(text)

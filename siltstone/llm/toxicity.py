@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, flat, grams
+from .common import small_batches
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -128,6 +129,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_
 
 def score(docs: DataFrame, model: Model, passed: str) -> DataFrame:
     """(doc_id, score) plus a passed boolean column, for every row of docs."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

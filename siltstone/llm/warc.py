@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, small_batches
 
 # The header fields of both ARC versions, as the format names them.
 FIELDS_1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -186,6 +186,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages as ARC, convert to WARC files in the shared folder, and read these back."""
     spark = pages.sparkSession
+    small_batches(spark)
     path = shared_path(spark, "warc")
     p = with_refers_to(pages.select("page_id", "url", "html"), min_bytes)
     write_warc(arc_to_warc(to_arc(p).select("arc", "refers_to")), path)
