@@ -11,22 +11,43 @@ an empty table passes through; columns other than those of documents are dropped
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, linededup, neardup, packing, suffixes
-from siltstone.llm.common import crc32_mod, hash128, materialise, table
+from siltstone.llm.common import collecting, crc32_mod, discard, hash128, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a mean probability below this is undecided and goes.
 LEAST_SCORE = 0.35
+#: Working tables of the stages so far. A stage's result is written and read again, so the next stage deletes them.
+_working: list[str] = []
 
 
 def _documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+def _stage(f):
+    """A stage that leaves its working tables to the next one to delete, unless that one's input still reads them."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _working and not any(p.rsplit("/", 1)[-1] in file for file in docs.inputFiles() for p in _working):
+            discard(spark, _working)
+            _working.clear()
+        with collecting() as made:
+            out = f(spark, docs, sf_dir)
+        _working.extend(made)
+        return out
+
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a clear language go."""
     model = langid.train(docs.where(crc32_mod(F.col("doc_id"), 3) != 1))
@@ -35,11 +56,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(kept.withColumnRenamed("kept", "text"))
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites stay at their first occurrence only."""
     return _documents(linededup.remove_boilerplate(docs.select(COLUMNS)))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class stays."""
     classes = neardup.near_duplicates(docs.select("doc_id", "text"))
@@ -50,6 +73,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(kept.dropDuplicates(["doc_id", "t1", "t2"]))
 
 
+@_stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 200-byte strings that occur elsewhere go."""
     t1, t2 = hash128(F.coalesce("text", F.lit("")))
@@ -59,6 +83,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _documents(d.withColumnRenamed("kept", "text"))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

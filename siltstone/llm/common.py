@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +32,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and go on from the files: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of all tables that are materialised inside."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialised tables that no plan will read again."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay small: at most `rows` rows, unless the session asks for fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
