@@ -19,6 +19,8 @@ such a text and any other 0. Rows may repeat; extra columns pass through `with_f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,8 +93,10 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, value).drop(sa, sb, num, da, db)
 
 
-def with_next(df: DataFrame, order: str, carry: list[str], per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
-    """df with next_<c> for every carried column: the row that follows in descending `order`, the first after the last.
+def with_next(df: DataFrame, order: str, carry: list[str], derive: Callable[[DataFrame], DataFrame] = lambda d: d, derived: tuple[str, ...] = (), per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
+    """df with next_<c> for every carried or derived column: the row that follows in descending `order`, the first after the last.
+
+    `derive` adds the derived columns to rows that have the carried ones, once for each row.
 
     Rows are dealt once to value ranges of `order`, and the first row of the range below goes along as a
     sentinel, so that no task sees all rows. The list of ranges has at most `most_buckets` rows; only it
@@ -118,16 +122,16 @@ def with_next(df: DataFrame, order: str, carry: list[str], per_bucket: int = 200
         .groupBy("__to").agg(F.first(F.struct(*carry)).alias("__c"))
         .select(*[F.col(f"__c.{c}").alias(c) for c in carry], F.col("__to").alias("__b"), F.lit(True).alias("__end"))
     )
-    both = df.withColumn("__end", F.lit(False)).unionByName(closing, allowMissingColumns=True)
+    both = derive(df.withColumn("__end", F.lit(False))).unionByName(derive(closing), allowMissingColumns=True)
     w = Window.partitionBy("__b").orderBy(F.col("__end"), F.col("__k").desc(), F.col(tie).desc())
-    both = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
+    both = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in (*carry, *derived)})
     return both.where(~F.col("__end")).drop("__k", "__b", "__end")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The digest rows of `documents`: own and edited fingerprint, and both likenesses."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(with_lanes(d, "text", "fp"), "doc_id", ["text", "fp"])
+    d = with_next(d, "doc_id", ["text"], lambda x: with_lanes(x, "text", "fp"), ("fp",))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)))

@@ -48,7 +48,7 @@ ROWS = [(i * 7, f"Par {i}. It is, so; yes!\nSecond é {i % 3}. Common clause.\n\
 @pytest.mark.parametrize("per_bucket", [2000, 3])
 def test_equals_brute_force(spark, monkeypatch, per_bucket):
     plain = fp.with_next
-    monkeypatch.setattr(fp, "with_next", lambda df, order, carry: plain(df, order, carry, per_bucket))
+    monkeypatch.setattr(fp, "with_next", lambda *a: plain(*a, per_bucket=per_bucket))
     df = spark.createDataFrame([(*r, "a", 1) for r in ROWS], "doc_id long, text string, fp string, next_text int")
     got = fp.fingerprint_edits(df).collect()
     assert sorted((tuple(r)[:5] + (round(r.near_edited, 12), round(r.near_next, 12)) for r in got), key=str) == brute(ROWS)
