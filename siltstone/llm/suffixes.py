@@ -327,7 +327,7 @@ def count_windows(edges: DataFrame) -> DataFrame:
     return w.where("own").join(n, ["w1", "w2"]).select("doc_id", "t1", "t2", at.alias("start"), (at + LENGTH).alias("end"))
 
 
-def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 64 << 20, most_runs: int = 5000, runs_per_task: int = 10_000) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 64 << 20, most_runs: int = 5000, runs_per_task: int = 4_000) -> DataFrame:
     """(doc_id, text) -> doc_id, t1, t2, n_bytes, n_removed, n_spans, kept_sha256, kept (with_text), spans (start, end, start, ...)."""
     text = F.coalesce("text", F.lit(""))
     small_batches(docs.sparkSession)
