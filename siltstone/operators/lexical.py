@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import materialise
+
 
 K1, B = 1.5, 0.75
 
@@ -29,9 +31,12 @@ def corpus_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, queries: DataFrame, query_key: str, tokens, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_key, key, score): sums over query terms, repeats of a query term counted."""
+    """(query_key, key, score): sums over query terms, repeats of a query term counted.
+
+    The postings of the query terms are written once: both document frequencies and weights read them.
+    """
     q = queries.select(query_key, F.explode(tokens(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    posted = postings(docs, key, tokens(F.col(text)), q)
+    posted = materialise(postings(docs, key, tokens(F.col(text)), q), "postings")
     s = corpus_statistics(docs, tokens(F.col(text)))
     idf = term_statistics(posted).crossJoin(F.broadcast(s)).select("term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
