@@ -157,29 +157,52 @@ def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right:
 
 
 def _blocks(rows: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """(t, region, root) with the texts' vectors, the number of blocks of their region and their own block i."""
+    """(t, region) with the texts' vectors, the number of blocks of their region and their own block i."""
     sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     r = rows.join(sizes, "region").join(texts, "t")
     return r.withColumn("i", F.pmod(F.xxhash64("t", F.lit("block")), F.col("blocks")).cast("int"))
 
 
-def _joined(table: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[list[int], list[int], np.ndarray]:
-    """Links (rows a, b) that join the roots of left and right rows, one for each join, and the rows' roots after them."""
-    root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
-    ta: list[int] = []
-    tb: list[int] = []
-    if len(left) and len(right) and root.max() > 0:
-        x = [unplanes(o.as_py()) for o in table["vec"]]
-        m = overlaps(x, [unpack(o.as_py(), "<f4") for o in table["val"]], left, right)
-        w = table["w"].to_numpy()
-        near = m >= (threshold - 1e-9) * (w[left][:, None] + w[right][None] - m)
-        for a, b in zip(*np.nonzero(near), strict=True):
-            a, b = left[a], right[b]
-            if root[a] != root[b]:
-                ta.append(int(a))
-                tb.append(int(b))
-                root[root == root[a]] = root[b]
-    return ta, tb, root
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether left and right rows are linked."""
+    x = [unplanes(o.as_py()) for o in table["vec"]]
+    m = overlaps(x, [unpack(o.as_py(), "<f4") for o in table["val"]], left, right)
+    w = table["w"].to_numpy()
+    return m >= (threshold - 1e-9) * (w[left][:, None] + w[right][None] - m)
+
+
+def reached(near: np.ndarray) -> np.ndarray:
+    """Component numbers of a symmetric link matrix, whole frontiers at a time."""
+    number = np.full(len(near), -1)
+    for i in range(len(near)):
+        if number[i] < 0:
+            front = np.array([i])
+            while len(front):
+                number[front] = i
+                front = np.flatnonzero(near[front].any(axis=0) & (number < 0))
+    return number
+
+
+def joins(near: np.ndarray, left_root: np.ndarray, right_root: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that join roots, one for each join; roots are looked at group by group, not pair by pair."""
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.setdefault(r, r) != r:
+            r = parent[r]
+        return r
+
+    out = []
+    for root in np.unique(left_root):
+        rows = np.flatnonzero(left_root == root)
+        columns = np.flatnonzero(near[rows].any(axis=0))
+        for other, first in zip(*np.unique(right_root[columns], return_index=True), strict=True):
+            p, q = find(int(root)), find(int(other))
+            if p != q:
+                parent[p] = q
+                c = int(columns[first])
+                out.append((int(rows[np.argmax(near[rows, c])]), c))
+    return out
 
 
 def _within(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
@@ -187,12 +210,11 @@ def _within(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         every = np.arange(table.num_rows)
-        _, _, root = _joined(table, every, every, threshold)
-        _, first, number = np.unique(root, return_index=True, return_inverse=True)
+        number = reached(_near(table, every, every, threshold)) if table.num_rows > 1 else every
         t = table["t"].combine_chunks()
-        return pa.table({"t": t, "head": t.take(pa.array(first[number]))})
+        return pa.table({"t": t, "head": t.take(pa.array(number))})
 
-    r = rows.select("region", "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
+    r = rows.select("region", "i", "t", "w", "vec", "val")
     return r.groupBy("region", "i").applyInArrow(run, f"t {kind}, head {kind}")
 
 
@@ -201,9 +223,10 @@ def _across(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i = table["i"].to_numpy()
-        ta, tb, _ = _joined(table, np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py()), threshold)
+        left, right, root = np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py()), table["root"].to_numpy()
+        found = joins(_near(table, left, right, threshold), root[left], root[right]) if len(left) and len(right) else []
         t = table["t"].combine_chunks()
-        return pa.table({"a": t.take(pa.array(ta, pa.int64())), "b": t.take(pa.array(tb, pa.int64()))})
+        return pa.table({"a": t.take(pa.array([left[a] for a, _ in found], pa.int64())), "b": t.take(pa.array([right[b] for _, b in found], pa.int64()))})
 
     r = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j")
     r = r.select("region", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "t", F.xxhash64("root").alias("root"), "w", "vec", "val")
@@ -221,17 +244,17 @@ def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2
     edges = banded.join(hubs, "band").where("t <> hub").select(F.col("t").alias("a"), F.col("hub").alias("b"))
     region = components(edges, "neardup-regions").select(F.col("node").alias("t"), F.col("root").alias("region"))
     kind = texts.schema["t"].dataType.simpleString()
-    rows = materialise(_blocks(region.withColumn("root", F.col("t")), texts, block), "neardup-blocks")
+    rows = materialise(_blocks(region, texts, block), "neardup-blocks")
     heads = materialise(_within(rows, threshold, kind), "neardup-heads")
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return heads
     some = large.select("t", "region").join(heads, "t")
     tops = some.select(F.col("head").alias("t"), "region").distinct()
-    links = _within(_blocks(tops.withColumn("root", F.col("t")), texts, block), threshold, kind).select(F.col("t").alias("a"), F.col("head").alias("b"))
+    links = _within(_blocks(tops, texts, block), threshold, kind).select(F.col("t").alias("a"), F.col("head").alias("b"))
     joins = materialise(links.union(some.select(F.col("t").alias("a"), F.col("head").alias("b"))), "neardup-joins")
     root = components(joins, "neardup-roots")
-    open_ = large.drop("root").join(root, F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
+    open_ = large.join(root, F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
     apart = open_.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
     more = _across(open_.join(apart, "region"), threshold, kind)
     final = components(joins.union(more), "neardup-roots").select(F.col("node").alias("t"), F.col("root").alias("head"))

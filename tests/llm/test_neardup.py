@@ -104,6 +104,27 @@ def test_overlaps_equal_sums_of_minima():
     assert np.allclose(got, want)
 
 
+def test_matrix_components_and_joins():
+    rng = np.random.default_rng(6)
+    near = rng.random((40, 40)) < 0.03
+    near = near | near.T | np.eye(40, dtype=bool)
+    number = neardup.reached(near)
+    assert all(number[i] == number[j] for i, j in zip(*np.nonzero(near), strict=True)) and number[number].tolist() == number.tolist()
+    parts = rng.random((30, 20)) < 0.1
+    left, right = rng.integers(0, 8, 30), rng.integers(5, 12, 20)
+    found = neardup.joins(parts, left, right)
+    assert all(parts[a, b] for a, b in found)
+
+    def classes(links):
+        root = {int(r): int(r) for r in (*left, *right)}
+        for a, b in links:
+            old, new = root[int(left[a])], root[int(right[b])]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    assert classes(found) == classes(list(zip(*np.nonzero(parts), strict=True))) and len(found) <= 12
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(60)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 150, (90, 2))] + [(1, 1), (2, 1)]
