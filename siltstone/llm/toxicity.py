@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import chunks, flat, grams
-from .common import small_batches
+from .common import materialise, small_batches
 
 BITS = 20
 ORDERS = (4, 5, 6)
@@ -98,6 +98,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_
     if chosen.y.nunique() < 2:
         return Model(table, np.zeros(0), bias)
     sample = labelled.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(spark.createDataFrame(chosen)), "doc_id").select("text", "y")
+    sample = materialise(sample, "toxicity-sample")  # most_rows texts, read three times
     sizes = sample.groupBy("y").count().toPandas().set_index("y")["count"]
     n1, n0 = int(sizes.get(1, 0)), int(sizes.get(0, 0))
     if not n1 or not n0:
