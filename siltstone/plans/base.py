@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.files import spread
+
 
 #: Counts and positions are longs in every result, whatever their expression gives.
 LONG = {"n", "n_distinct", "n_chars", "chunk_index", "total_chunks", "position", "rank", "rerank_rank", "tokens", "used", "pair", "back"}
@@ -16,6 +18,10 @@ def result(df: DataFrame) -> DataFrame:
     return df.withColumns(wide) if wide else df
 
 
+#: Tables of texts, on which queries work hard row by row.
+TEXTS = {"documents", "conversations", "pages"}
+
+
 class Catalog:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +34,11 @@ class Catalog:
             name = f.__name__
 
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return result(f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark))
+                def read(table: str) -> DataFrame:
+                    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                    return spread(df) if table in TEXTS else df
+
+                return result(f(read, spark))
 
             self.queries[name] = run
             if sql:

@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than half the cores (one small file) is dealt out, so that heavy row work runs on all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that exist; the others are left out, as a scan of optional files does."""
     return [p for p in paths if exists(spark, p)]
