@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of `n_pivots` vectors (smallest hashed ids) serves as pivots. A vector is represented
+`n_pivots` vectors of a bounded sample (smallest hashed ids) serve as pivots, none within a cosine of 0.9
+of another: copies of one vector would move by a rank as one and drown all other pivots. A vector is represented
 by its `n_near` nearest pivots in order. Vectors are dealt to blocks; a block posts each vector, with
 the pivot's rank, in the inverted file of each of its pivots. A query walks the files of its own
 pivots and accumulates the footrule distance (a pivot missing from a list counts as rank n_near); the
@@ -25,6 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the sample that pivots are chosen from.
+SAMPLE = 4096
+#: Pivots stay below the first of these cosines that leaves half of n_pivots at least (vectors may all lie in a narrow cone).
+LEVELS = (0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9999, 0.99999, 0.999999)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(id long, v array<double>) of the vectors that take part."""
     v = F.col("v")
@@ -74,14 +81,28 @@ def permutations(vectors: np.ndarray, pivots: np.ndarray, n_near: int) -> np.nda
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :n_near]
 
 
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most n unit vectors of the sample, first ones first, none close to one before it."""
+    unit = sample / np.sqrt((sample * sample).sum(1, keepdims=True))
+    for level in LEVELS:
+        chosen: list[int] = []
+        closest = np.full(len(unit), -2.0)
+        while len(chosen) < n and len(free := np.flatnonzero(closest < level)):
+            chosen.append(int(free[0]))
+            closest = np.maximum(closest, unit @ unit[free[0]])
+            closest[free[0]] = 2.0
+        if 2 * len(chosen) >= n:
+            break
+    return unit[chosen]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 128, n_near: int = 96, share: float = 0.1, least: int = 256, block_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
     """(id, v) and queries (id, v) -> query_id, rank, vec_id, score."""
     vectors, spark = usable(vectors), vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()  # n_pivots vectors
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, n_pivots)).select("v").toArrow()["v"].combine_chunks()  # SAMPLE vectors
     n, n_q = vectors.count(), queries.count()
-    dim = len(sample[0].v) if sample else 0
-    pivots = np.array([r.v for r in sample], np.float64).reshape(len(sample), dim)
-    pivots = pivots / np.sqrt((pivots * pivots).sum(1, keepdims=True)) if dim else pivots
+    pivots = spread(matrix(sample), n_pivots) if len(sample) else np.zeros((0, 0))
+    dim = pivots.shape[1]
     near = min(n_near, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
     blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_q // query_rows))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from siltstone.llm import ann
 
@@ -30,6 +31,32 @@ def test_recall_and_scores(spark):
     assert all(len(v) == 5 and v == sorted(v, key=lambda p: (-p[1], p[0])) for v in by.values())
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.1])
+def test_recall_beside_a_third_of_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(8192, 64)), np.arange(8192)
+    hot = ids % 3 == 0
+    near = rng.normal(size=(hot.sum(), 64))
+    x[hot] = x[0] + noise * np.linalg.norm(x[0]) * near / np.linalg.norm(near, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    got, want = {}, brute(ids, x, ids[::50], 5)
+    for r in ann.search(df, df.where("id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for group in (0, 1):
+        asked = [q for q in want if (q % 3 == 0) == group]
+        assert sum(len(got[q] & {a for a, _ in want[q]}) for q in asked) >= 0.9 * 5 * len(asked)
+
+
+def test_pivots_differ():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1000, 16))
+    x[::2] = x[0]
+    p = ann.spread(x, 64)
+    assert len(p) == 64 and (p @ p.T - 2 * np.eye(64)).max() < 0.9
+    cone = x + 40
+    assert 32 <= len(ann.spread(cone, 64)) <= 64 and len(ann.spread(np.ones((9, 3)), 4)) == 1
+
+
 def test_footrule_equals_definition():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 8))
