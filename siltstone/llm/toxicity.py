@@ -3,8 +3,9 @@
 Features are hashed byte n-grams of the lower-cased text, present or absent in a whole text. On a
 bounded sample of labelled texts (`most_rows`, smallest hash of the id first) executors count in how
 many toxic and other texts each feature occurs; features whose rates differ by `least_z` standard
-errors (at most `most_features`, largest first) get the ratio r = log(p / q) of smoothed rates, and a ridge
-logistic regression is fitted to presence * r by Newton steps on the driver.
+errors get the ratio r = log(p / q) of smoothed rates, and a ridge logistic regression is fitted to
+presence * r on the driver by Newton steps, each solved by conjugate gradients over the sparse presences.
+No feature that passes is cut; there are 2^BITS at most.
 
 Scoring reads every byte of every text, in blocks, and looks n-grams up in one table; nothing shuffles.
 
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,23 +73,70 @@ def presence(texts: DataFrame) -> DataFrame:
     return texts.select("text", F.col("y").cast("int")).mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 8) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression: weights and an unpenalised intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of values between neighbouring starts (the last one ends the last run)."""
+    out = np.zeros(len(starts) - 1)
+    some = starts[1:] > starts[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, starts[:-1][some])
+    return out
+
+
+def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30, inner: int = 200) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression, weights and an unpenalised intercept, on x[row, f] = scale[f] for the features of each row.
+
+    The features of a row are a run of `feature` between two starts; they are kept by rows and by features, never as a matrix.
+    """
+    m = len(scale)
+    order = np.argsort(feature, kind="stable")
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))[order]
+    ends = np.searchsorted(feature[order], np.arange(m + 1))
+    del order
+    penalty = np.append(np.full(m, ridge), 1e-6)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return sums((v[:m] * scale)[feature], starts) + v[m]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.append(scale * sums(u[row], ends), u.sum())
+
+    def loss(w: np.ndarray, z: np.ndarray) -> float:
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
+
+    w, z = np.zeros(m + 1), np.zeros(len(y))
+    square = np.append(scale * scale, 1.0)
+    now = first = loss(w, z)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        r = back(y - p) - penalty * w
+        diagonal = square * np.append(sums(s[row], ends), s.sum()) + penalty
+        step, d = np.zeros(m + 1), r / diagonal
+        rd = float(r @ d)
+        goal = 1e-4 * rd
+        for _ in range(inner):
+            if rd <= goal:
+                break
+            hd = back(s * times(d)) + penalty * d
+            at = rd / float(d @ hd)
+            step += at * d
+            r = r - at * hd
+            fresh = r / diagonal
+            rd, old = float(r @ fresh), rd
+            d = fresh + rd / old * d
+        dz = times(step)
+        t = 1.0
+        while t > 1e-6 and (new := loss(w + t * step, z + t * dz)) > now:
+            t /= 2
+        if t <= 1e-6:
+            break
+        w, z, gain, now = w + t * step, z + t * dz, now - new, new
+        if gain <= 1e-9 * first:
             break
-    return w[:-1], float(w[-1])
+    return w[:m], float(w[m])
 
 
-def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 400, least_z: float = 5.0, smoothing: float = 1.0, ridge: float = 10.0) -> Model:
+def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 5.0, smoothing: float = 1.0, ridge: float = 10.0) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, y 0/1); only ids in both count."""
     spark = labelled.sparkSession
     y = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -106,7 +155,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_
     p, q, r = F.col("pos") / n1, F.col("neg") / n0, (F.col("pos") + F.col("neg")) / (n1 + n0)
     z = (p - q) / F.sqrt(r * (1 - r) * (1 / n1 + 1 / n0))
     best = presence(sample).withColumn("z", F.when((r > 0) & (r < 1), z).otherwise(0.0)).where(F.abs("z") >= least_z)
-    best = best.orderBy(F.abs("z").desc(), "feature").limit(most_features).toPandas()
+    best = best.orderBy("feature").toPandas()  # 2^BITS rows of numbers at most
     if best.empty:
         return Model(table, np.zeros(0), bias)
     ratio = np.log(((best.pos + smoothing) / (n1 + 2 * smoothing)) / ((best.neg + smoothing) / (n0 + 2 * smoothing))).to_numpy()
@@ -120,11 +169,10 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_
                 per = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "f": pa.array([feature[per[i] : per[i + 1]].astype(np.int32) for i in range(part.num_rows)], pa.list_(pa.int32()))})
 
-    got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, f array<int>").toPandas()  # most_rows short rows
-    x = np.zeros((len(got), len(ratio)), np.float64)
-    for i, f in enumerate(got.f):
-        x[i, f] = ratio[f]
-    w, bias = newton(x, got.y.to_numpy(float), ridge)
+    got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, f array<int>").toArrow()  # most_rows short rows
+    f = got["f"].combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    w, bias = newton(starts, f.flatten().to_numpy(), ratio, got["y"].to_numpy().astype(float), ridge)
     return Model(table, w * ratio, bias)
 
 

@@ -72,6 +72,33 @@ def test_toxicity_held_out(spark, labelled):
     assert sorted(((r.doc_id, r.score >= 0.5) for r in got if r.doc_id is None or r.doc_id >= 1000), key=str) == [(1000, False), (1001, False), (1002, False), (1002, True), (None, True)]
 
 
+def test_toxicity_keeps_the_words_of_a_rare_language(spark):
+    rng = np.random.default_rng(6)
+    make = lambda letters, n: ["".join(rng.choice(list(letters), 24)) for _ in range(n)]
+    common, rare, plain = make("abcdef", 12), make("ghijkl", 1), make("mnopqr", 300)
+    rows = []
+    for i in range(1500):
+        w = list(rng.choice(plain, 20))
+        if i % 5 == 0:
+            w += rare if i % 50 == 0 else common
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.train(df.where("doc_id < 1000").select("doc_id", "text"), df.select("doc_id", "y"))
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 1000").selectExpr("doc_id", "text", "true as h"), model, "h").collect()}
+    assert all((p >= 0.5) == (i % 5 == 0) for i, p in got.items()) and len(model.weights) > 400
+
+
+def test_toxicity_regression_is_at_its_optimum():
+    rng = np.random.default_rng(7)
+    x, scale = rng.random((200, 40)) < 0.2, rng.normal(size=40)
+    x[3] = x[:, 5] = False
+    y = (rng.random(200) < 0.3).astype(float)
+    starts, feature = np.append(0, np.cumsum(x.sum(1))), np.nonzero(x)[1].astype(np.int32)
+    w, bias = toxicity.newton(starts, feature, scale, y, 2.0)
+    p = 1 / (1 + np.exp(-(x * scale @ w + bias)))
+    assert np.abs((x * scale).T @ (y - p) - 2.0 * w).max() < 1e-2 and abs((y - p).sum()) < 1e-2
+
+
 def test_toxicity_hits_equal_brute_force(labelled):
     import pyarrow as pa
 
