@@ -12,6 +12,9 @@ pooling passes a gradient to one position per filter, so a step costs little mor
 Applying: filters over byte pairs are tabulated, so that a convolution is one or two lookups a byte;
 memory is bounded by a block of windows, whatever the length of a text. Nothing shuffles.
 
+A network is sure of bytes that it never met, too. So `predict(fit=True)` adds the mean log-probability of a
+text's bytes, each given the one before it, in the training windows of the language where it is highest: -ln 256 is chance.
+
 Defined cases: a null text or one without a letter is `und` with score 0; without training rows
 every text is; rows may repeat; extra columns are ignored.
 """
@@ -41,6 +44,7 @@ class Model:
     bias: np.ndarray
     dense: np.ndarray
     out: np.ndarray
+    pairs: np.ndarray | None = None  # [languages, 65536]: log-probability of a byte given the one before
 
     def tables(self) -> list[list[tuple[int, np.ndarray]]]:
         """Per width: (offset, table) lookups; tables of 65536 rows take byte pairs, those of 256 bytes."""
@@ -128,6 +132,29 @@ def fit(windows: np.ndarray, y: np.ndarray, languages: list[str], n_filters: int
     return Model(languages, filters, bias, dense, out)
 
 
+def byte_pairs(windows: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Smoothed log-probabilities of bytes given the byte before, per class; padding does not count."""
+    out = []
+    for i in range(n):
+        w = windows[y == i].astype(np.int64)
+        some = (w[:, :-1] > 0) & (w[:, 1:] > 0)
+        count = np.bincount((w[:, :-1] * 256 + w[:, 1:])[some], minlength=65536).reshape(256, 256) + 0.5
+        out.append(np.log(count / count.sum(1, keepdims=True)).ravel())
+    return np.array(out, np.float32)
+
+
+def fits(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Mean log-probability of the byte pairs of each text in the language that has the highest; 0 for a text of one byte."""
+    n = len(offsets) - 1
+    if len(data) < 2:
+        return np.zeros(n)
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    inside = owner[1:] == owner[:-1]
+    code, owner = ((data[:-1].astype(np.int32) << 8) | data[1:])[inside], owner[1:][inside]
+    total = np.max([np.bincount(owner, p[code], n) for p in pairs], axis=0)
+    return total / np.maximum(np.bincount(owner, minlength=n), 1)
+
+
 def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **options) -> Model | None:
     """Model from (doc_id, text, lang); None without a text that has a language and a letter."""
     rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
@@ -153,13 +180,16 @@ def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **op
     got = got.mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"], ignore_index=True)
     languages = sorted(got.lang.unique())
     x = np.frombuffer(b"".join(got.w), np.uint8).reshape(-1, SIZE)
-    return fit(x, got.lang.map({g: i for i, g in enumerate(languages)}).to_numpy(), languages, **options)
+    y = got.lang.map({g: i for i, g in enumerate(languages)}).to_numpy()
+    model = fit(x, y, languages, **options)
+    model.pairs = byte_pairs(x, y, len(languages))
+    return model
 
 
-def predict(docs: DataFrame, model: Model | None, block: int = 512) -> DataFrame:
-    """docs (doc_id, text, any passed columns) -> doc_id, passed columns, lang_pred, score (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Model | None, block: int = 512, fit: bool = False) -> DataFrame:
+    """docs (doc_id, text, any passed columns) -> doc_id, passed columns, lang_pred, score and, if asked for, fit (columns of these names are replaced)."""
     small_batches(docs.sparkSession)
-    passed = [c for c in docs.columns if c not in ("doc_id", "text", "lang_pred", "score")]
+    passed = [c for c in docs.columns if c not in ("doc_id", "text", "lang_pred", "score", *["fit"] * fit)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("doc_id", *passed).schema
 
@@ -184,7 +214,11 @@ def predict(docs: DataFrame, model: Model | None, block: int = 512) -> DataFrame
                     best = total.argmax(axis=1)
                     for i, j, row in zip(docs_at, best, total, strict=True):
                         names[i], scores[i] = m.languages[j], min(1.0, row[j])
-                yield pa.record_batch([*part.columns[2:], pa.array(names), pa.array(scores)], names=[*part.schema.names[2:], "lang_pred", "score"])
+                added = {"lang_pred": pa.array(names), "score": pa.array(scores)}
+                if fit:
+                    added["fit"] = pa.array(fits(data, offsets, m.pairs) if m else np.zeros(part.num_rows))
+                yield pa.record_batch([*part.columns[2:], *added.values()], names=[*part.schema.names[2:], *added])
 
     d = docs.select(F.coalesce("text", F.lit("")).alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"), "doc_id", *passed)
-    return d.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    schema = schema.add("lang_pred", "string").add("score", "double")
+    return d.mapInArrow(run, schema.add("fit", "double") if fit else schema)

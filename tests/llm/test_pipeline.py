@@ -59,6 +59,17 @@ def test_stages(spark, corpus, tmp_path):
     assert {x[0] for x in last} == set(tokens)
 
 
+def test_language_stage_rejects_what_is_no_learned_language(spark, corpus):
+    rng = np.random.default_rng(3)
+    rand = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = {"letters": "qxzjkvwbpmyu  ", "cyrillic": "абвгдежзийклмнопрстуфхцчшщ    ", "greek": "αβγδεζηθικλμνξοπρστυφχψω   ", "han": [chr(c) for c in range(0x4E00, 0x5E00)], "symbols": "!@#$%^&*<>/|xq"}
+    odd = [(1000 + 10 * i + j, rand(a, 300), None, name, 300) for i, (name, a) in enumerate(junk.items()) for j in range(5)]
+    short = [(2000, "the", None, "s", 3), (2001, "theaing of", None, "s", 10), (2002, "être", None, "s", 4)]
+    docs = corpus[1].unionByName(spark.createDataFrame(odd + short, corpus[1].schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, corpus[0]).collect()}
+    assert not kept & {r[0] for r in odd} and kept >= {r[0] for r in short} | set(range(92))
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
