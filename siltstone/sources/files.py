@@ -12,9 +12,15 @@ from siltstone import schemas
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's own; a temporary one only on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = own.get() if own.isDefined() else None
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
