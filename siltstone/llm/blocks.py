@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def hand_back() -> None:
+    """Memory that this worker has freed goes back to the system: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f, of an iterator of batches or of two tables (key and group, or two groups), that hands memory back at its end."""
+    if len(inspect.signature(f).parameters) == 1:
+
+        def batches(given):
+            try:
+                yield from f(given)
+            finally:
+                hand_back()
+
+        return batches
+
+    def pair(a, b):
+        try:
+            return f(a, b)
+        finally:
+            hand_back()
+
+    return pair
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null is empty. offsets has one entry more than the array."""
     texts = texts.cast(pa.large_string()).fill_null("")

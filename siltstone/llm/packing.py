@@ -10,12 +10,14 @@ Nothing is shuffled: memory is bounded by the open windows and one document, and
 again on another executor gives the same pieces, as sequence ids are (partition, counter).
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; documents
-longer than a window are cut; an empty table gives no pieces; extra columns are ignored.
+longer than a window are cut; strings of the file's added tokens become those tokens; texts and runs of blanks
+of any length are encoded whole; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,29 +27,40 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .blocks import lean
 from .common import small_batches
 
 SEQUENCE_BITS = 40
+#: The rank-based encoder backtracks over a run of blanks and gives up on a million; texts with such runs go to the file's own library.
+LONG_BLANK = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=4)
 def byte_level_encoder(path: str):
-    """text -> uint32 ids of the byte-level BPE file at path; special tokens' strings count as ordinary text.
+    """text -> uint32 ids of the byte-level BPE file at path; the strings of its added tokens become these, as in its own library.
 
     The file's vocabulary is in merge order, so its ids serve as merge ranks, and the rank-based encoder
     gives the same ids as the file's own library, several times faster.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     spec = json.loads(open(path, encoding="utf-8").read())
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    blanks = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_BLANK and blanks.search(text):
+            return np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, np.uint32)
+        return encoding.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 class Packer:
@@ -123,6 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int =
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kind = pa.schema([(n, pa.int64()) for n in names])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_level_encoder(tokenizer)
         packer = Packer(size, open_windows, TaskContext.get().partitionId() << SEQUENCE_BITS)

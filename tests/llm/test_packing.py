@@ -11,9 +11,16 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_encoder_equals_library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    for text in ["", " ", "a  b\n\n c", "déjà vu ß 漢字 \U0001f600", "x" * 3000, "it's 12,345 <|endoftext|> ***", "\r\n\t tab", " nb sp"]:
+    for text in ["", " ", "a  b\n\n c", "déjà vu ß 漢字 \U0001f600", "x" * 3000, "it's 12,345 <|endoftext|> ***", "a<|endoftext|>b", "<|endoftext|><|endoftext|>  <|endoftext|>", "x" + " " * 1_000_000 + "y", "\n" * 150_000, "ab" * 400_000, "\r\n\t tab", " nb sp"]:
         assert byte_level_encoder(PATH)(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert byte_level_encoder(PATH)("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
+def test_very_long_text(spark):
+    texts = [" " * 1_000_000, "word " * 300_000, "a<|endoftext|>b"]
+    out = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).toPandas()
+    t = Tokenizer.from_file(PATH)
+    assert out.groupby("doc_id").length.sum().to_dict() == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
 
 
 def test_every_id_in_one_piece(spark):
