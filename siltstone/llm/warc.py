@@ -1,11 +1,12 @@
 """Web archives: pages to legacy ARC, ARC to WARC, and WARC back to rows.
 
-`to_arc` writes each page as an ARC file of one version block and one document record (version 1
-with five header fields, version 2 with ten). `arc_to_warc` is the converter: it reads the version
+`to_arc` writes pages as ARC files of one version block and many document records (version 1 with five
+header fields, version 2 with ten), up to `file_bytes` each. `arc_to_warc` is the converter: it reads the version
 block, parses each header line by the fields of that version, takes the declared number of bytes and
 synthesises the WARC record: a name-based record id, the 14-digit date as ISO 8601, the record type,
-SHA-1 payload and block digests. `write_warc` writes the records as gzip files in the shared folder,
-`read_warc` parses these by declared length and checks every digest on the way.
+SHA-1 payload and block digests. Blocks are bytes throughout, in any encoding or none. `write_warc` writes the
+records as gzip files in the shared folder, sized by bytes; `read_warc` parses these by declared length and
+checks every digest on the way.
 
 Of records with equal payloads of at least `min_bytes` bytes the one with the largest id is the
 response; the others are revisits that keep only the HTTP headers and point to it. Hot payloads: the
@@ -13,7 +14,9 @@ largest id per digest is pre-aggregated, and only ids and digests (no payloads)
 
 Defined cases: null html is the empty payload; a null url is urn:page; a null page_id comes back null,
 loses against every other id, and is a response if its payload has no other id; repeated rows with the
-largest id are each a response; an empty table gives an empty archive.
+largest id are each a response; html of any length is one record; blocks that are no UTF-8 stay as they are; an
+empty table gives an empty archive; an ARC header line that departs from its version's fields, or a declared length
+beyond the file, fails the job with a message.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import lean
 from .common import shared_path, small_batches
 
 # The header fields of both ARC versions, as the format names them.
@@ -38,8 +42,11 @@ END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def to_arc(pages: DataFrame, archived_at: str = "20000101000000") -> DataFrame:
-    """(page_id, url, html, ...) plus column arc: the bytes of an ARC file with that page. Odd ids get version 2."""
+def to_arc(pages: DataFrame, archived_at: str = "20000101000000", file_bytes: int = 4 << 20) -> DataFrame:
+    """(page_id, url, html, refers_to) -> (arc binary, refers_to array<long>): ARC files, and what each of their records refers to.
+
+    Odd ids go to version 2 files. A file has about `file_bytes` at most, or one record.
+    """
     body = F.coalesce("html", F.lit(""))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("-")),
@@ -48,13 +55,36 @@ def to_arc(pages: DataFrame, archived_at: str = "20000101000000") -> DataFrame:
     url = F.regexp_replace(F.coalesce(F.nullif(F.col("url"), F.lit("")), F.lit("urn:page")), r"\s", "%20")
     size = F.octet_length(http).cast("string")
 
-    def file(version: int, fields: str, middle: str):
-        note = f"{version} 0 siltstone\n{fields}\n\n"
-        head = f"filedesc://pages-{version}.arc 0.0.0.0 {archived_at} text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(note)}\n{note}"
-        return F.concat(F.lit(head), url, F.lit(f" 0.0.0.0 {archived_at} text/html {middle}"), size, F.lit("\n"), http, F.lit("\n"))
+    def record(middle: str):
+        return F.concat(url, F.lit(f" 0.0.0.0 {archived_at} text/html {middle}"), size, F.lit("\n"), http, F.lit("\n")).cast("binary")
 
     odd = F.coalesce(F.col("page_id") % 2 != 0, F.lit(False))
-    return pages.withColumn("arc", F.when(odd, file(2, FIELDS_2, "200 - - 0 pages.arc ")).otherwise(file(1, FIELDS_1, "")).cast("binary"))
+    records = pages.select(F.when(odd, 2).otherwise(1).alias("version"), F.when(odd, record("200 - - 0 pages.arc ")).otherwise(record("")).alias("record"), "refers_to")
+
+    @lean
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def file(version: int) -> pa.RecordBatch:
+            parts, refers_to = zip(*open_[version], strict=True)
+            open_[version], size[version] = [], 0
+            return pa.record_batch({"arc": pa.array([version_block(version, archived_at) + b"".join(parts)], pa.binary()), "refers_to": pa.array([refers_to], pa.list_(pa.int64()))})
+
+        open_, size = {1: [], 2: []}, {1: 0, 2: 0}
+        for b in batches:
+            for version, part, refers_to in zip(*b.columns, strict=True):
+                version, part = version.as_py(), part.as_py()
+                if open_[version] and size[version] + len(part) > file_bytes:
+                    yield file(version)
+                open_[version].append((part, refers_to.as_py()))
+                size[version] += len(part)
+        yield from (file(v) for v in (1, 2) if open_[v])
+
+    return records.mapInArrow(files, "arc binary, refers_to array<long>")
+
+
+def version_block(version: int, archived_at: str) -> bytes:
+    """The record that opens an ARC file: it names the version and the fields of all header lines that follow."""
+    note = f"{version} 0 siltstone\n{FIELDS_2 if version == 2 else FIELDS_1}\n\n"
+    return f"filedesc://pages-{version}.arc 0.0.0.0 {archived_at} text/plain {'200 - - 0 pages.arc ' if version == 2 else ''}{len(note)}\n{note}".encode()
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -97,7 +127,7 @@ def headers(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogateescape").split("\r\n")[1:])}, rest
 
 
-def warc_record(fields: dict[str, str], block: bytes, refers_to: int | None) -> str:
+def warc_record(fields: dict[str, str], block: bytes, refers_to: int | None) -> bytes:
     """The WARC record of an ARC record, without the two line ends that close it."""
     http, payload = headers(block)
     digest, page, d = sha1_base32(payload), http.get("x-page-id", "-"), fields["Archive-date"]
@@ -111,25 +141,33 @@ def warc_record(fields: dict[str, str], block: bytes, refers_to: int | None) ->
         f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         *extra, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines) + END + block.decode("utf-8", "surrogateescape")
+    return ("\r\n".join(lines) + END).encode("utf-8", "surrogateescape") + block
+
 
+def arc_to_warc(arcs: DataFrame, run_bytes: int = 16 << 20) -> DataFrame:
+    """(arc binary, refers_to array<long>) -> (warc binary): runs of WARC records, one record for every document record.
 
-def arc_to_warc(arcs: DataFrame) -> DataFrame:
-    """(arc binary, refers_to long) -> (record string): one WARC record for every document record."""
+    refers_to has one entry for each document record of the file; null: no record is a revisit. Records are closed by
+    two line ends, but for the last of a run, which the writer closes. A run has about run_bytes at most, or one record.
+    """
 
+    @lean
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            out, size = [], 0
             for arc, refers_to in zip(b.column(0), b.column(1), strict=True):
-                for fields, block in arc_records(arc.as_py() or b""):
-                    out.append(warc_record(fields, block, refers_to.as_py()))
-                    size += len(out[-1])
-                if size > 8 << 20:
-                    yield pa.record_batch({"record": pa.array(out, pa.string())})
-                    out, size = [], 0
-            yield pa.record_batch({"record": pa.array(out, pa.string())})
+                targets = refers_to.as_py()
+                for i, (fields, block) in enumerate(arc_records(arc.as_py() or b"")):
+                    record = warc_record(fields, block, targets[i] if targets else None)
+                    if out and size + len(record) > run_bytes:
+                        yield pa.record_batch({"warc": pa.array([END.encode().join(out)], pa.binary())})
+                        out, size = [], 0
+                    out.append(record)
+                    size += len(record)
+        if out:
+            yield pa.record_batch({"warc": pa.array([END.encode().join(out)], pa.binary())})
 
-    return arcs.select("arc", "refers_to").mapInArrow(convert, "record string")
+    return arcs.select("arc", "refers_to").mapInArrow(convert, "warc binary")
 
 
 def with_refers_to(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -143,9 +181,10 @@ def with_refers_to(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return p.join(back, F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("__d") == F.col("__e")), "left").drop("__p", "__d", "__e")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 10_000) -> None:
-    """One gzip WARC file for at most records_per_file records; the record separator is the text writer's line end."""
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(runs: DataFrame, path: str, runs_per_file: int = 4) -> None:
+    """gzip WARC files of at most runs_per_file runs (warc binary), 64 MB by default; the text writer's line end closes a run's last record."""
+    text = runs.select(F.col("warc").cast("string").alias("value"))  # the bytes as they are
+    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", runs_per_file).text(path)
 
 
 def warc_records(data) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -166,6 +205,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the archives under path: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, warc_date."""
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("warc_date", pa.string())])
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
@@ -176,7 +216,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if head["warc-block-digest"] != f"sha1:{sha1_base32(block)}" or kind == "response" and digest != sha1_base32(payload):
                         raise ValueError(f"digest mismatch in {head['warc-record-id']}")
                     page, back = http.get("x-page-id", "-"), head.get("x-refers-to-page-id")
-                    rows.append((None if page == "-" else int(page), int(http["content-length"]), digest, kind, int(back) if back else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"]))
+                    rows.append((None if page == "-" else int(page), int(http["content-length"]) if kind == "revisit" else len(payload), digest, kind, int(back) if back else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"]))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds) if rows else pa.RecordBatch.from_pylist([], schema=kinds)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
@@ -189,7 +229,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     small_batches(spark)
     path = shared_path(spark, "warc")
     p = with_refers_to(pages.select("page_id", "url", "html"), min_bytes)
-    write_warc(arc_to_warc(to_arc(p).select("arc", "refers_to")), path)
+    write_warc(arc_to_warc(to_arc(p)), path)
     return read_warc(spark, path)
 
 
