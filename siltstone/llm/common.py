@@ -17,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, where a cluster names it.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint directory set on the context.
 
-    Only where the session has none (tests, one machine) a temporary folder takes its place.
+    Only a session on one machine (tests) may have neither; a temporary folder takes its place there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = own.get() if own.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import chunks, flat
+from .blocks import chunks, flat, lean
 from .common import small_batches
 
 WIDTHS = (2, 3, 4)
@@ -164,6 +164,7 @@ def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **op
     if chosen.empty:
         return None
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat(b.column(1))
@@ -193,6 +194,7 @@ def predict(docs: DataFrame, model: Model | None, block: int = 512, fit: bool =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("doc_id", *passed).schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         tables = m.tables() if m else None

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import lean
 from .common import hash128, materialise, small_batches
 from .components import components
 from .shared import pack, planes, shared_hashes, text_batches, unpack, unplanes
@@ -74,9 +75,10 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: float, n_words: int) -> DataFrame:
-    """(split, doc_id, t1, t2, text) and replies by split -> doc_id, t1, t2 and, for texts that can have links, w, bands, vec, val."""
+    """(split, doc_id, t1, t2, text) and replies by split -> doc_id, t1, t2 and, for texts that can have links, w, size (shared shingles), bands, vec, val."""
     log_n = math.log(max(n_docs, 2))
 
+    @lean
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         h = np.concatenate([unplanes(x.as_py()) for x in right["h"]]) if right.num_rows else np.zeros(0, np.uint64)
         n = np.concatenate([unpack(x.as_py(), "<u8") for x in right["n"]]) if right.num_rows else np.zeros(0, np.uint64)
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
         sampler, rows = Sampler(), left.num_rows
         lone = np.float32(FLOOR + math.log(n_docs) / log_n) if n_docs > 1 else np.float32(FLOOR)
         t1 = left["t1"].to_numpy().astype(np.int64)
-        w_out, bands, vec, val = ([None] * rows for _ in range(4))
+        w_out, size, bands, vec, val = ([None] * rows for _ in range(5))
         for at, data, offsets in text_batches(left["text"]):
             doc, x, tf = shingles(data, offsets, n_words)
             place = np.minimum(np.searchsorted(h, x), max(len(h) - 1, 0))
@@ -115,51 +117,61 @@ def signatures(docs: DataFrame, replies: DataFrame, n_docs: int, threshold: floa
                 key = mix(key + band[:, i])
             key = mix(key + np.arange(BANDS, dtype=np.uint64)[:, None]).astype(np.int64)
             for j, i in enumerate(ids):
-                w_out[at + i], bands[at + i] = float(total[i]), key[:, j]
+                w_out[at + i], size[at + i], bands[at + i] = float(total[i]), int(ends[j] - starts[j]), key[:, j]
                 vec[at + i], val[at + i] = planes(x[starts[j] : ends[j]]), pack(weight[starts[j] : ends[j]])
-        return pa.table({"doc_id": left["doc_id"], "t1": left["t1"], "t2": left["t2"], "w": pa.array(w_out, pa.float64()), "bands": pa.array(bands, pa.list_(pa.int64())), "vec": pa.array(vec, pa.binary()), "val": pa.array(val, pa.binary())})
+        return pa.table({"doc_id": left["doc_id"], "t1": left["t1"], "t2": left["t2"], "w": pa.array(w_out, pa.float64()), "size": pa.array(size, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())), "vec": pa.array(vec, pa.binary()), "val": pa.array(val, pa.binary())})
 
-    return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, bands array<long>, vec binary, val binary")
+    return docs.groupBy("split").cogroup(replies.groupBy("split")).applyInArrow(sign, "doc_id long, t1 long, t2 long, w double, size long, bands array<long>, vec binary, val binary")
 
 
-def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 2048) -> np.ndarray:
+def overlaps(x: list[np.ndarray], v: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 1024) -> np.ndarray:
     """Sums of minima [left, right] of weighted sets: hashes x and weights v of every set.
 
     Every distinct weight of an element is a column worth its step over the next smaller one, and a set
     has the columns up to its own weight; so the sums are products of indicator matrices.
     """
-    h, w = np.concatenate(x), np.concatenate(v).astype(np.float64)
-    owner = np.repeat(np.arange(len(x)), [len(i) for i in x])
+    h, w = np.concatenate(x), np.concatenate(v)
+    owner = np.repeat(np.arange(len(x), dtype=np.int32), [len(i) for i in x])
     order = np.lexsort((w, h))
     h, w, owner = h[order], w[order], owner[order]
+    del order
     fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    del h
     column = np.concatenate([[True], fresh[1:] | (w[1:] != w[:-1])])
     at = np.flatnonzero(column)
-    step = w[at] - np.where(fresh[at], 0, np.concatenate([[0], w[at][:-1]]))
-    number = np.cumsum(column) - 1
-    below = number - number[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] + 1  # columns of the element up to this weight
-    ends = np.cumsum(below)
-    col = np.repeat(number - below + 1 - (ends - below), below) + np.arange(int(ends[-1]))
+    w = w[at].astype(np.float64)
+    step = w - np.where(fresh[at], 0, np.concatenate([[0], w[:-1]]))
+    number = np.cumsum(column, dtype=np.int32) - np.int32(1)
+    below = number - number[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] + np.int32(1)  # columns of the element up to this weight
+    ends = np.cumsum(below, dtype=np.int64)
+    col = (np.repeat(number - below + 1 - (ends - below), below) + np.arange(int(ends[-1]))).astype(np.int32)
     row = np.repeat(owner, below)
     shared = np.bincount(col, minlength=len(at)) >= 2
-    place = np.cumsum(shared) - 1
+    place = (np.cumsum(shared) - 1).astype(np.int32)
     keep = shared[col]
     col, row, step = place[col[keep]], row[keep], np.sqrt(step[shared])
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
+    del order, keep, place
     out = np.zeros((len(left), len(right)))
+    dense = np.zeros((len(x), width))
     for lo in range(0, len(step), width):
         i, j = np.searchsorted(col, [lo, lo + width])
-        dense = np.zeros((len(x), min(width, len(step) - lo)))
         dense[row[i:j], col[i:j] - lo] = step[col[i:j]]
         out += dense[left] @ dense[right].T
+        dense[row[i:j], col[i:j] - lo] = 0
     return out
 
 
-def _blocks(rows: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """(t, region) with the texts' vectors, the number of blocks of their region and their own block i."""
-    sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    r = rows.join(sizes, "region").join(texts, "t")
+def _blocks(rows: DataFrame, texts: DataFrame, block: int, elements: int) -> DataFrame:
+    """(t, region) with the texts' vectors, the number of blocks of their region and their own block i.
+
+    A block has about `block` texts and `elements` vector elements at most, so a task's memory follows neither long texts nor regions.
+    """
+    rows = rows.join(texts.select("t", "size"), "t")
+    need = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("size") / F.lit(elements))
+    sizes = rows.groupBy("region").agg(F.ceil(need).cast("int").alias("blocks"))
+    r = rows.drop("size").join(sizes, "region").join(texts, "t")
     return r.withColumn("i", F.pmod(F.xxhash64("t", F.lit("block")), F.col("blocks")).cast("int"))
 
 
@@ -208,6 +220,7 @@ def joins(near: np.ndarray, left_root: np.ndarray, right_root: np.ndarray) -> li
 def _within(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(t, head): every text of a block with one text of its component in the block."""
 
+    @lean
     def run(key: tuple, table: pa.Table) -> pa.Table:
         every = np.arange(table.num_rows)
         number = reached(_near(table, every, every, threshold)) if table.num_rows > 1 else every
@@ -221,6 +234,7 @@ def _within(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 def _across(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(a, b): links between different blocks of a region, one for each join of two roots in a pair of blocks."""
 
+    @lean
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i = table["i"].to_numpy()
         left, right, root = np.flatnonzero(i == key[1].as_py()), np.flatnonzero(i == key[2].as_py()), table["root"].to_numpy()
@@ -233,8 +247,8 @@ def _across(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     return r.groupBy("region", "p", "q").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
-    """(t, band) and texts (t, w, vec, val) -> t, head: texts with one text of their component, for all that share a bucket.
+def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 1000, elements: int = 1 << 19) -> DataFrame:
+    """(t, band) and texts (t, w, size, vec, val) -> t, head: texts with one text of their component, for all that share a bucket.
 
     Texts that share buckets are chained to regions, and a region is verified in blocks of texts. A region of one
     block is done after `_within`. In a larger one the components' heads are compared first, which joins a
@@ -244,14 +258,14 @@ def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2
     edges = banded.join(hubs, "band").where("t <> hub").select(F.col("t").alias("a"), F.col("hub").alias("b"))
     region = components(edges, "neardup-regions").select(F.col("node").alias("t"), F.col("root").alias("region"))
     kind = texts.schema["t"].dataType.simpleString()
-    rows = materialise(_blocks(region, texts, block), "neardup-blocks")
+    rows = materialise(_blocks(region, texts, block, elements), "neardup-blocks")
     heads = materialise(_within(rows, threshold, kind), "neardup-heads")
     large = rows.where("blocks > 1")
     if large.isEmpty():
         return heads
     some = large.select("t", "region").join(heads, "t")
     tops = some.select(F.col("head").alias("t"), "region").distinct()
-    links = _within(_blocks(tops, texts, block), threshold, kind).select(F.col("t").alias("a"), F.col("head").alias("b"))
+    links = _within(_blocks(tops, texts, block, elements), threshold, kind).select(F.col("t").alias("a"), F.col("head").alias("b"))
     joins = materialise(links.union(some.select(F.col("t").alias("a"), F.col("head").alias("b"))), "neardup-joins")
     root = components(joins, "neardup-roots")
     open_ = large.join(root, F.col("t") == F.col("node"), "left").withColumn("root", F.coalesce("root", "t")).drop("node")
@@ -262,7 +276,7 @@ def linked(banded: DataFrame, texts: DataFrame, threshold: float, block: int = 2
     return small.union(large.select("t").join(final, "t", "left").select("t", F.coalesce("head", "t").alias("head")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, split_chars: int = 4 << 20, bucket_chars: int = 16 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, split_chars: int = 4 << 20, bucket_chars: int = 8 << 20) -> DataFrame:
     """(doc_id, text) -> doc_id, t1, t2 (the text's 128-bit hash), class_id: one row per document."""
     text = F.coalesce("text", F.lit(""))
     small_batches(docs.sparkSession)
@@ -275,7 +289,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, s
     signed = materialise(signatures(d, shared_hashes(d, buckets, lambda data, offsets: shingles(data, offsets, n_words)[1], HASH_BITS), max(n_docs, 1), threshold, n_words), "neardup-signed")
     key = F.struct("t1", "t2").alias("t")
     able = signed.where("bands is not null")
-    texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "vec", "val")))
+    texts = able.groupBy(key).agg(*(F.first(c).alias(c) for c in ("w", "size", "vec", "val")))
     texts = materialise(texts, "neardup-texts")
     banded = able.select(key, "bands").dropDuplicates(["t"]).select("t", F.explode("bands").alias("band"))
     heads = linked(banded, texts, threshold)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import chunks
+from .blocks import chunks, lean
 from .common import small_batches
 
 MARK = "▁"
@@ -275,6 +275,7 @@ def encode(docs: DataFrame, m: Model) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for b in batches:
@@ -300,6 +301,7 @@ def decode(encoded: DataFrame, m: Model) -> DataFrame:
     kept = [c for c in encoded.columns if c != "ids"]
     shared = encoded.sparkSession.sparkContext.broadcast(m.text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = shared.value
         data = np.frombuffer(b"".join(text), np.uint8)

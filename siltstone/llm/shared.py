@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .blocks import flat
+from .blocks import flat, lean
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -56,9 +56,15 @@ def shared_hashes(docs: DataFrame, buckets: int, hashes: Callable[[np.ndarray, n
     """
     width = (1 << bits) // buckets + 1
 
+    @lean
     def post(key: tuple, table: pa.Table) -> pa.Table:
         found = [hashes(d, o) for _, d, o in text_batches(table["text"])]
-        h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        del found
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(h)))
+        h = h[first]
         cut = np.searchsorted(h, np.array([min(i * width, (1 << 64) - 1) for i in range(buckets)], np.uint64))
         cut = np.append(cut, len(h))
         some = np.flatnonzero(np.diff(cut))
@@ -66,6 +72,7 @@ def shared_hashes(docs: DataFrame, buckets: int, hashes: Callable[[np.ndarray, n
         s = key[0].as_py()
         return pa.table({"split": pa.array([s] * len(parts), pa.int64()), "bucket": pa.array([p[0] for p in parts], pa.int64()), "h": pa.array([p[1] for p in parts], pa.binary()), "n": pa.array([p[2] for p in parts], pa.binary())})
 
+    @lean
     def count(key: tuple, table: pa.Table) -> pa.Table:
         splits = table["split"].to_pylist()
         hs = [unplanes(x.as_py()) for x in table["h"]]
@@ -73,15 +80,18 @@ def shared_hashes(docs: DataFrame, buckets: int, hashes: Callable[[np.ndarray, n
         owner = np.repeat(np.arange(len(splits), dtype=np.int32), [len(x) for x in hs])
         h, n = np.concatenate(hs), np.concatenate(ns)
         del hs, ns
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, n, owner = h[order], n[order], owner[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total = np.add.reduceat(n.astype(np.int64), first)
-        many = np.repeat(total, np.diff(np.append(first, len(h))))
-        keep = many >= 2
-        h, many, owner = h[keep], many[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
+        total = np.add.reduceat(n, first, dtype=np.int64)
+        sizes = np.diff(np.append(first, len(h)))
+        keep = np.repeat(total >= 2, sizes)
+        h, owner, many = h[keep], owner[keep], np.repeat(total[total >= 2], sizes[total >= 2])
+        del n, first, keep
+        order = np.lexsort((h, owner))
         h, many, owner = h[order], many[order], owner[order]
+        del order
         cut = np.searchsorted(owner, np.arange(len(splits) + 1))
         some = np.flatnonzero(np.diff(cut))
         return pa.table({"split": pa.array([splits[i] for i in some], pa.int64()), "h": pa.array([planes(h[cut[i] : cut[i + 1]]) for i in some], pa.binary()), "n": pa.array([pack(many[cut[i] : cut[i + 1]].astype("<u8")) for i in some], pa.binary())})

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import lean
 from .common import hash128, materialise, small_batches
 from .shared import shared_hashes, text_batches, unpack, unplanes
 from .shingles import _BYTE, _P, _P_INV, _power, mix
@@ -245,6 +246,7 @@ def resolve(docs: DataFrame, replies: DataFrame, with_text: bool) -> DataFrame:
     """Per document the spans of runs that occur elsewhere as a whole, its undecided runs, and the result if there are none."""
     kind = OUT.append(pa.field("text", pa.binary())).append(pa.field("edges", pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("own", pa.bool_()), ("str", pa.binary())]))))
 
+    @lean
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         h = np.concatenate([unplanes(x.as_py()) for x in right["h"]]) if right.num_rows else np.zeros(0, np.uint64)
         n = np.concatenate([unpack(x.as_py(), "<u8") for x in right["n"]]) if right.num_rows else np.zeros(0, np.uint64)
@@ -291,6 +293,7 @@ def resolve(docs: DataFrame, replies: DataFrame, with_text: bool) -> DataFrame:
 def sort_runs(edges: DataFrame, per_task: int) -> DataFrame:
     """(doc_id, t1, t2, s, h, own, str) -> doc_id, t1, t2, start, end: the repeated parts of owned runs."""
 
+    @lean
     def run(key: tuple, table: pa.Table) -> pa.Table:
         strings = [x.as_py() for x in table["str"]]
         data = np.frombuffer(b"".join(strings), np.uint8)
@@ -348,6 +351,7 @@ def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20,
     open_ = known.where("text is not null").select(*key, "text", "spans")
     open_ = open_.join(parts, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("t1") == F.col("p_t1")) & (F.col("t2") == F.col("p_t2")), "left")
 
+    @lean
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import chunks, flat, grams
+from .blocks import chunks, flat, grams, lean
 from .common import materialise, small_batches
 
 BITS = 20
@@ -57,6 +57,7 @@ def hits(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, block: int =
 def presence(texts: DataFrame) -> DataFrame:
     """(text, y) -> (feature, pos, neg): in how many texts of each class a feature occurs."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for b in batches:
@@ -162,6 +163,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least
     table[best.feature.to_numpy()] = np.arange(1, len(best) + 1)
     shared = spark.sparkContext.broadcast(table)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in chunks(b, 0):
@@ -181,6 +183,7 @@ def score(docs: DataFrame, model: Model, passed: str) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
