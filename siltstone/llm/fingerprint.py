@@ -14,11 +14,14 @@ inner product as its mean product, which gives a Dice similarity (`likeness`).
 Two 30-bit lanes share one long, and one long addition sums both ("lane words").
 
 Defined cases: a null or empty text has no paragraph, all lanes are 0; two such texts have likeness 1,
-such a text and any other 0. Rows may repeat; extra columns pass through `with_fingerprint` untouched.
+such a text and any other 0. Rows may repeat; ids may span all longs, lie far apart or be null; rows with one id follow
+each other by the MD5 of their texts; extra columns pass through `with_lanes` untouched.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,39 +96,48 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, value).drop(sa, sb, num, da, db)
 
 
+def _cell(k: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts are at most k (0 for null), in two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    m = math.isqrt(len(cuts) - 1) + 1
+    rows = [cuts[i : i + m] for i in range(0, len(cuts), m)]
+    grid = F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+    row = F.size(F.filter(F.transform(grid, lambda r: r[0]), lambda x: x <= k))
+    inside = F.size(F.filter(F.get(grid, row - 1), lambda x: x <= k))
+    return F.when(k.isNull() | (row == 0), F.lit(0)).otherwise((row - 1) * m + inside)
+
+
 def with_next(df: DataFrame, order: str, carry: list[str], derive: Callable[[DataFrame], DataFrame] = lambda d: d, derived: tuple[str, ...] = (), per_bucket: int = 2000, most_buckets: int = 65536) -> DataFrame:
     """df with next_<c> for every carried or derived column: the row that follows in descending `order`, the first after the last.
 
     `derive` adds the derived columns to rows that have the carried ones, once for each row.
 
-    Rows are dealt once to value ranges of `order`, and the first row of the range below goes along as a
-    sentinel, so that no task sees all rows. The list of ranges has at most `most_buckets` rows; only it
-    is broadcast and looked at in one task. Null `order` counts as the smallest; ties go by carried columns.
+    Rows are dealt once to ranges of `order` (numbers) that hold about `per_bucket` rows each, whatever the values, and the
+    first row of the range below goes along as a sentinel, so that no task sees all rows. Only the ranges' first ids and text
+    digests, `most_buckets` short rows at most, are looked at in one task and broadcast. Null `order` counts as the smallest;
+    ties go by the MD5 of the first carried column.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = max(1, min(most_buckets, n // per_bucket))
-    width = (high - low) // buckets + 1
-    key = F.coalesce(F.col(order).cast("long"), F.lit(low - 1))
-    df = df.withColumn("__k", key).withColumn("__b", F.floor((F.col("__k") - low) / F.lit(width)).cast("long"))
-    tie = carry[0]
-    heads = df.groupBy("__b").agg(F.max(F.struct("__k", tie)).alias("__head"))
-    lower = F.lag("__b").over(Window.orderBy("__b"))
-    top = F.max("__b").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.withColumn("__low", lower).withColumn("__top", top)
+    n = df.count()
+    cells = max(1, min(most_buckets, n // per_bucket))
+    k = F.col(order).cast("double")
+    cuts = df.select(k.alias("k")).approxQuantile("k", [i / cells for i in range(1, cells)], 0.25 / cells) if cells > 1 else []
+    df = df.withColumns({"__k": F.col(order), "__tie": F.md5(F.coalesce(F.col(carry[0]).cast("binary"), F.lit("").cast("binary")))})
+    df = df.withColumn("__b", _cell(F.col("__k").cast("double"), sorted(set(cuts))))
+    heads = df.groupBy("__b").agg(F.max(F.struct("__k", "__tie")).alias("__head"))
+    every = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # the first row of range b closes the next higher range; the first row of all closes the lowest one
-    above = heads.select("__b", F.lead("__b").over(Window.orderBy("__b")).alias("__to"), "__top", "__head").withColumn("__low0", F.min("__b").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    above = above.select("__head", F.coalesce("__to", "__low0").alias("__to"))
+    above = heads.select("__head", F.coalesce(F.lead("__b").over(Window.orderBy("__b")), F.min("__b").over(every)).alias("__to"))
     closing = (
-        df.select("__k", *carry)
-        .join(F.broadcast(above), (F.col("__k") == F.col("__head.__k")) & F.col(tie).eqNullSafe(F.col(f"__head.{tie}")), "inner")
+        df.select("__k", "__tie", *carry)
+        .join(F.broadcast(above), F.col("__k").eqNullSafe(F.col("__head.__k")) & (F.col("__tie") == F.col("__head.__tie")))
         .groupBy("__to").agg(F.first(F.struct(*carry)).alias("__c"))
         .select(*[F.col(f"__c.{c}").alias(c) for c in carry], F.col("__to").alias("__b"), F.lit(True).alias("__end"))
     )
     both = derive(df.withColumn("__end", F.lit(False))).unionByName(derive(closing), allowMissingColumns=True)
-    w = Window.partitionBy("__b").orderBy(F.col("__end"), F.col("__k").desc(), F.col(tie).desc())
+    w = Window.partitionBy("__b").orderBy(F.col("__end"), F.col("__k").desc(), F.col("__tie").desc())
     both = both.withColumns({f"next_{c}": F.lead(c).over(w) for c in (*carry, *derived)})
-    return both.where(~F.col("__end")).drop("__k", "__b", "__end")
+    return both.where(~F.col("__end")).drop("__k", "__tie", "__b", "__end")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -162,7 +174,7 @@ def sql() -> str:
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC, text DESC), first_value(text) OVER (ORDER BY doc_id DESC, text DESC)) AS next_text FROM d),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC, md5(text) DESC), first_value(text) OVER (ORDER BY doc_id DESC, md5(text) DESC)) AS next_text FROM d),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n),
 l AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, {lanes('text')} AS fp, {lanes('edited')} AS efp, {lanes('next_text')} AS nfp FROM e),
 s AS (SELECT *, {signed('fp')} AS s_fp, {signed('efp')} AS s_efp, {signed('nfp')} AS s_nfp FROM l)

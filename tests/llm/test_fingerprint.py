@@ -32,7 +32,7 @@ def near(a, b):
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()), reverse=True)
     out = []
     for i, (k, t) in enumerate(order):
         t, n = t or "", order[(i + 1) % len(order)][1] or ""
@@ -54,6 +54,22 @@ def test_equals_brute_force(spark, monkeypatch, per_bucket):
     assert sorted((tuple(r)[:5] + (round(r.near_edited, 12), round(r.near_next, 12)) for r in got), key=str) == brute(ROWS)
 
 
+def test_ids_over_all_longs(spark, monkeypatch):
+    plain = fp.with_next
+    monkeypatch.setattr(fp, "with_next", lambda *a: plain(*a, per_bucket=2))
+    ids = [-(2**63), 2**63 - 1, 0, 2**62, 2**62 + 1, -5, None, None, *range(10)]
+    rows = [(k, f"text {i}, of {k}") for i, k in enumerate(ids)]
+    got = fp.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted((b[:3] for b in brute(rows)), key=str)
+
+
+def test_ranges_hold_equal_numbers_of_rows(spark):
+    df = spark.range(4000).select(F.when(F.col("id") == 7, F.lit(2**60)).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    cuts = [i * 100.0 for i in range(1, 40)]
+    n = df.groupBy(fp._cell(F.col("doc_id").cast("double"), cuts).alias("b")).count().collect()
+    assert {r.b for r in n} == set(range(40)) and max(r["count"] for r in n) == 101
+
+
 def test_multiset_algebra(spark):
     df = spark.createDataFrame([("a b.\nc, d\ne", "e\na b.", "c, d", "e\nc, d\na b.")], "whole string, two string, one string, shuffled string")
     for c in df.columns:
