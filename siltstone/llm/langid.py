@@ -5,7 +5,7 @@ pooling over the window and a softmax layer. A text is cut into windows that cov
 last one ends with the text and is padded if the text is shorter); its class probabilities are the
 means over its windows, weighted by bytes.
 
-Training: of every language the `per_language` texts with the smallest hashed ids (a bounded sample),
+Training: of every language the `per_language` texts with the smallest hashed ids (a bounded sample; languages are few),
 of each up to `per_text` windows spread over the whole text; mini-batch Adam with a fixed seed. Max
 pooling passes a gradient to one position per filter, so a step costs little more than a forward pass.
 
@@ -16,7 +16,7 @@ A network is sure of bytes that it never met, too. So `predict(fit=True)` adds t
 text's bytes, each given the one before it, in the training windows of the language where it is highest: -ln 256 is chance.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without training rows
-every text is; rows may repeat; extra columns are ignored.
+every text is; of equal probabilities the first language in order wins; rows may repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,8 +158,14 @@ def fits(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> np.ndarray
 def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **options) -> Model | None:
     """Model from (doc_id, text, lang); None without a text that has a language and a letter."""
     rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
+    # a threshold on the hash, from one count a language, leaves about twice the rows that are needed for the ranking
+    top = 1 << 40
+    counts = labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n")) * top
+    h = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(top))
+    some = rows.select("doc_id", "lang", h.alias("h")).join(counts.select("lang", limit.alias("limit")), "lang").where("h < limit")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
     chosen = ids.select("doc_id", "lang").toPandas()  # at most per_language ids of each language
     if chosen.empty:
         return None
