@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128
+from .common import hash128, materialise
 
 LG_K = 12
 
@@ -32,12 +32,18 @@ def _lines(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int, band: float = 0.2) -> DataFrame:
-    """(h1, h2, first): the hashes of lines on at least min_sites sites, and where each occurs first."""
-    each = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.min(F.struct("k", "pos", "t")).alias("first"))
+    """(h1, h2, first): the hashes of lines on at least min_sites sites, and where each occurs first.
+
+    The occurrences of a line on a site are one row from the first shuffle on, so sketches and exact counts read these rows, and
+    a line that fills the corpus is no more than its sites.
+    """
+    spread = lines.groupBy("h1", "h2", "site").agg(F.min(F.struct("k", "pos", "t")).alias("first"))
+    spread = materialise(spread, "linededup-sites")
+    each = spread.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.min("first").alias("first"))
     each = each.select("h1", "h2", "first", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") >= min_sites * (1 - band))
     sure = each.where(F.col("n") > min_sites * (1 + band)).select("h1", "h2", "first")
     near = each.where(F.col("n") <= min_sites * (1 + band)).select("h1", "h2", "first")
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites)
+    exact = spread.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites)
     return sure.unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
 
 
