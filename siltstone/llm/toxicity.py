@@ -2,15 +2,16 @@
 
 Features are hashed byte n-grams of the lower-cased text, present or absent in a whole text. On a
 bounded sample of labelled texts (`most_rows`, smallest hash of the id first) executors count in how
-many toxic and other texts each feature occurs; features whose rates differ by `least_z` standard
-errors get the ratio r = log(p / q) of smoothed rates, and a ridge logistic regression is fitted to
+many toxic and other texts each feature occurs. A feature whose rates differ by z standard errors has the
+ratio r = log(p / q) of smoothed rates, shrunk by z^2 / (z^2 + half_z^2), so that chance weighs little; below
+`least_z`, about the usual 5 % level, a difference is none. A ridge logistic regression is fitted to
 presence * r on the driver by Newton steps, each solved by conjugate gradients over the sparse presences.
-No feature that passes is cut; there are 2^BITS at most.
+No feature beyond that level is cut, however many there are (2^BITS at most).
 
 Scoring reads every byte of every text, in blocks, and looks n-grams up in one table; nothing shuffles.
 
 Defined cases: a null or empty text has no features and scores the model's intercept; rows may repeat;
-a null label is no label, several labels of one id count as toxic if one does; without labelled rows
+a label other than 0 and 1 is no label, several labels of one id count as toxic if one does; without labelled rows
 of both classes the score is the share of toxic ones (0 without any); extra columns are ignored.
 """
 
@@ -137,10 +138,10 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
     return w[:m], float(w[m])
 
 
-def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 5.0, smoothing: float = 1.0, ridge: float = 10.0) -> Model:
+def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, y 0/1); only ids in both count."""
     spark = labelled.sparkSession
-    y = labels.where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    y = labels.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     chosen = y.toPandas()  # at most most_rows pairs of numbers
     table, prior = np.zeros(1 << BITS, np.int32), float(chosen.y.mean()) if len(chosen) else 0.0
@@ -160,6 +161,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least
     if best.empty:
         return Model(table, np.zeros(0), bias)
     ratio = np.log(((best.pos + smoothing) / (n1 + 2 * smoothing)) / ((best.neg + smoothing) / (n0 + 2 * smoothing))).to_numpy()
+    ratio *= (best.z**2 / (best.z**2 + half_z**2)).to_numpy()
     table[best.feature.to_numpy()] = np.arange(1, len(best) + 1)
     shared = spark.sparkContext.broadcast(table)
 

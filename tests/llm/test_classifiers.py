@@ -111,6 +111,14 @@ def test_toxicity_hits_equal_brute_force(labelled):
     assert set(zip(doc.tolist(), feature.tolist(), strict=True)) == want and len(doc) == len(want)
 
 
+def test_toxicity_ignores_other_labels(spark, labelled):
+    df = spark.createDataFrame(labelled, "doc_id long, text string, y int")
+    odd = spark.createDataFrame([(i, y) for i, y in zip(range(0, 40), [2, -1, None, 7] * 10, strict=True)], "doc_id long, y int")
+    a = toxicity.train(df.select("doc_id", "text"), df.where("doc_id >= 40").select("doc_id", "y"))
+    b = toxicity.train(df.select("doc_id", "text"), df.where("doc_id >= 40").select("doc_id", "y").union(odd))
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
 def test_toxicity_one_class(spark):
     df = spark.createDataFrame([(1, "a b c", 0), (2, "d", None)], "doc_id long, text string, y int")
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "y"))
