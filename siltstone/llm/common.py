@@ -60,6 +60,23 @@ def collecting() -> Iterator[list[str]]:
         _made.reset(token)
 
 
+def within_run() -> bool:
+    """Whether somebody collects the paths of materialised tables and will delete them."""
+    return _made.get() is not None
+
+
+def reads(df: DataFrame, paths: list[str]) -> bool:
+    """Whether df's plan scans one of the tables; only the plan is looked at, no files are listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            names = [roots.apply(i).getName() for i in range(roots.size())]
+            if any(p.rstrip("/").rsplit("/", 1)[-1] in names for p in paths):
+                return True
+    return False
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete materialised tables that no plan will read again."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -12,9 +12,11 @@ of a corpus (cut off at 200 bytes) do not fit one task, so they are dealt out by
 3. Sorting task, deep-shallow: multikey quicksort, breadth first over 8-byte symbols, to a depth of 64 bytes;
    groups that still share that prefix are ordered by a blind trie each. Neighbours that share 200 bytes are
    repeated. A 64-gram with more distinct strings than `most_runs` (a passage with thousands of
-   different contexts) is too much for one task: its windows are counted by 128-bit hash instead, exactly.
+   different contexts) is too much for one task, and its windows sorted in several tasks would need each of them
+   by itself, 80 times the strings' bytes; they are counted by 128-bit hash instead, with the same result.
 
-Run hashes have 64 bits and window and text hashes 128. Matches never cross documents.
+A run counts as repeated only if two independent 64-bit hashes of its string both are; window and text hashes have 128
+bits. Matches never cross documents.
 
 Defined cases: null is the empty text; texts under 200 bytes stay; rows with the same id and text repeat
 each other; a text may repeat itself, overlaps included; an empty table gives no rows; extra columns are ignored.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .blocks import lean
 from .common import hash128, materialise, small_batches
 from .shared import shared_hashes, text_batches, unpack, unplanes
-from .shingles import _BYTE, _P, _P_INV, _power, mix
+from .shingles import _BYTE, _BYTE2, _P, _P_INV, _power, mix
 
 LENGTH, GRAM = 200, 64
 WIDTH = LENGTH - GRAM + 1
@@ -52,8 +54,8 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, hash of the 64-gram, hash of the run's string) of all runs of a batch of texts."""
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, number of windows, hash of the 64-gram, two hashes of the run's string) of all runs of a batch of texts."""
     out = []
     length = np.diff(offsets)
     for base in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
@@ -62,7 +64,9 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if n < LENGTH:
             break
         total = np.zeros(n + 1, np.uint64)
+        second = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[d] * _power(n, _P, "p"), out=total[1:])
+        np.cumsum(_BYTE2[d] * _power(n, _P, "p"), out=second[1:])
         inverse = _power(n, _P_INV, "inverse")
         gram = mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
         key = ((gram >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(len(gram), dtype=np.uint64)
@@ -79,11 +83,11 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         p = place[at]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1])]))
         s, count = at[first], np.diff(np.append(first, len(at)))
-        whole = (total[s + count + LENGTH - 1] - total[s]) * inverse[s]
-        out.append((s + base, count, mix(gram[p[first]] + np.uint64(1)), mix(mix(whole) + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        end, size = s + count + LENGTH - 1, count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        whole = [mix(mix((t[end] - t[s]) * inverse[s]) + size + np.uint64(i)) for i, t in enumerate((total, second))]
+        out.append((s + base, count, mix(gram[p[first]] + np.uint64(1)), *whole))
     if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return *(np.zeros(0, np.int64) for _ in range(2)), *(np.zeros(0, np.uint64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -231,7 +235,7 @@ def cut_out(data: np.ndarray, spans: np.ndarray) -> bytes:
     return data[keep].tobytes()
 
 
-EDGE = "array<struct<s:long,h:long,g:long,own:boolean,str:binary>>"
+EDGE = "array<struct<s:long,h:long,g1:long,g2:long,own:boolean,str:binary>>"
 OUT = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))])
 OUT_SQL = "doc_id long, t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
 
@@ -244,7 +248,7 @@ def finished(data: np.ndarray, spans: np.ndarray, with_text: bool) -> dict:
 
 def resolve(docs: DataFrame, replies: DataFrame, with_text: bool) -> DataFrame:
     """Per document the spans of runs that occur elsewhere as a whole, its undecided runs, and the result if there are none."""
-    kind = OUT.append(pa.field("text", pa.binary())).append(pa.field("edges", pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("own", pa.bool_()), ("str", pa.binary())]))))
+    kind = OUT.append(pa.field("text", pa.binary())).append(pa.field("edges", pa.list_(pa.struct([("s", pa.int64()), ("h", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("own", pa.bool_()), ("str", pa.binary())]))))
 
     @lean
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -262,8 +266,8 @@ def resolve(docs: DataFrame, replies: DataFrame, with_text: bool) -> DataFrame:
         keys = [left[c].to_pylist() for c in ("doc_id", "t1", "t2")]
         rows, sent = [], set()
         for at, data, offsets in text_batches(left["text"]):
-            s, size, gram, whole = runs(data, offsets)
-            ng, nh = count(whole), count(gram)
+            s, size, gram, whole, second = runs(data, offsets)
+            ng, nh = np.minimum(count(whole), count(second)), count(gram)
             doc = np.searchsorted(offsets, s, side="right") - 1
             all_of_it = ng >= 2
             mixed = (nh > ng) & (nh >= 2)
@@ -276,13 +280,13 @@ def resolve(docs: DataFrame, replies: DataFrame, with_text: bool) -> DataFrame:
                 edges, own = [], False
                 for j in r[mixed[r]]:
                     mine = not all_of_it[j]
-                    g = int(whole[j].view(np.int64))
+                    g = int(whole[j].view(np.int64)), int(second[j].view(np.int64))
                     if not mine and g in sent:
                         continue
                     if not mine:
                         sent.add(g)
                     own |= mine
-                    edges.append({"s": int(s[j] - o), "h": int(gram[j].view(np.int64)), "g": g, "own": mine, "str": data[s[j] : s[j] + size[j] + LENGTH - 1].tobytes()})
+                    edges.append({"s": int(s[j] - o), "h": int(gram[j].view(np.int64)), "g1": g[0], "g2": g[1], "own": mine, "str": data[s[j] : s[j] + size[j] + LENGTH - 1].tobytes()})
                 row = {"spans": merged(found).ravel().tolist(), "text": d.tobytes()} if own else finished(d, found, with_text)
                 rows.append({"doc_id": keys[0][at + i], "t1": keys[1][at + i], "t2": keys[2][at + i], "edges": edges, **row})
         return pa.Table.from_pylist(rows, schema=kind)
@@ -321,7 +325,7 @@ def sort_runs(edges: DataFrame, per_task: int) -> DataFrame:
 
 
 def count_windows(edges: DataFrame) -> DataFrame:
-    """The same result for 64-grams with too many strings, from counts of hashed windows."""
+    """The same result for 64-grams with too many strings, from counts of hashed windows, pre-aggregated before the shuffle."""
     w = edges.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("str") - LENGTH)))
     w = w.withColumn("w", F.substring("str", F.col("i") + 1, F.lit(LENGTH)))
     w = w.select("doc_id", "t1", "t2", "s", "own", "i", *(h.alias(c) for h, c in zip(hash128("w"), ("w1", "w2"), strict=True)))
@@ -330,7 +334,7 @@ def count_windows(edges: DataFrame) -> DataFrame:
     return w.where("own").join(n, ["w1", "w2"]).select("doc_id", "t1", "t2", at.alias("start"), (at + LENGTH).alias("end"))
 
 
-def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 64 << 20, most_runs: int = 5000, runs_per_task: int = 4_000) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, most_runs: int = 5000, runs_per_task: int = 4_000) -> DataFrame:
     """(doc_id, text) -> doc_id, t1, t2, n_bytes, n_removed, n_spans, kept_sha256, kept (with_text), spans (start, end, start, ...)."""
     text = F.coalesce("text", F.lit(""))
     small_batches(docs.sparkSession)
@@ -343,7 +347,7 @@ def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20,
     known = materialise(resolve(d, replies, with_text), "suffixes")
     key = ["doc_id", "t1", "t2"]
     edges = known.where(F.size("edges") > 0).select(*key, F.explode("edges").alias("e")).select(*key, "e.*")
-    edges = edges.where("own").unionByName(edges.where("not own").dropDuplicates(["h", "g"]))
+    edges = edges.where("own").unionByName(edges.where("not own").dropDuplicates(["h", "g1", "g2"]))
     many = edges.groupBy("h").agg(F.count(F.lit(1)).alias("runs"))
     edges = materialise(edges.join(many, "h"), "suffixes-runs")
     parts = sort_runs(edges.where(F.col("runs") <= most_runs), runs_per_task).unionByName(count_windows(edges.where(F.col("runs") > most_runs)))
@@ -354,10 +358,16 @@ def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20,
     @lean
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                one = b.slice(row, 1).to_pylist()[0]
-                spans = np.array([*(one["spans"] or []), *(one["parts"] or [])], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pylist([{**{k: one[k] for k in key}, **finished(np.frombuffer(one["text"], np.uint8), spans, with_text)}], schema=OUT)
+            rows, size = [], 0
+            for *ids, text, spans, parts in zip(*b.columns, strict=True):
+                both = np.array([*(spans.as_py() or []), *(parts.as_py() or [])], np.int64).reshape(-1, 2)
+                rows.append({k: i.as_py() for k, i in zip(key, ids, strict=True)} | finished(np.frombuffer(text.as_buffer(), np.uint8), both, with_text))
+                size += rows[-1]["n_bytes"]
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, schema=OUT)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=OUT)
 
     closed = open_.select(*key, "text", "spans", "parts").mapInArrow(close, OUT_SQL)
     return known.where("text is null").select(*OUT.names).unionByName(closed)

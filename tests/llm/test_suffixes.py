@@ -68,7 +68,7 @@ def test_runs_across_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     d = rng.integers(97, 100, 3000).astype(np.uint8)
     o = np.array([0, 100, 900, 1099, 3000])
-    s, n, _, _ = sx.runs(d, o)
+    s, n, _, _, _ = sx.runs(d, o)
     covered = np.concatenate([np.arange(a, a + b) for a, b in zip(s, n, strict=True)])
     want = np.concatenate([np.arange(a, b - 199) for a, b in zip(o, o[1:], strict=False) if b - a >= 200])
     assert sorted(covered.tolist()) == want.tolist()
