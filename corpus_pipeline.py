@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, linededup, neardup, packing, suffixes
-from siltstone.llm.common import collecting, crc32_mod, discard, hash128, materialise, table
+from siltstone.llm.common import collecting, crc32_mod, discard, hash128, materialise, reads, table, within_run
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language has a mean probability below this is undecided and goes: LEAST_SCORE for one of
@@ -27,8 +27,9 @@ LEAST_SCORE, LEAST_SCORE_SHORT, LONG = 0.5, 0.35, 64
 #: A document whose bytes follow each other no better than this in any language is in none of the languages
 #: and goes. Labelled documents have -4.8 or more, texts in other scripts and random letters -5.5 or less.
 LEAST_FIT = -5.2
-#: Working tables of the stages so far. A stage's result is written and read again, so the next stage deletes them.
-_working: list[str] = []
+#: Working tables of the last stage over a folder of tables. A stage's result is written and read again as the next one's
+#: docs, so the next stage over the same folder deletes them. `run` keeps its own list and touches no other's tables.
+_left: dict[str, list[str]] = {}
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -36,19 +37,22 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def _stage(f):
-    """A stage that leaves its working tables to the next one to delete, unless that one's input still reads them."""
+    """A stage that leaves its working tables to the next one over the same folder to delete, as its result is lazy."""
 
     @wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _working and not any(p.rsplit("/", 1)[-1] in file for file in docs.inputFiles() for p in _working):
-            discard(spark, _working)
-            _working.clear()
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if within_run():
+            return f(spark, docs, sf_dir)
+        before = _left.pop(sf_dir, [])
+        used = reads(docs, before)  # a result that was handed on unwritten
+        if not used:
+            discard(spark, before)
         with collecting() as made:
             out = f(spark, docs, sf_dir)
-        _working.extend(made)
+        _left[sf_dir] = made + before * used
         return out
 
-    return run
+    return staged
 
 
 @_stage
@@ -107,7 +111,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with collecting() as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, before + made[:-1])  # all but the written result of this stage
+        before = made[-1:]
+    with collecting():
+        return STAGES[-1][1](spark, docs, sf_dir)
