@@ -163,7 +163,7 @@ def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **op
     counts = labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     limit = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n")) * top
     h = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(top))
-    some = rows.select("doc_id", "lang", h.alias("h")).join(counts.select("lang", limit.alias("limit")), "lang").where("h < limit")
+    some = rows.select("doc_id", "lang", h.alias("h")).join(F.broadcast(counts.select("lang", limit.alias("limit"))), "lang").where("h < limit")
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
     chosen = ids.select("doc_id", "lang").toPandas()  # at most per_language ids of each language
