@@ -33,6 +33,11 @@ MONTHS = ["janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout
 MOJIBAKE = ["Ã", "Â", "â€™", "â€œ", "â€"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -68,31 +73,40 @@ def segments(par: Column) -> Column:
 
 def paragraphs(cleaned: Column) -> Column:
     """Paragraphs between empty lines, or lines if there is one paragraph at most; none over the hard limit."""
-    wide = _parts(cleaned, r"\n{2,}")
-    return F.flatten(F.transform(F.when(F.size(wide) > 1, wide).otherwise(_parts(cleaned, "\n")), segments))
+    split = let(cleaned, lambda c: let(_parts(c, r"\n{2,}"), lambda wide: F.when(F.size(wide) > 1, wide).otherwise(_parts(c, "\n"))))
+    return F.flatten(F.transform(split, segments))
 
 
 def overlap_tail(c: Column, limit: int = CHUNK_OVERLAP) -> Column:
     """The last `limit` characters from the first word boundary on."""
     tail = F.right(c, F.lit(limit))
-    safe = F.regexp_replace(tail, r"(?U)^\S*\s+", "")
-    return F.when(F.length(c) <= limit, c).when(safe == "", tail).otherwise(safe)
+    safe = let(F.regexp_replace(tail, r"(?U)^\S*\s+", ""), lambda s: F.when(s == "", tail).otherwise(s))
+    return F.when(F.length(c) <= limit, c).otherwise(safe)
 
 
 def pack_chunks(pars: Column) -> Column:
-    """Paragraphs packed greedily into overlapping chunks; chunks under the minimum still seed the overlap."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Paragraphs packed greedily into overlapping chunks; chunks under the minimum still seed the overlap.
+
+    The fold carries the length of the open chunk, so a paragraph that fits costs one concatenation and no pattern.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+
+    def emit(done: Column, text: Column) -> Column:
+        return F.when(F.length(text) >= MIN_CHUNK, F.concat(done, F.array(text))).otherwise(done)
+
+    def state(done: Column, cur: Column, n: Column) -> Column:
+        return F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"))
 
-    def emit(a: Column) -> Column:
-        text = strip(a.cur)
-        return F.when(F.length(text) >= MIN_CHUNK, F.concat(a.done, F.array(text))).otherwise(a.done)
+    def closed(a: Column, p: Column) -> Column:
+        seeded = lambda text: let(overlap_tail(text), lambda seed: F.when(seed == "", p).otherwise(F.concat(seed, F.lit(" "), p)))
+        return let(strip(a.cur), lambda text: let(seeded(text), lambda cur: state(emit(a.done, text), cur, F.length(cur))))
 
     def step(a: Column, p: Column) -> Column:
-        full = (F.length(a.cur) + F.length(p) + 1 > CHUNK_SIZE) & (a.cur != "")
-        seed = F.when(full, overlap_tail(strip(a.cur))).otherwise(a.cur)
-        return F.struct(F.when(full, emit(a)).otherwise(a.done).alias("done"), F.when(seed == "", p).otherwise(F.concat(seed, F.lit(" "), p)).alias("cur"))
+        full = (a.n + F.length(p) + 1 > CHUNK_SIZE) & (a.n > 0)
+        grown = F.when(a.n == 0, state(a.done, p, F.length(p))).otherwise(state(a.done, F.concat(a.cur, F.lit(" "), p), a.n + 1 + F.length(p)))
+        return F.when(full, closed(a, p)).otherwise(grown)
 
-    return F.aggregate(pars, start, step, lambda a: F.when(a.cur == "", a.done).otherwise(emit(a)))
+    return F.aggregate(pars, start, step, lambda a: F.when(a.n == 0, a.done).otherwise(let(strip(a.cur), lambda text: emit(a.done, text))))
 
 
 def fold_accents(c: Column) -> Column:

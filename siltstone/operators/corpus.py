@@ -37,8 +37,9 @@ def non_blank(df: DataFrame, text: str) -> DataFrame:
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chunk of every document that has one: chunk_id, chunk_index, total_chunks and the chunk as text."""
-    packed = docs.withColumn("__c", T.pack_chunks(T.paragraphs(T.clean(F.col(text))))).where(F.size("__c") > 0)
-    out = packed.withColumn("total_chunks", F.size("__c")).select("*", F.posexplode("__c").alias("chunk_index", "__t"))
+    packed = docs.withColumn("__c", T.pack_chunks(T.paragraphs(T.clean(F.col(text)))))
+    # an inner explode would have Catalyst test the size of the chunks first, that is compute them twice
+    out = packed.select("*", F.posexplode_outer("__c").alias("chunk_index", "__t")).where(F.col("chunk_index").isNotNull()).withColumn("total_chunks", F.size("__c"))
     return out.withColumn(text, F.col("__t")).withColumn("chunk_id", F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_index").cast("string"))).drop("__c", "__t")
 
 

@@ -48,13 +48,16 @@ def citation_faithfulness(answer: Column, n_sources: Column) -> Column:
     return F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.bround(F.size(F.filter(c, lambda x: (x >= 1) & (x <= n_sources))) / F.size(c), 4))
 
 
-def context_coverage(answer: Column, context: Column) -> Column:
-    """Share of the answer's tokens over three letters, repeats counted, that the context has; 1 without such tokens."""
-    words = F.filter(T.metric_tokens(answer), lambda x: F.length(x) > 3)
-    have = F.array_distinct(T.metric_tokens(context))
-    missing = F.array_except(words, have)
-    lost = F.size(F.filter(words, lambda x: F.array_contains(missing, x)))
-    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.bround((F.size(words) - lost) / F.size(words), 4))
+def context_coverage(df: DataFrame, key: str, answer: str, context: str) -> DataFrame:
+    """(key, context_coverage): share of the answer's tokens over three letters, repeats counted, that the context has; 1 without such tokens.
+
+    Counted words meet the context's distinct words by (key, word): long texts cost their words, not products of these.
+    """
+    words = df.select(key, F.explode(T.metric_tokens(F.col(answer))).alias("t")).where(F.length("t") > 3).groupBy(key, "t").agg(F.count(F.lit(1)).alias("n"))
+    have = df.select(F.col(key).alias("__k"), F.explode(F.array_distinct(T.metric_tokens(F.col(context)))).alias("__t"))
+    found = words.join(have, (F.col(key) == F.col("__k")) & (F.col("t") == F.col("__t")), "left")
+    share = found.groupBy(key).agg((F.sum(F.when(F.col("__t").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("__s"))
+    return df.select(key).join(share, key, "left").select(key, F.bround(F.coalesce("__s", F.lit(1.0)), 4).alias("context_coverage"))
 
 
 def hallucination_risk(coverage: Column) -> Column:

@@ -29,7 +29,7 @@ def word_f1(t, spark):
 s AS (SELECT id, CASE WHEN len(w) = 0 THEN 1.0 ELSE round_even(len(list_filter(w, lambda x: list_contains(c, x))) / len(w), 4) END AS coverage FROM t)
 SELECT id, coverage, round_even(1 - coverage, 4) AS hallucination_risk FROM s""")
 def context_coverage(t, spark):
-    c = _pairs(t).select("id", metrics.context_coverage(F.col("answer"), F.col("question")).alias("coverage"))
+    c = metrics.context_coverage(_pairs(t), "id", "answer", "question").withColumnRenamed("context_coverage", "coverage")
     return c.withColumn("hallucination_risk", metrics.hallucination_risk(F.col("coverage")))
 
 

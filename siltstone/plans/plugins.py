@@ -5,14 +5,10 @@ An implementation gives Column expressions (or vectorised UDFs); nothing else of
 
 from __future__ import annotations
 
-import hashlib
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 from siltstone.functions import text as T
 from siltstone.operators import fusion
@@ -40,29 +36,26 @@ class Generator(Protocol):
 
 
 class HashingEmbedder:
-    """Signed feature hashing of tokens, scaled to length one: the same on every machine and in every process."""
+    """Signed feature hashing of tokens by their MD5, scaled to length one: Catalyst expressions, the same on every machine."""
 
     passage_prefix, query_prefix = "passage: ", "query: "
 
     def __init__(self, dim: int = 64):
-        self.dim, self.model = dim, f"hashing-{dim}"
+        self.dim, self.model = dim, f"hashing-md5-{dim}"
 
     def embed(self, text: Column) -> Column:
-        dim = self.dim
-
-        @F.pandas_udf(ArrayType(FloatType()))
-        def run(tokens: pd.Series) -> pd.Series:
-            def one(words) -> np.ndarray:
-                v = np.zeros(dim)
-                for w in words:
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    v[h % dim] += 1 if h >> 63 else -1
-                n = np.linalg.norm(v)
-                return (v / n if n else v).astype(np.float32)
-
-            return tokens.map(one)
-
-        return run(T.sparse_tokens(text))
+        """Slot: the first eight hexadecimal digits modulo dim; sign: plus if the ninth is below 8."""
+        hashed = F.transform(T.sparse_tokens(text), F.md5)
+        slots = F.transform(hashed, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(self.dim)).cast("int"))
+        signed = F.zip_with(slots, hashed, lambda s, h: F.struct(s.alias("s"), F.when(F.substring(h, 9, 1) < "8", 1).otherwise(-1).alias("v")))
+        zero = F.array_repeat(F.lit(0), self.dim)
+        summed = F.aggregate(signed, zero, lambda a, x: F.concat(F.slice(a, F.lit(1), x.s), F.array(F.get(a, x.s) + x.v), F.slice(a, x.s + 2, F.lit(self.dim))))
+
+        def scaled(v: Column) -> Column:
+            norm = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
+            return T.let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
+
+        return T.let(summed, scaled)
 
 
 class OverlapReranker:

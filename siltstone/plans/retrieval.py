@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import fusion, lexical, prompt, vectors
+from siltstone.plans import ingest
 from siltstone.plans.base import Catalog
 
 C = Catalog()
@@ -41,6 +42,13 @@ def bm25_topk(t, spark):
     return _bm25(t, 5).select("item_id", "rank", "doc_id", F.bround("score", 6).alias("score"))
 
 
+@C.add()
+def bm25_stemmed(t, spark):
+    """Over stems; the French stemmer has no SQL, a test holds it against brute force."""
+    scored = lexical.bm25(t("documents").select("doc_id", "text"), "doc_id", t("benchmark"), "item_id", T.sparse_tokens, stemmed=True).withColumn("score", F.bround("score", 9))
+    return lexical.top_k(scored, "item_id", 5, F.col("score").desc(), F.col("doc_id")).select("item_id", "rank", "doc_id", F.bround("score", 6).alias("score"))
+
+
 @C.add(rf"""WITH {BM25}, x AS (SELECT item_id, string_agg(d.text, ' ' ORDER BY rank) AS p FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY item_id),
 k AS (SELECT b.item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-zàâäéèêëîïôöùûüç]+')) AS kw, list_distinct(regexp_extract_all(lower(p), '[a-zàâäéèêëîïôöùûüç]+')) AS pt FROM benchmark b JOIN x USING (item_id))
 SELECT item_id, round_even(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_intersect(kw, pt)) / len(kw) END, 6) AS recall, 1.0::DOUBLE AS coverage FROM k""")
@@ -77,15 +85,17 @@ def dense_topk_l2(t, spark):
     return _search(t, 10, "l2").select("query_id", "rank", "id", F.bround("score", 6).alias("distance"))
 
 
-# A second ranker over the same items: vectors of the query's label by closeness of ids.
-SECOND = """z AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.vec_id - e.vec_id), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.label = e.label AND q.vec_id <> e.vec_id)"""
+# A second ranker over the same items: vectors with ids near the query's, by closeness of ids, those of its label first among equals.
+SECOND = """z AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.vec_id - e.vec_id), q.label <> e.label, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND abs(q.vec_id - e.vec_id) <= 200 AND q.vec_id <> e.vec_id)"""
 
 
-def _second(t, k):
+def _second(t, k, reach: int = 200):
+    """Queries meet the cells of ids around them, so pairs grow with queries times reach, never with groups of rows."""
     e = t("embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    pairs = q.join(e, "label").where("query_id <> id").withColumn("d", F.abs(F.col("query_id") - F.col("id")))
-    return lexical.top_k(pairs, "query_id", k, F.col("d"), F.col("id")).select("query_id", "id", "rank")
+    cell = F.floor(F.col("id") / reach)
+    q = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"), F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
+    pairs = q.join(e.withColumn("cell", cell), "cell").withColumn("d", F.abs(F.col("query_id") - F.col("id"))).where(f"query_id <> id and d <= {reach}")
+    return lexical.top_k(pairs, "query_id", k, F.col("d"), F.col("ql") != F.col("label"), F.col("id")).select("query_id", "id", "rank")
 
 
 _FUSED = f"""WITH {IP}, {SECOND},
@@ -203,17 +213,48 @@ def _retrieve(t, strategy: str, rerank: bool = False, expand: bool = False):
     return out.select("query_id", "rank", "chunk_id", F.bround("score", 6).alias("score"), "retrieval_method")
 
 
-@C.add()
+def _embedded(name: str, source: str, key: str, prefix: str) -> str:
+    """DuckDB twin of the hashing embedder: one row for each slot of a vector that has tokens."""
+    words = TOKENS.replace("lower(text)", f"CASE WHEN starts_with(lower(text), '{prefix}') THEN lower(text) ELSE lower('{prefix}' || text) END")
+    return f"""{name}_h AS (SELECT {key}, md5(unnest({words})) AS h FROM {source}),
+{name}_s AS (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS s, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END)::BIGINT AS v FROM {name}_h GROUP BY 1, 2),
+{name}_n AS (SELECT {key}, sqrt(sum(v * v)::DOUBLE) AS n FROM {name}_s GROUP BY 1),
+{name} AS (SELECT {key}, s, CASE WHEN n > 0 THEN v / n ELSE 0 END::FLOAT::DOUBLE AS x FROM {name}_s JOIN {name}_n USING ({key}))"""
+
+
+_DENSE_CHUNKS = f"""{ingest.CHUNKS},
+ch AS (SELECT doc_id || '-' || (i - 1) AS chunk_id, doc_id::VARCHAR AS doc_id, chunks[i] AS text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM f)),
+{_embedded('ev', 'ch', 'chunk_id', 'passage: ')}, {_embedded('qv', 'benchmark', 'item_id', 'query: ')},
+el AS (SELECT chunk_id, sum(x * x) AS l FROM ev GROUP BY 1), ql AS (SELECT item_id, sum(x * x) AS l FROM qv GROUP BY 1),
+ip AS (SELECT item_id AS query_id, chunk_id, sum(qv.x * ev.x) AS p FROM qv JOIN ev USING (s) GROUP BY 1, 2),
+ds AS (SELECT query_id, chunk_id, {{score}} AS score FROM ip JOIN el USING (chunk_id) JOIN ql ON ql.item_id = query_id),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {{order}}, chunk_id) AS rank FROM ds)"""
+_BY_IP = _DENSE_CHUNKS.replace("{score}", "round_even(p, 9)").replace("{order}", "DESC")
+_BY_L2 = _DENSE_CHUNKS.replace("{score}", "round_even(ql.l - 2 * p + el.l, 9)").replace("{order}", "ASC")
+_NEAR = """sd AS (SELECT query_id, ch.doc_id AS doc, chunk_id, score FROM dr JOIN ch USING (chunk_id) WHERE rank <= 20), docs AS (SELECT DISTINCT query_id, doc FROM sd),
+ce AS (SELECT doc_id::VARCHAR AS src, (doc_id + 1)::VARCHAR AS dst FROM documents),
+hop AS (SELECT DISTINCT query_id, dst AS doc, 1 AS way FROM docs JOIN ce ON src = doc UNION ALL SELECT DISTINCT query_id, src, 2 FROM docs JOIN ce ON dst = doc),
+bo AS (SELECT query_id, doc, round_even(sum(0.12::DOUBLE), 6) AS boost FROM hop WHERE (query_id, doc) NOT IN (SELECT (query_id, doc) FROM docs) GROUP BY 1, 2),
+po AS (SELECT query_id, doc, chunk_id, score, 1 AS seed FROM sd UNION ALL SELECT query_id, doc, chunk_id, round_even(0.5 + boost, 6), 0 FROM bo JOIN ch ON ch.doc_id = doc),
+gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seed DESC, doc, chunk_id) AS rank FROM po)"""
+
+
+@C.add(_BY_IP + " SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'dense' AS retrieval_method FROM dr WHERE rank <= 5")
 def retrieve_dense(t, spark):
     return _retrieve(t, "dense")
 
 
+@C.add()
+def retrieve_unified(t, spark):
+    return _retrieve(t, "unified")
+
+
 @C.add()
 def retrieve_hybrid(t, spark):
     return _retrieve(t, "hybrid")
 
 
-@C.add()
+@C.add(f"{_BY_IP}, {_NEAR} SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'graph' AS retrieval_method FROM gr WHERE rank <= 5")
 def retrieve_graph(t, spark):
     return _retrieve(t, "graph")
 
@@ -233,6 +274,6 @@ def retrieve_hybrid_reranked(t, spark):
     return _retrieve(t, "hybrid", rerank=True, expand=True)
 
 
-@C.add()
+@C.add(_BY_L2 + " SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'vector' AS retrieval_method FROM dr WHERE rank <= 5")
 def retrieve_vector(t, spark):
     return _retrieve(t, "vector")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import fusion, graph, lexical, vectors
 from siltstone.plans.plugins import Embedder, Reranker
+from siltstone.sources import files
 from siltstone.sources.files import materialise
 
 STRATEGIES = ("dense", "vector", "hybrid", "graph", "hybrid_graph", "unified", "unified_graph")
@@ -21,10 +22,11 @@ class MissingDependency(RuntimeError):
 
 @dataclass
 class Index:
-    """Tables of a corpus: chunks (chunk_id, doc_id, text, ...), vectors (chunk_id, vector) and, for graph strategies, edges."""
+    """Tables of a corpus: chunks (chunk_id, doc_id, text, ...), vectors (chunk_id, vector), tokens (chunk_id, dl, tokens) and, for graph strategies, edges."""
 
     chunks: DataFrame
     vectors: DataFrame
+    tokens: DataFrame
     embedder: Embedder
     edges: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -34,7 +36,27 @@ def build(chunks: DataFrame, embedder: Embedder, edges: dict[str, DataFrame] | N
     chunks = materialise(chunks, "index-chunks")
     texts = chunks.select("text").distinct().withColumn("vector", embedder.embed(T.with_prefix(F.col("text"), embedder.passage_prefix)))
     found = materialise(chunks.select("chunk_id", "text").join(texts, "text").select("chunk_id", "vector"), "index-vectors")
-    return Index(chunks, found, embedder, edges or {})
+    return Index(chunks, found, lexical.tokenised(chunks, "chunk_id", T.sparse_tokens(F.col("text"))), embedder, edges or {})
+
+
+def save(index: Index, path: str) -> None:
+    """All tables of an index under one folder, with what the embedder was."""
+    index_metadata(index).write.mode("overwrite").parquet(f"{path}/meta")
+    for name, table in {"chunks": index.chunks, "vectors": index.vectors, "tokens": index.tokens, **{f"edges/{n}": e for n, e in index.edges.items()}}.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def open_or_build(spark: SparkSession, path: str, chunks: DataFrame | None, embedder: Embedder, edges: dict[str, DataFrame] | None = None, force: bool = False) -> Index:
+    """The index under path. A missing one, or one that is to be rebuilt, is built from chunks first; one of another embedder is an error."""
+    if force or not all(files.exists(spark, f"{path}/{n}/_SUCCESS") for n in ("meta", "chunks", "vectors", "tokens")):
+        require(chunks=chunks)
+        save(build(chunks, embedder, edges), path)
+    meta = spark.read.parquet(f"{path}/meta").first()
+    check_compatible(meta.model, meta.dim, embedder)
+    read = lambda n: spark.read.parquet(f"{path}/{n}")
+    names = {"cites", "amends", "cites_article", "sees_article", "article_of"}
+    stored = {n: read(f"edges/{n}") for n in names if files.exists(spark, f"{path}/edges/{n}/_SUCCESS")}
+    return Index(read("chunks"), read("vectors"), read("tokens"), embedder, stored)
 
 
 def index_metadata(index: Index) -> DataFrame:
@@ -58,13 +80,16 @@ class Retriever:
         found = vectors.exact(self.index.vectors.select(F.col("chunk_id").alias("id"), F.col("vector").alias("v")), asked, k, metric)
         return found.select(F.substring(F.col("query_id"), F.lit(3), F.length("query_id")).cast(q.schema["query_id"].dataType).alias("query_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
-    def _sparse(self, q: DataFrame, k: int, k1: float = lexical.K1) -> DataFrame:
-        s = lexical.bm25(self.index.chunks.select("chunk_id", "text"), "chunk_id", q, "query_id", T.sparse_tokens, k1=k1).withColumn("score", F.bround("score", 9))
+    def _sparse(self, q: DataFrame, k: int, k1: float = lexical.K1, stemmed: bool = True) -> DataFrame:
+        """BM25 over stems; the unified store's text index has the tokens themselves."""
+        terms = q.select("query_id", F.explode(T.sparse_tokens(F.col("text"))).alias("term"))
+        s = lexical.bm25_tokens(self.index.tokens, "chunk_id", terms, "query_id", k1, stemmed=stemmed).withColumn("score", F.bround("score", 9))
         return lexical.top_k(s, "query_id", k, F.col("score").desc(), F.col("chunk_id"))
 
-    def _hybrid(self, q: DataFrame, k: int, weights: tuple[float, float], k1: float = lexical.K1) -> DataFrame:
+    def _hybrid(self, q: DataFrame, k: int, weights: tuple[float, float], unified: bool = False) -> DataFrame:
         pool = fusion.candidate_pool(k)
-        return fusion.reciprocal_rank(self._dense(q, pool), self._sparse(q, pool, k1), "query_id", "chunk_id", k, *weights)
+        sparse = self._sparse(q, pool, 1.2, False) if unified else self._sparse(q, pool)
+        return fusion.reciprocal_rank(self._dense(q, pool), sparse, "query_id", "chunk_id", k, *weights)
 
     def _expanded(self, seeds: DataFrame, k: int, scaled: bool) -> DataFrame:
         if scaled:
@@ -84,22 +109,21 @@ class Retriever:
         """questions (query_id, text) -> query_id, rank, chunk_id, doc_id, text, score, retrieval_method.
 
         With a reranker k * candidates rows are fetched and scored against the original question. Graph strategies without
-        edges fall back to their seeds, and say so in the method. Unified strategies have fixed weights.
+        edges fall back to their seeds, and say so in the method.
         The score of `vector` is a squared distance, so the smallest comes first; all others are larger for better rows.
         """
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {strategy}")
-        if strategy.startswith("unified"):
-            weights = (fusion.DENSE_WEIGHT, fusion.SPARSE_WEIGHT)
+        unified = strategy.startswith("unified")
         n = k * candidates if self.reranker else k
         q = questions.withColumn("text", T.expand_query(F.col("text"))) if expand else questions
         name = strategy
         if strategy in ("dense", "vector"):
             found = self._dense(q, n, "ip" if strategy == "dense" else "l2")
         elif strategy in ("hybrid", "unified"):
-            found = self._hybrid(q, n, weights, 1.2 if strategy == "unified" else lexical.K1)
+            found = self._hybrid(q, n, weights, unified)
         else:
-            seeds = self._dense(q, max(20, 4 * n)) if strategy == "graph" else self._hybrid(q, max(20, 4 * n), weights, 1.2 if strategy == "unified_graph" else lexical.K1)
+            seeds = self._dense(q, max(20, 4 * n)) if strategy == "graph" else self._hybrid(q, max(20, 4 * n), weights, unified)
             seeds = materialise(seeds, "seeds")
             if not self.index.edges:
                 found, name = seeds.where(F.col("rank") <= n), f"{strategy}_seed_only"

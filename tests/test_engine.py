@@ -195,7 +195,7 @@ def test_strategies(spark, index, strategy):
 
 def test_fallback_without_edges_and_rerank(spark, index):
     q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
-    bare = retriever.Index(index.chunks, index.vectors, index.embedder)
+    bare = retriever.Index(index.chunks, index.vectors, index.tokens, index.embedder)
     assert {r.retrieval_method for r in retriever.Retriever(bare).retrieve(q, "graph", 3).collect()} == {"graph_seed_only"}
     top = retriever.Retriever(index, plugins.OverlapReranker()).retrieve(q, "hybrid", 2).orderBy("rank").collect()
     assert top[0].doc_id == "d3" and top[0].retrieval_method == "hybrid+rerank" and top[0].base_retrieval_method == "hybrid"
@@ -245,3 +245,54 @@ def test_grids():
     coarse = fusion.weight_grid()
     assert len(coarse) == 9 and all(abs(a + b - 1) < 1e-9 for a, b in coarse)
     assert [a for a, _ in fusion.fine_grid(0.3, {a for a, _ in coarse})] == [0.25, 0.35]
+
+
+def test_stemmed_bm25_equals_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from siltstone.functions.stem_fr import stem
+
+    docs = [(1, "Les licenciements et le licenciement économique"), (2, "indemnité, indemnités, préavis"), (3, "Un préavis de licenciement"), (4, None), (5, ""), (3000, "travail " * 500)]
+    asked = [(10, "licencier indemnités indemnité"), (11, "préavis travailler"), (12, "")]
+    cut = lambda t: [s for s in (stem(w) for w in re.findall(r"\b\w\w+\b", (t or "").lower())) if s]
+    tf = {k: Counter(cut(t)) for k, t in docs}
+    avg = sum(len(re.findall(r"\b\w\w+\b", t or "")) for _, t in docs) / len(docs)
+    want = {}
+    for q, text in asked:
+        for k, _ in docs:
+            s = 0.0
+            for w, n in Counter(cut(text)).items():
+                df = sum(w in c for c in tf.values())
+                dl = sum(tf[k].values())
+                s += n * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf[k][w] / (tf[k][w] + 1.5 * (0.25 + 0.75 * dl / avg)) if df else 0
+            if s:
+                want[q, k] = round(s, 6)
+    got = lexical.bm25(spark.createDataFrame(docs, "id long, text string"), "id", spark.createDataFrame(asked, "qid long, text string"), "qid", T.sparse_tokens, stemmed=True)
+    assert {(r.qid, r.id): round(r.score, 6) for r in got.collect()} == want and (10, 3) in want
+
+
+def test_stored_indexes_are_reused_and_rebuilt(spark, index, tmp_path):
+    path = f"file://{tmp_path}/index"
+    with pytest.raises(retriever.MissingDependency):
+        retriever.open_or_build(spark, path, None, plugins.HashingEmbedder(32))
+    first = retriever.open_or_build(spark, path, index.chunks, plugins.HashingEmbedder(32), index.edges)
+    again = retriever.open_or_build(spark, path, None, plugins.HashingEmbedder(32))
+    assert again.chunks.count() == first.chunks.count() == index.chunks.count() and set(again.edges) == {"cites"}
+    with pytest.raises(ValueError):
+        retriever.open_or_build(spark, path, None, plugins.HashingEmbedder(64))
+    q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
+    rows = lambda i: [tuple(r) for r in retriever.Retriever(i).retrieve(q, "hybrid", 3).orderBy("rank").collect()]
+    assert rows(again) == rows(index)
+    tokens = f"file://{tmp_path}/tokens"
+    with pytest.raises(FileNotFoundError):
+        lexical.stored(spark, tokens, None, "id", F.col("x"))
+    built = lexical.stored(spark, tokens, index.chunks, "chunk_id", T.sparse_tokens(F.col("text")))
+    assert lexical.stored(spark, tokens, None, "chunk_id", F.lit(None)).count() == built.count()
+
+
+def test_weights_of_unified_strategies_are_free(spark, index):
+    q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
+    score = lambda w: [r.score for r in retriever.Retriever(index).retrieve(q, "unified", 3, weights=w).orderBy("rank").collect()]
+    assert score((0.9, 0.1))[0] > 2 * score((0.2, 0.1))[0]
