@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import exists, materialise
+
 # How laws and ordinances are named in texts, and which words tie an article or an amendment to them.
 LAW = r"loi\s+n[o°.]\s*\d[\d.\-]*"
 ORDINANCE = r"ordonnance\s+(?:souveraine\s+)?n[o°.]\s*\d[\d.\-]*"
@@ -18,7 +20,11 @@ AMENDS = (
 )
 LEADING_NUMBER = r"^(?:loi|ordonnance(?:\s+souveraine)?|arr[eê]t[eé]\s+minist[eé]riel|circulaire|d[eé]cret)\s+n[o°.]\s*(\d[\d.\-]*)"
 NAMED_CODES = ("code du travail", "code de commerce")
-#: Boost of every relation; cited-by counts like citing.
+CHANGES = (
+    r"(?:modifiant|portant\s+modification\s+(?:de\s+(?:la\s+)?)?|abrogeant|portant\s+abrogation\s+de\s+)"
+    rf"(?:certaines\s+dispositions\s+de\s+la\s+|la\s+|l['’]\s*|du\s+)?({LAW}|{ORDINANCE})"
+)
+# Boost of every relation; cited-by counts like citing.
 BOOSTS = {"cites": 0.12, "cited_by": 0.12, "cites_article": 0.15, "amends": 0.10, "sees_article": 0.08}
 
 
@@ -53,6 +59,11 @@ def amended_laws(title: Column) -> Column:
     return _norm(_all(title, AMENDS, 1))
 
 
+def changed_laws(title: Column) -> Column:
+    """Laws that a title says to be modified or repealed, in the wider wording."""
+    return _norm(_all(title, CHANGES, 1))
+
+
 def law_number(title: Column, strip_trailing_punct: bool = False) -> Column:
     """The number that a title leads with; final dots stay unless asked otherwise."""
     n = F.regexp_extract(F.trim(title), f"(?iu){LEADING_NUMBER}", 1)
@@ -64,6 +75,14 @@ def numbers(reference: Column) -> Column:
     return _all(reference, r"\d[\d.\-]+")
 
 
+def _parts(title: Column) -> Column:
+    """All parts of two characters or more, from a digit on, of the runs of digits, dots and dashes."""
+    runs = _all(title, r"[\d.\-]{2,}")
+    ends = lambda r, i: F.transform(F.sequence(i + 2, F.length(r)), lambda j: F.substring(r, i + 1, j - i))
+    starts = lambda r: F.flatten(F.transform(F.sequence(F.lit(0), F.length(r) - 2), lambda i: ends(r, i)))
+    return F.filter(F.flatten(F.transform(runs, starts)), lambda x: x.rlike(r"^\d[\d.\-]+$"))
+
+
 def article_id(doc: Column, article: Column) -> Column:
     return F.concat(doc, F.lit("__art_"), F.lower(article))
 
@@ -75,7 +94,7 @@ def themes(meta: Column) -> Column:
         parsed = F.from_json(raw, "array<string>")
         return F.when(raw.startswith("["), F.coalesce(parsed, F.array().cast("array<string>"))).otherwise(F.array(raw))
 
-    return F.array_distinct(F.filter(F.transform(F.concat(*[F.coalesce(one(n), F.array().cast("array<string>")) for n in ("thematic", "themes", "domaine")]), F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(F.concat(*[F.coalesce(one(n), F.array().cast("array<string>")) for n in ("thematic", "themes", "domaine")]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def documents(chunks: DataFrame) -> DataFrame:
@@ -89,14 +108,16 @@ def documents(chunks: DataFrame) -> DataFrame:
 def cite_edges(decisions: DataFrame, laws: DataFrame) -> DataFrame:
     """(src, dst): decisions to the laws that a reference in their text names, by code name or by a number in the title.
 
-    References are exploded to their distinct numbers and code names, so each is compared with each title once, however many
-    decisions have it; the comparison itself is a containment and has no equi-join key.
+    A number that a title contains is a part of one of the title's runs of digits, dots and dashes, so titles are exploded to these parts
+    and to the code names they have, and references meet them by equality.
     """
     refs = decisions.select(F.col("doc_id").alias("src"), F.explode(law_references(F.col("body"))).alias("ref"))
     codes = F.filter(F.array(*map(F.lit, NAMED_CODES)), lambda c: F.col("ref").contains(c))
     keys = refs.select("src", F.explode(F.concat(codes, numbers(F.col("ref")))).alias("key")).distinct()
-    hits = keys.select("key").distinct().join(laws.select(F.col("doc_id").alias("dst"), F.lower("titre").alias("t")), F.col("t").contains(F.col("key")))
-    return keys.join(hits, "key").select("src", "dst").distinct()
+    title = F.lower("titre")
+    named = F.filter(F.array(*map(F.lit, NAMED_CODES)), lambda c: title.contains(c))
+    held = laws.select(F.col("doc_id").alias("dst"), F.explode(F.array_distinct(F.concat(named, _parts(title)))).alias("key"))
+    return keys.join(held, "key").select("src", "dst").distinct()
 
 
 def article_nodes(docs: DataFrame) -> DataFrame:
@@ -130,6 +151,29 @@ def theme_edges(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(themes(F.col("metadata"))).alias("theme")).distinct()
 
 
+def build(chunks: DataFrame, laws: str = "legislation", cases: str = "jurisprudence") -> dict[str, DataFrame]:
+    """All node and edge tables of the graph from chunks (chunk_id, doc_id, chunk_index, titre, type, ...), documents written once."""
+    docs = materialise(documents(chunks), "graph-documents")
+    law, case = docs.where(F.col("type") == laws), docs.where(F.col("type") == cases)
+    articles = materialise(article_nodes(docs), "graph-articles")
+    about = theme_edges(docs)
+    parts = chunks.where(F.col("doc_id") != "")
+    return {
+        "documents": docs, "chunks": parts.select("chunk_id", "chunk_index", "text"), "extract_of": parts.select(F.col("chunk_id").alias("src"), F.col("doc_id").alias("dst")),
+        "articles": articles, "article_of": articles.select(F.col("article_id").alias("mid"), F.col("doc_id").alias("dst")), "themes": about.select("theme").distinct(), "about": about,
+        "cites": cite_edges(case, law), "amends": amend_edges(law),
+        "cites_article": article_edges(case, article_citations, articles, law, True).select("src", F.col("article_id").alias("mid")),
+        "sees_article": article_edges(law, article_see_also, articles, law, False).select("src", F.col("article_id").alias("mid")),
+    }
+
+
+def store(tables: dict[str, DataFrame], path: str, reset: bool = True) -> None:
+    """The graph's tables under one folder; a rerun replaces them, or with reset=False leaves those that are complete."""
+    for name, table in tables.items():
+        if reset or not exists(table.sparkSession, f"{path}/{name}/_SUCCESS"):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """(label, n) of every node and edge table."""
     parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n") for name, t in tables.items()]

@@ -1,89 +1,150 @@
-"""Queries of the citation graph: extraction on fixtures, neighbours and expansion on the star schema."""
+"""Queries of the citation graph: extraction from texts of orders and parts, graph tables, neighbours and expansion."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph
-from siltstone.plans.base import Catalog, sql_values, values
+from siltstone.plans.base import Catalog
 
 C = Catalog()
 
-TEXTS = [
-    (1, "Vu la loi n° 729 du 16 mars 1963, et la loi n° 1.048; l'article 5 de la loi n° 729 dispose."), (2, "L'ordonnance souveraine n° 3.162. Voir l'article 12 de la loi n° 729"), (3, "le Code du  travail et la Loi  N° 729."),
-    (4, "les articles 2-1bis du code du travail; loi n° 5"), (5, "aucune"), (6, ""), (7, "VOIR L’ARTICLE 3ter de l'ordonnance n° 16.675 ; article 9 de l'ordonnance souveraine n° 3.162"), (8, "code de commerce, Code de Commerce"),
-]
-LAWREFS = [(1, "loi n° 729"), (1, "loi n° 1.048"), (2, "ordonnance souveraine n° 3.162."), (2, "loi n° 729"), (3, "loi n° 729."), (3, "code du travail"), (4, "loi n° 5"), (4, "code du travail"), (7, "ordonnance n° 16.675"), (7, "ordonnance souveraine n° 3.162"), (8, "code de commerce")]
-CITES = [(1, "5", "loi n° 729"), (2, "12", "loi n° 729"), (4, "2-1bis", "code du travail"), (7, "3ter", "ordonnance n° 16.675"), (7, "9", "ordonnance souveraine n° 3.162")]
+# Texts of acts and decisions, built from keys the same in both dialects: orders are decisions, parts are laws.
+LAW_TEXT = """CASE o_orderkey % 8 WHEN 0 THEN 'Vu la loi n° ' || (o_orderkey % 900 + 10) || ' du 16 mars 1963, et la loi n° 1.' || (o_orderkey % 97 + 10) || '; l''article ' || (o_orderkey % 60) || ' de la loi n° ' || (o_orderkey % 900 + 10) || ' dispose.'
+WHEN 1 THEN 'L''ordonnance souveraine n° 3.' || (o_orderkey % 500 + 100) || '. Voir l''article ' || (o_orderkey % 30) || '-2 de la loi n° ' || (o_orderkey % 900 + 10)
+WHEN 2 THEN 'le Code du  travail et la Loi  N° ' || o_orderkey || '.' WHEN 3 THEN 'les articles ' || (o_orderkey % 9) || '-1bis du code du travail; loi n° 5'
+WHEN 4 THEN 'VOIR L’ARTICLE ' || (o_orderkey % 12) || 'ter de l''ordonnance n° 16.' || (o_orderkey % 800 + 100) || ' ; article 9 de l''ordonnance souveraine n° 3.' || (o_orderkey % 500 + 100)
+WHEN 5 THEN 'code de commerce, Code de Commerce' WHEN 6 THEN 'aucune' ELSE '' END"""
+TITLE = """CASE p_partkey % 6 WHEN 0 THEN 'Loi n° 1.' || p_partkey || ' du 12 juillet 2002 modifiant la loi n° 1.' || (p_partkey % 50 + 10) WHEN 1 THEN 'Ordonnance souveraine n° 3.' || p_partkey || ' du 8 mai'
+WHEN 2 THEN 'Arrêté ministériel n° 2020-' || p_partkey || ' portant modification de l''ordonnance n° 16.' || p_partkey || '.' WHEN 3 THEN 'Jugement' WHEN 4 THEN 'Décret n° ' || p_partkey || '. divers'
+ELSE 'Loi n° ' || (p_partkey + 7) || ' portant abrogation de la loi n° ' || p_partkey END"""
+LAW_TITLE = """CASE WHEN p_partkey = 7 THEN 'Code du travail' ELSE 'Loi n° ' || (1000 + p_partkey) || ' du 16 mars 1963' || CASE WHEN p_partkey % 3 = 0 THEN ' modifiant la loi n° ' || (1000 + p_partkey % 40) ELSE '' END END"""
+SEE_TEXT = "'Voir l''article ' || (p_partkey % 20) || ' de la loi n° ' || (1000 + p_partkey % 300)"
+CASE_TEXT = """'Attendu que l''article ' || (o_orderkey % 20) || ' de la loi n° ' || (1000 + o_orderkey % 300) || ' et la loi n° ' || (1000 + o_orderkey % 3000)"""
+THEME = """CASE p_partkey % 4 WHEN 0 THEN '["' || p_brand || '","' || p_type || '"]' WHEN 1 THEN p_brand WHEN 2 THEN ' ' ELSE NULL END"""
+LAWS, CASES = "legislation", "jurisprudence"
 
 
-@C.add(f"SELECT id, ref FROM {sql_values(LAWREFS, 'id, ref')}")
-def extract_law_refs(t, spark):
-    return values(spark, TEXTS, "id long, text string").select("id", F.explode(graph.law_references(F.col("text"))).alias("ref"))
+def _sq(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
-@C.add(f"SELECT id, article, law FROM {sql_values(CITES, 'id, article, law')}")
-def extract_article_cites(t, spark):
-    return values(spark, TEXTS, "id long, text string").select("id", F.explode(graph.article_citations(F.col("text"))).alias("p")).select("id", "p.*")
+def _norm_sql(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+
 
+_REFS = "list_concat(" + ", ".join(f"regexp_extract_all({{0}}, '(?i){_sq(p)}')" for p in graph.LAW_REFERENCES[:2]) + ")"
+_REFS = f"list_concat({_REFS}, list_concat(" + ", ".join(f"regexp_extract_all({{0}}, '(?i){_sq(p)}')" for p in graph.LAW_REFERENCES[2:]) + "))"
 
-TITLES = [
-    (1, "Loi n° 1.255 du 12 juillet 2002 modifiant la loi n° 1.048", "1.255", "loi n° 1.048"), (2, "Ordonnance souveraine n° 3.162 du 8 mai", "3.162", None),
-    (3, "Arrêté ministériel n° 2020-461 portant modification de l'ordonnance n° 16.675.", "2020-461", "ordonnance n° 16.675."), (4, "Jugement", "", None), (5, "Décret n° 7. divers", "7.", None),
-]
 
+def _pairs_sql(source: str, key: str, text: str, *patterns: str) -> str:
+    """Distinct (key, article, law) of the patterns over a table."""
+    one = f"SELECT {key}, unnest(regexp_extract_all({text}, '(?i)$P', 1)) AS article, unnest(regexp_extract_all({text}, '(?i)$P', 2)) AS law FROM {source}"
+    every = " UNION ALL ".join(one.replace("$P", _sq(p)) for p in patterns)
+    return f"SELECT DISTINCT {key}, trim(lower(article)) AS article, {_norm_sql('law')} AS law FROM ({every})"
+
+
+@C.add(f"SELECT DISTINCT id, {_norm_sql('r')} AS ref FROM (SELECT id, unnest({_REFS.format('text')}) AS r FROM (SELECT o_orderkey AS id, {LAW_TEXT} AS text FROM orders))")
+def extract_law_refs(t, spark):
+    d = t("orders").select(F.col("o_orderkey").alias("id"), F.expr(LAW_TEXT).alias("text"))
+    return d.select("id", F.explode(graph.law_references(F.col("text"))).alias("ref"))
 
-@C.add(f"SELECT id, number, amended FROM {sql_values(TITLES, 'id, title, number, amended')}")
+
+@C.add(_pairs_sql(f"(SELECT o_orderkey AS id, {LAW_TEXT} AS text FROM orders)", "id", "text", graph.ARTICLE_CITED, graph.ARTICLE_SEE))
+def extract_article_cites(t, spark):
+    d = t("orders").select(F.col("o_orderkey").alias("id"), F.expr(LAW_TEXT).alias("text"))
+    return d.select("id", F.explode(graph.article_citations(F.col("text"))).alias("p")).select("id", "p.*")
+
+
+@C.add(f"""SELECT id, regexp_extract(trim(title), '(?i){_sq(graph.LEADING_NUMBER)}', 1) AS number, {_norm_sql(f"regexp_extract_all(title, '(?i){_sq(graph.AMENDS)}', 1)[1]")} AS amended FROM (SELECT p_partkey AS id, {TITLE} AS title FROM part)""")
 def title_numbers(t, spark):
-    d = values(spark, [r[:2] for r in TITLES], "id long, title string")
+    d = t("part").select(F.col("p_partkey").alias("id"), F.expr(TITLE).alias("title"))
     return d.select("id", graph.law_number(F.col("title")).alias("number"), F.get(graph.amended_laws(F.col("title")), 0).alias("amended"))
 
 
-LAWS, CASES = "legislation", "jurisprudence"
-CHUNKS = [
-    ("L1", 0, "Loi n° 729 du 16 mars 1963", LAWS, "Texte de base.", '["travail","contrat"]'), ("L1", 1, "Loi n° 729 du 16 mars 1963", LAWS, "Voir l'article 7 de la loi n° 1.048", '["travail","contrat"]'),
-    ("L2", 0, "Loi n° 1.048 modifiant la loi n° 729", LAWS, "Voir l'article 4 de la loi n° 999 inconnue.", "salaires"), ("L3", 0, "Code du travail", LAWS, "Recueil", None),
-    ("J1", 0, "Arrêt A", CASES, "Attendu que l'article 7 de la loi n° 1.048 et la loi n° 729", "travail"), ("J1", 1, "Arrêt A", CASES, "et le code du travail", "travail"), ("J2", 0, "Arrêt B", CASES, "rien", " "),
-]
+@C.add(f"SELECT id, {_norm_sql('r')} AS law FROM (SELECT p_partkey AS id, unnest(regexp_extract_all({TITLE}, '(?i){_sq(graph.CHANGES)}', 1)) AS r FROM part)")
+def changed_laws(t, spark):
+    return t("part").select(F.col("p_partkey").alias("id"), F.explode(graph.changed_laws(F.expr(TITLE))).alias("law"))
+
 
+_CHUNKS = f"""c AS (SELECT 'L' || p_partkey AS doc_id, 0 AS i, {LAW_TITLE} AS titre, '{LAWS}' AS type, 'Texte de base.' AS text, {THEME} AS theme FROM part UNION ALL SELECT 'L' || p_partkey, 1, {LAW_TITLE}, '{LAWS}', {SEE_TEXT}, {THEME} FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT 'J' || o_orderkey, 0, 'Arrêt ' || o_orderkey, '{CASES}', {CASE_TEXT}, NULL FROM orders UNION ALL SELECT 'J' || o_orderkey, 1, 'Arrêt ' || o_orderkey, '{CASES}', 'et le code du travail', NULL FROM orders WHERE o_orderkey % 50 = 0),
+d AS (SELECT doc_id, min_by(titre, i) AS titre, min_by(type, i) AS type, min_by(theme, i) AS theme, string_agg(text, ' ' ORDER BY i) AS body FROM c GROUP BY doc_id),
+n AS (SELECT *, regexp_extract(trim(titre), '(?i){_sq(graph.LEADING_NUMBER)}', 1) AS number FROM d), laws AS (SELECT * FROM n WHERE type = '{LAWS}'), cases AS (SELECT * FROM n WHERE type = '{CASES}')"""
 
-def _documents(spark):
-    c = values(spark, CHUNKS, "doc_id string, chunk_index int, titre string, type string, text string, theme string")
+
+def _chunks(t):
+    one = lambda d, key, i, titre, kind, text, theme: d.select(F.expr(key).alias("doc_id"), F.lit(i).alias("chunk_index"), F.expr(titre).alias("titre"), F.lit(kind).alias("type"), F.expr(text).alias("text"), F.expr(theme).alias("theme"))
+    part, orders = t("part"), t("orders")
+    c = one(part, "'L' || p_partkey", 0, LAW_TITLE, LAWS, "'Texte de base.'", THEME).union(one(part.where("p_partkey % 3 = 1"), "'L' || p_partkey", 1, LAW_TITLE, LAWS, SEE_TEXT, THEME))
+    c = c.union(one(orders, "'J' || o_orderkey", 0, "'Arrêt ' || o_orderkey", CASES, CASE_TEXT, "cast(null as string)"))
+    c = c.union(one(orders.where("o_orderkey % 50 = 0"), "'J' || o_orderkey", 1, "'Arrêt ' || o_orderkey", CASES, "'et le code du travail'", "cast(null as string)"))
     meta = F.when(F.col("theme").isNotNull(), F.create_map(F.lit("thematic"), F.col("theme"))).otherwise(F.create_map().cast("map<string,string>"))
-    return graph.documents(c.select("doc_id", "chunk_index", "titre", "type", "text", F.lit("").alias("date"), F.lit("").alias("source"), meta.alias("metadata")))
+    return c.select("doc_id", "chunk_index", F.concat_ws("-", "doc_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "titre", "type", "text", F.lit("").alias("date"), F.lit("").alias("source"), meta.alias("metadata"))
+
+
+def _documents(t):
+    return graph.documents(_chunks(t))
+
 
+_KEYS = rf"""k AS (SELECT DISTINCT doc_id AS src, unnest(list_concat(CASE WHEN contains(ref, 'code du travail') THEN ['code du travail'] ELSE [] END, list_concat(CASE WHEN contains(ref, 'code de commerce') THEN ['code de commerce'] ELSE [] END, regexp_extract_all(ref, '\d[\d.\-]+')))) AS key
+FROM (SELECT doc_id, {_norm_sql('r')} AS ref FROM (SELECT doc_id, unnest({_REFS.format('body')}) AS r FROM cases)))"""
+_SEE_P = _pairs_sql("n", "doc_id", "body", graph.ARTICLE_SEE)
+_ALL_P = _pairs_sql("n", "doc_id", "body", graph.ARTICLE_CITED, graph.ARTICLE_SEE)
+_NUMS = r"regexp_extract_all(law, '\d[\d.\-]+')"
+_ARTICLES = f"""lw AS (SELECT number AS ln, doc_id AS target FROM n WHERE number <> ''), se AS ({_SEE_P}), ap AS ({_ALL_P}),
+sx AS (SELECT doc_id, article, unnest(CASE WHEN len({_NUMS}) = 0 THEN [NULL] ELSE {_NUMS} END) AS num FROM se), cx AS (SELECT doc_id, article, unnest({_NUMS}) AS num FROM ap),
+ar AS (SELECT DISTINCT doc_id, article FROM (SELECT coalesce(target, doc_id) AS doc_id, article FROM sx LEFT JOIN lw ON num = ln UNION ALL SELECT target, article FROM cx JOIN lw ON num = ln))"""
 
-@C.add(f"SELECT src, dst FROM {sql_values([('J1', 'L1'), ('J1', 'L2'), ('J1', 'L3')], 'src, dst')}")
+
+@C.add(f"WITH {_CHUNKS}, {_KEYS} SELECT DISTINCT k.src, laws.doc_id AS dst FROM k JOIN laws ON contains(lower(laws.titre), k.key)")
 def cite_edges_theta(t, spark):
-    d = _documents(spark)
+    d = _documents(t)
     return graph.cite_edges(d.where(F.col("type") == CASES), d.where(F.col("type") == LAWS))
 
 
-@C.add(f"SELECT article_id, doc_id, article FROM {sql_values([('L2__art_7', 'L2', '7'), ('L2__art_4', 'L2', '4')], 'article_id, doc_id, article')}")
+@C.add(f"WITH {_CHUNKS}, {_ARTICLES} SELECT doc_id || '__art_' || lower(article) AS article_id, doc_id, article FROM ar")
 def article_nodes(t, spark):
-    return graph.article_nodes(_documents(spark))
+    return graph.article_nodes(_documents(t))
 
 
-@C.add(f"SELECT src, article_id FROM {sql_values([('J1', 'L2__art_7')], 'src, article_id')}")
+@C.add(f"WITH {_CHUNKS}, {_ARTICLES} SELECT DISTINCT cx.doc_id AS src, target || '__art_' || article AS article_id FROM cx JOIN cases USING (doc_id) JOIN lw ON num = ln JOIN laws ON laws.doc_id = target WHERE (target, article) IN (SELECT (doc_id, article) FROM ar)")
 def cite_article_edges(t, spark):
-    d = _documents(spark)
+    d = _documents(t)
     return graph.article_edges(d.where(F.col("type") == CASES), graph.article_citations, graph.article_nodes(d), d.where(F.col("type") == LAWS), True)
 
 
-@C.add(f"SELECT src, article_id FROM {sql_values([('L1', 'L2__art_7')], 'src, article_id')}")
+@C.add(f"WITH {_CHUNKS}, {_ARTICLES} SELECT DISTINCT sx.doc_id AS src, target || '__art_' || article AS article_id FROM sx JOIN laws ON laws.doc_id = sx.doc_id JOIN lw ON num = ln WHERE target <> sx.doc_id AND target IN (SELECT doc_id FROM laws) AND (target, article) IN (SELECT (doc_id, article) FROM ar)")
 def voir_edges(t, spark):
-    d = _documents(spark)
+    d = _documents(t)
     return graph.article_edges(d.where(F.col("type") == LAWS), graph.article_see_also, graph.article_nodes(d), d.where(F.col("type") == LAWS), False)
 
 
-@C.add(f"SELECT src, dst FROM {sql_values([('L2', 'L1')], 'src, dst')}")
+_AMENDS = rf"am AS (SELECT DISTINCT src, l.doc_id AS dst FROM (SELECT src, unnest(regexp_extract_all(r, '\d[\d.\-]+')) AS num FROM (SELECT doc_id AS src, {_norm_sql('unnest(x)')} AS r FROM (SELECT doc_id, regexp_extract_all(titre, '(?i){_sq(graph.AMENDS)}', 1) AS x FROM laws))) JOIN laws l ON l.number = num AND num <> '' WHERE src <> l.doc_id)"
+
+
+@C.add(f"WITH {_CHUNKS}, {_AMENDS} SELECT src, dst FROM am")
 def modifie_edges(t, spark):
-    return graph.amend_edges(_documents(spark).where(F.col("type") == LAWS))
+    return graph.amend_edges(_documents(t).where(F.col("type") == LAWS))
 
 
-@C.add(f"SELECT doc_id, theme FROM {sql_values([('L1', 'travail'), ('L1', 'contrat'), ('L2', 'salaires'), ('J1', 'travail')], 'doc_id, theme')}")
+_THEMES = """th AS (SELECT DISTINCT doc_id, trim(x) AS theme FROM (SELECT doc_id, unnest(CASE WHEN starts_with(trim(theme), '[') THEN from_json(theme, '["VARCHAR"]') ELSE [theme] END) AS x FROM n WHERE theme IS NOT NULL) WHERE trim(x) <> '')"""
+
+
+@C.add(f"WITH {_CHUNKS}, {_THEMES} SELECT doc_id, theme FROM th")
 def theme_edges(t, spark):
-    return graph.theme_edges(_documents(spark))
+    return graph.theme_edges(_documents(t))
+
+
+@C.add(f"""WITH {_CHUNKS}, {_KEYS}, {_ARTICLES}, {_AMENDS}, {_THEMES},
+ca AS (SELECT DISTINCT cx.doc_id, target, article FROM cx JOIN cases USING (doc_id) JOIN lw ON num = ln JOIN laws ON laws.doc_id = target WHERE (target, article) IN (SELECT (doc_id, article) FROM ar)),
+vo AS (SELECT DISTINCT sx.doc_id, target, article FROM sx JOIN laws ON laws.doc_id = sx.doc_id JOIN lw ON num = ln WHERE target <> sx.doc_id AND target IN (SELECT doc_id FROM laws) AND (target, article) IN (SELECT (doc_id, article) FROM ar))
+SELECT 'documents' AS label, (SELECT count(*) FROM d) AS n UNION ALL SELECT 'chunks', (SELECT count(*) FROM c) UNION ALL SELECT 'extract_of', (SELECT count(*) FROM c) UNION ALL SELECT 'articles', (SELECT count(*) FROM ar) UNION ALL SELECT 'article_of', (SELECT count(*) FROM ar)
+UNION ALL SELECT 'themes', (SELECT count(DISTINCT theme) FROM th) UNION ALL SELECT 'about', (SELECT count(*) FROM th) UNION ALL SELECT 'cites', (SELECT count(*) FROM (SELECT DISTINCT k.src, laws.doc_id FROM k JOIN laws ON contains(lower(laws.titre), k.key)))
+UNION ALL SELECT 'amends', (SELECT count(*) FROM am) UNION ALL SELECT 'cites_article', (SELECT count(*) FROM ca) UNION ALL SELECT 'sees_article', (SELECT count(*) FROM vo)""")
+def graph_build(t, spark):
+    """All node and edge tables of the graph from chunks, and their sizes."""
+    return graph.counts(**graph.build(_chunks(t), LAWS, CASES))
 
 
 # The star schema as a graph: a seed is an order of a customer; it cites its parts, and so on.
@@ -156,19 +217,17 @@ def graph_stats(t, spark):
     return graph.counts(doc=t("customer"), cites=t("orders").select("o_custkey", "o_orderkey").distinct(), theme=t("nation"))
 
 
-GAZETTE = [(1, "Loi n° 1.048 et Ordonnance Souveraine n° 16.675; loi n° 9"), (2, "Arrêté Ministériel n° 2020-461, Projet de loi n° 973"), (3, "rien")]
-NUMBERED = [(1, "loi", "1.048"), (1, "ordonnance", "16.675"), (2, "arrete", "2020-461"), (2, "projet", "973")]
+# Gazette texts and article headers, built from keys of orders.
+GAZETTE_TEXT = """'Loi n° 1.' || (o_orderkey % 900) || ' et Ordonnance Souveraine n° 16.' || (o_orderkey % 77) || '; loi n° 9' || CASE o_orderkey % 3 WHEN 0 THEN ' Arrêté Ministériel n° 2020-' || (o_orderkey % 999) || ', Projet de loi n° ' || o_orderkey ELSE '' END"""
+HEADER_TEXT = "'Art. ' || (o_orderkey % 90) || ' - Objet' || chr(10) || 'Article ' || (o_orderkey % 7) || 'er. Champ' || chr(10) || 'voir Art. 9 - non'"
 
 
-@C.add(f"SELECT id, kind, number FROM {sql_values(NUMBERED, 'id, kind, number')}")
+@C.add(" UNION ALL ".join(f"SELECT DISTINCT id, '{k}' AS kind, unnest(regexp_extract_all(text, '{_sq(p)}', 1)) AS number FROM (SELECT o_orderkey AS id, {GAZETTE_TEXT} AS text FROM orders)" for k, p in graph.GAZETTE.items()))
 def gazette_references(t, spark):
-    d = values(spark, GAZETTE, "id long, text string")
+    d = t("orders").select(F.col("o_orderkey").alias("id"), F.expr(GAZETTE_TEXT).alias("text"))
     return d.select("id", F.explode(graph.gazette_references(F.col("text"))).alias("r")).select("id", "r.*")
 
 
-HEADERS = [(1, "Art. 5 - Objet\nArticle 1er. Champ\nvoir Art. 9 - non"), (2, "Article premier")]
-
-
-@C.add(f"SELECT id, article FROM {sql_values([(1, '5'), (1, '1er')], 'id, article')}")
+@C.add(f"SELECT o_orderkey AS id, unnest(regexp_extract_all({HEADER_TEXT}, '{_sq(graph.ARTICLE_HEADER)}', 1)) AS article FROM orders")
 def article_headers(t, spark):
-    return values(spark, HEADERS, "id long, text string").select("id", F.explode(graph.article_headers(F.col("text"))).alias("article"))
+    return t("orders").select(F.col("o_orderkey").alias("id"), F.explode(graph.article_headers(F.expr(HEADER_TEXT))).alias("article"))
