@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,7 @@ METRIC_TOKEN = "[a-zàâäéèêëîïôöùûüç]+"
 SPARSE_TOKEN = r"(?U)\b\w\w+\b"
 COUNT_TOKEN = r"(?U)\w+|[^\w\s]"
 CITATION = r"\[Source\s+(\d+)\]"
-ACCENTED = "àâäáãåéèêëíìîïóòôöõúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+LIGHT_TOKEN = "[a-zàâäéèêëîïôùûüÿœæ0-9]+"
 # Trigger phrases of a question and the terms they add.
 EXPANSIONS = {
     "licenciement": ["congediement", "preavis", "indemnite licenciement"],
@@ -109,9 +110,27 @@ def pack_chunks(pars: Column) -> Column:
     return F.aggregate(pars, start, step, lambda a: F.when(a.n == 0, a.done).otherwise(let(strip(a.cur), lambda text: emit(a.done, text))))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Accented lower-case Latin letters and the letters that their canonical decomposition starts with."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and chr(code).islower():
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+
 def fold_accents(c: Column) -> Column:
-    """Lower case without accents of the Latin letters in use; ligatures and ß stay."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents, composed or as combining marks; ligatures and ß stay."""
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[\u0300-\u036f]+", "")
+
+
+def light_tokens(c: Column) -> Column:
+    """Letters of French and digits, two characters or more."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(LIGHT_TOKEN), 0), lambda x: F.length(x) >= 2)
 
 
 def metric_tokens(c: Column) -> Column:

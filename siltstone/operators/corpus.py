@@ -35,6 +35,67 @@ def non_blank(df: DataFrame, text: str) -> DataFrame:
     return df.where(T.strip(F.coalesce(F.col(text), F.lit(""))) != "")
 
 
+# The types of source rows, the type of record that each becomes, and its metadata keys with the raw fields they hold.
+_ACT = {"nature": "tncNature", "numero": "number", "thematic": "thematic", "article_titles": "enTitle", "liens": "lnks"}
+RECORDS = {
+    "legislation": ("legislation", _ACT | {"abrogee": "legislationAbrogated"}),
+    "regulation": ("regulation", _ACT | {"abrogee": "regulationAbrogated"}),
+    "case": ("jurisprudence", {"juridiction": "jurisdiction", "numero": "number", "idbd": "idbd", "parties": "parties", "thematic": "thematic", "abstract": "caseAbstract", "interest": "interest", "liens": "lnks"}),
+    "tai": ("traite_international", _ACT),
+    "legislativeWork": ("projet_loi", _ACT),
+}
+LISTS = ("thematic", "enTitle", "lnks")
+
+
+def records(rows: DataFrame, base_url: str) -> DataFrame:
+    """Source rows (type, path, title, enBody, date and any raw fields) of the known types -> corpus records.
+
+    Absent and null fields become empty texts or lists; lists are JSON texts in the metadata. Rows of other types are left out.
+    """
+    have = set(rows.columns)
+
+    def raw(name: str) -> Column:
+        empty = "[]" if name in LISTS else ""
+        if name not in have:
+            return F.lit(empty)
+        return F.coalesce(F.to_json(name) if name in LISTS else F.col(name).cast("string"), F.lit(empty))
+
+    path = F.split(raw("path"), "@")[0]
+    kind, meta = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    for source, (name, fields) in RECORDS.items():
+        own = F.create_map(*[x for key, field in fields.items() for x in (F.lit(key), raw(field))])
+        kind, meta = F.when(F.col("type") == source, F.lit(name)).otherwise(kind), F.when(F.col("type") == source, own).otherwise(meta)
+    out = rows.select(
+        path_id(raw("path")).alias("id"), raw("title").alias("titre"), raw("enBody").alias("text"), raw("date").alias("date"),
+        F.when(path != "", F.concat(F.lit(base_url), path)).otherwise("").alias("source"), kind.alias("type"), meta.alias("metadata"),
+    )
+    return out.where("type is not null")
+
+
+def collected(rows: DataFrame, kind: str, thematics: list[str] | None = None, jurisdictions: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """Source rows of a collection: of one type, with one of the themes, of one of the courts; with_text leaves out empty bodies."""
+    out = rows.where(F.col("type") == kind)
+    if thematics is not None:
+        out = out.where(F.arrays_overlap("thematic", F.array(*map(F.lit, thematics))))
+    if jurisdictions is not None:
+        out = out.where(F.col("jurisdiction").isin(jurisdictions))
+    return non_blank(out, "enBody") if with_text else out
+
+
+def page_record(html: Column, url: Column) -> dict[str, Column]:
+    """title, lang, body, date (of a time element, a meta element or a written date) and category (the first part of the path)."""
+    f = html_fields(html)
+    stamp = F.regexp_extract(html, r'(?i)<(?:time|meta)[^>]*(?:datetime|content)="(\d{4}-\d{2}-\d{2})', 1)
+    written = F.regexp_extract(f["body"], r"(\d{2}/\d{2}/\d{4})", 1)
+    date = F.when(stamp != "", stamp).otherwise(F.date_format(F.try_to_timestamp(F.nullif(written, F.lit("")), F.lit("dd/MM/yyyy")), "yyyy-MM-dd"))
+    return f | {"date": F.coalesce(date, F.lit("")), "category": F.regexp_extract(url, r"^https?://[^/]+/([^/?#]+)", 1)}
+
+
+def usable_page(title: Column, body: Column, least: int = 50) -> Column:
+    """Neither a page that says it was not found nor one with under `least` characters of text."""
+    return ~title.rlike(r"(?i)\b404\b|page non trouv|not found") & (F.length(body) >= least)
+
+
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chunk of every document that has one: chunk_id, chunk_index, total_chunks and the chunk as text."""
     packed = docs.withColumn("__c", T.pack_chunks(T.paragraphs(T.clean(F.col(text)))))

@@ -36,6 +36,14 @@ def reciprocal_rank(dense: DataFrame, sparse: DataFrame, query: str, item: str,
     return out.select(*keys, F.bround("__a", 6).alias("dense_rrf"), F.bround("__b", 6).alias("sparse_rrf"), F.bround("__t", 6).alias("score"), "rank")
 
 
+def preferred(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of either list by key, each field from the first list where it has one, else from the second."""
+    names = [c for c in first.columns if c != key]
+    a, b = first.alias("a"), second.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in names)).alias("b")
+    both = a.join(b, F.col(f"a.{key}") == F.col("__k"), "full")
+    return both.select(F.coalesce(f"a.{key}", "__k").alias(key), *(F.coalesce(f"a.{c}", f"__{c}").alias(c) for c in names))
+
+
 def min_max(df: DataFrame, query: str, score: str, low: float = 0.5, high: float = 1.0) -> DataFrame:
     """Scores of every query scaled to low..high; equal scores divide by a guard instead of zero."""
     w = Window.partitionBy(query)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.stem_fr import keyword_token, stem_all
+from siltstone.operators.prompt import trimmed_contexts
 
 
 def canonical_tokens(c: Column, stemmed: bool = True) -> Column:
@@ -60,5 +61,30 @@ def context_coverage(df: DataFrame, key: str, answer: str, context: str) -> Data
     return df.select(key).join(share, key, "left").select(key, F.bround(F.coalesce("__s", F.lit(1.0)), 4).alias("context_coverage"))
 
 
+# Lengths of what a semantic judge reads, and what it says of missing inputs.
+MOST_ANSWER = 1800
+MISSING = ("missing_question", "missing_answer", "missing_reference_answer", "missing_retrieved_contexts")
+
+
+def collapsed(c: Column) -> Column:
+    return T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+
+
+def judged_answer(answer: Column) -> Column:
+    """The answer without source marks, white space collapsed, cut to what the judge reads."""
+    return T.strip(F.left(collapsed(F.regexp_replace(answer, T.CITATION, "")), F.lit(MOST_ANSWER)))
+
+
+def semantic_scores(question: Column, answer: Column, reference: Column, contexts: Column, judge) -> Column:
+    """faithfulness, context_precision and error of a semantic judge; missing inputs are errors without a score, NaN is no score."""
+    clean_answer, used = judged_answer(answer), trimmed_contexts(F.transform(contexts, collapsed))
+    blank = [T.strip(F.coalesce(question, F.lit(""))) == "", clean_answer == "", T.strip(F.coalesce(reference, F.lit(""))) == "", F.size(used) == 0]
+    error = F.lit(None).cast("string")
+    for name, test in reversed(list(zip(MISSING, blank, strict=True))):
+        error = F.when(test, F.lit(name)).otherwise(error)
+    score = lambda c: F.when(error.isNull() & ~F.isnan(c), F.bround(c, 4))
+    return F.struct(score(judge.faithfulness(question, clean_answer, used)).alias("faithfulness"), score(judge.context_precision(question, reference, used)).alias("context_precision"), error.alias("error"))
+
+
 def hallucination_risk(coverage: Column) -> Column:
     return F.bround(1 - coverage, 4)

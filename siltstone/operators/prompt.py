@@ -72,6 +72,20 @@ def trimmed_contexts(texts: Column, each: int = 900, total: int = 3600) -> Colum
     return F.aggregate(texts, start, step, lambda a: a.done)
 
 
+def judge_context(titles: Column, texts: Column, most: int = 5, total: int = 2400, least: int = 120) -> Column:
+    """Numbered sources of a judge's prompt: white space collapsed, cut to what is left of `total`, to `least` characters at least."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(total).alias("left"))
+    flat = F.transform(F.slice(texts, 1, most), lambda x: T.strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " ")))
+    rows = F.transform(flat, lambda x, i: F.struct(F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit("] "), F.get(titles, i), F.lit("\n")).alias("p"), x.alias("x")))
+
+    def step(a: Column, r: Column) -> Column:
+        cut = F.left(r.x, F.greatest(F.lit(least), a.left - F.length(r.p)))
+        grown = T.let(cut, lambda c: F.struct(F.concat(a.done, F.array(F.concat(r.p, c))).alias("done"), (a.left - F.length(r.p) - F.length(c) - 2).alias("left")))
+        return F.when((a.left <= 0) | (r.x == ""), a).otherwise(grown)
+
+    return F.aggregate(rows, start, step, lambda a: a.done)
+
+
 def audit_event(timestamp: Column, question: Column, answer: Column, method: Column, chunks: Column) -> Column:
     """One JSON line of the audit log."""
     text = lambda c: F.struct(T.preview(c).alias("preview"), F.sha2(c, 256).alias("sha256"), F.length(c).alias("chars"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Thresholds of the analyses.
 KW_GATE, F1_GATE, COV_GATE, RANK_TOLERANCE = 0.60, 0.25, 0.55, 0.20
 F1_LOW, BERT_HIGH, JUDGE_HIGH = 0.25, 0.75, 0.60
+KPI_KW, KPI_COV = 0.55, 0.60
 AMBIGUOUS = {"word_f1": (0.25, 0.15), "context_coverage": (0.80, 0.20), "citation_faithfulness": (0.95, 0.10)}
 
 
@@ -17,8 +18,19 @@ def mean(c: str) -> Column:
 
 
 def rollup(df: DataFrame, topic: str, metrics: list[str]) -> DataFrame:
-    """Rows of every topic and one OVERALL row, in one aggregation."""
-    return df.rollup(topic).agg(F.count(F.lit(1)).alias("n"), *map(mean, metrics)).withColumn(topic, F.coalesce(topic, F.lit("OVERALL")))
+    """Rows of every topic, the null one included, and one OVERALL row, in one aggregation."""
+    out = df.rollup(topic).agg(F.grouping(topic).alias("__g"), F.count(F.lit(1)).alias("n"), *map(mean, metrics))
+    return out.withColumn(topic, F.when(F.col("__g") == 1, F.lit("OVERALL")).otherwise(F.col(topic))).drop("__g")
+
+
+def without_overall(df: DataFrame, topic: str) -> DataFrame:
+    """A report's rows without its OVERALL row; rows of no topic stay."""
+    return df.where(~F.col(topic).eqNullSafe(F.lit("OVERALL")))
+
+
+def reaching(df: DataFrame, kw: str = "kw", cov: str = "cov") -> DataFrame:
+    """Configurations whose mean recall and coverage reach the published targets."""
+    return df.where((F.col(kw) >= KPI_KW) & (F.col(cov) >= KPI_COV))
 
 
 def z(c: str) -> Column:
@@ -155,6 +167,42 @@ def most_common(df: DataFrame, item: str, n: int = 6) -> DataFrame:
     return df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), item).limit(n)
 
 
+def ablation(df: DataFrame, question: str, version: str, score: str, sensitive: float = 0.05) -> DataFrame:
+    """(question, delta, best, diagnosis): spread of a question's scores over prompt versions, the best version (of equal ones the first)."""
+    d = df.groupBy(question).agg(F.bround(F.max(score) - F.min(score), 4).alias("delta"), F.max_by(version, F.struct(score, -F.col(version))).alias("best"))
+    return d.withColumn("diagnosis", F.when(F.col("delta") < sensitive, "metric_penalty").otherwise("prompt_sensitive"))
+
+
+def ablation_verdict(df: DataFrame, share: float = 0.6) -> DataFrame:
+    """One row over ablation: counts of both diagnoses, the mean delta and what over 60 % of the questions say."""
+    a = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("diagnosis") == "metric_penalty").alias("metric_penalty"), F.count_if(F.col("diagnosis") == "prompt_sensitive").alias("prompt_sensitive"), F.bround(F.coalesce(F.avg("delta"), F.lit(0.0)), 4).alias("mean_delta"))
+    over = lambda c: F.col(c) > F.col("n") * share
+    return a.withColumn("verdict", F.when(over("metric_penalty"), "metric_penalty").when(over("prompt_sensitive"), "prompt_sensitive").otherwise("mixed"))
+
+
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small report as a Markdown table; more than `most` rows are an error, as a report is read by people."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])
+
+
+def audit_packet(questions: DataFrame, audit: DataFrame, chunks: DataFrame, results: DataFrame, top: DataFrame) -> DataFrame:
+    """One row per audited question: its result, the chunks used in its prompt with their texts in rank order, and its ranked list.
+
+    questions (question_id, question), audit (event_id, question, chunks array of (chunk_id, rank, used)), chunks (chunk_id, text), results
+    (question_id, ...), top (question_id, rank, chunk_id). Audits of unknown questions go; unknown chunks have the empty text.
+    """
+    a = audit.join(questions, "question").join(results, "question_id")
+    each = a.select("event_id", F.explode("chunks").alias("c")).where("c.used").select("event_id", "c.chunk_id", "c.rank").join(chunks.select("chunk_id", "text"), "chunk_id", "left")
+    used = each.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", F.coalesce("text", F.lit("")).alias("text")))).alias("used_chunks"))
+    ranked = top.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("top_chunks"))
+    return a.drop("chunks").join(used, "event_id", "left").join(ranked, "question_id", "left")
+
+
 def best_by(df: DataFrame, key: str, high: list[str], low: list[str]) -> DataFrame:
     """(metric, key): the row that is best in each metric; of equal ones the smallest key."""
     best = [F.max_by(key, F.struct(c, -F.col(key))).alias(c) for c in high] + [F.min_by(key, F.struct(c, key)).alias(c) for c in low]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import evaluation, graphs, ingest, reporting, retrieval, streams
+from siltstone.plans import evaluation, experiments, graphs, ingest, reporting, retrieval, streams
 
-PARTS = [ingest.C, retrieval.C, graphs.C, evaluation.C, reporting.C, streams.C]
+PARTS = [ingest.C, retrieval.C, graphs.C, evaluation.C, reporting.C, experiments.C, streams.C]
 QUERIES = {name: q for c in PARTS for name, q in c.queries.items()}
 ORACLE: dict[str, str] = {name: q for c in PARTS for name, q in c.oracle.items()}

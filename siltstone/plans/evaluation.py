@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import metrics, prompt
-from siltstone.plans.base import Catalog, sql_values, values
+from siltstone.plans.base import Catalog
 
 C = Catalog()
 TOK = "regexp_extract_all(lower({0}), '[a-zàâäéèêëîïôöùûüç]+')"
@@ -42,36 +42,33 @@ def keyword_recall_unstemmed(t, spark):
     return _pairs(t).select("id", F.bround(metrics.keyword_recall(metrics.canonical_tokens(F.col("answer"), False), keywords), 6).alias("recall"))
 
 
-MORPHOLOGY = [
-    (1, "Les licenciements sont possibles", ["licenciement"]), (2, "indemnités versées au salarié", ["indemnité", "préavis"]), (3, "", ["mot"]), (4, "travail", []), (5, "période d'essai renouvelée", ["renouvellement essai", "périodes"]),
-]
-
-
-@C.add(f"SELECT id, recall::DOUBLE AS recall FROM {sql_values([(1, 1.0), (2, 0.5), (3, 0.0), (4, 1.0), (5, 1.0)], 'id, recall')}")
+@C.add()
 def keyword_recall_fr(t, spark):
-    d = values(spark, MORPHOLOGY, "id long, answer string, kw array<string>").select("id", metrics.canonical_tokens(F.col("answer")).alias("p"), F.posexplode_outer("kw").alias("i", "k"))
-    d = d.select("id", "p", "i", metrics.canonical_tokens(F.col("k")).alias("k"))
-    d = d.groupBy("id").agg(F.first("p").alias("p"), F.collect_list(F.when(F.col("i").isNotNull(), F.col("k"))).alias("kw"))
-    return d.select("id", metrics.keyword_recall(F.col("p"), F.col("kw")).alias("recall"))
+    """Stemmed recall of every question's first words in its answer. Stems have no SQL; a test holds the metric against expected rows."""
+    d = _pairs(t).select("id", metrics.canonical_tokens(F.col("answer")).alias("p"), metrics.canonical_tokens(F.col("question")).alias("q"))
+    return d.select("id", F.bround(metrics.keyword_recall(F.col("p"), F.transform(F.array_distinct("q"), lambda w: F.array(w))), 6).alias("recall"))
 
 
-ANSWERS = [(1, "Oui [Source 1] et [Source 3].", 3), (2, "[Source 9] [Source 2]", 3), (3, "rien", 3), (4, "[source 1]", 3), (5, "[Source 1][Source 1] [Source  2] [Source 7]", 2), (6, "", 0)]
+# Answers with marks of sources, built from every turn.
+CITED = "text || ' [Source ' || (turn + 1) || '] et [Source ' || (conv_id % 9) || ']' || CASE conv_id % 3 WHEN 0 THEN '[Source  2]' WHEN 1 THEN '' ELSE ' [source 1]' END"
 
 
-@C.add(f"""SELECT id, CASE WHEN len(c) = 0 THEN 0.0 ELSE round_even(len(list_filter(c, lambda x: x::INT BETWEEN 1 AND n)) / len(c), 4) END AS faithfulness
-FROM (SELECT id, n, regexp_extract_all(a, '\\[Source\\s+(\\d+)\\]', 1) AS c FROM {sql_values(ANSWERS, 'id, a, n')})""")
+@C.add(f"""SELECT conv_id, turn, CASE WHEN len(c) = 0 THEN 0.0 ELSE round_even(len(list_filter(c, lambda x: x::INT BETWEEN 1 AND 5)) / len(c), 4) END AS faithfulness
+FROM (SELECT conv_id, turn, regexp_extract_all(CASE WHEN turn % 4 = 3 THEN '' ELSE {CITED} END, '\\[Source\\s+(\\d+)\\]', 1) AS c FROM conversations)""")
 def citation_faithfulness(t, spark):
-    return values(spark, ANSWERS, "id long, a string, n int").select("id", metrics.citation_faithfulness(F.col("a"), F.col("n")).alias("faithfulness"))
+    answer = F.expr(f"CASE WHEN turn % 4 = 3 THEN '' ELSE {CITED} END")
+    return t("conversations").select("conv_id", "turn", metrics.citation_faithfulness(answer, F.lit(5)).alias("faithfulness"))
 
 
-REPLIES = [
-    (1, '```json\n{"score": 0.81234, "verdict": "Acceptable", "reason": " bien "}\n```'), (2, 'Voici: {"score": 1.7, "verdict": "wrong", "reason": ""} merci'), (3, "pas de json"), (4, '{"score": "x", "verdict": "ok"}'), (5, '{"score": 0.2, "verdict": "peut-être"}'),
-]
-JUDGED = [
-    (1, 0.8123, "acceptable", "bien", None), (2, 1.0, "incorrect", None, None), (3, None, None, None, "Judge returned non-JSON output"), (4, None, "acceptable", None, "Judge JSON missing valid score/verdict"), (5, 0.2, None, None, "Judge JSON missing valid score/verdict"),
-]
+# Replies of a judge in all forms, built from events.
+REPLY = """CASE event_id % 6 WHEN 0 THEN '```json' || chr(10) || '{"score": ' || (event_id % 100 / 80.0) || ', "verdict": "Acceptable", "reason": " ' || event_type || ' "}' || chr(10) || '```' WHEN 1 THEN 'Voici: {"score": 1.7, "verdict": "wrong", "reason": ""} merci'
+WHEN 2 THEN 'pas de json ' || event_id WHEN 3 THEN '{"score": "x", "verdict": "ok"}' WHEN 4 THEN '{"score": 0.2, "verdict": "peut-être ' || user_id || '"}' ELSE '{"score": 0.5, "verdict": ' END"""
+_VERDICT = "lower(trim(json_extract_string(v, '$.verdict')))"
 
 
-@C.add(f"SELECT id, score::DOUBLE AS score, label, reason, error FROM {sql_values(JUDGED, 'id, score, label, reason, error')}")
+@C.add(f"""WITH r AS (SELECT event_id AS id, {REPLY.replace("(event_id % 100 / 80.0)", "(event_id % 100 / 80.0)::DECIMAL(10, 6)")} AS r FROM events), b AS (SELECT id, CASE WHEN starts_with(r, '{{') THEN r ELSE regexp_extract(r, '(?s)\\{{.*\\}}') END AS b FROM r), v AS (SELECT id, b, CASE WHEN json_valid(b) THEN b END AS v FROM b),
+s AS (SELECT id, b, v, CASE WHEN TRY_CAST(json_extract_string(v, '$.score') AS DOUBLE) IS NOT NULL THEN round_even(least(greatest(TRY_CAST(json_extract_string(v, '$.score') AS DOUBLE), 0.0), 1.0), 4) END AS score, CASE WHEN {_VERDICT} IN ('acceptable', 'accept', 'correct', 'ok') THEN 'acceptable' WHEN {_VERDICT} IN ('incorrect', 'wrong', 'reject', 'bad') THEN 'incorrect' END AS label, nullif(trim(json_extract_string(v, '$.reason')), '') AS reason FROM v)
+SELECT id, score, label, reason, CASE WHEN b = '' THEN 'Judge returned non-JSON output' WHEN v IS NULL THEN 'Judge JSON parse error' WHEN score IS NULL OR label IS NULL THEN 'Judge JSON missing valid score/verdict' END AS error FROM s""")
 def judge_parse(t, spark):
-    return values(spark, REPLIES, "id long, r string").select("id", T.judge_reply(F.col("r")).alias("j")).select("id", "j.*")
+    reply = F.expr(REPLY.replace("(event_id % 100 / 80.0)", "cast(event_id % 100 / 80.0 as decimal(10, 6))"))
+    return t("events").select(F.col("event_id").alias("id"), T.judge_reply(reply).alias("j")).select("id", "j.*")

@@ -146,36 +146,36 @@ def url_shape_filter(t, spark):
     return t("pages").where(corpus.article_url(F.col("url"))).select("page_id")
 
 
-BODIES = [
-    (1, "MENU\nAccueil\n\nAlbert II\nVu la loi n° 1\nArticle suivant\nab\nNous ordonnons\n"), (2, "Publications\nrien"), (3, " Mentions\nArticle 5\n path x\n  fin  \nTous droits"), (4, ""),
-    (5, "avant\nloi n° 7 du code\nImprimer l'article\nsuite"),
-]
+# Bodies of pages as lines of furniture and content, built from their ids.
+BODY = """'MENU' || chr(10) || 'Accueil' || chr(10) || CASE page_id % 4 WHEN 0 THEN ' ' || url || chr(10) || 'Vu la loi n° ' || page_id || chr(10) || 'Article suivant' || chr(10) || 'ab' || chr(10) || 'Nous ordonnons ' || url WHEN 1 THEN url || chr(13) || chr(10) || '  Article ' || page_id || '  ' || chr(10) || 'Tous droits' || chr(10) || 'fin'
+WHEN 2 THEN 'avant ' || url || chr(10) || 'loi n° 7 du code' || chr(10) || 'Imprimer l''article' || chr(10) || 'suite ' || page_id ELSE 'rien ' || url END"""
 _LINES = r"list_filter(list_transform(string_split_regex(b, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '%s'))" % corpus.BOILERPLATE.replace("'", "''")
 
 
-@C.add(f"SELECT id, CASE WHEN s > 0 THEN array_to_string(l[s:], chr(10)) ELSE '' END AS content FROM (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '{corpus.CONTENT_START.replace(chr(39), chr(39) * 2)}')), true), 0) AS s FROM (SELECT id, {_LINES} AS l FROM {sql_values(BODIES, 'id, b')}))")
+@C.add(f"SELECT id, CASE WHEN s > 0 THEN array_to_string(l[s:], chr(10)) ELSE '' END AS content FROM (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '{corpus.CONTENT_START.replace(chr(39), chr(39) * 2)}')), true), 0) AS s FROM (SELECT id, {_LINES} AS l FROM (SELECT page_id AS id, {BODY} AS b FROM pages)))")
 def boilerplate_lines(t, spark):
-    return values(spark, BODIES, "id long, b string").select("id", corpus.content_lines(F.col("b")).alias("content"))
+    return t("pages").select(F.col("page_id").alias("id"), corpus.content_lines(F.expr(BODY)).alias("content"))
 
 
-DATES = [(1, " 05/3/2021 "), (2, "le 7 Février 2019"), (3, "12 août 1998"), (4, "1 brumaire 1800"), (5, "/2017/avis"), (6, "sans date"), (7, ""), (8, "31 décembre 2020 puis 01/02/2003")]
+# Written dates in all forms, built from keys of orders.
+DATE = """CASE o_orderkey % 7 WHEN 0 THEN ' ' || (o_orderkey % 28 + 1) || '/' || (o_orderkey % 12 + 1) || '/' || (1990 + o_orderkey % 30) || ' ' WHEN 1 THEN 'le ' || (o_orderkey % 28 + 1) || ' Février ' || (1990 + o_orderkey % 30) WHEN 2 THEN (o_orderkey % 28 + 1) || ' août 1998'
+WHEN 3 THEN '1 brumaire ' || (1800 + o_orderkey % 9) WHEN 4 THEN '/' || (2000 + o_orderkey % 20) || '/avis' WHEN 5 THEN 'sans date ' || (o_orderkey % 100) ELSE (o_orderkey % 28 + 1) || ' décembre 2020 puis 01/02/2003' END"""
 _MONTH = "greatest(coalesce(list_position([%s], regexp_extract(p, '(\\d{1,2})\\s+(\\w+)\\s+(\\d{4})', 2)), 0), 1)" % ", ".join(f"'{m}'" for m in T.MONTHS)
 
 
 @C.add(rf"""SELECT id, CASE WHEN regexp_matches(r, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') THEN regexp_extract(r, '(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})', 3) || '-' || lpad(regexp_extract(r, '(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})', 2), 2, '0') || '-' || lpad(regexp_extract(r, '(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})', 1), 2, '0')
  WHEN regexp_matches(p, '\d{{1,2}}\s+\w+\s+\d{{4}}') THEN regexp_extract(p, '(\d{{1,2}})\s+(\w+)\s+(\d{{4}})', 3) || '-' || lpad(({_MONTH})::VARCHAR, 2, '0') || '-' || lpad(regexp_extract(p, '(\d{{1,2}})\s+(\w+)\s+(\d{{4}})', 1), 2, '0')
- WHEN regexp_matches(r, '\d{{4}}') THEN regexp_extract(r, '\d{{4}}') ELSE r END AS iso FROM (SELECT id, trim(d) AS r, translate(lower(trim(d)), 'éèêûôà', 'eeeuoa') AS p FROM {sql_values(DATES, 'id, d')})""")
+ WHEN regexp_matches(r, '\d{{4}}') THEN regexp_extract(r, '\d{{4}}') ELSE r END AS iso FROM (SELECT id, trim(d) AS r, translate(lower(trim(d)), 'éèêûôà', 'eeeuoa') AS p FROM (SELECT o_orderkey AS id, {DATE} AS d FROM orders))""")
 def parse_date_fr(t, spark):
-    return values(spark, DATES, "id long, d string").select("id", T.parse_date(F.col("d")).alias("iso"))
-
+    return t("orders").select(F.col("o_orderkey").alias("id"), T.parse_date(F.expr(DATE)).alias("iso"))
 
-DAMAGED = [(1, "rÃ©munÃ©ration"), (2, "Lâ€™article"), (3, "déjà"), (4, "Ã seul"), (5, "")]
-REPAIRED = [(1, "rémunération"), (2, "L’article"), (3, "déjà"), (4, "Ã seul"), (5, "")]
 
-
-@C.add(f"SELECT id, fixed FROM {sql_values(REPAIRED, 'id, fixed')}")
+@C.add("SELECT doc_id, md5(text) AS h, regexp_matches(text, '[\u00a1-\u00ff]') AS damaged FROM documents")
 def mojibake_repair(t, spark):
-    return values(spark, DAMAGED, "id long, s string").select("id", T.repair_mojibake(F.col("s")).alias("fixed"))
+    """Every text read as a one-byte encoding comes back as it was; the damage shows where it has accented letters."""
+    damaged = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    d = t("documents").where(F.col("text").isNull() | (F.col("text") == F.decode(F.encode("text", "UTF-8"), "UTF-8"))).withColumn("d", F.when(F.col("text").rlike("[\u00a1-\u00ff]"), damaged).otherwise(F.col("text")))
+    return d.select("doc_id", F.md5(T.repair_mojibake(F.col("d"))).alias("h"), F.col("text").rlike("[\u00a1-\u00ff]").alias("damaged"))
 
 
 @C.add("SELECT DISTINCT url FROM pages WHERE regexp_extract(url, '^https?://([^/]+)', 1) NOT IN (SELECT min(regexp_extract(url, '^https?://([^/]+)', 1)) FROM pages)")
@@ -197,12 +197,15 @@ def source_page(t, spark):
     return files.page(t("orders").select("o_orderkey", "o_totalprice", "o_orderdate"), 100, 2, F.col("o_orderdate").desc(), F.col("o_orderkey")).drop("o_orderdate")
 
 
-PAYLOADS = [(1, '{"prompt": "a"}'), (2, '{"vars": {"question": "b"}}'), (3, '{"prompt": "", "question": "c"}'), (4, "no json"), (5, '{"context": {"vars": {"question": "d"}}}')]
+# Requests with their question in any of the places, built from events.
+PAYLOAD = """CASE event_id % 6 WHEN 0 THEN '{"prompt": "a' || event_id || '"}' WHEN 1 THEN '{"vars": {"question": "b' || event_id || '"}}' WHEN 2 THEN '{"prompt": "", "question": "c' || event_type || '"}' WHEN 3 THEN 'no json'
+WHEN 4 THEN '{"context": {"vars": {"question": "d' || user_id || '"}}}' ELSE props END"""
+_PLACES = ("$.prompt", "$.input", "$.question", "$.vars.question", "$.context.vars.question", "$.test.vars.question")
 
 
-@C.add(f"SELECT id, q FROM {sql_values([(1, 'a'), (2, 'b'), (3, 'c'), (4, None), (5, 'd')], 'id, q')}")
+@C.add(f"SELECT id, CASE WHEN json_valid(p) THEN coalesce({', '.join(f"nullif(json_extract_string(CASE WHEN json_valid(p) THEN p ELSE '{{}}' END, '{x}'), '')" for x in _PLACES)}) END AS q FROM (SELECT event_id AS id, {PAYLOAD} AS p FROM events)")
 def prompt_extract(t, spark):
-    return values(spark, PAYLOADS, "id long, p string").select("id", files.prompt_field(F.col("p")).alias("q"))
+    return t("events").select(F.col("event_id").alias("id"), files.prompt_field(F.expr(PAYLOAD)).alias("q"))
 
 
 @C.add(r"""SELECT conv_id, turn, sha256(text) AS h, CASE WHEN length(f) > 240 THEN substr(f, 1, 239) || '…' ELSE f END AS preview
@@ -217,17 +220,41 @@ def latest_run(t, spark):
     return files.latest(e, F.col("event_type"), F.col("file")).select(F.col("event_type").alias("run"), "event_id", "value")
 
 
-@C.add("SELECT s_nationkey AS k, max_by(s_name, s_suppkey) AS last_name, min_by(s_name, s_suppkey) AS first_name FROM supplier GROUP BY 1")
+_UPSERT = """o AS (SELECT c_nationkey AS k, max_by(c_name, c_custkey) AS l, min_by(c_name, c_custkey) AS f FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey % 5 <> 1 GROUP BY 1),
+n AS (SELECT c_nationkey AS k, max_by(c_name, c_custkey) AS l, min_by(c_name, c_custkey) AS f FROM customer WHERE c_custkey % 2 = 1 AND c_nationkey % 5 <> 2 GROUP BY 1)"""
+
+
+@C.add(f"WITH {_UPSERT} SELECT k, coalesce(n.l, o.l) AS last_name, coalesce(o.f, n.f) AS first_name FROM o FULL JOIN n USING (k)")
 def graph_upsert(t, spark):
-    s = t("supplier").select(F.col("s_nationkey").alias("k"), "s_name", "s_suppkey")
-    last = corpus.first_wins(s.withColumn("o", -F.col("s_suppkey")), "k", "o")
-    first = corpus.first_wins(s, "k", "s_suppkey")
-    new, old = last.select("k", F.col("s_name").alias("last_name")), first.select("k", F.col("s_name").alias("first_name"))
-    merged = files.upsert(new.limit(0), new, ["k"])
-    return merged.join(files.insert_missing(old.limit(0), old, ["k"]), "k")
+    """Merges into tables that hold some of the keys: last write wins, and first write wins."""
+    c = t("customer").select(F.col("c_nationkey").alias("k"), "c_name", "c_custkey")
+    old, new = c.where("c_custkey % 2 = 0 and k % 5 <> 1"), c.where("c_custkey % 2 = 1 and k % 5 <> 2")
+    last = lambda d: corpus.first_wins(d.withColumn("o", -F.col("c_custkey")), "k", "o").select("k", F.col("c_name").alias("last_name"))
+    first = lambda d: corpus.first_wins(d, "k", "c_custkey").select("k", F.col("c_name").alias("first_name"))
+    return files.upsert(last(old), last(new), ["k"]).join(files.insert_missing(first(old), first(new), ["k"]), "k")
+
+
+_CUT = STRIP.format("substr(b.x, 1, least(900, greatest(a.left, 0))::BIGINT)")
+_STATE = "{'done': %s, 'left': %s, 'x': ''}"
+_FOLD = f"""SELECT conv_id, list_reduce(list_transform(list({STRIP.format("coalesce(text, '')")} ORDER BY turn), lambda x: {{'done': []::VARCHAR[], 'left': 3600, 'x': x}}),
+ lambda a, b: CASE WHEN a.left <= 0 OR {_CUT} = '' THEN {_STATE % ('a.done', 'a.left')} ELSE {_STATE % (f'list_append(a.done, {_CUT})', f'a.left - length({_CUT})')} END, {_STATE % ('[]::VARCHAR[]', '3600')}) AS r FROM conversations GROUP BY conv_id"""
 
 
-@C.add(f"""SELECT conv_id, substr(t, 1, 900) AS first, len(l) AS n FROM (SELECT conv_id, {STRIP.format('text')} AS t, [1] AS l FROM conversations WHERE turn = 0 AND {STRIP.format('text')} <> '')""")
+@C.add(f"SELECT conv_id, len(r.done) AS n, md5(array_to_string(r.done, '|')) AS h FROM ({_FOLD}) WHERE len(r.done) > 0")
 def context_truncate(t, spark):
-    c = t("conversations").where("turn = 0").select("conv_id", prompt.trimmed_contexts(F.array("text")).alias("c"))
-    return c.where(F.size("c") > 0).select("conv_id", F.element_at("c", 1).alias("first"), F.size("c").alias("n"))
+    """All turns of a conversation as contexts: 900 characters each while 3600 last."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x.text)
+    c = t("conversations").groupBy("conv_id").agg(texts.alias("x")).select("conv_id", prompt.trimmed_contexts(F.col("x")).alias("c"))
+    return c.where(F.size("c") > 0).select("conv_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("h"))
+
+
+@C.add(r"""WITH t AS (SELECT conv_id, turn, '[Source ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || '] ' || role || chr(10) AS p, regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 5),
+f AS (SELECT conv_id, list_reduce(list_transform(list({'p': p, 'x': x} ORDER BY turn), lambda v: {'done': []::VARCHAR[], 'left': 2400, 'p': v.p, 'x': v.x}),
+ lambda a, b: CASE WHEN a.left <= 0 OR b.x = '' THEN {'done': a.done, 'left': a.left, 'p': '', 'x': ''} ELSE {'done': list_append(a.done, b.p || substr(b.x, 1, greatest(120, a.left - length(b.p))::BIGINT)), 'left': a.left - length(b.p) - length(substr(b.x, 1, greatest(120, a.left - length(b.p))::BIGINT)) - 2, 'p': '', 'x': ''} END, {'done': []::VARCHAR[], 'left': 2400, 'p': '', 'x': ''}) AS r FROM t GROUP BY conv_id)
+SELECT conv_id, len(r.done) AS n, md5(array_to_string(r.done, chr(10) || chr(10))) AS h FROM f""")
+def judge_context(t, spark):
+    """The first five turns of a conversation as a judge's context: 2400 characters, 120 for the last source at least."""
+    one = F.struct("turn", F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    c = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    c = c.select("conv_id", prompt.judge_context(F.transform("x", lambda s: s.title), F.transform("x", lambda s: s.text)).alias("c"))
+    return c.select("conv_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\n\n")).alias("h"))

@@ -5,6 +5,8 @@ An implementation gives Column expressions (or vectorised UDFs); nothing else of
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -72,6 +74,52 @@ class OverlapJudge:
         return F.concat(F.lit("```json\n"), F.to_json(F.struct(s.alias("score"), verdict.alias("verdict"), F.lit("token overlap").alias("reason"))), F.lit("\n```"))
 
 
+class SemanticJudge(Protocol):
+    def faithfulness(self, question: Column, answer: Column, contexts: Column) -> Column: ...
+
+    def context_precision(self, question: Column, reference: Column, contexts: Column) -> Column: ...
+
+
+class Similarity(Protocol):
+    """A batch scorer of answers against references, as BERTScore is: F1 from 0 to 1."""
+
+    def f1(self, answer: Column, reference: Column) -> Column: ...
+
+
+class OverlapSemanticJudge:
+    """Token shares: of the answer in all contexts, and of contexts that have a token of the reference."""
+
+    def faithfulness(self, question: Column, answer: Column, contexts: Column) -> Column:
+        return fusion.token_overlap(answer, F.array_join(contexts, " "), T.metric_tokens)
+
+    def context_precision(self, question: Column, reference: Column, contexts: Column) -> Column:
+        hit = F.filter(contexts, lambda c: F.arrays_overlap(T.metric_tokens(c), T.metric_tokens(reference)))
+        return F.when(F.size(contexts) > 0, F.size(hit) / F.size(contexts)).otherwise(F.lit(0.0))
+
+
+class EmbeddingSimilarity:
+    """Cosine of hashing embeddings, cut at 0."""
+
+    def __init__(self, embedder: Embedder):
+        self.embedder = embedder
+
+    def f1(self, answer: Column, reference: Column) -> Column:
+        a, b = self.embedder.embed(answer), self.embedder.embed(reference)
+        product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+        return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)), 4)
+
+
+def with_retries(call: Callable, tries: int = 5, wait: float = 10.0, sleep: Callable = time.sleep):
+    """call() once it succeeds; after the n-th failure it waits n times `wait` seconds, and the last failure is raised."""
+    for n in range(1, tries + 1):
+        try:
+            return call()
+        except Exception:
+            if n == tries:
+                raise
+            sleep(n * wait)
+
+
 class ExtractiveGenerator:
     """The first sentence of every context with its source number."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import reports as R
-from siltstone.plans.base import Catalog, sql_values, values
+from siltstone.plans.base import Catalog
 
 C = Catalog()
 
@@ -25,7 +25,7 @@ def _avg(*names):
     return ", ".join(f"coalesce(round_even(avg({n}), 4), 0.0) AS {n}" for n in names)
 
 
-@C.add(f"WITH {RUNS} SELECT coalesce(topic, 'OVERALL') AS topic, count(*) AS n, {_avg('kw', 'f1', 'cov', 'cit')} FROM runs GROUP BY ROLLUP (topic)")
+@C.add(f"WITH {RUNS} SELECT CASE WHEN grouping(topic) = 1 THEN 'OVERALL' ELSE topic END AS topic, count(*) AS n, {_avg('kw', 'f1', 'cov', 'cit')} FROM runs GROUP BY ROLLUP (topic)")
 def report_overall_topic(t, spark):
     return R.rollup(_runs(t), "topic", ["kw", "f1", "cov", "cit"])
 
@@ -143,22 +143,26 @@ def signal_counts(t, spark):
     return s.groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
 
 
-REASONS = [
-    (1, "La réponse omet la condition de délai.", ["missing_conditions", "missing_timeline_or_remedies", "omission"]), (2, "Elle n'évoque pas et ne mentionne pas le secteur privé", ["missing_mentions", "public_private_confusion"]),
-    (3, "Règle générale ignorée; indemnités", ["missed_general_rule", "missing_indemnities"]), (4, "Se concentre sur un point", ["scope_too_narrow"]), (5, "ok", []),
-]
-ASKED = [(1, "Quelle prime de retraite ?", "retraite"), (2, "La rémunération des fonctionnaires", "primes_remuneration"), (3, "Temps partiel", "temps_partiel"), (4, "Autre", "other")]
+# Questions and a judge's reasons, built from events.
+ASKED = """CASE event_id % 6 WHEN 0 THEN 'Quelle prime de retraite pour ' || user_id || ' ?' WHEN 1 THEN 'La rémunération des fonctionnaires' WHEN 2 THEN 'Temps partiel ' || event_type WHEN 3 THEN 'Une formation et ses cotisations' WHEN 4 THEN 'La DISCRIMINATION' ELSE 'Autre ' || event_id END"""
+REASON = """CASE event_id % 5 WHEN 0 THEN 'La réponse omet la condition de délai ' || event_id WHEN 1 THEN 'Elle n''évoque pas et ne mentionne pas le secteur privé' WHEN 2 THEN 'Règle générale ignorée; indemnités' WHEN 3 THEN 'Se concentre sur ' || event_type ELSE 'ok' END"""
 
 
-@C.add(f"SELECT id, topic FROM {sql_values(ASKED, 'id, q, topic')}")
+def _has(c: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+@C.add(f"SELECT event_id AS id, CASE {' '.join(f'WHEN {_has("lower(q)", w)} THEN {chr(39)}{n}{chr(39)}' for w, n in R.TOPICS)} ELSE 'other' END AS topic FROM (SELECT event_id, {ASKED} AS q FROM events)")
 def question_topics(t, spark):
-    return values(spark, [r[:2] for r in ASKED], "id long, q string").select("id", R.topic_of(F.col("q")).alias("topic"))
+    return t("events").select(F.col("event_id").alias("id"), R.topic_of(F.expr(ASKED)).alias("topic"))
+
+
+_FLAGS = [*((_has("lower(r)", w), n) for w, n in R.REASONS), (f"{_has('r', ('n’', chr(110) + chr(39)))} AND contains(lower(r), 'ne mentionne')", "missing_mentions"), ("contains(lower(r), 'secteur') AND contains(lower(r), 'priv')", "public_private_confusion")]
 
 
-@C.add(f"SELECT id, signals FROM {sql_values([(i, ','.join(s)) for i, _, s in REASONS], 'id, signals')}")
+@C.add(f"SELECT event_id AS id, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for c, n in _FLAGS)}], lambda x: x IS NOT NULL)), ',') AS signals FROM (SELECT event_id, {REASON} AS r FROM events)")
 def reason_signals(t, spark):
-    d = values(spark, [r[:2] for r in REASONS], "id long, r string")
-    return d.select("id", F.array_join(F.sort_array(R.reason_signals(F.col("r"))), ",").alias("signals"))
+    return t("events").select(F.col("event_id").alias("id"), F.array_join(F.sort_array(R.reason_signals(F.expr(REASON))), ",").alias("signals"))
 
 
 @C.add(f"WITH {RUNS}, w AS (SELECT id FROM runs ORDER BY coalesce(f1, 999), id LIMIT 40) SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id IN (SELECT id FROM w)")
@@ -173,9 +177,10 @@ def k_decay_lag(t, spark):
     return k.select("k", F.bround("kw", 6).alias("kw"), F.bround(F.col("kw") - F.lag("kw").over(Window.orderBy("k")), 6).alias("step"))
 
 
-@C.add(f"WITH {RUNS}, g AS (SELECT topic, model, avg(kw) AS kw, avg(cov) AS cov FROM runs GROUP BY topic, model) SELECT topic, model FROM g WHERE kw >= 0.49 AND cov >= 0.49")
+@C.add(f"WITH {RUNS}, g AS (SELECT topic, id % 500 AS k, avg(kw) AS kw, avg(cov) AS cov FROM runs GROUP BY 1, 2) SELECT topic, k FROM g WHERE kw >= 0.55 AND cov >= 0.60")
 def kpi_gate(t, spark):
-    return _runs(t).groupBy("topic", "model").agg(F.avg("kw").alias("kw"), F.avg("cov").alias("cov")).where("kw >= 0.49 and cov >= 0.49").select("topic", "model")
+    """Configurations that reach the published targets."""
+    return R.reaching(_runs(t).groupBy("topic", (F.col("id") % 500).alias("k")).agg(F.avg("kw").alias("kw"), F.avg("cov").alias("cov"))).select("topic", "k")
 
 
 _HALVES = "h AS (SELECT topic || '/' || model AS name, avg(latency) FILTER (ts < TIMESTAMP '2024-01-16') AS old, avg(latency) FILTER (ts >= TIMESTAMP '2024-01-16') AS new FROM runs GROUP BY 1)"

@@ -14,6 +14,24 @@ SPACE = {
 TARGETS = {"keyword_recall": 0.67, "word_f1": 0.30, "citation_faithfulness": 0.95}
 
 
+# What counts as yes, and the model backends with their default first.
+TRUTHY = ("1", "true", "yes", "on")
+BACKENDS = ("copilot", "cerebras")
+
+
+def truthy(value: str | None, default: bool = False) -> bool:
+    """A switch from the environment: unset is the default, anything but a yes is no."""
+    return default if value is None else value.strip().lower() in TRUTHY
+
+
+def backend(name: str | None = None, configured: str | None = None) -> str:
+    """The model backend that was asked for, else the configured one, else the first."""
+    chosen = (name or configured or BACKENDS[0]).strip().lower()
+    if chosen not in BACKENDS:
+        raise ValueError(f"unknown backend {chosen!r}, not one of {', '.join(sorted(BACKENDS))}")
+    return chosen
+
+
 @dataclass(frozen=True)
 class RunConfig:
     retriever: str = "hybrid"

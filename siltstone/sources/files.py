@@ -159,6 +159,16 @@ def not_done(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return candidates.join(done.select(key), key, "left_anti").orderBy(key)
 
 
+def missing_outputs(expected: DataFrame, root: str, key: str = "path") -> DataFrame:
+    """Expected relative paths that have no file under root: what a run still has to write or fetch."""
+    spark = expected.sparkSession
+    if not exists(spark, root):
+        return expected.select(key)
+    have = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    return expected.select(key).join(have.select(F.substring_index("path", base, -1).alias(key)), key, "left_anti")
+
+
 def capped(df: DataFrame, group: str, item: str, most: int, *order: str) -> DataFrame:
     """At most `most` distinct items of every group: the cap of a search crawl."""
     w = Window.partitionBy(group).orderBy(*order)
