@@ -4,7 +4,7 @@ Features are hashed byte n-grams of the lower-cased text, present or absent in a
 bounded sample of labelled texts (`most_rows`, smallest hash of the id first) executors count in how
 many toxic and other texts each feature occurs. A feature whose rates differ by z standard errors has the
 ratio r = log(p / q) of smoothed rates, shrunk by z^2 / (z^2 + half_z^2), so that chance weighs little; below
-`least_z`, about the usual 5 % level, a difference is none. A ridge logistic regression is fitted to
+`least_z`, which chance passes once in 400, a difference is none. A ridge logistic regression is fitted to
 presence * r on the driver by Newton steps, each solved by conjugate gradients over the sparse presences.
 No feature beyond that level is cut, however many there are (2^BITS at most).
 
@@ -84,23 +84,33 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def gathered(source: np.ndarray, index: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Sums of source[index] over the runs between neighbouring starts, about a block at a time: no array of all presences in doubles."""
+    out, i = np.zeros(len(starts) - 1), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + block, side="right")) - 1)
+        out[i:j] = sums(source[index[starts[i] : starts[j]]], starts[i : j + 1] - starts[i])
+        i = j
+    return out
+
+
 def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30, inner: int = 200) -> tuple[np.ndarray, float]:
     """Ridge logistic regression, weights and an unpenalised intercept, on x[row, f] = scale[f] for the features of each row.
 
     The features of a row are a run of `feature` between two starts; they are kept by rows and by features, never as a matrix.
     """
     m = len(scale)
-    order = np.argsort(feature, kind="stable")
+    order = np.argsort(feature, kind="stable").astype(np.int32 if len(feature) < 1 << 31 else np.int64)
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))[order]
     ends = np.searchsorted(feature[order], np.arange(m + 1))
     del order
     penalty = np.append(np.full(m, ridge), 1e-6)
 
     def times(v: np.ndarray) -> np.ndarray:
-        return sums((v[:m] * scale)[feature], starts) + v[m]
+        return gathered(v[:m] * scale, feature, starts) + v[m]
 
     def back(u: np.ndarray) -> np.ndarray:
-        return np.append(scale * sums(u[row], ends), u.sum())
+        return np.append(scale * gathered(u, row, ends), u.sum())
 
     def loss(w: np.ndarray, z: np.ndarray) -> float:
         return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
@@ -112,7 +122,7 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
         r = back(y - p) - penalty * w
-        diagonal = square * np.append(sums(s[row], ends), s.sum()) + penalty
+        diagonal = square * np.append(gathered(s, row, ends), s.sum()) + penalty
         step, d = np.zeros(m + 1), r / diagonal
         rd = float(r @ d)
         goal = 1e-4 * rd
@@ -138,7 +148,7 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
     return w[:m], float(w[m])
 
 
-def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
+def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 3.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, y 0/1); only ids in both count."""
     spark = labelled.sparkSession
     y = labels.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -174,9 +184,11 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least
                 yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "f": pa.array([feature[per[i] : per[i + 1]].astype(np.int32) for i in range(part.num_rows)], pa.list_(pa.int32()))})
 
     got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, f array<int>").toArrow()  # most_rows short rows
-    f = got["f"].combine_chunks()
-    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    w, bias = newton(starts, f.flatten().to_numpy(), ratio, got["y"].to_numpy().astype(float), ridge)
+    y = got["y"].to_numpy().astype(float)
+    sizes = np.concatenate([[0], *(pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in got["f"].chunks)])
+    feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got["f"].chunks)])
+    del got
+    w, bias = newton(np.cumsum(sizes).astype(np.int64), feature, ratio, y, ridge)
     return Model(table, w * ratio, bias)
 
 
