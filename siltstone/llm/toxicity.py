@@ -118,6 +118,7 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
     w, z = np.zeros(m + 1), np.zeros(len(y))
     square = np.append(scale * scale, 1.0)
     now = first = loss(w, z)
+    start = None
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
@@ -125,7 +126,8 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
         diagonal = square * np.append(gathered(s, row, ends), s.sum()) + penalty
         step, d = np.zeros(m + 1), r / diagonal
         rd = float(r @ d)
-        goal = 1e-4 * rd
+        start = rd if start is None else start
+        goal = min(0.01, rd / start) * rd  # loose steps first, tighter ones near the optimum
         for _ in range(inner):
             if rd <= goal:
                 break
@@ -143,7 +145,7 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
         if t <= 1e-6:
             break
         w, z, gain, now = w + t * step, z + t * dz, now - new, new
-        if gain <= 1e-9 * first:
+        if gain <= 1e-6 * first:
             break
     return w[:m], float(w[m])
 
