@@ -4,7 +4,7 @@ Features are hashed byte n-grams of the lower-cased text, present or absent in a
 bounded sample of labelled texts (`most_rows`, smallest hash of the id first) executors count in how
 many toxic and other texts each feature occurs. A feature whose rates differ by z standard errors has the
 ratio r = log(p / q) of smoothed rates, shrunk by z^2 / (z^2 + half_z^2), so that chance weighs little; below
-`least_z`, which chance passes once in 400, a difference is none. A ridge logistic regression is fitted to
+`least_z`, about the usual 5 % level, a difference is none. A ridge logistic regression is fitted to
 presence * r on the driver by Newton steps, each solved by conjugate gradients over the sparse presences.
 No feature beyond that level is cut, however many there are (2^BITS at most).
 
@@ -17,12 +17,13 @@ of both classes the score is the share of toxic ones (0 without any); extra colu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from .common import materialise, small_batches
 
 BITS = 20
 ORDERS = (4, 5, 6)
+THREADS = 4  # of the regression on the driver
 
 
 @dataclass
@@ -55,6 +57,15 @@ def hits(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, block: int =
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences, about a byte each: what the driver gets of a row."""
+    return zlib.compress(np.diff(ascending, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
+
+
 def presence(texts: DataFrame) -> DataFrame:
     """(text, y) -> (feature, pos, neg): in how many texts of each class a feature occurs."""
 
@@ -75,23 +86,53 @@ def presence(texts: DataFrame) -> DataFrame:
     return texts.select("text", F.col("y").cast("int")).mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of values between neighbouring starts (the last one ends the last run)."""
-    out = np.zeros(len(starts) - 1)
-    some = starts[1:] > starts[:-1]
-    if some.any():
-        out[some] = np.add.reduceat(values, starts[:-1][some])
-    return out
+class Runs:
+    """Runs of an index array between neighbouring starts. `sums(source)` adds up source[index] over each run.
+
+    Runs are worked through in blocks of about `block` elements by a few threads (numpy
+    lets go of the interpreter there); no array of all elements in doubles is made, and a sum does not depend on the threads.
+    """
+
+    def __init__(self, index: np.ndarray, starts: np.ndarray, pool: ThreadPoolExecutor, block: int = 1 << 19):
+        self.index, self.starts, self.pool, self.cuts = index, starts, pool, [0]
+        while self.cuts[-1] < len(starts) - 1:
+            i = self.cuts[-1]
+            self.cuts.append(max(i + 1, int(np.searchsorted(starts, starts[i] + block, side="right")) - 1))
+
+    def sums(self, source: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.starts) - 1)
+
+        def add(i: int, j: int) -> None:
+            starts = self.starts[i : j + 1]
+            some = starts[1:] > starts[:-1]
+            if some.any():
+                values = np.take(source, self.index[starts[0] : starts[-1]], mode="clip")  # clip: no copy to check bounds
+                out[i:j][some] = np.add.reduceat(values, (starts[:-1] - starts[0])[some])
+
+        list(self.pool.map(add, self.cuts[:-1], self.cuts[1:]))
+        return out
+
 
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Inner product without BLAS, whose threads wait in busy loops between such short calls."""
+    return float((a * b).sum())
 
-def gathered(source: np.ndarray, index: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """Sums of source[index] over the runs between neighbouring starts, about a block at a time: no array of all presences in doubles."""
-    out, i = np.zeros(len(starts) - 1), 0
-    while i < len(out):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + block, side="right")) - 1)
-        out[i:j] = sums(source[index[starts[i] : starts[j]]], starts[i : j + 1] - starts[i])
-        i = j
-    return out
+
+def by_feature_order(starts: np.ndarray, feature: np.ndarray, m: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, ends): the rows that hold feature 0, then 1, ..., and where these runs end and start; sorted block by block in place."""
+    count = np.zeros(m, np.int64)
+    for at in range(0, len(feature), block):
+        count += np.bincount(feature[at : at + block], minlength=m)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    out, free = np.empty(len(feature), np.int32), ends[:-1].copy()
+    for at in range(0, len(feature), block):
+        f = feature[at : at + block]
+        order = np.argsort(f, kind="stable")
+        some, first, n = np.unique(f[order], return_index=True, return_counts=True)
+        to = np.repeat(free[some] - first, n) + np.arange(len(f))
+        out[to] = np.searchsorted(starts, at + order, side="right") - 1
+        free[some] += n
+    return out, ends
 
 
 def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float, steps: int = 30, inner: int = 200) -> tuple[np.ndarray, float]:
@@ -99,21 +140,24 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
 
     The features of a row are a run of `feature` between two starts; they are kept by rows and by features, never as a matrix.
     """
+    with ThreadPoolExecutor(THREADS) as pool:
+        return _newton(starts, feature, scale, y, ridge, steps, inner, pool)
+
+
+def _newton(starts, feature, scale, y, ridge, steps, inner, pool) -> tuple[np.ndarray, float]:
     m = len(scale)
-    order = np.argsort(feature, kind="stable").astype(np.int32 if len(feature) < 1 << 31 else np.int64)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))[order]
-    ends = np.searchsorted(feature[order], np.arange(m + 1))
-    del order
+    row, ends = by_feature_order(starts, feature, m)
+    by_row, by_feature = Runs(feature, starts, pool), Runs(row, ends, pool)
     penalty = np.append(np.full(m, ridge), 1e-6)
 
     def times(v: np.ndarray) -> np.ndarray:
-        return gathered(v[:m] * scale, feature, starts) + v[m]
+        return by_row.sums(v[:m] * scale) + v[m]
 
     def back(u: np.ndarray) -> np.ndarray:
-        return np.append(scale * gathered(u, row, ends), u.sum())
+        return np.append(scale * by_feature.sums(u), u.sum())
 
     def loss(w: np.ndarray, z: np.ndarray) -> float:
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * w * w).sum())
+        return float(np.logaddexp(0, z).sum() - dot(y, z) + 0.5 * (penalty * w * w).sum())
 
     w, z = np.zeros(m + 1), np.zeros(len(y))
     square = np.append(scale * scale, 1.0)
@@ -123,20 +167,20 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
         r = back(y - p) - penalty * w
-        diagonal = square * np.append(gathered(s, row, ends), s.sum()) + penalty
+        diagonal = square * np.append(by_feature.sums(s), s.sum()) + penalty
         step, d = np.zeros(m + 1), r / diagonal
-        rd = float(r @ d)
+        rd = dot(r, d)
         start = rd if start is None else start
         goal = min(0.01, rd / start) * rd  # loose steps first, tighter ones near the optimum
         for _ in range(inner):
             if rd <= goal:
                 break
             hd = back(s * times(d)) + penalty * d
-            at = rd / float(d @ hd)
+            at = rd / dot(d, hd)
             step += at * d
             r = r - at * hd
             fresh = r / diagonal
-            rd, old = float(r @ fresh), rd
+            rd, old = dot(r, fresh), rd
             d = fresh + rd / old * d
         dz = times(step)
         t = 1.0
@@ -150,7 +194,7 @@ def newton(starts: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.nda
     return w[:m], float(w[m])
 
 
-def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 3.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
+def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, y 0/1); only ids in both count."""
     spark = labelled.sparkSession
     y = labels.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -183,14 +227,16 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least
             for part in chunks(b, 0):
                 doc, feature = hits(*flat(part.column(0)), shared.value)
                 per = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "f": pa.array([feature[per[i] : per[i + 1]].astype(np.int32) for i in range(part.num_rows)], pa.list_(pa.int32()))})
+                yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "n": per[1:] - per[:-1], "f": [packed(feature[per[i] : per[i + 1]].astype(np.int32)) for i in range(part.num_rows)]})
 
-    got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, f array<int>").toArrow()  # most_rows short rows
+    got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, n long, f binary").toArrow()  # most_rows short rows
     y = got["y"].to_numpy().astype(float)
-    sizes = np.concatenate([[0], *(pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in got["f"].chunks)])
-    feature = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got["f"].chunks)])
+    starts = np.concatenate([[0], np.cumsum(got["n"].to_numpy())]).astype(np.int64)
+    feature = np.empty(starts[-1], np.int32)
+    for i, f in enumerate(got["f"]):
+        feature[starts[i] : starts[i + 1]] = unpacked(f.as_py())
     del got
-    w, bias = newton(np.cumsum(sizes).astype(np.int64), feature, ratio, y, ridge)
+    w, bias = newton(starts, feature, ratio, y, ridge)
     return Model(table, w * ratio, bias)
 
 
