@@ -43,18 +43,33 @@ class Model:
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature number) of all n-grams in the table, each pair once."""
-    found = []
-    ends = offsets[1:]
-    for n in ORDERS:
-        for at in range(0, len(data), block):
+    """(text number, feature number) of all n-grams in the table, each pair once, in ascending order.
+
+    Bytes are read in blocks. A repeated feature of a text is told by the text in which each feature was last found, and
+    within a block by the last place written for it, so that only different features are kept and sorted.
+    """
+    begins, ends = offsets[:-1], offsets[1:]
+    last = np.full(int(table.max(initial=0)), -1, np.int64)
+    place = np.zeros(len(last), np.int32)
+    features: list[np.ndarray] = [np.zeros(0, np.int32)] * len(ends)
+    for at in range(0, len(data), block):
+        here = np.arange(np.searchsorted(ends, at, side="right"), np.searchsorted(begins, min(at + block, len(data))))
+        found = []
+        for n in ORDERS:
             f = table[grams(data[at : at + block + n - 1], n, BITS)]
             pos = np.flatnonzero(f)
-            doc = np.searchsorted(ends, pos + at, side="right")
-            keep = pos + at + n <= ends[np.minimum(doc, len(ends) - 1)] if len(ends) else pos < 0
-            found.append(doc[keep] * np.int64(1 << BITS) + f[pos[keep]] - 1)
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+            runs = np.searchsorted(pos, begins[here] - at), np.searchsorted(pos, ends[here] - n + 1 - at)
+            found.append((f[pos] - 1, *runs))
+        for k, i in enumerate(here):
+            ids = np.concatenate([f[lo[k] : max(lo[k], hi[k])] for f, lo, hi in found])
+            ids = ids[last[ids] != i]
+            number = np.arange(len(ids), dtype=np.int32)
+            place[ids] = number
+            ids = ids[place[ids] == number]
+            last[ids] = i
+            features[i] = np.sort(np.concatenate([features[i], ids]))
+    counts = np.array([len(f) for f in features], np.int64)
+    return np.repeat(np.arange(len(ends)), counts), np.concatenate([np.zeros(0, np.int32), *features])
 
 
 def packed(ascending: np.ndarray) -> bytes:
@@ -227,7 +242,7 @@ def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least
             for part in chunks(b, 0):
                 doc, feature = hits(*flat(part.column(0)), shared.value)
                 per = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "n": per[1:] - per[:-1], "f": [packed(feature[per[i] : per[i + 1]].astype(np.int32)) for i in range(part.num_rows)]})
+                yield pa.record_batch({"y": part.column(1).cast(pa.int32()), "n": per[1:] - per[:-1], "f": [packed(feature[per[i] : per[i + 1]]) for i in range(part.num_rows)]})
 
     got = sample.select("text", F.col("y").cast("int")).mapInArrow(rows, "y int, n long, f binary").toArrow()  # most_rows short rows
     y = got["y"].to_numpy().astype(float)
