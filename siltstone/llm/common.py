@@ -101,6 +101,21 @@ def hash128(col) -> list:
     return [F.xxhash64(col), F.xxhash64(F.lit("second"), col)]
 
 
+def crc32_text(col):
+    return F.crc32(F.encode(col, "UTF-8"))
+
+
 def crc32_mod(col, m: int):
     """crc32 of an id's decimal text, modulo m: the fold rule of the labelled queries. Null id: 0."""
-    return F.coalesce(F.crc32(F.encode(col.cast("string"), "UTF-8")) % m, F.lit(0)).cast("int")
+    return F.coalesce(crc32_text(col.cast("string")) % m, F.lit(0)).cast("int")
+
+
+def attach(rows: DataFrame, about: DataFrame, key: list[str], spread, how: str = "inner", salts: int = 64) -> DataFrame:
+    """rows joined with `about` (one row a key), where one key may hold most rows.
+
+    `spread` is a column by whose hash the rows of a key are dealt to salts; `about` is repeated only for the salts that
+    a key has, which are found by pre-aggregation, so a key of few rows costs few.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    have = salted.select(*key, "__salt").distinct()
+    return salted.join(have.join(about, key), [*key, "__salt"], how).drop("__salt")
