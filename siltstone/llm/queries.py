@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, langid, linededup, neardup, packing, sentencepiece, suffixes, toxicity, warc
+from . import ann, ballkmeans, conversations, crosspolytope, fingerprint, langid, linededup, neardup, packing, sentencepiece, suffixes, toxicity, warc
 from .common import crc32_mod, table
 
 
@@ -64,6 +64,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ballkmeans.cluster(vectors).withColumnRenamed("id", "vec_id")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    out = crosspolytope.near_duplicates(vectors).withColumnRenamed("id", "vec_id")
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
+    "op12_conversations": op12_conversations,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 
@@ -83,4 +101,7 @@ def oracle() -> dict[str, str]:
         "op1_fingerprints": fingerprint.sql(),
         "op3_warc": warc.sql(),
         "op6_line_dedup": linededup.sql(),
+        "op11_centroids": ballkmeans.sql(),
+        "op12_conversations": conversations.sql(),
+        "op13_near_vectors": crosspolytope.sql(),
     }

@@ -88,6 +88,9 @@ CONTRACTS = {
     "op8_sentencepiece": ["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op11_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12_conversations": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13_near_vectors": ["vec_id", "n_links", "component_id", "kept"],
 }
 
 
