@@ -16,7 +16,7 @@ A network is sure of bytes that it never met, too. So `predict(fit=True)` adds t
 text's bytes, each given the one before it, in the training windows of the language where it is highest: -ln 256 is chance.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without training rows
-every text is; of equal probabilities the first language in order wins; rows may repeat; extra columns are ignored.
+every text is; of equal probabilities the first language in order wins; rows and ids may repeat (training takes each distinct row once); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,20 +155,28 @@ def fits(data: np.ndarray, offsets: np.ndarray, pairs: np.ndarray) -> np.ndarray
     return total / np.maximum(np.bincount(owner, minlength=n), 1)
 
 
-def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **options) -> Model | None:
-    """Model from (doc_id, text, lang); None without a text that has a language and a letter."""
-    rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    # a threshold on the hash, from one count a language, leaves about twice the rows that are needed for the ranking
+def training_rows(labelled: DataFrame, per_language: int = 1000, most_languages: int = 200) -> DataFrame:
+    """(lang, text) that a model learns from: per language the per_language distinct rows of (doc_id, text) with the smallest hashes.
+
+    Only rows with a letter count, for the threshold on the hash too; rows are bounded, not ids, so an id may stand on
+    any number of rows and copies of a row are one. More than most_languages languages: those with the most rows.
+    """
     top = 1 << 40
-    counts = labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    limit = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n")) * top
-    h = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(top))
-    some = rows.select("doc_id", "lang", h.alias("h")).join(F.broadcast(counts.select("lang", limit.alias("limit"))), "lang").where("h < limit")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language)
-    chosen = ids.select("doc_id", "lang").toPandas()  # at most per_language ids of each language
-    if chosen.empty:
-        return None
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(top)).alias("h")
+    rows = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", h)
+    # a threshold on the hash, from one sketch a language, leaves about twice the rows that are needed for the ranking
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    limit = (F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n")) * top).alias("limit")
+    some = rows.select("lang", "h").join(F.broadcast(counts.select("lang", limit)), "lang").where("h < limit").select("lang", "h").distinct()
+    w = Window.partitionBy("lang").orderBy("h")
+    chosen = some.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("lang", "h")
+    chosen = labelled.sparkSession.createDataFrame(chosen.toPandas(), chosen.schema)  # per_language hashes of most_languages at most
+    return rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, most_languages: int = 200, **options) -> Model | None:
+    """Model from (doc_id, text, lang); None without a text that has a language and a letter."""
+    got = training_rows(labelled, per_language, most_languages)
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +190,9 @@ def train(labelled: DataFrame, per_language: int = 1000, per_text: int = 4, **op
                     langs.append(lang)
             yield pa.record_batch({"lang": pa.array(langs, pa.string()), "w": pa.array(out, pa.binary())})
 
-    small = F.broadcast(labelled.sparkSession.createDataFrame(chosen))
-    got = rows.select("doc_id", "lang", "text").join(small, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    got = got.mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"], ignore_index=True)
+    got = got.mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"], ignore_index=True)  # per_text windows of each
+    if got.empty:
+        return None
     languages = sorted(got.lang.unique())
     x = np.frombuffer(b"".join(got.w), np.uint8).reshape(-1, SIZE)
     y = got.lang.map({g: i for i, g in enumerate(languages)}).to_numpy()

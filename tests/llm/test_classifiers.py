@@ -1,9 +1,11 @@
 """Held-out accuracy and defined cases of language identification and toxicity."""
 
+import zlib
+
 import numpy as np
 import pytest
 
-from siltstone.llm import langid, toxicity
+from siltstone.llm import langid, queries, toxicity
 
 LETTERS = {"aa": "abcde ", "bb": "fghij ", "cc": "kléèà "}
 
@@ -124,3 +126,44 @@ def test_toxicity_one_class(spark):
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "y"))
     assert [r.score < 0.5 for r in toxicity.score(df.selectExpr("doc_id", "text", "false as h"), model, "h").collect()] == [True, True]
     assert toxicity.train(df.limit(0).select("doc_id", "text"), df.limit(0).select("doc_id", "y")).bias <= 0
+
+
+def test_language_training_rows_are_bounded_and_lose_no_language(spark):
+    rare = [(i, f"fghij {i}", "bb") for i in range(150)]
+    blank = [(i, None if i % 2 else "12", "bb") for i in range(1000, 61_000)]
+    one_id = [(7, f"abcde {'abcde'[i % 5]} {i}", "aa") for i in range(30_000)]
+    copies = [(9, "kléèà", "cc")] * 20_000 + [(i, f"kléèà {i}", "cc") for i in range(100)]
+    df = spark.createDataFrame(rare + blank + one_id + copies, "doc_id long, text string, lang string").repartition(8)
+    got = langid.training_rows(df, per_language=120).toPandas()
+    assert got.groupby("lang").size().to_dict() == {"aa": 120, "bb": 120, "cc": 101} or got.groupby("lang").size().to_dict() == {"aa": 120, "bb": 120, "cc": 100}
+    assert len(got.drop_duplicates()) == len(got) and got.text.str.contains("[a-z]").all()
+    assert {r.lang for r in langid.training_rows(df, 120, most_languages=2).select("lang").distinct().collect()} == {"aa", "bb"}
+    assert langid.train(df, per_language=60).languages == ["aa", "bb", "cc"]
+
+
+def test_language_ties(spark):
+    m = langid.Model(["a", "b"], [np.zeros((w, 256, 4), "f4") for w in langid.WIDTHS], np.zeros(12, "f4"), np.zeros((12, 2), "f4"), np.zeros(2, "f4"))
+    df = spark.createDataFrame([(1, "same")], "doc_id long, text string")
+    assert [(r.lang_pred, r.score) for r in langid.predict(df, m).collect()] == [("a", 0.5)]
+
+
+def test_toxicity_training_rows_are_bounded(spark):
+    docs = [(5, f"text {i}") for i in range(30_000)] + [(6, "one text")] * 500 + [(i, f"other {i}") for i in range(100, 140)] + [(None, "x"), (7, None)]
+    labels = [(5, 1), (6, 0), (6, 1), (7, 0), (None, 1)] + [(i, 0) for i in range(100, 140)]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, y int")
+    got = toxicity.training_rows(docs, labels, 50).toPandas()
+    assert len(got) == 50 and len(got.drop_duplicates()) == 50
+    got = toxicity.training_rows(docs, labels, 100_000).toPandas()
+    assert len(got) == 30_000 + 1 + 40 + 1 and got[got.text == "one text"].y.tolist() == [1] and got[got.text == ""].y.tolist() == [0]
+
+
+def test_folds_and_ties_of_the_queries(spark, tmp_path):
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", 1) for i, t in enumerate(texts(60, 1, "abcde "))]
+    rows += [(70, rows[3][1], "aa", "s", 1), (71, rows[3][1], None, "t", 1), (None, "abc", "aa", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(70)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    fold = lambda i, m: 0 if i is None else zlib.crc32(str(i).encode()) % m
+    for query, m, remainder in ((queries.op2_language_id, 3, 1), (queries.op9_toxicity, 5, 0)):
+        got = query(spark, str(tmp_path)).collect()
+        assert sorted((r.doc_id, r.held_out) for r in got if r.doc_id is not None) == sorted((r[0], fold(r[0], m) == remainder) for r in rows if r[0] is not None) and len(got) == len(rows)
+        assert len({r.score for r in got if r.doc_id in (3, 70, 71)}) == 1  # equal texts, equal scores
