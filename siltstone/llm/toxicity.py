@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are hashed byte n-grams of the lower-cased text, present or absent in a whole text. On a
-bounded sample of labelled texts (`most_rows`, smallest hash of the id first) executors count in how
+bounded sample of labelled texts (`most_rows` distinct rows, smallest hash of id and text first) executors count in how
 many toxic and other texts each feature occurs. A feature whose rates differ by z standard errors has the
 ratio r = log(p / q) of smoothed rates, shrunk by z^2 / (z^2 + half_z^2), so that chance weighs little; below
 `least_z`, about the usual 5 % level, a difference is none. A ridge logistic regression is fitted to
@@ -10,8 +10,8 @@ No feature beyond that level is cut, however many there are (2^BITS at most).
 
 Scoring reads every byte of every text, in blocks, and looks n-grams up in one table; nothing shuffles.
 
-Defined cases: a null or empty text has no features and scores the model's intercept; rows may repeat;
-a label other than 0 and 1 is no label, several labels of one id count as toxic if one does; without labelled rows
+Defined cases: a null or empty text has no features and scores the model's intercept; rows and ids may repeat (training takes each
+distinct row once); a label other than 0 and 1 is no label, several labels of one id count as toxic if one does; without labelled rows
 of both classes the score is the share of toxic ones (0 without any); extra columns are ignored.
 """
 
@@ -209,20 +209,29 @@ def _newton(starts, feature, scale, y, ridge, steps, inner, pool) -> tuple[np.nd
     return w[:m], float(w[m])
 
 
+def training_rows(labelled: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
+    """(text, y) that a model learns from: the most_rows distinct rows of (doc_id, text) with the smallest hashes.
+
+    Rows are bounded, not ids: an id may stand on any number of rows, and copies of a row are one. An id with both labels counts as 1.
+    """
+    spark = labelled.sparkSession
+    y = labels.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    texts = labelled.where("doc_id is not null").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = texts.select("doc_id", "h").join(y, "doc_id").distinct().orderBy("h", "doc_id").limit(most_rows)
+    chosen = spark.createDataFrame(chosen.toPandas(), chosen.schema)  # at most most_rows rows of numbers
+    return texts.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "y")
+
+
 def train(labelled: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_z: float = 2.0, half_z: float = 10.0, smoothing: float = 1.0, ridge: float = 1.0) -> Model:
     """Model from texts (doc_id, text) and labels (doc_id, y 0/1); only ids in both count."""
     spark = labelled.sparkSession
-    y = labels.where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    chosen = y.toPandas()  # at most most_rows pairs of numbers
-    table, prior = np.zeros(1 << BITS, np.int32), float(chosen.y.mean()) if len(chosen) else 0.0
-    bias = float(np.log((prior + 1e-4) / (1 - prior + 1e-4)))
-    if chosen.y.nunique() < 2:
-        return Model(table, np.zeros(0), bias)
-    sample = labelled.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(spark.createDataFrame(chosen)), "doc_id").select("text", "y")
-    sample = materialise(sample, "toxicity-sample")  # most_rows texts, read three times
+    table = np.zeros(1 << BITS, np.int32)
+    sample = materialise(training_rows(labelled, labels, most_rows), "toxicity-sample")  # most_rows texts at most, read three times
     sizes = sample.groupBy("y").count().toPandas().set_index("y")["count"]
     n1, n0 = int(sizes.get(1, 0)), int(sizes.get(0, 0))
+    prior = n1 / (n1 + n0) if n1 + n0 else 0.0
+    bias = float(np.log((prior + 1e-4) / (1 - prior + 1e-4)))
     if not n1 or not n0:
         return Model(table, np.zeros(0), bias)
     p, q, r = F.col("pos") / n1, F.col("neg") / n0, (F.col("pos") + F.col("neg")) / (n1 + n0)
