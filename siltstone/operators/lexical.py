@@ -1,12 +1,12 @@
-"""Lexical index and BM25: postings, statistics and scoring as tables and joins."""
+"""Postings, statistics and BM25 of tables that have no stored index (see `inverted` for one), as joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.stem_fr import stem_all
-from siltstone.sources.files import exists, materialise
+from siltstone.sources.files import materialise
 
 
 K1, B = 1.5, 0.75
@@ -67,16 +67,6 @@ def bm25_tokens(corpus: DataFrame, key: str, q: DataFrame, query_key: str, k1: f
     return q.join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
 
-def stored(spark: SparkSession, path: str, docs: DataFrame | None, key: str, tokens: Column, force: bool = False) -> DataFrame:
-    """The index (key, dl, tokens) stored at path; written from docs if it is missing or a rebuild is asked for."""
-    if force or not exists(spark, f"{path}/_SUCCESS"):
-        if docs is None:
-            raise FileNotFoundError(f"no index at {path} and no documents to build it from")
-        t = docs.select(key, tokens.alias("tokens"))
-        t.select(key, F.size("tokens").alias("dl"), "tokens").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def top_k(scored: DataFrame, query_key: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of every query with their rank; the limit is applied before the shuffle, too."""
     w = Window.partitionBy(query_key).orderBy(*order)

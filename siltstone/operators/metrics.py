@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.stem_fr import keyword_token, stem_all
+from siltstone.operators.lexical import stems
 from siltstone.operators.prompt import trimmed_contexts
 
 
@@ -31,6 +32,35 @@ def keyword_recall(prediction: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) <= 0, F.lit(1.0)).otherwise(F.size(F.filter(keywords, hit)) / F.size(keywords))
 
 
+def canonical_rows(rows: DataFrame, stemmed: bool = True) -> DataFrame:
+    """Rows with a token t -> the same with its canonical form, without those that have none; each distinct token is stemmed once."""
+    plain = rows.withColumn("t", T.fold_accents(F.col("t")))
+    if stemmed:
+        known = stems(plain.select(F.col("t").alias("term"))).select(F.col("term").alias("t"), keyword_token(F.col("stem")).alias("__s"))
+        plain = plain.join(known, "t").drop("t").withColumnRenamed("__s", "t")
+    return plain.where("t <> ''")
+
+
+def token_rows(df: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
+    """(key, t): the distinct canonical tokens of a text column."""
+    return canonical_rows(df.select(key, F.explode(F.array_distinct(T.metric_tokens(F.col(text)))).alias("t")), stemmed).distinct()
+
+
+def keyword_recalls(rows: DataFrame, key: str, keywords: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (key) with recall: the share of keywords (key, keyword, t: a row a canonical token) whose tokens all match one of found (key, t); 1 without keywords.
+
+    Tokens that match have the same first five letters, or are equal and shorter; they meet by these, so a long text costs its tokens and
+    not their product with those of the keywords.
+    """
+    start = lambda c: F.substring(c, 1, 5)
+    have = found.select(F.col(key).alias("__k"), F.col("t").alias("__t"), start("t").alias("__p"))
+    met = keywords.join(have, (F.col(key) == F.col("__k")) & (start("t") == F.col("__p")) & tokens_match(F.col("__t"), F.col("t")), "left")
+    tokens = met.groupBy(key, "keyword", "t").agg(F.max(F.col("__t").isNotNull()).alias("__hit"))
+    whole = tokens.groupBy(key, "keyword").agg(F.min("__hit").alias("__hit"))
+    share = whole.groupBy(key).agg((F.count_if("__hit") / F.count(F.lit(1))).alias("recall"))
+    return rows.join(share, key, "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
 def word_f1(df: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
     """(key, word_f1): multiset overlap of metric tokens; 0 if a side is empty.
 

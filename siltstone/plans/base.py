@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.sources.files import spread
+from siltstone.sources.files import fingerprint, shared_dir, spread
 
 
 #: Counts and positions are longs in every result, whatever their expression gives.
@@ -22,6 +22,21 @@ def result(df: DataFrame) -> DataFrame:
 TEXTS = {"documents", "conversations", "pages"}
 
 
+class Tables:
+    """Tables of a folder by name, and where what is derived from them may be stored for other queries."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, table: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return spread(df) if table in TEXTS else df
+
+    def stored(self, name: str, *tables: str) -> str:
+        """The path of an index over tables; another one as soon as a file of theirs changes."""
+        return f"{shared_dir(self.spark)}/{name}-{fingerprint(self.spark, *(f'{self.sf_dir}/{t}.parquet' for t in tables))}"
+
+
 class Catalog:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +49,7 @@ class Catalog:
             name = f.__name__
 
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                def read(table: str) -> DataFrame:
-                    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-                    return spread(df) if table in TEXTS else df
-
-                return result(f(read, spark))
+                return result(f(Tables(spark, sf_dir), spark))
 
             self.queries[name] = run
             if sql:

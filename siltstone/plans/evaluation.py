@@ -33,20 +33,22 @@ def context_coverage(t, spark):
     return c.withColumn("hallucination_risk", metrics.hallucination_risk(F.col("coverage")))
 
 
-@C.add(f"""WITH {_PAIRS}, k AS (SELECT id, list_distinct({TOK.format('strip_accents(question)')})[1:6] AS kw, {TOK.format('strip_accents(answer)')} AS pt FROM (SELECT id, lower(question) AS question, lower(answer) AS answer FROM p)),
-o AS (SELECT id, list_filter({TOK.format('question')}, lambda x, i: i <= 6) AS kw, {TOK.format('answer')} AS pt FROM p),
+@C.add(f"""WITH {_PAIRS}, o AS (SELECT id, {TOK.format('question')} AS kw, {TOK.format('answer')} AS pt FROM p),
 f AS (SELECT id, list_transform(kw, lambda x: strip_accents(x)) AS kw, list_transform(pt, lambda x: strip_accents(x)) AS pt FROM o)
 SELECT id, round_even(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_filter(kw, lambda k: len(list_filter(pt, lambda q: q = k OR (least(length(q), length(k)) >= 5 AND (starts_with(q, k) OR starts_with(k, q))))) > 0)) / len(kw) END, 6) AS recall FROM f""")
 def keyword_recall_unstemmed(t, spark):
-    keywords = F.transform(F.slice(T.metric_tokens(F.col("question")), 1, 6), lambda x: F.array(T.fold_accents(x)))
-    return _pairs(t).select("id", F.bround(metrics.keyword_recall(metrics.canonical_tokens(F.col("answer"), False), keywords), 6).alias("recall"))
+    """Every word of a question, repeats counted, is a keyword."""
+    p = _pairs(t)
+    words = metrics.canonical_rows(p.select("id", F.posexplode(T.metric_tokens(F.col("question"))).alias("keyword", "t")), False)
+    return metrics.keyword_recalls(p.select("id"), "id", words, metrics.token_rows(p, "id", "answer", False)).select("id", F.bround("recall", 6).alias("recall"))
 
 
 @C.add()
 def keyword_recall_fr(t, spark):
-    """Stemmed recall of every question's first words in its answer. Stems have no SQL; a test holds the metric against expected rows."""
-    d = _pairs(t).select("id", metrics.canonical_tokens(F.col("answer")).alias("p"), metrics.canonical_tokens(F.col("question")).alias("q"))
-    return d.select("id", F.bround(metrics.keyword_recall(F.col("p"), F.transform(F.array_distinct("q"), lambda w: F.array(w))), 6).alias("recall"))
+    """Stemmed recall of every question's words in its answer. Stems have no SQL; a test holds the metric against expected rows."""
+    p = _pairs(t)
+    words = metrics.token_rows(p, "id", "question").withColumn("keyword", F.col("t"))
+    return metrics.keyword_recalls(p.select("id"), "id", words, metrics.token_rows(p, "id", "answer")).select("id", F.bround("recall", 6).alias("recall"))
 
 
 # Answers with marks of sources, built from every turn.

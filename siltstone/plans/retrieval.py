@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import fusion, lexical, prompt, vectors
+from siltstone.operators import fusion, inverted, lexical, metrics, prompt, vectors
 from siltstone.plans import ingest
 from siltstone.plans.base import Catalog
 
@@ -32,9 +32,13 @@ sc AS (SELECT item_id, doc_id, round_even(sum(qtf * ln(1 + (n - df + 0.5) / (df
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 
 
-def _bm25(t, k):
-    scored = lexical.bm25(t("documents").select("doc_id", "text"), "doc_id", t("benchmark"), "item_id", T.sparse_tokens).withColumn("score", F.bround("score", 9))
-    return lexical.top_k(scored, "item_id", k, F.col("score").desc(), F.col("doc_id"))
+def _bm25(t, k, stemmed: bool = False):
+    """The k best documents of every benchmark item, from the index that all these queries share; the first of them builds it."""
+    path = t.stored("inverted-stems" if stemmed else "inverted-words", "documents")
+    docs = None if inverted.built(t.spark, path) else t("documents").select("doc_id", "text")
+    index = inverted.open_or_build(t.spark, path, docs, "doc_id", T.sparse_tokens(F.col("text")), stemmed)
+    terms = t("benchmark").select("item_id", F.explode(T.sparse_tokens(F.col("text"))).alias("term"))
+    return inverted.top_k(index, terms, "item_id", k).withColumnRenamed("key", "doc_id")
 
 
 @C.add(f"WITH {BM25} SELECT item_id, rank, doc_id, round_even(score, 6) AS score FROM r WHERE rank <= 5")
@@ -45,20 +49,27 @@ def bm25_topk(t, spark):
 @C.add()
 def bm25_stemmed(t, spark):
     """Over stems; the French stemmer has no SQL, a test holds it against brute force."""
-    scored = lexical.bm25(t("documents").select("doc_id", "text"), "doc_id", t("benchmark"), "item_id", T.sparse_tokens, stemmed=True).withColumn("score", F.bround("score", 9))
-    return lexical.top_k(scored, "item_id", 5, F.col("score").desc(), F.col("doc_id")).select("item_id", "rank", "doc_id", F.bround("score", 6).alias("score"))
+    return _bm25(t, 5, True).select("item_id", "rank", "doc_id", F.bround("score", 6).alias("score"))
 
 
-@C.add(rf"""WITH {BM25}, x AS (SELECT item_id, string_agg(d.text, ' ' ORDER BY rank) AS p FROM r JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY item_id),
-k AS (SELECT b.item_id, list_distinct(regexp_extract_all(lower(b.text), '[a-zàâäéèêëîïôöùûüç]+')) AS kw, list_distinct(regexp_extract_all(lower(p), '[a-zàâäéèêëîïôöùûüç]+')) AS pt FROM benchmark b JOIN x USING (item_id))
-SELECT item_id, round_even(CASE WHEN len(kw) = 0 THEN 1.0 ELSE len(list_intersect(kw, pt)) / len(kw) END, 6) AS recall, 1.0::DOUBLE AS coverage FROM k""")
+_METRIC = "regexp_extract_all(lower({}), '[a-zàâäéèêëîïôöùûüç]+')"
+
+
+@C.add(f"""WITH {BM25}, x AS (SELECT item_id, string_agg(d.text, ' ' ORDER BY rank) FILTER (rank <= 3) AS p, string_agg(d.text, ' ' ORDER BY rank) AS c FROM r JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY item_id),
+k AS (SELECT b.item_id, list_transform({_METRIC.format('b.text')}, lambda x: strip_accents(x)) AS kw, list_distinct(list_transform({_METRIC.format('p')}, lambda x: strip_accents(x))) AS pt,
+  list_filter({_METRIC.format('p')}, lambda x: length(x) > 3) AS w, list_distinct({_METRIC.format('c')}) AS cw FROM benchmark b JOIN x USING (item_id)),
+e AS (SELECT item_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM (SELECT unnest(pt) AS q) WHERE q = t OR (least(length(q), length(t)) >= 5 AND (starts_with(q, t) OR starts_with(t, q))))) AS hit FROM (SELECT item_id, pt, unnest(kw) AS t FROM k) GROUP BY item_id)
+SELECT item_id, round_even(coalesce(hit / n, 1.0), 6) AS recall, CASE WHEN len(w) = 0 THEN 1.0 ELSE round_even(len(list_filter(w, lambda x: list_contains(cw, x))) / len(w), 4) END AS coverage FROM k LEFT JOIN e USING (item_id)""")
 def retrieval_only_eval(t, spark):
-    top = _bm25(t, 3).join(t("documents").select("doc_id", "text"), "doc_id")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x.text), " ")
-    p = top.groupBy("item_id").agg(joined.alias("p")).join(t("benchmark"), "item_id")
-    kw = F.array_distinct(T.metric_tokens(F.col("text")))
-    recall = F.when(F.size(kw) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(kw, T.metric_tokens(F.col("p")))) / F.size(kw))
-    return p.select("item_id", F.bround(recall, 6).alias("recall"), F.lit(1.0).alias("coverage"))
+    """The first three documents are the answer, all five the context; every word of a question is a keyword."""
+    top = _bm25(t, 5).join(t("documents").select("doc_id", "text"), "doc_id")
+    texts = F.sort_array(F.collect_list(F.struct("rank", "text")))  # five at most
+    joined = lambda n: F.array_join(F.transform(F.slice("x", 1, n), lambda x: x.text), " ")
+    p = top.groupBy("item_id").agg(texts.alias("x")).join(t("benchmark"), "item_id").select("item_id", "text", joined(3).alias("answer"), joined(5).alias("context"))
+    words = p.select("item_id", F.posexplode(T.metric_tokens(F.col("text"))).alias("keyword", "t"))
+    recall = metrics.keyword_recalls(p.select("item_id"), "item_id", metrics.canonical_rows(words, False), metrics.token_rows(p, "item_id", "answer", False))
+    coverage = metrics.context_coverage(p, "item_id", "answer", "context")
+    return recall.join(coverage, "item_id").select("item_id", F.bround("recall", 6).alias("recall"), F.col("context_coverage").alias("coverage"))
 
 
 def _search(t, k, metric):
@@ -193,15 +204,26 @@ def context_budget(t, spark):
     return w.select("w", T.context_budget(F.col("w")).alias("budget"))
 
 
+#: Relations between the documents of a table that has none: from a document to the ones some ids on. A document owns one article.
+HOPS = {"cites": 1, "amends": 3, "cites_article": 5, "sees_article": 7}
+
+
+def _edges(docs):
+    doc, to = lambda n: (F.col("doc_id") + n).cast("string"), {"cites": "dst", "amends": "dst"}
+    end = lambda name, n: doc(n) if name in to else F.concat(F.lit("a"), doc(n))
+    tables = {name: docs.select(doc(0).alias("src"), end(name, n).alias(to.get(name, "mid"))) for name, n in HOPS.items()}
+    return tables | {"article_of": docs.select(F.concat(F.lit("a"), doc(0)).alias("mid"), doc(0).alias("dst"))}
+
+
 def _index(t):
-    """Chunks of all documents; a document cites those of the same source that come right after it."""
+    """The stored index of the chunks of all documents, with all five relations; the first query that needs it builds it."""
     from siltstone.operators import corpus
     from siltstone.plans import plugins, retriever
 
     d = t("documents").select("doc_id", "text", "source")
     chunks = corpus.chunks(d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    cites = d.select(F.col("doc_id").cast("string").alias("src"), (F.col("doc_id") + 1).cast("string").alias("dst"))
-    return retriever.build(chunks, plugins.HashingEmbedder(), {"cites": cites}), plugins.OverlapReranker()
+    index = retriever.open_or_build(t.spark, t.stored("retriever", "documents"), chunks, plugins.HashingEmbedder(), _edges(d))
+    return index, plugins.OverlapReranker()
 
 
 def _retrieve(t, strategy: str, rerank: bool = False, expand: bool = False):
@@ -231,20 +253,38 @@ ds AS (SELECT query_id, chunk_id, {{score}} AS score FROM ip JOIN el USING (chun
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {{order}}, chunk_id) AS rank FROM ds)"""
 _BY_IP = _DENSE_CHUNKS.replace("{score}", "round_even(p, 9)").replace("{order}", "DESC")
 _BY_L2 = _DENSE_CHUNKS.replace("{score}", "round_even(ql.l - 2 * p + el.l, 9)").replace("{order}", "ASC")
-_NEAR = """sd AS (SELECT query_id, ch.doc_id AS doc, chunk_id, score FROM dr JOIN ch USING (chunk_id) WHERE rank <= 20), docs AS (SELECT DISTINCT query_id, doc FROM sd),
-ce AS (SELECT doc_id::VARCHAR AS src, (doc_id + 1)::VARCHAR AS dst FROM documents),
-hop AS (SELECT DISTINCT query_id, dst AS doc, 1 AS way FROM docs JOIN ce ON src = doc UNION ALL SELECT DISTINCT query_id, src, 2 FROM docs JOIN ce ON dst = doc),
-bo AS (SELECT query_id, doc, round_even(sum(0.12::DOUBLE), 6) AS boost FROM hop WHERE (query_id, doc) NOT IN (SELECT (query_id, doc) FROM docs) GROUP BY 1, 2),
+_HOP = "SELECT DISTINCT query_id, {} AS doc, {}::DOUBLE AS boost, '{}' AS way FROM docs JOIN ids ON ids.d = {}"
+#: Seeds (query_id, chunk_id, score) named sd0 -> gr, the expanded ranking.
+_NEAR = f"""sd AS (SELECT query_id, ch.doc_id AS doc, chunk_id, score FROM sd0 JOIN ch USING (chunk_id)), docs AS (SELECT DISTINCT query_id, doc, doc::BIGINT AS d FROM sd),
+ids AS (SELECT DISTINCT doc_id AS d FROM documents),
+hop AS (SELECT DISTINCT query_id, (docs.d + {HOPS['cites']})::VARCHAR AS doc, 0.12::DOUBLE AS boost, 'cites' AS way FROM docs UNION ALL
+{_HOP.format('ids.d::VARCHAR', 0.12, 'cited_by', f"docs.d - {HOPS['cites']}")} UNION ALL
+SELECT DISTINCT query_id, doc, boost, way FROM (SELECT query_id, (docs.d + {HOPS['amends']})::VARCHAR AS doc, 0.10::DOUBLE AS boost, 'amends' AS way FROM docs UNION ALL {_HOP.format('ids.d::VARCHAR', 0.10, 'amends', f"docs.d - {HOPS['amends']}")}) UNION ALL
+{_HOP.format('ids.d::VARCHAR', 0.15, 'cites_article', f"docs.d + {HOPS['cites_article']}")} UNION ALL
+{_HOP.format('ids.d::VARCHAR', 0.08, 'sees_article', f"docs.d + {HOPS['sees_article']}")}),
+bo AS (SELECT query_id, doc, sum(boost) AS boost FROM hop WHERE (query_id, doc) NOT IN (SELECT (query_id, doc) FROM docs) GROUP BY 1, 2),
 po AS (SELECT query_id, doc, chunk_id, score, 1 AS seed FROM sd UNION ALL SELECT query_id, doc, chunk_id, round_even(0.5 + boost, 6), 0 FROM bo JOIN ch ON ch.doc_id = doc),
 gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seed DESC, doc, chunk_id) AS rank FROM po)"""
 
 
+def _unified(pool: int, k1: float = 1.2) -> str:
+    """Words of chunks ranked by BM25 and fused with the dense ranking: fr."""
+    return f"""cp AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(a) AS dl, unnest(a) AS term FROM (SELECT chunk_id, {TOKENS} AS a FROM ch)) GROUP BY 1, 2),
+cs AS (SELECT count(*) AS n, avg(len({TOKENS})) AS avgdl FROM ch), cd AS (SELECT term, count(*) AS df FROM cp GROUP BY 1),
+cq AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+cc AS (SELECT query_id, chunk_id, round_even(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + {k1} * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM cq JOIN cp USING (term) JOIN cd USING (term), cs GROUP BY 1, 2),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cc),
+fu AS (SELECT query_id, chunk_id, round_even(coalesce(0.3::DOUBLE / (60 + x.rank), 0) + coalesce(0.7::DOUBLE / (60 + y.rank), 0), 10) AS t
+  FROM (SELECT * FROM dr WHERE rank <= {pool}) x FULL JOIN (SELECT * FROM sr WHERE rank <= {pool}) y USING (query_id, chunk_id)),
+fr AS (SELECT query_id, chunk_id, round_even(t, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, chunk_id) AS rank FROM fu)"""
+
+
 @C.add(_BY_IP + " SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'dense' AS retrieval_method FROM dr WHERE rank <= 5")
 def retrieve_dense(t, spark):
     return _retrieve(t, "dense")
 
 
-@C.add()
+@C.add(f"{_BY_IP}, {_unified(100)} SELECT query_id, rank, chunk_id, score, 'unified' AS retrieval_method FROM fr WHERE rank <= 5")
 def retrieve_unified(t, spark):
     return _retrieve(t, "unified")
 
@@ -254,7 +294,7 @@ def retrieve_hybrid(t, spark):
     return _retrieve(t, "hybrid")
 
 
-@C.add(f"{_BY_IP}, {_NEAR} SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'graph' AS retrieval_method FROM gr WHERE rank <= 5")
+@C.add(f"{_BY_IP}, sd0 AS (SELECT query_id, chunk_id, score FROM dr WHERE rank <= 20), {_NEAR} SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'graph' AS retrieval_method FROM gr WHERE rank <= 5")
 def retrieve_graph(t, spark):
     return _retrieve(t, "graph")
 
@@ -264,7 +304,9 @@ def retrieve_hybrid_graph(t, spark):
     return _retrieve(t, "hybrid_graph")
 
 
-@C.add()
+@C.add(f"""{_BY_IP}, {_unified(200)},
+sd0 AS (SELECT query_id, chunk_id, 0.5 + 0.5 * (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1e-9 ELSE max(score) OVER w - min(score) OVER w END AS score FROM fr WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
+{_NEAR} SELECT query_id, rank, chunk_id, round_even(score, 6) AS score, 'unified_graph' AS retrieval_method FROM gr WHERE rank <= 5""")
 def retrieve_unified_graph(t, spark):
     return _retrieve(t, "unified_graph")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import fusion, graph, lexical, vectors
+from siltstone.operators import fusion, graph, inverted, lexical, vectors
 from siltstone.plans.plugins import Embedder, Reranker
 from siltstone.sources import files
 from siltstone.sources.files import materialise
@@ -22,46 +23,65 @@ class MissingDependency(RuntimeError):
 
 @dataclass
 class Index:
-    """Tables of a corpus: chunks (chunk_id, doc_id, text, ...), vectors (chunk_id, vector), tokens (chunk_id, dl, tokens) and, for graph strategies, edges."""
+    """Tables of a corpus: chunks (chunk_id, doc_id, text, ...), vectors (chunk_id, vector), inverted indexes of stems and of words and, for graph strategies, edges."""
 
     chunks: DataFrame
     vectors: DataFrame
-    tokens: DataFrame
+    stems: inverted.Inverted
+    words: inverted.Inverted
     embedder: Embedder
     edges: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """(chunk_id, vector): each distinct text is embedded once."""
+    texts = chunks.select("text").distinct().withColumn("vector", embedder.embed(T.with_prefix(F.col("text"), embedder.passage_prefix)))
+    return chunks.select("chunk_id", "text").join(texts, "text").select("chunk_id", "vector")
+
+
 def build(chunks: DataFrame, embedder: Embedder, edges: dict[str, DataFrame] | None = None) -> Index:
-    """The index tables, written once; each distinct text is embedded once."""
+    """The index tables, written once, for the session."""
     chunks = materialise(chunks, "index-chunks")
-    texts = chunks.select("text").distinct().withColumn("vector", embedder.embed(T.with_prefix(F.col("text"), embedder.passage_prefix)))
-    found = materialise(chunks.select("chunk_id", "text").join(texts, "text").select("chunk_id", "vector"), "index-vectors")
-    return Index(chunks, found, lexical.tokenised(chunks, "chunk_id", T.sparse_tokens(F.col("text"))), embedder, edges or {})
+    found = materialise(embedded(chunks, embedder), "index-vectors")
+    base = f"{files.shared_dir(chunks.sparkSession)}/index-{uuid.uuid4().hex}"
+    return Index(chunks, found, *(_sparse_index(base, n, chunks) for n in ("stems", "words")), embedder, edges or {})
+
+
+def _sparse_index(path: str, name: str, chunks: DataFrame | None, spark: SparkSession | None = None, force: bool = False) -> inverted.Inverted:
+    spark = spark or chunks.sparkSession
+    return inverted.open_or_build(spark, f"{path}/{name}", chunks, "chunk_id", T.sparse_tokens(F.col("text")), name == "stems", force)
 
 
-def save(index: Index, path: str) -> None:
-    """All tables of an index under one folder, with what the embedder was."""
-    index_metadata(index).write.mode("overwrite").parquet(f"{path}/meta")
-    for name, table in {"chunks": index.chunks, "vectors": index.vectors, "tokens": index.tokens, **{f"edges/{n}": e for n, e in index.edges.items()}}.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+def save(chunks: DataFrame, embedder: Embedder, edges: dict[str, DataFrame], path: str) -> None:
+    """All tables of an index under one folder, written once each; what the embedder was comes last and makes the index complete."""
+    spark = chunks.sparkSession
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    put(chunks, "chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    put(embedded(chunks, embedder), "vectors")
+    for name in ("stems", "words"):
+        _sparse_index(path, name, chunks, force=True)
+    for name, edge in edges.items():
+        put(edge, f"edges/{name}")
+    put(index_metadata(spark.read.parquet(f"{path}/vectors"), embedder).coalesce(1), "meta")
 
 
 def open_or_build(spark: SparkSession, path: str, chunks: DataFrame | None, embedder: Embedder, edges: dict[str, DataFrame] | None = None, force: bool = False) -> Index:
     """The index under path. A missing one, or one that is to be rebuilt, is built from chunks first; one of another embedder is an error."""
-    if force or not all(files.exists(spark, f"{path}/{n}/_SUCCESS") for n in ("meta", "chunks", "vectors", "tokens")):
+    if force or not files.exists(spark, f"{path}/meta/_SUCCESS"):
         require(chunks=chunks)
-        save(build(chunks, embedder, edges), path)
+        save(chunks, embedder, edges or {}, path)
     meta = spark.read.parquet(f"{path}/meta").first()
     check_compatible(meta.model, meta.dim, embedder)
     read = lambda n: spark.read.parquet(f"{path}/{n}")
     names = {"cites", "amends", "cites_article", "sees_article", "article_of"}
     stored = {n: read(f"edges/{n}") for n in names if files.exists(spark, f"{path}/edges/{n}/_SUCCESS")}
-    return Index(read("chunks"), read("vectors"), read("tokens"), embedder, stored)
+    return Index(read("chunks"), read("vectors"), *(_sparse_index(path, n, None, spark) for n in ("stems", "words")), embedder, stored)
 
 
-def index_metadata(index: Index) -> DataFrame:
-    meta = index.vectors.agg(F.count(F.lit(1)).alias("count"))
-    return meta.select(F.lit(index.embedder.model).alias("model"), F.lit(index.embedder.passage_prefix).alias("prefix"), F.lit(index.embedder.dim).alias("dim"), "count")
+def index_metadata(vectors: DataFrame, embedder: Embedder) -> DataFrame:
+    meta = vectors.agg(F.count(F.lit(1)).alias("count"))
+    return meta.select(F.lit(embedder.model).alias("model"), F.lit(embedder.passage_prefix).alias("prefix"), F.lit(embedder.dim).alias("dim"), "count")
 
 
 def check_compatible(stored_model: str, stored_dim: int, embedder: Embedder) -> None:
@@ -83,8 +103,7 @@ class Retriever:
     def _sparse(self, q: DataFrame, k: int, k1: float = lexical.K1, stemmed: bool = True) -> DataFrame:
         """BM25 over stems; the unified store's text index has the tokens themselves."""
         terms = q.select("query_id", F.explode(T.sparse_tokens(F.col("text"))).alias("term"))
-        s = lexical.bm25_tokens(self.index.tokens, "chunk_id", terms, "query_id", k1, stemmed=stemmed).withColumn("score", F.bround("score", 9))
-        return lexical.top_k(s, "query_id", k, F.col("score").desc(), F.col("chunk_id"))
+        return inverted.top_k(self.index.stems if stemmed else self.index.words, terms, "query_id", k, k1).withColumnRenamed("key", "chunk_id")
 
     def _hybrid(self, q: DataFrame, k: int, weights: tuple[float, float], unified: bool = False) -> DataFrame:
         pool = fusion.candidate_pool(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -39,10 +40,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer partitions than half the cores (one small file) is dealt out, so that heavy row work runs on all of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+def spread(df: DataFrame, most_bytes: int = 64 << 20, part_bytes: int = 256 << 10) -> DataFrame:
+    """A table of at most most_bytes is dealt out in parts of about part_bytes, so that heavy row work on one small file runs on many cores.
+
+    A larger table stays as its files are split: what this shuffles is bounded by most_bytes, however wide the cluster.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // part_bytes)
+    return df.repartition(min(parts, 64)) if 1 < parts and size <= most_bytes else df
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of the files under some paths: what was derived from them holds while this stays."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for p in sorted(paths):
+        path = fs.Path(p)
+        for f in path.getFileSystem(conf).listStatus(path):
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:

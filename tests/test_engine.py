@@ -195,7 +195,7 @@ def test_strategies(spark, index, strategy):
 
 def test_fallback_without_edges_and_rerank(spark, index):
     q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
-    bare = retriever.Index(index.chunks, index.vectors, index.tokens, index.embedder)
+    bare = retriever.Index(index.chunks, index.vectors, index.stems, index.words, index.embedder)
     assert {r.retrieval_method for r in retriever.Retriever(bare).retrieve(q, "graph", 3).collect()} == {"graph_seed_only"}
     top = retriever.Retriever(index, plugins.OverlapReranker()).retrieve(q, "hybrid", 2).orderBy("rank").collect()
     assert top[0].doc_id == "d3" and top[0].retrieval_method == "hybrid+rerank" and top[0].base_retrieval_method == "hybrid"
@@ -285,11 +285,6 @@ def test_stored_indexes_are_reused_and_rebuilt(spark, index, tmp_path):
     q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
     rows = lambda i: [tuple(r) for r in retriever.Retriever(i).retrieve(q, "hybrid", 3).orderBy("rank").collect()]
     assert rows(again) == rows(index)
-    tokens = f"file://{tmp_path}/tokens"
-    with pytest.raises(FileNotFoundError):
-        lexical.stored(spark, tokens, None, "id", F.col("x"))
-    built = lexical.stored(spark, tokens, index.chunks, "chunk_id", T.sparse_tokens(F.col("text")))
-    assert lexical.stored(spark, tokens, None, "chunk_id", F.lit(None)).count() == built.count()
 
 
 def test_weights_of_unified_strategies_are_free(spark, index):
