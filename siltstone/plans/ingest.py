@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import corpus, prompt
 from siltstone.plans.base import Catalog, sql_values, values
-from siltstone.sources import files
+from siltstone.sources import files, html
 
 C = Catalog()
 
@@ -141,6 +141,21 @@ def html_extract(t, spark):
     return t("pages").select("page_id", f["title"].alias("title"), f["lang"].alias("lang"), F.md5(f["body"]).alias("h"))
 
 
+_PARTS = "string_split(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<p>')[2:]"
+_PLAIN = r"replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace({}, '<br>', chr(10)), '<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@C.add(f"""SELECT page_id, {_STRIPPED.format(_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, {_STRIPPED.format(_PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS heading,
+regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a ')) AS n_links,
+len({_PARTS}) AS n_parts, md5(array_to_string(list_transform({_PARTS}, lambda x: {_STRIPPED.format(_PLAIN.format('x'))}), '|')) AS h FROM pages""")
+def page_fields(t, spark):
+    """Fields of pages by selectors, through the HTML reader."""
+    rules = [html.Rule("title", "head > title"), html.Rule("heading", "article h1"), html.Rule("lang", "html", "attr:lang"), html.Rule("n_links", "nav li > a[href]", "count"), html.Rule("parts", "article p", "all")]
+    r = html.records(t("pages").select("page_id", "html"), "html", rules)
+    return r.select("page_id", "title", "heading", "lang", F.col("n_links").cast("long"), F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", "|")).alias("h"))
+
+
 @C.add("SELECT page_id FROM pages WHERE len(list_filter(string_split(url, '/'), lambda x: x <> '')) >= 4")
 def url_shape_filter(t, spark):
     return t("pages").where(corpus.article_url(F.col("url"))).select("page_id")

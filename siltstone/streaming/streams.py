@@ -66,6 +66,27 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     return out
 
 
+def crawl(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream lists and is not yet under path is added there; the whole table comes back.
+
+    The checkpoint lies beside the rows. A batch is written under its number, so one that is run again after a failure replaces its own rows.
+    A start after a failure may do no more than that batch, so it is started again until nothing comes.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    some = True
+    while some:
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        some = any(p.numInputRows for p in query.recentProgress)
+    if not exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows").drop("batch")
+
+
 def append_json(stream: DataFrame, path: str, checkpoint: str, line: Column):
     """An append-only log: one JSON line a row, exactly once by the sink's own log."""
     return stream.select(line.alias("value")).writeStream.format("text").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

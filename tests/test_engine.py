@@ -9,7 +9,7 @@ from siltstone.functions import text as T
 from siltstone.operators import corpus, fusion, graph, lexical, metrics, prompt, reports, vectors
 from siltstone.plans import plugins, retriever, search
 from siltstone.sources import files
-from siltstone.sources.paged import PagedSource
+from siltstone.sources import paged
 from siltstone.streaming import streams
 
 
@@ -64,7 +64,7 @@ def test_questions_have_defaults(spark, tmp_path):
 
 def test_paged_source(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"id": str(i), "text": f"t{i}"}) for i in range(25)))
-    spark.dataSource.register(PagedSource)
+    paged.register(spark)
     df = spark.read.format("paged").option("path", f"{tmp_path}/p.jsonl").option("size", "10").load()
     assert df.rdd.getNumPartitions() == 3 and df.count() == 25
 
