@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from siltstone.llm import linededup
 from siltstone.llm.linededup import remove_boilerplate
 
 
@@ -34,3 +37,24 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert remove_boilerplate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_exact_counts_are_for_near_lines_only(spark):
+    lines = [(f"all {i}", s) for i in range(3) for s in range(60)] + [(f"near {i}", s) for i in range(5) for s in range(8 + i)] + [(f"few {i}", s) for i in range(40) for s in range(1 + i % 4)]
+    docs = spark.createDataFrame([(j, text, f"s{s}") for j, (text, s) in enumerate(lines)], "doc_id long, text string, source string")
+    rows = linededup._lines(docs, "doc_id", "text", "source")
+    name = {(r.h1, r.h2): r.text for r in docs.join(rows.withColumnRenamed("k", "doc_id"), "doc_id").select("text", "h1", "h2").collect()}
+    hits = linededup.occurrences(rows, 10, 0.2)
+    assert {name[r.h1, r.h2][:3] for r in hits.collect()} == {"all", "nea"}
+    near = {name[r.h1, r.h2]: r.n for r in linededup.near_counts(hits, 10, 0.2).collect()}
+    assert near == {f"near {i}": 8 + i for i in range(5) if f"near {i}" in near} and 3 <= len(near) <= 5
+    got = remove_boilerplate(docs).where("n_removed_ > 0").select(F.substring("text", 1, 1).alias("x"), "doc_id").collect()
+    assert len(got) == 3 * 59 + (10 - 1) + (11 - 1) + (12 - 1) and all(r.x == "" for r in got)
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"one line\nmine {i}", f"s{i}", 7, "a", "b") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines_ int, __k string, ___gone string")
+    got = remove_boilerplate(df)
+    assert got.columns == [*df.columns, "n_removed_"]
+    assert {(r["__k"], r["___gone"], r.n_lines_, r.n_removed_) for r in got.collect()} == {("a", "b", 2, 0), ("a", "b", 2, 1)}
