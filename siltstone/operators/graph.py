@@ -75,12 +75,12 @@ def numbers(reference: Column) -> Column:
     return _all(reference, r"\d[\d.\-]+")
 
 
-def _parts(title: Column) -> Column:
-    """All parts of two characters or more, from a digit on, of the runs of digits, dots and dashes."""
+def _parts(title: Column, sizes: Column) -> Column:
+    """Parts of the given sizes, from a digit on, of the runs of digits, dots and dashes: as many as a title has characters, for each size."""
     runs = _all(title, r"[\d.\-]{2,}")
-    ends = lambda r, i: F.transform(F.sequence(i + 2, F.length(r)), lambda j: F.substring(r, i + 1, j - i))
-    starts = lambda r: F.flatten(F.transform(F.sequence(F.lit(0), F.length(r) - 2), lambda i: ends(r, i)))
-    return F.filter(F.flatten(F.transform(runs, starts)), lambda x: x.rlike(r"^\d[\d.\-]+$"))
+    of_size = lambda r, n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n))
+    fits = lambda r: F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(r)), lambda n: of_size(r, n)))
+    return F.filter(F.array_distinct(F.flatten(F.transform(runs, fits))), lambda x: x.rlike(r"^\d"))
 
 
 def article_id(doc: Column, article: Column) -> Column:
@@ -108,15 +108,17 @@ def documents(chunks: DataFrame) -> DataFrame:
 def cite_edges(decisions: DataFrame, laws: DataFrame) -> DataFrame:
     """(src, dst): decisions to the laws that a reference in their text names, by code name or by a number in the title.
 
-    A number that a title contains is a part of one of the title's runs of digits, dots and dashes, so titles are exploded to these parts
-    and to the code names they have, and references meet them by equality.
+    A number that a title contains is a part of one of the title's runs of digits, dots and dashes, so titles are exploded to these parts, of the
+    sizes that numbers have, and to the code names they have, and references meet them by equality. Sizes are one row, however many references.
     """
     refs = decisions.select(F.col("doc_id").alias("src"), F.explode(law_references(F.col("body"))).alias("ref"))
     codes = F.filter(F.array(*map(F.lit, NAMED_CODES)), lambda c: F.col("ref").contains(c))
     keys = refs.select("src", F.explode(F.concat(codes, numbers(F.col("ref")))).alias("key")).distinct()
+    sizes = keys.where(~F.col("key").isin(*NAMED_CODES)).agg(F.collect_set(F.length("key")).alias("__sizes"))
+    laws = laws.crossJoin(F.broadcast(sizes))
     title = F.lower("titre")
     named = F.filter(F.array(*map(F.lit, NAMED_CODES)), lambda c: title.contains(c))
-    held = laws.select(F.col("doc_id").alias("dst"), F.explode(F.array_distinct(F.concat(named, _parts(title)))).alias("key"))
+    held = laws.select(F.col("doc_id").alias("dst"), F.explode(F.array_distinct(F.concat(named, _parts(title, F.col("__sizes"))))).alias("key"))
     return keys.join(held, "key").select("src", "dst").distinct()
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +95,62 @@ def context_coverage(df: DataFrame, key: str, answer: str, context: str) -> Data
     return df.select(key).join(share, key, "left").select(key, F.bround(F.coalesce("__s", F.lit(1.0)), 4).alias("context_coverage"))
 
 
+def token_weights(texts: DataFrame, text: str, tokens) -> DataFrame:
+    """(t, w): inverse document frequencies of the tokens of reference texts, ln((n + 1) / (df + 1))."""
+    each = texts.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.agg(F.count(F.lit(1)).alias("n"))
+    return each.crossJoin(F.broadcast(n)).select("t", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("w"))
+
+
+def token_similarity(df: DataFrame, key: str, prediction: str, reference: str, vectors, weights: DataFrame | None = None, tokens=T.metric_tokens) -> DataFrame:
+    """(key, precision, recall, f1) by greedy matching of token vectors, every token to the one of the other side with the largest cosine.
+
+    vectors: a column of tokens -> a column of their unit vectors, such as an encoder gives. weights (t, w) weigh the tokens, those not listed by the
+    largest weight, as no reference has them; without weights all count the same. Cosines are matrix products row by row, in blocks; a side without tokens gives 0, as do
+    weights that are all 0.
+    """
+    sides = {"p": prediction, "r": reference}
+    d = df.select(key, *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(n) for n, c in sides.items()))
+    d = d.select("*", *(vectors(F.col(n)).alias(f"{n}v") for n in sides))
+    if weights is not None:
+        most = weights.agg(F.coalesce(F.max("w"), F.lit(1.0)).alias("__most"))
+        for n in sides:
+            w = d.select(key, F.posexplode(n).alias("i", "t")).join(weights, "t", "left").crossJoin(F.broadcast(most))
+            w = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", "__most").alias("w")))).alias("x"))
+            d = d.join(w.select(key, F.transform("x", lambda x: x.w).alias(f"{n}w")), key, "left")
+    else:
+        d = d.select("*", *(F.transform(n, lambda x: F.lit(1.0)).alias(f"{n}w") for n in sides))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [matched(*(_matrix(b.column(i)[j]) for i in (1, 2)), *(np.array(b.column(i)[j].as_py() or [], float) for i in (3, 4))) for j in range(len(b))]
+            yield pa.record_batch([b.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))], [key, "precision", "recall", "f1"])
+
+    return d.select(key, "pv", "rv", "pw", "rw").mapInArrow(run, f"`{key}` {kind}, precision double, recall double, f1 double")
+
+
+def _matrix(vectors: pa.Scalar) -> np.ndarray:
+    inner = vectors.values
+    if inner is None or not len(inner):
+        return np.zeros((0, 0))
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(inner), -1)
+
+
+def matched(p: np.ndarray, r: np.ndarray, pw: np.ndarray, rw: np.ndarray, block: int = 1024) -> tuple[float, float, float]:
+    """Precision, recall and F1 of token vectors p against r; a block of p against all of r at a time."""
+    if not len(p) or not len(r):
+        return 0.0, 0.0, 0.0
+    of_p, of_r = np.empty(len(p)), np.full(len(r), -np.inf)
+    for at in range(0, len(p), block):
+        cos = p[at : at + block] @ r.T
+        of_p[at : at + block] = cos.max(1)
+        of_r = np.maximum(of_r, cos.max(0))
+    share = lambda best, w: float(best @ w / w.sum()) if w.sum() > 0 else 0.0
+    precision, recall = share(of_p, pw), share(of_r, rw)
+    return precision, recall, 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
+
+
 # Lengths of what a semantic judge reads, and what it says of missing inputs.
 MOST_ANSWER = 1800
 MISSING = ("missing_question", "missing_answer", "missing_reference_answer", "missing_retrieved_contexts")

@@ -72,6 +72,18 @@ def trimmed_contexts(texts: Column, each: int = 900, total: int = 3600) -> Colum
     return F.aggregate(texts, start, step, lambda a: a.done)
 
 
+def within_total(rows: DataFrame, group: str, order: str, text: str, each: int = 900, total: int = 3600) -> DataFrame:
+    """Rows with their text cut to what `trimmed_contexts` may read of it, without blank ones and those behind the total: what is gathered of a group is bounded.
+
+    A text that is cut in the end loses the blanks at the cut, and the next ones may use these places, at least one each: `each` more rows suffice.
+    """
+    cut = rows.withColumn(text, T.strip(F.left(T.strip(F.coalesce(text, F.lit(""))), F.lit(each)))).where(F.col(text) != "")
+    rows_before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.withColumn("__b", F.coalesce(F.sum(F.length(text)).over(rows_before), F.lit(0)))
+    return cut.withColumn("__n", F.count_if(F.col("__b") >= total).over(so_far)).where(F.col("__n") <= each).drop("__b", "__n")
+
+
 def judge_context(titles: Column, texts: Column, most: int = 5, total: int = 2400, least: int = 120) -> Column:
     """Numbered sources of a judge's prompt: white space collapsed, cut to what is left of `total`, to `least` characters at least."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(total).alias("left"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.files import materialise
+
 # Thresholds of the analyses.
 KW_GATE, F1_GATE, COV_GATE, RANK_TOLERANCE = 0.60, 0.25, 0.55, 0.20
 F1_LOW, BERT_HIGH, JUDGE_HIGH = 0.25, 0.75, 0.60
@@ -17,14 +19,17 @@ def mean(c: str) -> Column:
     return F.coalesce(F.bround(F.avg(c), 4), F.lit(0.0)).alias(c)
 
 
-def rollup(df: DataFrame, topic: str, metrics: list[str]) -> DataFrame:
-    """Rows of every topic, the null one included, and one OVERALL row, in one aggregation."""
+def rollup(df: DataFrame, topic: str, metrics: list[str], mark: bool = False) -> DataFrame:
+    """Rows of every topic, the null one included, and one OVERALL row, in one aggregation; `mark` adds the column is_overall."""
     out = df.rollup(topic).agg(F.grouping(topic).alias("__g"), F.count(F.lit(1)).alias("n"), *map(mean, metrics))
-    return out.withColumn(topic, F.when(F.col("__g") == 1, F.lit("OVERALL")).otherwise(F.col(topic))).drop("__g")
+    out = out.withColumn(topic, F.when(F.col("__g") == 1, F.lit("OVERALL")).otherwise(F.col(topic)))
+    return (out.withColumn("is_overall", F.col("__g") == 1) if mark else out).drop("__g")
 
 
 def without_overall(df: DataFrame, topic: str) -> DataFrame:
-    """A report's rows without its OVERALL row; rows of no topic stay."""
+    """A report's rows without its OVERALL row; rows of no topic stay, and so does a topic of that name if the report marks its own row."""
+    if "is_overall" in df.columns:
+        return df.where("not is_overall").drop("is_overall")
     return df.where(~F.col(topic).eqNullSafe(F.lit("OVERALL")))
 
 
@@ -208,3 +213,51 @@ def best_by(df: DataFrame, key: str, high: list[str], low: list[str]) -> DataFra
     best = [F.max_by(key, F.struct(c, -F.col(key))).alias(c) for c in high] + [F.min_by(key, F.struct(c, key)).alias(c) for c in low]
     names = [*high, *low]
     return df.agg(*best).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("metric", key))
+
+
+#: A sketch is asked for its values at so many equal steps.
+STEPS = 64
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: list[float], most: int = 10_000, k: int = 200) -> DataFrame:
+    """(group, share, quantile): exact quantiles with linear interpolation between neighbours; nulls and NaN are no values.
+
+    A mergeable sketch brackets the ranks that a quantile lies between; only values in the bracket go on, to the next sketch while they are
+    more than `most`, then, with their counts, into one sorted row. So what is held of a group is a sketch or about `most` values, whatever its size.
+    A bracket is only taken when counts show that it holds both ranks, and a sketch that narrows nothing ends the search.
+    """
+    rows = df.select(F.col(group).alias("__k"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    share = F.explode(F.array(*map(F.lit, shares))).alias("share")
+    b = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("m")).select("__k", "m", share)
+    p = F.col("share") * (F.col("m") - 1)
+    b = b.select("__k", "share", (p - F.floor(p)).alias("part"), F.floor(p).alias("i"), F.ceil(p).alias("j"), low.alias("lo"), high.alias("hi"), F.lit(0).cast("long").alias("below"), "m")
+    slack, key, rest = 0.03, ["__k", "share"], ["part", "i", "j", "lo", "hi", "below", "m"]
+
+    def inside(b: DataFrame) -> DataFrame:
+        r = rows.withColumnRenamed("__k", "__g")
+        return b.join(r, F.col("__k").eqNullSafe(F.col("__g"))).where("v >= lo and v <= hi").drop("__g")
+
+    b = materialise(b.withColumn("open", F.col("m") > most), "quantile-brackets")
+    while not (wide := b.where("open")).isEmpty():
+        s = inside(wide).groupBy(*key, *rest).agg(F.kll_sketch_agg_double("v", F.lit(k)).alias("s"))
+        s = s.withColumn("grid", F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]))).drop("s")
+        step = lambda rank, d: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(rank) - F.col("below")) / F.col("m") + d)) * STEPS
+        s = s.withColumns({"l": F.get("grid", F.floor(step("i", -slack)).cast("int")), "h": F.get("grid", F.ceil(step("j", slack)).cast("int"))})
+        s = materialise(s.drop("grid"), "quantile-sketches")
+        less, held = F.count_if(F.col("v") < F.col("l")).alias("less"), F.count_if((F.col("v") >= F.col("l")) & (F.col("v") <= F.col("h"))).alias("held")
+        t = inside(s).groupBy(*key, *rest, "l", "h").agg(less, held)
+        holds = (F.col("below") + F.col("less") <= F.col("i")) & (F.col("j") < F.col("below") + F.col("less") + F.col("held"))
+        new = lambda a, c: F.when(holds, F.col(a)).otherwise(F.col(c)).alias(c)
+        go_on = holds & (F.col("held") > most) & (F.col("held") < 0.9 * F.col("m"))  # a bracket that stays has few values, many times each
+        t = t.withColumn("more", F.col("below") + F.col("less"))
+        t = t.select(*key, "part", "i", "j", new("l", "lo"), new("h", "hi"), new("more", "below"), new("held", "m"), go_on.alias("open"))
+        b = materialise(b.where("not open").unionByName(t), "quantile-brackets")
+    each = inside(b).groupBy(*key, "part", "i", "j", "below", "v").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy(*key, "part", "i", "j", "below").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.col("below").alias("at"), none.alias("a"), none.alias("b"))
+    pick = lambda old, c, s, x: F.when((s.at <= F.col(c)) & (F.col(c) < s.at + x.n), x.v).otherwise(old)
+    found = F.aggregate("x", start, lambda s, x: F.struct((s.at + x.n).alias("at"), pick(s.a, "i", s, x).alias("a"), pick(s.b, "j", s, x).alias("b")))
+    out = each.select(F.col("__k").alias(group), "share", "part", found.alias("f"))
+    return out.select(group, "share", (F.col("f.a") + (F.col("f.b") - F.col("f.a")) * F.col("part")).alias("quantile"))

@@ -19,6 +19,21 @@ def checked(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.where(F.assert_true(F.size(vector) == dim, F.lit(f"dimension is not {dim}")).isNull())
 
 
+#: Queries whose scores are held at a time, and the places that scores are ranked by.
+TILE, PLACES = 256, 9
+
+
+def best(score: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k columns of every row with the largest scores as they are rounded, ties to the first column; no infinite ones."""
+    n = score.shape[1]
+    least = np.partition(score, n - k, axis=1)[:, n - k] if k < n else np.full(len(score), -np.inf)
+    out = []
+    for row, low in zip(score, least, strict=True):
+        c = np.flatnonzero((row >= low - 2 * 10.0**-PLACES) & np.isfinite(row))  # all that may be rounded to the k-th score
+        out.append(c[np.argsort(-np.round(row[c], PLACES), kind="stable")[:k]])
+    return out
+
+
 def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", block_rows: int = 16_384, query_rows: int = 4_096) -> DataFrame:
     """vectors and queries (id, v) -> query_id, id, score, rank; metric ip (largest product first) or l2 (smallest squared distance first).
 
@@ -41,15 +56,23 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", bl
         a, q = m(x, "v"), m(y, "qv")
         order = np.argsort(x["id"].to_numpy(), kind="stable")
         ids, a = x["id"].to_numpy()[order], a[order]
-        score = q @ a.T if metric == "ip" else -((q * q).sum(1)[:, None] - 2 * q @ a.T + (a * a).sum(1)[None])
-        score[y["qid"].to_numpy()[:, None] == ids[None]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(score, best, axis=1)
-        rows, cols = np.nonzero(np.isfinite(value))
-        out = value[rows, cols] if metric == "ip" else -value[rows, cols]
-        return pa.table({"query_id": y["qid"].take(pa.array(rows)), "id": pa.array(ids[best[rows, cols]]), "score": pa.array(out)})
+        own, rows, cols, out = y["qid"].to_numpy(), [], [], []
+        for at in range(0, len(q), TILE):
+            t = q[at : at + TILE]
+            score = t @ a.T
+            if metric == "l2":
+                score *= 2
+                score -= (t * t).sum(1)[:, None]
+                score -= (a * a).sum(1)
+            score[own[at : at + TILE, None] == ids] = -np.inf
+            for i, c in enumerate(best(score, k)):
+                rows.append(np.full(len(c), at + i))
+                cols.append(c)
+                out.append(score[i, c] if metric == "ip" else -score[i, c])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return pa.table({"query_id": y["qid"].take(pa.array(rows)), "id": pa.array(ids[cols]), "score": pa.array(np.concatenate(out))})
 
     found = left.groupBy("b", "qb").cogroup(right.groupBy("b2", "qb2")).applyInArrow(run, f"query_id {key}, id {key}, score double")
     score = F.col("score").desc() if metric == "ip" else F.col("score").asc()
     w = Window.partitionBy("query_id").orderBy(score, "id")
-    return found.withColumn("score", F.bround("score", 9)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("score", F.bround("score", PLACES)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import metrics, prompt
+from siltstone.plans import plugins
 from siltstone.plans.base import Catalog
 
 C = Catalog()
@@ -51,6 +52,25 @@ def keyword_recall_fr(t, spark):
     return metrics.keyword_recalls(p.select("id"), "id", words, metrics.token_rows(p, "id", "answer")).select("id", F.bround("recall", 6).alias("recall"))
 
 
+_SIGNED = "{{'s': ('0x' || substr(md5({0}), 1, 8))::BIGINT % 64, 'v': substr(md5({0}), 9, 1) < '8'}}"
+_BEST = "CASE WHEN list_contains({b}, {a}) THEN 1.0 WHEN len(list_filter({b}, lambda y: y.s <> ({a}).s)) > 0 THEN 0.0 ELSE -1.0 END"
+
+
+@C.add(f"""WITH {_PAIRS}, t AS (SELECT id, {TOK.format('answer')} AS p, {TOK.format('question')} AS r FROM p),
+df AS (SELECT t, count(*) AS df FROM (SELECT id, unnest(list_distinct(r)) AS t FROM t) GROUP BY t), w AS (SELECT t, ln(((SELECT count(*) FROM t) + 1) / (df + 1)) AS w FROM df), mo AS (SELECT coalesce(max(w), 1.0) AS most FROM w),
+v AS (SELECT id, list_distinct(list_transform(p, lambda x: {_SIGNED.format('x')})) AS pv, list_distinct(list_transform(r, lambda x: {_SIGNED.format('x')})) AS rv FROM t),
+pe AS (SELECT id, sum({_BEST.format(a=_SIGNED.format('e.t'), b='rv')} * coalesce(w, most)) / nullif(sum(coalesce(w, most)), 0) AS s FROM (SELECT id, unnest(p) AS t FROM t) e JOIN v USING (id) LEFT JOIN w ON w.t = e.t, mo GROUP BY id),
+re AS (SELECT id, sum({_BEST.format(a=_SIGNED.format('e.t'), b='pv')} * coalesce(w, most)) / nullif(sum(coalesce(w, most)), 0) AS s FROM (SELECT id, unnest(r) AS t FROM t) e JOIN v USING (id) LEFT JOIN w ON w.t = e.t, mo GROUP BY id),
+b AS (SELECT id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0 ELSE coalesce(pe.s, 0.0) END AS precision, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0 ELSE coalesce(re.s, 0.0) END AS recall FROM t LEFT JOIN pe USING (id) LEFT JOIN re USING (id))
+SELECT id, round_even(precision, 6) AS precision, round_even(recall, 6) AS recall, round_even(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM b""")
+def token_similarity(t, spark):
+    """Answers against questions token by token, with weights of the questions' tokens and vectors of the hashing embedder."""
+    p = _pairs(t)
+    weights = metrics.token_weights(p, "question", T.metric_tokens)
+    s = metrics.token_similarity(p, "id", "answer", "question", plugins.HashingEmbedder().token_vectors, weights)
+    return s.select("id", *[F.bround(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # Answers with marks of sources, built from every turn.
 CITED = "text || ' [Source ' || (turn + 1) || '] et [Source ' || (conv_id % 9) || ']' || CASE conv_id % 3 WHEN 0 THEN '[Source  2]' WHEN 1 THEN '' ELSE ' [source 1]' END"
 

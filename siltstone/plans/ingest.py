@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -246,7 +249,11 @@ def graph_upsert(t, spark):
     old, new = c.where("c_custkey % 2 = 0 and k % 5 <> 1"), c.where("c_custkey % 2 = 1 and k % 5 <> 2")
     last = lambda d: corpus.first_wins(d.withColumn("o", -F.col("c_custkey")), "k", "o").select("k", F.col("c_name").alias("last_name"))
     first = lambda d: corpus.first_wins(d, "k", "c_custkey").select("k", F.col("c_name").alias("first_name"))
-    return files.upsert(last(old), last(new), ["k"]).join(files.insert_missing(first(old), first(new), ["k"]), "k")
+    path = f"{files.shared_dir(t.spark)}/graph-{uuid.uuid4().hex}"
+    for name, part, how in (("last", last, files.upsert), ("first", first, files.insert_missing)):
+        for number, rows in enumerate((old, new, new)):  # the last batch comes twice
+            files.merge_stored(f"{path}/{name}", part(rows), ["k"], str(min(number, 1)), how, 8)
+    return files.read_stored(t.spark, f"{path}/last").join(files.read_stored(t.spark, f"{path}/first"), "k")
 
 
 _CUT = STRIP.format("substr(b.x, 1, least(900, greatest(a.left, 0))::BIGINT)")
@@ -258,8 +265,9 @@ _FOLD = f"""SELECT conv_id, list_reduce(list_transform(list({STRIP.format("coale
 @C.add(f"SELECT conv_id, len(r.done) AS n, md5(array_to_string(r.done, '|')) AS h FROM ({_FOLD}) WHERE len(r.done) > 0")
 def context_truncate(t, spark):
     """All turns of a conversation as contexts: 900 characters each while 3600 last."""
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x.text)
-    c = t("conversations").groupBy("conv_id").agg(texts.alias("x")).select("conv_id", prompt.trimmed_contexts(F.col("x")).alias("c"))
+    used = prompt.within_total(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x.text)
+    c = used.groupBy("conv_id").agg(texts.alias("x")).select("conv_id", prompt.trimmed_contexts(F.col("x")).alias("c"))
     return c.where(F.size("c") > 0).select("conv_id", F.size("c").alias("n"), F.md5(F.array_join("c", "|")).alias("h"))
 
 
@@ -270,6 +278,7 @@ SELECT conv_id, len(r.done) AS n, md5(array_to_string(r.done, chr(10) || chr(10)
 def judge_context(t, spark):
     """The first five turns of a conversation as a judge's context: 2400 characters, 120 for the last source at least."""
     one = F.struct("turn", F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    c = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = t("conversations").withColumn("n", first).where("n <= 5").groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
     c = c.select("conv_id", prompt.judge_context(F.transform("x", lambda s: s.title), F.transform("x", lambda s: s.text)).alias("c"))
     return c.select("conv_id", F.size("c").alias("n"), F.md5(F.array_join("c", "\n\n")).alias("h"))

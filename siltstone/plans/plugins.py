@@ -5,10 +5,14 @@ An implementation gives Column expressions (or vectorised UDFs); nothing else of
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,8 +41,28 @@ class Generator(Protocol):
     def answer(self, prompt: Column, question: Column, contexts: Column) -> Column: ...
 
 
+def summed_slots(tokens: Column, dim: int) -> Column:
+    """Tokens -> unit vector of signed counts by slot, in Arrow batches; each distinct token of a batch is hashed once."""
+
+    @F.arrow_udf("array<float>")
+    def embed(batch: pa.Array) -> pa.Array:
+        words = batch.flatten().dictionary_encode()
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+        slot = np.array([int(h[:8], 16) % dim for h in digests], np.int64)
+        sign = np.array([1 if h[8] < "8" else -1 for h in digests], np.int64)
+        which = words.indices.to_numpy()
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+        row = np.repeat(np.arange(len(batch)), sizes)
+        v = np.bincount(row * dim + slot[which], sign[which], len(batch) * dim).reshape(-1, dim) if len(which) else np.zeros((len(batch), dim))
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, v.size + 1, dim, dtype=np.int32), pa.array(v.ravel()))
+
+    return embed(tokens)
+
+
 class HashingEmbedder:
-    """Signed feature hashing of tokens by their MD5, scaled to length one: Catalyst expressions, the same on every machine."""
+    """Signed feature hashing of tokens by their MD5, scaled to length one: the same on every machine."""
 
     passage_prefix, query_prefix = "passage: ", "query: "
 
@@ -47,17 +71,25 @@ class HashingEmbedder:
 
     def embed(self, text: Column) -> Column:
         """Slot: the first eight hexadecimal digits modulo dim; sign: plus if the ninth is below 8."""
-        hashed = F.transform(T.sparse_tokens(text), F.md5)
-        slots = F.transform(hashed, lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(self.dim)).cast("int"))
-        signed = F.zip_with(slots, hashed, lambda s, h: F.struct(s.alias("s"), F.when(F.substring(h, 9, 1) < "8", 1).otherwise(-1).alias("v")))
-        zero = F.array_repeat(F.lit(0), self.dim)
-        summed = F.aggregate(signed, zero, lambda a, x: F.concat(F.slice(a, F.lit(1), x.s), F.array(F.get(a, x.s) + x.v), F.slice(a, x.s + 2, F.lit(self.dim))))
+        return summed_slots(T.sparse_tokens(text), self.dim)
+
+
+    def token_vectors(self, tokens: Column) -> Column:
+        """Unit vectors of single tokens, for matching token by token: one slot with its sign each."""
+        dim = self.dim
 
-        def scaled(v: Column) -> Column:
-            norm = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double"))
-            return T.let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
+        @F.arrow_udf("array<array<float>>")
+        def embed(batch: pa.Array) -> pa.Array:
+            words = batch.flatten().dictionary_encode()
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+            v = np.zeros((len(digests), dim), np.float32)
+            for i, h in enumerate(digests):
+                v[i, int(h[:8], 16) % dim] = 1 if h[8] < "8" else -1
+            which = words.indices.to_numpy()
+            inner = pa.ListArray.from_arrays(np.arange(0, len(which) * dim + 1, dim, dtype=np.int32), pa.array(v[which].ravel()))
+            return pa.ListArray.from_arrays(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())).astype(np.int32), inner)
 
-        return T.let(summed, scaled)
+        return embed(tokens)
 
 
 class OverlapReranker:

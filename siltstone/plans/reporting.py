@@ -43,9 +43,8 @@ def topic_config_pivot(t, spark):
 
 @C.add(f"WITH {RUNS} SELECT model, round_even(quantile_cont(latency, 0.25), 6) AS q1, round_even(quantile_cont(latency, 0.5), 6) AS median, round_even(quantile_cont(latency, 0.75), 6) AS q3 FROM runs GROUP BY model")
 def latency_quartiles(t, spark):
-    q = F.expr("percentile(latency, array(0.25, 0.5, 0.75))")
-    d = _runs(t).groupBy("model").agg(q.alias("q"))
-    return d.select("model", *[F.bround(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = R.exact_quantiles(_runs(t), "model", "latency", [0.25, 0.5, 0.75]).groupBy("model").pivot("share", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
+    return q.toDF("model", "q1", "median", "q3").select("model", *[F.bround(n, 6).alias(n) for n in ("q1", "median", "q3")])
 
 
 @C.add(f"WITH {RUNS}, a AS (SELECT model, avg(kw) AS kw, avg(latency) AS latency FROM runs GROUP BY model), b AS (SELECT * FROM a WHERE model = 0) SELECT a.model, round_even((a.kw - b.kw) / b.kw * 100, 4) AS kw_change, round_even(-((a.latency - b.latency) / b.latency * 100), 4) AS latency_gain FROM a, b WHERE a.model <> 0")

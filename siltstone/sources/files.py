@@ -171,6 +171,38 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return old.unionByName(new.join(old, keys, "left_anti"), allowMissingColumns=True)
 
 
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that `merge_stored` keeps."""
+    return spark.read.parquet(f"{path}/rows").drop("bucket")
+
+
+def merge_stored(path: str, new: DataFrame, keys: list[str], batch: str, how=upsert, buckets: int = 64) -> bool:
+    """Merge new rows into the table under path by `upsert` or `insert_missing`; false if this batch was merged before.
+
+    Rows lie in folders by bucket of their keys, and only folders that some new row belongs to are read and written again; the files of all others
+    stay. A batch is noted when it is done, so its replay does nothing; one that was cut off is merged again, to the same result.
+    Several new rows of a key fail the job, as which of them wins would be chance.
+    """
+    spark = new.sparkSession
+    if exists(spark, f"{path}/batches/{batch}/_SUCCESS"):
+        return False
+    rows = materialise(_bucketed(new, keys, buckets), "merge-new")
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"several new rows of one key: {twice.first()}")
+    if exists(spark, f"{path}/rows"):
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # numbers below `buckets`
+        old = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(touched)) if touched else spark.read.parquet(f"{path}/rows").limit(0)
+        rows = materialise(how(old, rows, [*keys, "bucket"]), "merge-rows")  # what is read is written over
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+    spark.range(1).write.mode("overwrite").parquet(f"{path}/batches/{batch}")
+    return True
+
+
 def not_done(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed crawl still has to fetch, in order."""
     return candidates.join(done.select(key), key, "left_anti").orderBy(key)

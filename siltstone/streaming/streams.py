@@ -7,9 +7,13 @@ Event times are cast from TIMESTAMP_NTZ, which watermarks do not take. A query r
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from siltstone.sources.files import exists, shared_dir
 
@@ -87,6 +91,52 @@ def crawl(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/rows").drop("batch")
 
 
+class LastRows(StatefulProcessor):
+    """Of every key the n rows with the largest order, kept in state; a batch gives the keys whose rows changed."""
+
+    def __init__(self, names: list[str], order: str, n: int, schema: StructType):
+        self.names, self.order, self.n, self.schema = names, order, n, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", StructType([StructField("order", self.schema[self.order].dataType), StructField("row", StringType())]), StructType([StructField("value", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        have = {tuple(k): v[0] for k, v in self.kept.iterator()}
+        before = set(have)
+        for part in rows:
+            for order, row in zip(part[self.order], part["json"], strict=True):
+                have[order, row] = row
+        last = sorted(have)[-self.n :]
+        for k in before - set(last):
+            self.kept.removeKey(k)
+        for k in last:
+            if k not in before:
+                self.kept.updateValue(k, (k[1],))
+        if set(last) != before:
+            yield pd.DataFrame({"key": [key[0]] * len(last), "row": [row for _, row in last]})
+
+    def close(self) -> None:
+        pass
+
+
+def tail(stream: DataFrame, key: str, order: str, n: int = 15) -> DataFrame:
+    """(key, row): after every batch, the last n rows by `order` of the keys that changed, as JSON; late rows find their place, evicted ones are gone.
+
+    The state of a key is n rows. A batch sends n rows of each key from a partition at most, so a log that fills the stream is no load for the task that keeps it.
+    """
+    spark, names = stream.sparkSession, stream.columns
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select(F.col(key).cast("string").alias("of"), order, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("json")).where(F.col(order).isNotNull())
+
+    def last_of_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.sort_values([order, "json"]).groupby("of", dropna=False).tail(n)
+
+    kept = rows.mapInPandas(last_of_part, rows.schema)
+    processor = LastRows(names, order, n, rows.schema)
+    return kept.groupBy("of").transformWithStateInPandas(processor, "key string, row string", "Update", "None")
+
+
 def append_json(stream: DataFrame, path: str, checkpoint: str, line: Column):
     """An append-only log: one JSON line a row, exactly once by the sink's own log."""
     return stream.select(line.alias("value")).writeStream.format("text").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
