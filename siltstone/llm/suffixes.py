@@ -12,8 +12,9 @@ of a corpus (cut off at 200 bytes) do not fit one task, so they are dealt out by
 3. Sorting task, deep-shallow: multikey quicksort, breadth first over 8-byte symbols, to a depth of 64 bytes;
    groups that still share that prefix are ordered by a blind trie each. Neighbours that share 200 bytes are
    repeated. A 64-gram with more distinct strings than `most_runs` (a passage with thousands of
-   different contexts) is too much for one task, and its windows sorted in several tasks would need each of them
-   by itself, 80 times the strings' bytes; they are counted by 128-bit hash instead, with the same result.
+   different contexts) is too much for one task. Its windows are dealt anew by their smallest 112-gram, and where that has as many strings by longer
+   ones, up to the window itself; copies of a string are one at each step. So all windows are sorted, and only those that a longer gram
+   is needed for are sent again.
 
 A run counts as repeated only if two independent 64-bit hashes of its string both are; window and text hashes have 128
 bits. Matches never cross documents.
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import lean
-from .common import hash128, materialise, small_batches
+from .common import attach, hash128, materialise, small_batches
 from .shared import shared_hashes, text_batches, unpack, unplanes
 from .shingles import _BYTE, _BYTE2, _P, _P_INV, _power, mix
 
 LENGTH, GRAM = 200, 64
-WIDTH = LENGTH - GRAM + 1
+#: Longer grams that the windows of a gram with too many strings are dealt by, one after the other; the last is the window itself.
+LONGER = (112, 152, 184, LENGTH)
 SHALLOW = 64
 PLACE_BITS = 22
 BLOCK = 1 << 21
@@ -54,8 +56,8 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, number of windows, hash of the 64-gram, two hashes of the run's string) of all runs of a batch of texts."""
+def runs(data: np.ndarray, offsets: np.ndarray, size_of_gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(start, number of windows, hash of the gram, two hashes of the run's string) of all runs of a batch of texts."""
     out = []
     length = np.diff(offsets)
     for base in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
@@ -68,9 +70,9 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         np.cumsum(_BYTE[d] * _power(n, _P, "p"), out=total[1:])
         np.cumsum(_BYTE2[d] * _power(n, _P, "p"), out=second[1:])
         inverse = _power(n, _P_INV, "inverse")
-        gram = mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+        gram = mix((total[size_of_gram:] - total[:-size_of_gram]) * inverse[: n - size_of_gram + 1])
         key = ((gram >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | np.arange(len(gram), dtype=np.uint64)
-        place = (sliding_min(key, WIDTH) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        place = (sliding_min(key, LENGTH - size_of_gram + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         edge = np.zeros(n - LENGTH + 2, np.int64)  # windows inside a text
         some = length >= LENGTH
         lo, hi = offsets[:-1][some] - base, offsets[1:][some] - LENGTH + 1 - base
@@ -324,14 +326,51 @@ def sort_runs(edges: DataFrame, per_task: int) -> DataFrame:
     return edges.groupBy(F.pmod(F.xxhash64("h"), tasks).alias("task")).applyInArrow(run, "doc_id long, t1 long, t2 long, start long, end long")
 
 
-def count_windows(edges: DataFrame) -> DataFrame:
-    """The same result for 64-grams with too many strings, from counts of hashed windows, pre-aggregated before the shuffle."""
-    w = edges.withColumn("i", F.explode(F.sequence(F.lit(0), F.octet_length("str") - LENGTH)))
-    w = w.withColumn("w", F.substring("str", F.col("i") + 1, F.lit(LENGTH)))
-    w = w.select("doc_id", "t1", "t2", "s", "own", "i", *(h.alias(c) for h, c in zip(hash128("w"), ("w1", "w2"), strict=True)))
-    n = w.groupBy("w1", "w2").agg(F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("n")).where("n > 1")
-    at = F.col("s") + F.col("i")
-    return w.where("own").join(n, ["w1", "w2"]).select("doc_id", "t1", "t2", at.alias("start"), (at + LENGTH).alias("end"))
+def divide(edges: DataFrame, size_of_gram: int) -> DataFrame:
+    """The runs of the edges' strings by the smallest longer gram: doc_id, t1, t2, s, h, g1, g2, own, str."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.slice(at, 2000)
+                strings = [x.as_py() for x in part.column(5)]
+                offsets = np.append(0, np.cumsum([len(x) for x in strings])).astype(np.int64)
+                start, size, h, g1, g2 = runs(np.frombuffer(b"".join(strings), np.uint8), offsets, size_of_gram)
+                row = np.searchsorted(offsets, start, side="right") - 1
+                first = start - offsets[row]
+                take = lambda i: part.column(i).take(pa.array(row))  # noqa: B023, E731
+                text = [strings[r][f : f + n + LENGTH - 1] for r, f, n in zip(row, first, size, strict=True)]
+                hashes = [pa.array(x.view(np.int64)) for x in (h, g1, g2)]
+                yield pa.record_batch([*map(take, range(3)), pa.array(part.column(3).to_numpy()[row] + first), *hashes, take(4), pa.array(text, pa.binary())], ["doc_id", "t1", "t2", "s", "h", "g1", "g2", "own", "str"])
+
+    e = edges.select("doc_id", "t1", "t2", "s", "own", "str")
+    return e.mapInArrow(run, "doc_id long, t1 long, t2 long, s long, h long, g1 long, g2 long, own boolean, str binary")
+
+
+def sort_all(edges: DataFrame, most_runs: int, per_task: int) -> DataFrame:
+    """`sort_runs` of all edges. The windows of grams with more than most_runs distinct strings are dealt anew by longer grams, with copies of a string
+    pre-aggregated again, until no gram has as many; the last gram is the window, of which there is one string."""
+    parts = []
+    for size in LONGER:
+        many = edges.groupBy("h").agg(F.count(F.lit(1)).alias("runs"))
+        edges = materialise(attach(edges, many, ["h"], F.struct("t1", "s")), "suffixes-runs")
+        parts.append(sort_runs(edges.where(F.col("runs") <= most_runs), per_task))
+        hot = edges.where(F.col("runs") > most_runs)
+        if hot.isEmpty():
+            break
+        sub = materialise(divide(hot, size), "suffixes-divided")
+        copies = F.sum(F.when(F.col("own"), 1).otherwise(2)).alias("n")
+        groups = materialise(sub.groupBy("h", "g1", "g2").agg(copies, F.first(F.struct("doc_id", "t1", "t2", "s", "str")).alias("e")), "suffixes-groups")
+        again = attach(sub.where("own"), groups.where("n > 1").select("h", "g1", "g2"), ["h", "g1", "g2"], F.struct("t1", "s"))
+        parts.append(again.select("doc_id", "t1", "t2", F.col("s").alias("start"), (F.col("s") + F.octet_length("str")).alias("end")))
+        edges = groups.select("e.doc_id", "e.t1", "e.t2", "e.s", "h", "g1", "g2", (F.col("n") == 1).alias("own"), "e.str")
+    else:
+        parts.append(sort_runs(edges, per_task))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, most_runs: int = 5000, runs_per_task: int = 4_000) -> DataFrame:
@@ -348,10 +387,7 @@ def dedup(docs: DataFrame, with_text: bool = False, split_bytes: int = 4 << 20,
     key = ["doc_id", "t1", "t2"]
     edges = known.where(F.size("edges") > 0).select(*key, F.explode("edges").alias("e")).select(*key, "e.*")
     edges = edges.where("own").unionByName(edges.where("not own").dropDuplicates(["h", "g1", "g2"]))
-    many = edges.groupBy("h").agg(F.count(F.lit(1)).alias("runs"))
-    edges = materialise(edges.join(many, "h"), "suffixes-runs")
-    parts = sort_runs(edges.where(F.col("runs") <= most_runs), runs_per_task).unionByName(count_windows(edges.where(F.col("runs") > most_runs)))
-    parts = parts.groupBy(*(F.col(c).alias(f"p_{c}") for c in key)).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("parts"))
+    parts = sort_all(edges, most_runs, runs_per_task).groupBy(*(F.col(c).alias(f"p_{c}") for c in key)).agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("parts"))
     open_ = known.where("text is not null").select(*key, "text", "spans")
     open_ = open_.join(parts, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("t1") == F.col("p_t1")) & (F.col("t2") == F.col("p_t2")), "left")
 

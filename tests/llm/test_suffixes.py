@@ -76,3 +76,28 @@ def test_runs_across_blocks(monkeypatch):
 
 def test_empty(spark):
     assert sx.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_gram_with_thousands_of_strings_is_sorted_in_parts(spark, monkeypatch):
+    """Passages of 120 to 500 bytes in thousands of contexts, whole and in parts; no task gets more strings of a gram than the limit."""
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passages = [text(n) for n in (120, 199, 230, 500)]
+    rows = [(i, text(int(rng.integers(30, 120))) + passages[i % 4][int(rng.integers(0, 20)) :] + text(int(rng.integers(30, 120)))) for i in range(2400)]
+    rows += [(2400 + i, rows[i % 40][1] + text(i % 3)) for i in range(300)]
+    most, seen = 150, []
+    of_sort = sx.sort_runs
+    monkeypatch.setattr(sx, "sort_runs", lambda e, n: (seen.append(e.groupBy("h").count().agg({"count": "max"}).first()[0] or 0), of_sort(e, n))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sx.dedup(df, most_runs=most).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
+    assert 2 <= len(seen) <= 5 and max(seen) <= most
+
+
+def test_windows_of_any_gram_are_the_same():
+    rng = np.random.default_rng(1)
+    d, o = rng.integers(97, 100, 1500).astype(np.uint8), np.array([0, 100, 700, 1500])
+    want = sorted(np.concatenate([np.arange(a, b - 199) for a, b in zip(o, o[1:], strict=False) if b - a >= 200]).tolist())
+    for gram in (sx.GRAM, *sx.LONGER):
+        s, n, _, _, _ = sx.runs(d, o, gram)
+        assert sorted(np.concatenate([np.arange(a, a + b) for a, b in zip(s, n, strict=True)]).tolist()) == want and n.max() <= 200 - gram + 1
