@@ -190,15 +190,18 @@ def parse_date(raw: Column) -> Column:
     )
 
 
+# Characters of the Windows superset of Latin-1, and the bytes that they stand for.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WINDOWS_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+
+
 def mojibake_score(c: Column) -> Column:
     return sum((F.size(F.split(c, m)) - 1 for m in MOJIBAKE), F.lit(0))
 
 
 def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was read as Latin-1 or its Windows superset, read right if that lowers the score."""
-    windows = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-    bytes_ = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
-    latin = F.translate(c, windows, bytes_)
+    latin = F.translate(c, WINDOWS, WINDOWS_BYTES)
     fits = ~latin.rlike(r"[^\x00-\xff]")
     raw = F.when(fits, F.encode(latin, "ISO-8859-1"))
     fixed = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))

@@ -61,6 +61,29 @@ def report(results: DataFrame) -> DataFrame:
     return reports.rollup(results, "topic", ["keyword_recall", "word_f1", "context_coverage", "citation_faithfulness"])
 
 
+def k_report(runs: DataFrame, k: str = "k", metrics: tuple[str, str, str] = ("kw", "f1", "cov"), latency: str = "latency") -> DataFrame:
+    """One row for each k of a sweep: means, which k is best by what (the smaller of equals), whether the targets are met, which is recommended (best recall), and the
+    gain of recall and the added latency for each k more. Latency is best when small."""
+    from pyspark.sql import Window
+
+    g = runs.groupBy(k).agg(*map(reports.mean, metrics), F.bround(F.avg(latency), 4).alias(latency))
+    w = Window.orderBy(k)  # one row for each k
+    first = lambda order: F.row_number().over(Window.orderBy(order, k)) == 1
+    more = lambda c: F.bround((F.col(c) - F.lag(c).over(w)) / (F.col(k) - F.lag(k).over(w)), 6)
+    best = {f"best_{m}": first(F.col(m).desc()) for m in metrics} | {f"best_{latency}": first(F.col(latency).asc())}
+    kw, _, cov = metrics
+    met = (F.col(kw) >= reports.KPI_KW) & (F.col(cov) >= reports.KPI_COV)
+    return g.withColumns(best | {"meets_targets": met, "gain_per_k": more(kw), "latency_per_k": more(latency)}).withColumn("recommended", F.col(f"best_{kw}"))
+
+
+def rerank_deltas(runs: DataFrame, reranked: str, metrics: tuple[str, ...] = ("kw", "f1", "cov", "latency")) -> DataFrame:
+    """(metric, base, reranked, delta): means of runs without and with a reranker, in one pass."""
+    mean = lambda m, r: F.bround(F.avg(F.when(F.col(reranked) == r, F.col(m))), 4)
+    one = runs.agg(*[mean(m, r).alias(f"{m}_{int(r)}") for m in metrics for r in (False, True)])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_0").alias("base"), F.col(f"{m}_1").alias("reranked")) for m in metrics])).alias("r")
+    return one.select(rows).select("r.*").withColumn("delta", F.bround(F.col("reranked") - F.col("base"), 4))
+
+
 def k_sweep(ranking: DataFrame, query: str, hit: str, ks: list[int]) -> DataFrame:
     """(k, recall, step): mean share of hits among the first k rows for every k of one ranking, and the gain per added row."""
     from pyspark.sql import Window

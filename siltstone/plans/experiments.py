@@ -57,15 +57,22 @@ def source_collections(t, spark):
     return out
 
 
-@C.add(r"""WITH b AS (SELECT page_id, url, html, regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS b FROM pages),
+@C.add(r"""WITH h AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN replace(html, '</article>', ' <time datetime="2021-0' || (1 + page_id % 9) || '-05"></time></article>') WHEN 1 THEN replace(html, '</article>', ' le ' || (10 + page_id % 30) || '/11/2020</article>') ELSE html END AS html FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)),
+b AS (SELECT page_id, url, html, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS b FROM h),
 x AS (SELECT *, regexp_replace(regexp_extract(b, '(?is)<title>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') AS title, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '(?is)<title>.*?</title>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM b)
-SELECT page_id, title, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS category, regexp_extract(coalesce(html, ''), '(?i)<(?:time|meta)[^>]*(?:datetime|content)="(\d{4}-\d{2}-\d{2})', 1) AS stamp FROM x
+SELECT page_id, title, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS category, CASE WHEN stamp <> '' THEN stamp ELSE coalesce(strftime(try_strptime(nullif(regexp_extract(body, '(\d{2}/\d{2}/\d{4})', 1), ''), '%d/%m/%Y'), '%Y-%m-%d'), '') END AS date
+FROM (SELECT *, regexp_extract(html, '(?i)<(?:time|meta)[^>]*(?:datetime|content)="(\d{4}-\d{2}-\d{2})', 1) AS stamp FROM x)
 WHERE NOT regexp_matches(title, '(?i)\b404\b|page non trouv|not found') AND length(body) >= 50""")
 def page_records(t, spark):
-    f = corpus.page_record(F.coalesce("html", F.lit("")), F.col("url"))
-    stamp = F.when(f["date"].rlike(r"^\d{4}-"), F.regexp_extract(F.coalesce("html", F.lit("")), r'(?i)<(?:time|meta)[^>]*(?:datetime|content)="(\d{4}-\d{2}-\d{2})', 1)).otherwise("")
-    p = t("pages").where(corpus.usable_page(f["title"], f["body"]))
-    return p.select("page_id", f["title"].alias("title"), f["category"].alias("category"), stamp.alias("stamp"))
+    """Pages with a stamp put into a third of them and a written date, sometimes of no such day, into another."""
+    n, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    ends = lambda c: F.replace(html, F.lit("</article>"), F.concat(c, F.lit("</article>")))
+    stamp = F.concat(F.lit(' <time datetime="2021-0'), (1 + n % 9).cast("string"), F.lit('-05"></time>'))
+    written = F.concat(F.lit(" le "), (10 + n % 30).cast("string"), F.lit("/11/2020"))
+    p = t("pages").withColumn("html", F.when(n % 3 == 0, ends(stamp)).when(n % 3 == 1, ends(written)).otherwise(html))
+    f = corpus.page_record(F.col("html"), F.col("url"))
+    p = p.where(corpus.usable_page(f["title"], f["body"]))
+    return p.select("page_id", f["title"].alias("title"), f["category"].alias("category"), f["date"].alias("date"))
 
 
 @C.add("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 1 AND c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 AND c_custkey % 7 <> 0 THEN c_name WHEN c_custkey % 2 = 1 AND c_custkey % 5 <> 0 THEN c_mktsegment END END AS payload FROM customer WHERE c_custkey % 3 = 0 OR (c_custkey % 2 = 1 AND c_custkey % 5 <> 0)")

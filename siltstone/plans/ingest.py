@@ -190,10 +190,11 @@ def parse_date_fr(t, spark):
 
 @C.add("SELECT doc_id, md5(text) AS h, regexp_matches(text, '[\u00a1-\u00ff]') AS damaged FROM documents")
 def mojibake_repair(t, spark):
-    """Every text read as a one-byte encoding comes back as it was; the damage shows where it has accented letters."""
-    damaged = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
-    d = t("documents").where(F.col("text").isNull() | (F.col("text") == F.decode(F.encode("text", "UTF-8"), "UTF-8"))).withColumn("d", F.when(F.col("text").rlike("[\u00a1-\u00ff]"), damaged).otherwise(F.col("text")))
-    return d.select("doc_id", F.md5(T.repair_mojibake(F.col("d"))).alias("h"), F.col("text").rlike("[\u00a1-\u00ff]").alias("damaged"))
+    """Every text read as Latin-1 or as its Windows superset comes back as it was; the damage shows where it has accented letters."""
+    latin = F.decode(F.encode(F.col("text"), "UTF-8"), "ISO-8859-1")
+    windows = F.translate(latin, T.WINDOWS_BYTES, T.WINDOWS)
+    damaged = F.when(F.col("text").rlike("[\u00a1-\u00ff]"), F.when(F.col("doc_id") % 2 == 1, windows).otherwise(latin)).otherwise(F.col("text"))
+    return t("documents").select("doc_id", F.md5(T.repair_mojibake(damaged)).alias("h"), F.col("text").rlike("[\u00a1-\u00ff]").alias("damaged"))
 
 
 @C.add("SELECT DISTINCT url FROM pages WHERE regexp_extract(url, '^https?://([^/]+)', 1) NOT IN (SELECT min(regexp_extract(url, '^https?://([^/]+)', 1)) FROM pages)")
@@ -232,6 +233,23 @@ def audit_hash_preview(t, spark):
     return t("conversations").select("conv_id", "turn", F.sha2("text", 256).alias("h"), T.preview(F.col("text")).alias("preview"))
 
 
+_PREVIEW = "CASE WHEN length({0}) > 240 THEN substr({0}, 1, 239) || '…' ELSE {0} END"
+_FLAT = r"regexp_replace(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_SIDE = "{{'preview': {1}, 'sha256': sha256({0}), 'chars': length({0})::INT}}"
+_EVENT = "{{'timestamp': conv_id || ':' || turn, 'query': {0}, 'answer': {1}, 'method': 'hybrid', 'chunks': [conv_id, conv_id + 1]}}"
+
+
+@C.add(f"""WITH m AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, text, answer, {_FLAT.format('text')} AS f, {_FLAT.format('answer')} AS g FROM m WHERE role = 'user' AND r = 'assistant')
+SELECT conv_id, turn, md5(to_json({_EVENT.format(_SIDE.format('text', _PREVIEW.format('f')), _SIDE.format('answer', _PREVIEW.format('g')))})::VARCHAR) AS h FROM p""")
+def audit_events(t, spark):
+    """The line of the audit log for every question and answer."""
+    p = prompt.pairs(t("conversations"))
+    stamp = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    line = prompt.audit_event(stamp, F.col("question"), F.col("answer"), F.lit("hybrid"), F.array("conv_id", F.col("conv_id") + 1))
+    return p.select("conv_id", "turn", F.md5(line).alias("h"))
+
+
 @C.add("SELECT event_type AS run, event_id, value FROM (SELECT *, max(date_trunc('day', ts)) OVER (PARTITION BY event_type) AS last FROM events) WHERE date_trunc('day', ts) = last")
 def latest_run(t, spark):
     e = t("events").select("event_type", "event_id", "value", F.date_format("ts", "'run_'yyyyMMdd'.jsonl'").alias("file"))

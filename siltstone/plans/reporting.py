@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import reports as R
+from siltstone.plans import evaluate
 from siltstone.plans.base import Catalog
 
 C = Catalog()
@@ -261,3 +262,22 @@ def aligned_ids(t, spark):
 def source_cards(t, spark):
     m = F.create_map(F.lit("document_nature"), F.col("lang"), F.lit("document_number"), F.col("doc_id").cast("string"), F.lit("jurisdiction"), F.lit(""))
     return t("documents").select("doc_id", R.label(m, F.col("source")).alias("card"))
+
+
+_K = "CASE model WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 8 ELSE 10 END"
+
+
+@C.add(f"""WITH {RUNS}, g AS (SELECT {_K} AS k, {_avg('kw', 'f1', 'cov')}, round_even(avg(latency), 4) AS latency FROM runs GROUP BY 1)
+SELECT k, kw, f1, cov, latency, row_number() OVER (ORDER BY kw DESC, k) = 1 AS best_kw, row_number() OVER (ORDER BY f1 DESC, k) = 1 AS best_f1, row_number() OVER (ORDER BY cov DESC, k) = 1 AS best_cov,
+row_number() OVER (ORDER BY latency, k) = 1 AS best_latency, kw >= 0.55 AND cov >= 0.60 AS meets_targets, round_even((kw - lag(kw) OVER (ORDER BY k)) / (k - lag(k) OVER (ORDER BY k)), 6) AS gain_per_k,
+round_even((latency - lag(latency) OVER (ORDER BY k)) / (k - lag(k) OVER (ORDER BY k)), 6) AS latency_per_k, row_number() OVER (ORDER BY kw DESC, k) = 1 AS recommended FROM g""")
+def k_report(t, spark):
+    """A sweep over k, the runs of each model standing for one k."""
+    return evaluate.k_report(_runs(t).withColumn("k", F.expr(_K)))
+
+
+@C.add(f"""WITH {RUNS}, m AS (SELECT unnest(['kw', 'f1', 'cov', 'latency']) AS metric, unnest([kw, f1, cov, latency]) AS v, id % 2 = 1 AS r FROM runs WHERE model = 2),
+a AS (SELECT metric, round_even(avg(v) FILTER (NOT r), 4) AS base, round_even(avg(v) FILTER (r), 4) AS reranked FROM m GROUP BY metric) SELECT *, round_even(reranked - base, 4) AS delta FROM a""")
+def rerank_deltas(t, spark):
+    """Runs at k = 8 with odd ids stand for those with a reranker."""
+    return evaluate.rerank_deltas(_runs(t).where("model = 2").withColumn("r", F.col("id") % 2 == 1), "r")

@@ -126,7 +126,26 @@ f AS (SELECT w, query_id, id, round_even(coalesce(w / (60 + d), 0) + coalesce(ro
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, id) AS n FROM f)
 SELECT w, round_even(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM o JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE n <= 5 GROUP BY w""")
 def rrf_weight_grid(t, spark):
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("w"), F.lit(b).alias("v")) for a, b in fusion.weight_grid()]))
+    return _hit_rates(t, fusion.weight_grid())
+
+
+_RATES = f"""u AS (SELECT query_id, id, min(rank) FILTER (k = 1) AS d, min(rank) FILTER (k = 2) AS s FROM (SELECT query_id, id, rank, 1 AS k FROM r WHERE rank <= 100 UNION ALL SELECT query_id, id, rank, 2 FROM z WHERE rank <= 100) GROUP BY 1, 2),
+f AS (SELECT w, query_id, id, round_even(coalesce(w / (60 + d), 0) + coalesce(round_even(1 - w, 2) / (60 + s), 0), 10) AS score FROM u, (SELECT round_even(i / 20.0::DOUBLE, 2) AS w FROM range(1, 20) t(i))),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, w ORDER BY score DESC, id) AS n FROM f),
+h AS (SELECT w, round_even(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM o JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE n <= 5 GROUP BY w),
+c AS (SELECT w FROM h WHERE round_even(w * 100, 0) % 10 = 0 ORDER BY hit_rate DESC, w LIMIT 1)"""
+
+
+@C.add(f"WITH {IP}, {SECOND}, {_RATES} SELECT h.w, hit_rate FROM h, c WHERE round_even(h.w * 100, 0) % 10 <> 0 AND abs(h.w - c.w) < 0.1001")
+def rrf_fine_grid(t, spark):
+    """Weights around the best one of the coarse grid; its nine rows come to the driver."""
+    coarse = {r.w: r.hit_rate for r in _hit_rates(t, fusion.weight_grid()).collect()}
+    return _hit_rates(t, fusion.fine_grid(min(coarse, key=lambda w: (-coarse[w], w)), set(coarse)))
+
+
+def _hit_rates(t, weights: list[tuple[float, float]]):
+    """(w, hit_rate) of fused rankings for each pair of weights."""
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("w"), F.lit(b).alias("v")) for a, b in weights]))
     spread = lambda d: d.select("query_id", "id", "rank", grid.alias("g")).select("query_id", "id", "rank", "g.w", "g.v")
     fused = fusion.reciprocal_rank(spread(_search(t, 100, "ip")), spread(_second(t, 100)), "query_id", "id", 5, F.col("w"), F.col("v"), ("w", "v"))
     e = t("embeddings")
