@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters of a chunk, of its overlap, of the least chunk and of the largest.
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK, HARD_MAX = 1800, 200, 100, 2200
 # What the three tokenizers and counters of the corpus format count as a token.
 METRIC_TOKEN = "[a-zàâäéèêëîïôöùûüç]+"
@@ -215,6 +216,10 @@ def json_block(c: Column) -> Column:
     return F.when(bare.startswith("{"), bare).otherwise(found)
 
 
+# What a judge calls a good and a bad answer.
+GOOD, BAD = ("acceptable", "accept", "correct", "ok"), ("incorrect", "wrong", "reject", "bad")
+
+
 def judge_reply(c: Column) -> Column:
     """score (0 to 1, 4 places), label, reason, error of a judge's JSON reply."""
     block = json_block(c)
@@ -222,7 +227,7 @@ def judge_reply(c: Column) -> Column:
     raw = F.try_variant_get(v, "$.score", "double")
     score = F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
     verdict = F.lower(strip(F.try_variant_get(v, "$.verdict", "string")))
-    label = F.when(verdict.isin("acceptable", "accept", "correct", "ok"), F.lit("acceptable")).when(verdict.isin("incorrect", "wrong", "reject", "bad"), F.lit("incorrect"))
+    label = F.when(verdict.isin(*GOOD), F.lit("acceptable")).when(verdict.isin(*BAD), F.lit("incorrect"))
     reason = F.nullif(strip(F.try_variant_get(v, "$.reason", "string")), F.lit(""))
     error = (
         F.when(block == "", F.lit("Judge returned non-JSON output"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
+# The version that records name, and how a page says that it was not found.
 METADATA_VERSION = "2026-03-traceability-v1"
+NOT_FOUND = r"(?i)\b404\b|page non trouv|not found"
 # Canonical metadata keys and the raw keys that they are taken from.
 CANONICAL = {
     "document_number": "numero", "document_nature": "nature", "jurisdiction": "juridiction", "case_id": "idbd", "journal_number": "journal_numero", "category": "category",
@@ -93,7 +95,7 @@ def page_record(html: Column, url: Column) -> dict[str, Column]:
 
 def usable_page(title: Column, body: Column, least: int = 50) -> Column:
     """Neither a page that says it was not found nor one with under `least` characters of text."""
-    return ~title.rlike(r"(?i)\b404\b|page non trouv|not found") & (F.length(body) >= least)
+    return ~title.rlike(NOT_FOUND) & (F.length(body) >= least)
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

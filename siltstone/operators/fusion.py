@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The constant of reciprocal ranks and the weights of the two rankings.
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.3, 0.7
 
 

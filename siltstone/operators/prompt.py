@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
+# What stands between sources, sizes of snippets and follow-ups, pairs of history; so are the words of `prompts`.
 SEPARATOR = "\n\n---\n\n"
 SNIPPET, FOLLOW_UP, PAIRS = 600, 100, 3
 

@@ -79,11 +79,16 @@ def proximity(c: str, threshold: float, span: float) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.least(F.abs(F.col(c) - threshold) / span, F.lit(1.0))), F.lit(0.0))
 
 
+# Weights of the gap between metrics, of three near thresholds and of a judge's doubt.
+AMBIGUITY = (0.45, 0.20, 0.20, 0.10, 0.05)
+
+
 def ambiguity(f1: str = "word_f1", bert: str = "bertscore_f1", cov: str = "context_coverage", cit: str = "citation_faithfulness", judge: str = "judge_score") -> Column:
     apart = F.col(bert) - F.col(f1)
     gap = F.when(apart.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), apart)))
     near = [proximity(c, *AMBIGUOUS[n]) for c, n in ((f1, "word_f1"), (cov, "context_coverage"), (cit, "citation_faithfulness"))]
-    return F.bround(0.45 * gap + 0.20 * near[0] + 0.20 * near[1] + 0.10 * near[2] + 0.05 * proximity(judge, 0.50, 0.25), 4)
+    parts = [gap, *near, proximity(judge, 0.50, 0.25)]
+    return F.bround(sum((w * p for w, p in zip(AMBIGUITY[1:], parts[1:], strict=True)), AMBIGUITY[0] * parts[0]), 4)
 
 
 def ambiguity_signals(f1: str = "word_f1", bert: str = "bertscore_f1", cov: str = "context_coverage", cit: str = "citation_faithfulness", judge: str = "judge_score") -> Column:

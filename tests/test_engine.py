@@ -291,3 +291,32 @@ def test_weights_of_unified_strategies_are_free(spark, index):
     q = spark.createDataFrame([(1, "salary wages number3")], "query_id long, text string")
     score = lambda w: [r.score for r in retriever.Retriever(index).retrieve(q, "unified", 3, weights=w).orderBy("rank").collect()]
     assert score((0.9, 0.1))[0] > 2 * score((0.2, 0.1))[0]
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", None), (2, "é,;", "x")], "id long, text string, note string")
+    files.write_jsonl(df, f"file://{tmp_path}/j")
+    lines = [json.loads(x) for p in (tmp_path / "j").glob("*.json") for x in p.read_text().splitlines()]
+    assert sorted(lines, key=lambda r: r["id"]) == [{"id": 1, "text": "a\nb"}, {"id": 2, "text": "é,;", "note": "x"}]
+    files.write_csv(df.where("id = 2"), f"file://{tmp_path}/c", ";")
+    assert [tuple(r) for r in spark.read.option("header", "true").option("sep", ";").csv(f"file://{tmp_path}/c").collect()] == [("2", "é,;", "x")]
+
+
+def test_saved_tables_join_without_a_shuffle(spark, tmp_path):
+    name = f"t{abs(hash(str(tmp_path)))}"
+    df = spark.range(100).selectExpr("cast(id as string) as chunk_id", "id as n")
+    try:
+        for n in ("a", "b"):
+            files.save_table(df, f"{name}{n}", "chunk_id", 4)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both = files.open_table(spark, f"{name}a").join(files.open_table(spark, f"{name}b").withColumnRenamed("n", "m"), "chunk_id")
+        assert both.count() == 100 and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("a", "b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}{n}")
+
+
+def test_citations_are_taken_out(spark):
+    d = spark.createDataFrame([("Yes [Source 1]. No [source 2] [Source  3]",), (None,)], "a string")
+    assert [r.x for r in d.select(T.without_citations(F.col("a")).alias("x")).collect()] in (["Yes. No [source 2]", None], ["Yes. No", None])
