@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -106,6 +106,15 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.withColumn(text, F.col("__t")).withColumn("chunk_id", F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_index").cast("string"))).drop("__c", "__t")
 
 
+def write_chunks(docs: DataFrame, path: str, same: str, *order: str, key: str = "doc_id", text: str = "text") -> dict[str, int]:
+    """Write the chunks of the first documents of each `same` to path; documents, duplicates, skipped ones (without a chunk) and chunks come from that one pass."""
+    read, kept, made = Observation("read"), Observation("kept"), Observation("made")
+    first = first_wins(docs.observe(read, F.count(F.lit(1)).alias("n")), same, *order).observe(kept, F.count(F.lit(1)).alias("n"))
+    done = chunks(first, key, text).observe(made, F.count(F.lit(1)).alias("n"), F.count_if(F.col("chunk_index") == 0).alias("chunked"))
+    done.write.mode("overwrite").parquet(path)
+    return {"documents": read.get["n"], "duplicates": read.get["n"] - kept.get["n"], "skipped": kept.get["n"] - made.get["chunked"], "chunks": made.get["n"]}
+
+
 def normalised_metadata(raw: Column, source: Column) -> Column:
     """Canonical keys over the raw ones; empty values never override."""
     names = F.array(*map(F.lit, CANONICAL), F.lit("source_url"), F.lit("metadata_schema_version"))
@@ -132,15 +141,6 @@ def process(raw: DataFrame, processed_at: str) -> DataFrame:
     return out.select("chunk_id", "doc_id", "chunk_index", "total_chunks", *text, "metadata", "ingestion")
 
 
-def corpus_counts(docs: DataFrame, key: str, text: str, *order: str) -> DataFrame:
-    """documents, duplicates, skipped (without chunks) and chunks, as one row."""
-    unique = first_wins(docs, key, *order)
-    n = unique.select(F.size(T.pack_chunks(T.paragraphs(T.clean(F.col(text))))).alias("n"))
-    total = docs.agg(F.count(F.lit(1)).alias("documents"))
-    rest = n.agg(F.count(F.lit(1)).alias("u"), F.count_if(F.col("n") == 0).alias("skipped"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
-    return total.join(F.broadcast(rest)).select("documents", (F.col("documents") - F.col("u")).alias("duplicates"), "skipped", "chunks")
-
-
 # How lines of page furniture start, and what marks the start of content.
 BOILERPLATE = (
     r"(?i)^(Aller au contenu|Aller.+navigation|Aller.+recherche|Accueil$|Journaux$|Categories$|Editos$|Guide|A propos|Nous contacter|Mentions|Plan du site|Sites li|"

@@ -77,7 +77,8 @@ def chunk_documents(t, spark):
 
 @C.add(CHUNKS + ", d AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents) - (SELECT count(*) FROM d) AS duplicates, (SELECT count(*) FROM d LEFT JOIN f USING (doc_id) WHERE coalesce(len(chunks), 0) = 0) AS skipped, (SELECT sum(len(chunks))::BIGINT FROM d JOIN f USING (doc_id)) AS chunks")
 def chunk_stats(t, spark):
-    return corpus.corpus_counts(t("documents"), "text", "text", "doc_id")
+    counts = corpus.write_chunks(t("documents").select("doc_id", "text"), f"{files.shared_dir(t.spark)}/chunks-{uuid.uuid4().hex}", "text", "doc_id")
+    return t.spark.createDataFrame([counts], "documents long, duplicates long, skipped long, chunks long")
 
 
 @C.add(f"SELECT doc_id, md5({TAIL.format('text')}) AS h FROM documents")
@@ -132,7 +133,7 @@ def metadata_normalise(t, spark):
 @C.add("SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type FROM events")
 def metadata_unpack(t, spark):
     packed = files.pack_metadata(t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type"), ["event_id"])
-    return files.unpack_metadata(packed, {"k": "long", "event_type": "string"}).drop("metadata_json")
+    return files.unpack_metadata(packed, {"k": "long", "event_type": "string"}).drop("metadata")
 
 
 @C.add(r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS b FROM pages),

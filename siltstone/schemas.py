@@ -7,7 +7,7 @@ INGESTION = "struct<processed_at_utc:string,pipeline:string,source_file:string,c
 CHUNK = f"chunk_id string, doc_id string, chunk_index int, total_chunks int, titre string, text string, date string, source string, type string, metadata map<string,string>, ingestion {INGESTION}"
 VECTOR = "chunk_id string, vector array<float>"
 INDEX_META = "model string, prefix string, dim int, count long"
-UNIFIED = "vector array<float>, text string, doc_id string, chunk_id string, source string, title string, metadata_json string"
+UNIFIED = "vector array<float>, text string, doc_id string, chunk_id string, source string, title string, metadata variant"
 QUESTION = "id string, question string, reference_answer string, reference_keywords array<string>, topic string"
 #: The superset of all generations of result files; absent columns read as null.
 RESULT = (

@@ -132,16 +132,27 @@ def read_benchmarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pack_metadata(df: DataFrame, fixed: list[str]) -> DataFrame:
-    """Columns beyond the fixed ones as one JSON column: rows of the unified table."""
+    """Columns beyond the fixed ones as one VARIANT column: rows of the unified table, whose fields are read without parsing a text."""
     rest = [c for c in df.columns if c not in fixed]
-    return df.select(*fixed, F.to_json(F.struct(*rest)).alias("metadata_json"))
+    return df.select(*fixed, F.to_variant_object(F.struct(*rest)).alias("metadata"))
 
 
 def unpack_metadata(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    v = F.try_parse_json("metadata_json")
+    """Columns of fields of `metadata` (VARIANT) or, in tables of older form, of `metadata_json` (a text); what is missing or of another type is null."""
+    v = F.col("metadata") if "metadata" in df.columns else F.try_parse_json("metadata_json")
     return df.withColumns({name: F.try_variant_get(v, f"$.{name}", kind) for name, kind in fields.items()})
 
 
+#: Columns of the unified table beside its metadata.
+UNIFIED = ["vector", "text", "doc_id", "chunk_id", "source", "title"]
+
+
+def save_unified(chunks: DataFrame, vectors: DataFrame, name: str, dim: int, buckets: int = 64) -> None:
+    """The unified table: chunks with their vectors and metadata, bucketed and sorted by chunk, so that payloads meet ranked chunks
+    without a shuffle of the table."""
+    save_table(pack_metadata(join_vectors(vectors, chunks, dim), UNIFIED), name, "chunk_id", buckets)
+
+
 def join_vectors(vectors: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
     """Vectors with their chunks by id; a missing partner or another dimension fails the job, as the count check of a zip would."""
     both = vectors.join(chunks, "chunk_id", "full")

@@ -320,3 +320,35 @@ def test_saved_tables_join_without_a_shuffle(spark, tmp_path):
 def test_citations_are_taken_out(spark):
     d = spark.createDataFrame([("Yes [Source 1]. No [source 2] [Source  3]",), (None,)], "a string")
     assert [r.x for r in d.select(T.without_citations(F.col("a")).alias("x")).collect()] in (["Yes. No [source 2]", None], ["Yes. No", None])
+
+
+def test_counts_come_from_the_write(spark, tmp_path):
+    text = "Un paragraphe assez long pour un morceau. " * 60
+    rows = [(i, f"{text} {i}") for i in range(20)] + [(100 + i, f"{text} {i % 5}") for i in range(7)] + [(200, ""), (201, None), (202, "court")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = corpus.write_chunks(df, f"file://{tmp_path}/c", "text", "doc_id")
+    written = spark.read.parquet(f"file://{tmp_path}/c")
+    assert counts == {"documents": 30, "duplicates": 7, "skipped": 23 - written.select("doc_id").distinct().count(), "chunks": written.count()} and counts["chunks"] > 20
+
+
+def test_unified_table_holds_variants_and_joins_without_its_shuffle(spark, tmp_path):
+    name = f"u{abs(hash(str(tmp_path)))}"
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i // 3}", f"text {i}", "s", "t", i, {"a": str(i)}) for i in range(50)], "chunk_id string, doc_id string, text string, source string, title string, chunk_index int, more map<string,string>")
+    vectors_ = spark.createDataFrame([(f"c{i}", [float(i), 1.0]) for i in range(50)], "chunk_id string, vector array<float>")
+    try:
+        files.save_unified(chunks, vectors_, name, 2, 4)
+        table = files.open_table(spark, name)
+        assert dict(table.dtypes)["metadata"] == "variant"
+        got = files.unpack_metadata(table, {"chunk_index": "int", "more.a": "string", "none": "string"}).select("chunk_id", "chunk_index", F.col("`more.a`").alias("a"), "none").collect()
+        assert sorted((r.chunk_id, r.chunk_index, r.a, r.none) for r in got) == sorted((f"c{i}", i, str(i), None) for i in range(50))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ranked = spark.range(10).selectExpr("concat('c', id) as chunk_id", "id as rank")
+        joined = ranked.join(table.select("chunk_id", "text"), "chunk_id")
+        assert joined.count() == 10 and joined._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the ranked rows
+        old = spark.createDataFrame([('{"a": 5}',), ("bad",), (None,)], "metadata_json string")
+        assert [r.a for r in files.unpack_metadata(old, {"a": "long"}).collect()] == [5, None, None]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
