@@ -81,6 +81,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def rewrite_in_order(spark: SparkSession, path: str, to: str, schema: str, *order: str) -> None:
+    """Result lines in the order they were completed -> the same lines sorted over all files of `to`: ranges are sorted each by itself, and files are named in order."""
+    df = spark.read.schema(schema).json(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "true").json(to)
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     q = spark.read.schema(schemas.QUESTION).option("multiLine", "true").json(path)
     return q.withColumn("topic", F.coalesce("topic", F.lit("general"))).withColumn("reference_keywords", F.coalesce("reference_keywords", F.array().cast("array<string>")))

@@ -352,3 +352,18 @@ def test_unified_table_holds_variants_and_joins_without_its_shuffle(spark, tmp_p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_results_are_rewritten_in_order_over_several_files(spark, tmp_path):
+    schema = "question_id int, answer string"
+    rows = [((i * 37) % 500, f"a{i}") for i in range(500)]
+    for part in (rows[:200], rows[200:210], rows[210:]):  # as runs add them
+        spark.createDataFrame(part, schema).write.mode("append").json(f"file://{tmp_path}/runs")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.rewrite_in_order(spark, f"file://{tmp_path}/runs", f"file://{tmp_path}/sorted", schema, "question_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "sorted").glob("*.json"))
+    ids = [json.loads(x)["question_id"] for p in parts for x in p.read_text().splitlines()]
+    assert len(parts) > 3 and ids == list(range(500))
