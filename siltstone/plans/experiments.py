@@ -18,27 +18,37 @@ RAW = {
     "type": "CASE doc_id % 6 WHEN 0 THEN 'legislation' WHEN 1 THEN 'regulation' WHEN 2 THEN 'case' WHEN 3 THEN 'tai' WHEN 4 THEN 'legislativeWork' ELSE 'other' END",
     "path": "CASE WHEN doc_id % 50 = 7 THEN '' ELSE '/' || lang || '/' || doc_id || '@2024.01.0' || (doc_id % 9 + 1) END", "title": "'Acte ' || doc_id", "enBody": "CASE WHEN doc_id % 11 = 3 THEN ' ' ELSE text END",
     "date": "'20' || (10 + doc_id % 15) || '-01-01'", "tncNature": "source", "number": "'' || (doc_id % 700)", "jurisdiction": "CASE doc_id % 4 WHEN 0 THEN 'tribunal-travail' WHEN 1 THEN 'cour-appel' ELSE NULL END",
+    "legislationAbrogated": "CASE WHEN doc_id % 5 = 0 THEN '2020-0' || (1 + doc_id % 9) || '-01' END", "regulationAbrogated": "CASE WHEN doc_id % 5 = 1 THEN 'oui' END", "idbd": "'bd' || (doc_id * 7)",
+    "parties": "CASE WHEN doc_id % 3 = 1 THEN substr(text, 1, 40) END", "caseAbstract": "substr(text, 5, 80)", "interest": "CASE WHEN doc_id % 7 = 2 THEN 'majeur' END",
 }
 _RAW_SQL = ", ".join(f"{e} AS {n}" for n, e in RAW.items())
-_THEMES_SQL = "CASE doc_id % 3 WHEN 0 THEN ['travail', lang] WHEN 1 THEN [lang] ELSE NULL END AS thematic"
+LISTS = {"thematic": ("doc_id % 3 = 0", "'travail', lang", "doc_id % 3 = 1", "lang"), "enTitle": ("doc_id % 4 = 0", "'Art. ' || doc_id, substr(text, 1, 20)", "doc_id % 4 = 1", "'Art. 1'"), "lnks": ("doc_id % 5 = 2", "'/a/' || doc_id", "doc_id % 5 = 3", "'/b', '/c'")}
+_THEMES_SQL = ", ".join(f"CASE WHEN {a} THEN [{x}] WHEN {b} THEN [{y}] END AS {n}" for n, (a, x, b, y) in LISTS.items())
 _ROWS = f"x AS (SELECT doc_id, {_RAW_SQL}, {_THEMES_SQL} FROM documents)"
 
 
 def _rows(t):
-    themes = F.expr("CASE doc_id % 3 WHEN 0 THEN array('travail', lang) WHEN 1 THEN array(lang) ELSE NULL END")
-    return t("documents").select("doc_id", *(F.expr(e).alias(n) for n, e in RAW.items()), themes.alias("thematic"))
+    lists = [F.expr(f"CASE WHEN {a} THEN array({x}) WHEN {b} THEN array({y}) END").alias(n) for n, (a, x, b, y) in LISTS.items()]
+    return t("documents").select("doc_id", *(F.expr(e).alias(n) for n, e in RAW.items()), *lists)
 
 
 _KIND = "CASE " + " ".join(f"WHEN type = '{k}' THEN '{v[0]}'" for k, v in corpus.RECORDS.items()) + " END"
 
 
+_KEYS = sorted({k for _, fields in corpus.RECORDS.values() for k in fields})
+
+
+def _field(key: str) -> str:
+    """A metadata key of every type that has it: the text, or the list as JSON, of its raw field."""
+    value = lambda raw: f"coalesce(to_json({raw})::VARCHAR, '[]')" if raw in LISTS else f"coalesce({raw}, '')"
+    return "CASE type " + " ".join(f"WHEN '{kind}' THEN {value(fields[key])}" for kind, (_, fields) in corpus.RECORDS.items() if key in fields) + f" END AS {key}"
+
+
 @C.add(f"""WITH {_ROWS}, p AS (SELECT *, string_split(coalesce(path, ''), '@')[1] AS clean FROM x WHERE type <> 'other')
-SELECT substr(md5(clean), 1, 12) AS id, title AS titre, md5(coalesce(enBody, '')) AS h, date, CASE WHEN clean <> '' THEN '{BASE_URL}' || clean ELSE '' END AS source, {_KIND} AS type, number AS numero,
-CASE WHEN thematic IS NULL THEN '[]' ELSE '[' || array_to_string(list_transform(list_filter(thematic, lambda y: true), lambda y: coalesce('"' || y || '"', 'null')), ',') || ']' END AS thematic, CASE WHEN type = 'case' THEN coalesce(jurisdiction, '') END AS juridiction FROM p""")
+SELECT substr(md5(clean), 1, 12) AS id, title AS titre, md5(coalesce(enBody, '')) AS h, date, CASE WHEN clean <> '' THEN '{BASE_URL}' || clean ELSE '' END AS source, {_KIND} AS type, {', '.join(map(_field, _KEYS))} FROM p""")
 def record_builders(t, spark):
     r = corpus.records(_rows(t), BASE_URL)
-    get = lambda k: F.try_element_at("metadata", F.lit(k)).alias(k)
-    return r.select("id", "titre", F.md5("text").alias("h"), "date", "source", "type", get("numero"), get("thematic"), get("juridiction"))
+    return r.select("id", "titre", F.md5("text").alias("h"), "date", "source", "type", *(F.try_element_at("metadata", F.lit(k)).alias(k) for k in _KEYS))
 
 
 @C.add(f"""WITH {_ROWS} SELECT 'laws' AS collection, doc_id FROM x WHERE type = 'legislation' AND list_has_any(thematic, ['travail', 'fr']) UNION ALL SELECT 'court', doc_id FROM x WHERE type = 'case' AND jurisdiction = 'tribunal-travail'
