@@ -153,8 +153,11 @@ _PAIR = """m AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer F
 p AS (SELECT conv_id, turn, text AS question, CASE WHEN turn % 8 = 4 THEN '[Source 1]' ELSE answer || ' [Source 2]' END AS answer, CASE WHEN conv_id % 5 = 1 THEN ' ' ELSE question END AS reference FROM (SELECT conv_id, turn, text, text AS question, answer FROM m WHERE role = 'user' AND r = 'assistant'))"""
 
 
-@C.add(rf"""WITH {_PAIR}, c AS (SELECT *, trim(substr(regexp_replace(regexp_replace(regexp_replace(answer, '\[Source\s+(\d+)\]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 1800)) AS a FROM p)
-SELECT conv_id, turn, length(a) AS n_chars, CASE WHEN trim(question) = '' THEN 'missing_question' WHEN a = '' THEN 'missing_answer' WHEN trim(reference) = '' THEN 'missing_reference_answer' WHEN conv_id % 7 = 2 THEN 'missing_retrieved_contexts' END AS error FROM c""")
+@C.add(rf"""WITH {_PAIR}, c AS (SELECT *, trim(substr(regexp_replace(regexp_replace(regexp_replace(answer, '\[Source\s+(\d+)\]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 1800)) AS a FROM p),
+e AS (SELECT *, CASE WHEN trim(question) = '' THEN 'missing_question' WHEN a = '' THEN 'missing_answer' WHEN trim(reference) = '' THEN 'missing_reference_answer' WHEN conv_id % 7 = 2 THEN 'missing_retrieved_contexts' END AS error, list_filter([trim(substr(regexp_replace(regexp_replace(question, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 900)), 'x'], lambda x: x <> '') AS used FROM c),
+k AS (SELECT *, list_distinct(regexp_extract_all(lower(a), '[a-zàâäéèêëîïôöùûüç]+')) AS aw, regexp_extract_all(lower(array_to_string(used, ' ')), '[a-zàâäéèêëîïôöùûüç]+') AS ct, regexp_extract_all(lower(reference), '[a-zàâäéèêëîïôöùûüç]+') AS rt FROM e)
+SELECT conv_id, turn, length(a) AS n_chars, error, CASE WHEN error IS NULL THEN round_even(CASE WHEN len(aw) = 0 THEN 0.0 ELSE len(list_filter(aw, lambda x: list_contains(ct, x))) / len(aw) END, 4) END AS faithfulness,
+CASE WHEN error IS NULL THEN round_even(len(list_filter(used, lambda x: list_has_any(regexp_extract_all(lower(x), '[a-zàâäéèêëîïôöùûüç]+'), rt))) / len(used), 4) END AS context_precision FROM k""")
 def semantic_inputs(t, spark):
     """What a semantic judge reads of every answer, and which inputs are missing."""
     p = prompt.pairs(t("conversations")).withColumns({
@@ -162,7 +165,7 @@ def semantic_inputs(t, spark):
         "contexts": F.when(F.col("conv_id") % 7 == 2, F.array(F.lit(" "))).otherwise(F.array("question", F.lit("x"))),
     })
     s = metrics.semantic_scores(F.col("question"), F.col("answer"), F.col("reference"), F.col("contexts"), plugins.OverlapSemanticJudge())
-    return p.select("conv_id", "turn", F.length(metrics.judged_answer(F.col("answer"))).cast("long").alias("n_chars"), s.alias("s")).select("conv_id", "turn", "n_chars", "s.error")
+    return p.select("conv_id", "turn", F.length(metrics.judged_answer(F.col("answer"))).cast("long").alias("n_chars"), s.alias("s")).select("conv_id", "turn", "n_chars", "s.*")
 
 
 @C.add()
