@@ -354,7 +354,7 @@ def sort_all(edges: DataFrame, most_runs: int, per_task: int) -> DataFrame:
     parts = []
     for size in LONGER:
         many = edges.groupBy("h").agg(F.count(F.lit(1)).alias("runs"))
-        edges = materialise(attach(edges, many, ["h"], F.struct("t1", "s")), "suffixes-runs")
+        edges = materialise(attach(edges, many, ["h"], F.struct("g1", "g2")), "suffixes-runs")  # a copy of a string may stand for it in one read and another in the next, but its hashes are the same
         parts.append(sort_runs(edges.where(F.col("runs") <= most_runs), per_task))
         hot = edges.where(F.col("runs") > most_runs)
         if hot.isEmpty():

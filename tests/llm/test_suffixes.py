@@ -101,3 +101,18 @@ def test_windows_of_any_gram_are_the_same():
     for gram in (sx.GRAM, *sx.LONGER):
         s, n, _, _, _ = sx.runs(d, o, gram)
         assert sorted(np.concatenate([np.arange(a, a + b) for a, b in zip(s, n, strict=True)]).tolist()) == want and n.max() <= 200 - gram + 1
+
+
+def test_any_copy_may_stand_for_a_string(spark, monkeypatch):
+    """A string's row is that of whichever copy a shuffle brings first, so it may differ from one read of the plan to the next; no string is lost by that."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passages = [text(300) for _ in range(40)]
+    rows = [(i, passages[i % 40]) for i in range(80)] + [(80 + i, text(30) + passages[i][10:] + text(30)) for i in range(40)]
+    of_sort, other = sx.sort_all, F.udf(lambda: __import__("random").SystemRandom().getrandbits(40), "long").asNondeterministic()
+    any_copy = lambda e, *a: of_sort(e.withColumn("s", F.when(F.col("own"), F.col("s")).otherwise(other())), *a)
+    monkeypatch.setattr(sx, "sort_all", any_copy)
+    got = sx.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
