@@ -10,7 +10,8 @@ what to take if there is nothing before it, or if the first match before it has
 
 Defined cases: end tags that close nothing are ignored; an end tag closes what is open inside its element; paragraphs, list items, cells and rows end where
 the next one of their kind starts, paragraphs at any block; what is open at the end of the page ends there; `>` in quoted attributes and markup
-in comments, scripts and styles is no markup; a null page has no matches: null for `first` and attributes, an empty list, 0.
+in comments, scripts and styles is no markup; a null page has no matches: null for `first` and attributes, an empty list, 0. Character references are read
+as browsers do, also those that lack their semicolon; with `references` only those named there, with it, and all others stay as they are written.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ ENDS = {"p": (BLOCKS, frozenset()), "li": (frozenset(["li"]), frozenset(["ul", "
 SKIPPED = frozenset(["script", "style", "noscript", "template"])
 PART = re.compile(r"([\w*-]+)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")
 
+#: A named character reference with its semicolon, or an ampersand that starts none.
+REFERENCE = re.compile(r"&(?:(\w+);)?")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -128,7 +132,9 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rules = rules
 
-    def read(self, page: str) -> list:
+    def read(self, page: str, references: frozenset[str] | None = None) -> list:
+        if references is not None:
+            page = REFERENCE.sub(lambda m: m[0] if m[1] in references else f"&amp;{m[0][1:]}", page)
         self.reset()
         self.stack: list[Element] = []
         self.found: list[list[list]] = [[[] for _ in choices] for _, choices in self.rules]
@@ -192,8 +198,8 @@ class Reader(HTMLParser):
             self.open = [t for t in self.open if id(t) not in gone]
 
 
-def records(pages: DataFrame, html: str, rules: list[Rule]) -> DataFrame:
-    """pages without their html column, but with the field of every rule."""
+def records(pages: DataFrame, html: str, rules: list[Rule], references: frozenset[str] | None = None) -> DataFrame:
+    """pages without their html column, but with the field of every rule. references: names of the character references that are read; None: all there are."""
     kept = [c for c in pages.columns if c != html and c not in {r.field for r in rules}]
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), *(f"`{r.field}` {r.kind}" for r in rules)])
     kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "int": pa.int32()}
@@ -202,7 +208,7 @@ def records(pages: DataFrame, html: str, rules: list[Rule]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(parsed)
         for b in batches:
-            rows = [reader.read(page.as_py() or "") for page in b.column(b.num_columns - 1)]
+            rows = [reader.read(page.as_py() or "", references) for page in b.column(b.num_columns - 1)]
             fields = [pa.array([row[i] for row in rows], kinds[r.kind]) for i, r in enumerate(rules)]
             yield pa.record_batch([*b.columns[:-1], *fields], [*b.schema.names[:-1], *(r.field for r in rules)])
 

@@ -99,3 +99,25 @@ def test_other_columns_pass(spark):
     assert r.columns == ["id", "odd name", "n", "all", "first"]
     assert sorted(tuple(x) for x in r.collect()) == [(1, 2.0, 1, ["a"], "a"), (2, None, 0, [], None)]
     assert html.records(df.limit(0), "html", [Rule("n", "p", "count")]).count() == 0
+
+
+def test_only_named_references_are_read():
+    page = "<title>A &amp; &amp;lt; &eacute; &#33; B&amp</title><a href='?a&lt;b&amp'>x & y</a>"
+    reader = html.Reader([(r, html.selectors(r.select)) for r in (Rule("t", "title"), Rule("a", "a"), Rule("h", "a", "attr:href"))])
+    assert reader.read(page) == ["A & &lt; é ! B&", "x & y", "?a<b&"]
+    assert reader.read(page, frozenset(["amp", "lt"])) == ["A & &lt; &eacute; &#33; B&amp", "x & y", "?a<b&amp"]
+
+
+def test_fields_of_cut_references_equal_sql(spark, tmp_path):
+    """A title may be cut off within a character reference; the SQL of page_fields leaves it as it is written."""
+    import duckdb
+
+    from siltstone.plans.catalog import ORACLE, QUERIES
+
+    page = '<!DOCTYPE html><html lang="en"><head><title>{0}</title></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><article><h1>{0}</h1><p>one {0}</p></article></body></html>'
+    rows = [(i, "http://x/y", page.format(t)) for i, t in enumerate(["R&amp;D &amp", "A &lt;b&gt; &am", "&copy; B &quot", "&amp;&ampx", "C &#39;"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, QUERIES["page_fields"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLE["page_fields"]).fetchall())
