@@ -106,7 +106,9 @@ _RR = f"WITH {RUNS}, rr AS (SELECT r.*, e.user_id FROM runs r JOIN events e ON e
 
 def _three(t):
     r = _runs(t).join(t("events").select(F.col("event_id").alias("id"), "user_id"), "id")
-    one = lambda topic, **m: r.where(F.col("topic") == topic).groupBy("user_id").agg(*[F.avg(c).alias(n) for n, c in m.items()])
+    # Means of decimals, added exactly: sums of doubles depend on the order of rows, and a mean that is a threshold fell on either side of it.
+    mean = lambda c: (F.sum(F.col(c).cast("decimal(18,4)")).cast("double") / F.count(c))
+    one = lambda topic, **m: r.where(F.col("topic") == topic).groupBy("user_id").agg(*[mean(c).alias(n) for n, c in m.items()])
     j = one("view", raw="kw").join(one("click", rer="kw"), "user_id").join(one("purchase", kw="kw", f1="f1", cov="cov", cit="cit"), "user_id")
     return j.withColumnRenamed("user_id", "id")
 

@@ -132,3 +132,18 @@ def test_streamed_tail_equals_the_batch_tail_after_every_batch(spark, tmp_path):
             assert sorted(state[key], key=str) == sorted(want, key=str)
     log = spark.createDataFrame([r for r in set(every) if r[0] == "a"], "log string, exp_id int, note string")
     assert [r.exp_id for r in files.log_tail(log).collect()] == sorted(i for i, _ in state["a"])
+
+
+def test_means_at_a_threshold_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Users whose mean is the gate itself: sums of doubles fall on either side of it, in DuckDB too, so the SQL is asked for exact means."""
+    import duckdb
+
+    from siltstone.plans.catalog import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT event_id + k * 100000 AS event_id, ts, user_id + k * 1500 AS user_id, event_type, value, props FROM '/root/testdata/sf0.01/events.parquet', range(40) t(k)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    sql = ORACLE["error_taxonomy"]
+    for name in ("raw", "rer"):
+        sql = sql.replace(f"avg(kw) AS {name}", f"sum(kw::DECIMAL(18, 4))::DOUBLE / count(kw) AS {name}")
+    assert sorted(map(tuple, QUERIES["error_taxonomy"](spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
