@@ -147,3 +147,15 @@ def test_means_at_a_threshold_do_not_depend_on_the_order_of_rows(spark, tmp_path
     for name in ("raw", "rer"):
         sql = sql.replace(f"avg(kw) AS {name}", f"sum(kw::DECIMAL(18, 4))::DOUBLE / count(kw) AS {name}")
     assert sorted(map(tuple, QUERIES["error_taxonomy"](spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
+def test_citations_are_distinct_without_a_shuffle_of_pairs(spark):
+    """A decision and a law that share several keys are one edge; no pair is dealt out again to be made distinct."""
+    body = " ".join(["vu la loi n° 100", "la loi n° 1001", "la loi n° 12", "le code du travail"])
+    decisions = spark.createDataFrame([(f"d{i}", body if i % 2 else "la loi n° 12 et la loi n° 100") for i in range(6)], "doc_id string, body string")
+    laws = spark.createDataFrame([("a", "Loi n° 1001"), ("b", "Loi n° 12-100 du code du travail"), ("c", "Code du travail"), ("d", "Loi n° 77")], "doc_id string, titre string")
+    edges = graph.cite_edges(decisions, laws)
+    want = [(f"d{i}", x) for i in range(6) for x in ("abc" if i % 2 else "ab")]
+    assert sorted(map(tuple, edges.collect())) == want
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Aggregate" not in plan[: plan.index("Join Inner")]
