@@ -6,26 +6,36 @@ counts, document lengths), the number of its documents, the largest count and th
 as there are ranges, and no list of a term's documents exists. `stats` has the number of documents and their mean length; it is written last, so
 an index without it is unfinished and is built again.
 
-A block bounds the score of its documents for any k1 and b, as BM25 grows with the count and falls with the length. `top_k` adds
-the bounds of a question's terms by range, scores the PROBE ranges with the highest sums, and then only those others whose sum reaches the k-th score found.
+A block bounds the score of its documents for any k1 and b, as BM25 grows with the count and falls with the length. `top_k` deals ranges to
+tasks, which score PROBE ranges at a time and leave out those whose sum of bounds does not reach a question's k-th score so far.
 What it skips has a smaller score for certain, so the result is that of a full scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
+from siltstone.functions.stem_fr import stem
 from siltstone.operators.lexical import B, K1, stems
 from siltstone.sources.files import exists, materialise
 
 #: Bits of a row number within its range: a block has at most this many documents.
 RANGE_BITS = 7
 RANGE = 1 << RANGE_BITS
-#: Ranges of a question that are scored before any is skipped.
+#: Ranges that a task scores at a time.
 PROBE = 4
+#: Bucket of the heads of ranges, and files that a bucket of terms is written to at most.
+HEADS, FILES = -1, 8
 #: Bounds and scores are sums in any order; so much is left between them.
 SLACK = 1e-6
 
@@ -34,31 +44,82 @@ SLACK = 1e-6
 class Inverted:
     """An index that is opened: its blocks, and what holds for all documents."""
 
-    postings: DataFrame
+    stored: DataFrame
     n_docs: int
     avgdl: float
     buckets: int
     stemmed: bool
 
+    @property
+    def postings(self) -> DataFrame:
+        """The blocks of terms; what is stored has a head of each range, too."""
+        return self.stored.where(F.col("bucket") > HEADS)
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _cut(key_type: pa.DataType, stemmed: bool):
+    """Batches of (key, tokens) -> blocks, one range of rows after the other; the head of a range has no term, its rows and their tokens."""
+    names = ["term", "range", "n", "max_tf", "min_dl", "cf", "keys", "tfs", "dls"]
+
+    def blocks(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, tokens = t["key"].combine_chunks(), t["tokens"].combine_chunks()
+        length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = tokens.flatten().dictionary_encode()
+        words, code = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(length)), length)
+        if stemmed:
+            cut = pa.array([stem(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+            words, code = cut.dictionary, cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            some = np.array([w != "" for w in words.to_pylist()], bool)[code] if len(code) else np.zeros(0, bool)
+            code, doc = code[some], doc[some]
+        pair, tf = np.unique((code << RANGE_BITS) | doc, return_counts=True)
+        code, doc = pair >> RANGE_BITS, pair & (RANGE - 1)
+        dl = length[doc]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        over = lambda f, x: f.reduceat(x, first) if len(first) else x
+        head = lambda x, value, kind: pa.array(np.append(x, value), kind)
+        ends = pa.array(np.append(first, [len(pair), len(pair)]).astype(np.int32))
+        each = lambda x: pa.ListArray.from_arrays(ends, x)
+        term = pa.concat_arrays([words.cast(pa.string()).take(pa.array(code[first])), pa.array([None], pa.string())])
+        n = head(np.diff(np.append(first, len(pair))), len(length), pa.int32())
+        columns = [term, pa.array(np.full(len(term), number), pa.int64()), n, head(over(np.maximum, tf), 0, pa.int32()), head(over(np.minimum, dl), 0, pa.int32()), head(over(np.add, tf), length.sum(), pa.int64())]
+        return pa.record_batch([*columns, each(key.cast(key_type).take(pa.array(doc))), each(pa.array(tf, pa.int32())), each(pa.array(dl, pa.int32()))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, rows = TaskContext.get().partitionId() << (33 - RANGE_BITS), [], 0
+        for b in batches:
+            at = 0
+            while at < len(b):
+                held.append(b.slice(at, RANGE - rows))
+                at, rows = at + len(held[-1]), rows + len(held[-1])
+                if rows == RANGE:
+                    yield blocks(held, number)
+                    number, held, rows = number + 1, [], 0
+        if held:
+            yield blocks(held, number)
+
+    return run
+
+
 def build(docs: DataFrame, key: str, tokens: Column, path: str, stemmed: bool = False, buckets: int = 32) -> None:
-    """Write the index of docs under path. `stemmed`: terms are stems of tokens, each distinct token stemmed once; lengths count tokens."""
-    numbered = docs.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
-    cut = materialise(numbered.select("key", "range", F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens"), "inverted-tokens")
-    words = cut.select("key", "range", "dl", F.explode("tokens").alias("term"))
-    if stemmed:
-        words = words.join(stems(words), "term").select("key", "range", "dl", F.col("stem").alias("term"))
-    each = words.groupBy("term", "range", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
-    post = F.collect_list(F.struct("key", "tf", "dl"))  # RANGE documents at most
-    blocks = each.groupBy("term", "range").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("tf").alias("cf"), post.alias("p"))
-    blocks = blocks.select(_bucket(buckets).alias("bucket"), "term", "range", "n", "max_tf", "min_dl", "cf", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-    ordered = blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
-    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats = cut.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    """Write the index of docs under path. `stemmed`: terms are stems of tokens; lengths count tokens.
+
+    Blocks are made where the rows are read, so what is shuffled is the blocks, once, to be written by bucket.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    schema = f"term string, range long, n int, max_tf int, min_dl int, cf long, keys array<{kind}>, tfs array<int>, dls array<int>"
+    blocks = rows.mapInArrow(_cut(to_arrow_type(docs.schema[key].dataType), stemmed), schema)
+    blocks = blocks.withColumn("bucket", F.when(F.col("term").isNull(), HEADS).otherwise(_bucket(buckets)))
+    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(FILES)))
+    dealt.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    heads = docs.sparkSession.read.schema(f"{schema}, bucket int").parquet(f"{path}/postings").where(F.col("bucket") == HEADS)
+    n_docs = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
+    stats = heads.agg(n_docs.alias("n_docs"), F.coalesce(F.sum("cf") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avgdl"))
     stats.select("*", F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"), F.lit(kind).alias("key_type")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -89,7 +150,7 @@ def asked(index: Inverted, terms: DataFrame, query_key: str) -> DataFrame:
 def of_terms(index: Inverted, q: DataFrame) -> DataFrame:
     """Blocks of the folders that the terms are in; at most `buckets` numbers reach the driver."""
     wanted = [r.b for r in q.select(_bucket(index.buckets).alias("b")).distinct().collect()]
-    return index.postings.where(F.col("bucket").isin(wanted)) if wanted else index.postings.where("false")
+    return index.stored.where(F.col("bucket").isin(wanted)) if wanted else index.stored.where("false")
 
 
 def statistics(index: Inverted) -> DataFrame:
@@ -117,20 +178,81 @@ def scored(index: Inverted, pairs: DataFrame, weighted: DataFrame, blocks: DataF
     return hit.groupBy(query_key, F.col("p.keys").alias("key")).agg(F.bround(F.sum(part), 9).alias("score"))
 
 
+def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, at_once: int = PROBE, group_docs: int = 8_192, query_rows: int = 4_096) -> DataFrame:
+    """(query_key, key, score): the k best documents and those that round to the k-th of each query in each group of ranges.
+
+    All blocks of a range go to one task, which has the weights of up to query_rows queries and scores `at_once` ranges at a time; a query
+    leaves out those whose bounds cannot reach its k-th score so far. So a block is shuffled once for query_rows queries,
+    the pairs of documents and queries never, and k rows of each query and group go on.
+    """
+    groups = max(1, -(-index.n_docs // group_docs))
+    n_q = weighted.select(query_key).distinct().count()
+    q_blocks = max(1, -(-n_q // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks.join(weighted.select("term").distinct(), "term", "left_semi").select("term", "range", "max_tf", "min_dl", "keys", "tfs", "dls")
+    left = left.select("*", F.pmod(F.xxhash64("range"), F.lit(groups)).cast("int").alias("g"), every(q_blocks).alias("qb"))
+    right = weighted.select(F.col(query_key).alias("q"), F.col("term").alias("asked"), "w", F.pmod(F.xxhash64(query_key), F.lit(q_blocks)).cast("int").alias("qb2")).select("*", every(groups).alias("g2"))
+    avgdl = index.avgdl
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        key_type = x.schema.field("keys").type.value_type
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"query": y["q"].slice(0, 0), "key": pa.array([], key_type), "score": pa.array([], pa.float64())})
+        terms = pc.unique(x["term"])
+        y = y.filter(pc.is_in(y["asked"], terms))
+        of_y = pc.index_in(y["asked"], terms).to_numpy()
+        asked = y["q"].combine_chunks().dictionary_encode()
+        by = np.argsort(asked.indices.to_numpy(), kind="stable")
+        cut = np.searchsorted(asked.indices.to_numpy()[by], np.arange(len(asked.dictionary) + 1))
+        rows_of = [(of_y[by[i:j]], y["w"].to_numpy()[by[i:j]]) for i, j in zip(cut, cut[1:], strict=False)]
+        order = np.argsort(x["range"].to_numpy(), kind="stable")
+        x = x.take(pa.array(order)).combine_chunks()
+        term, place = pc.index_in(x["term"], terms).to_numpy(), x["range"].to_numpy()
+        lists = x["keys"].combine_chunks()
+        ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        keys = lists.flatten().dictionary_encode()
+        code = keys.indices.to_numpy()
+        part = _weight(x["tfs"].combine_chunks().flatten().to_numpy().astype(float), x["dls"].combine_chunks().flatten().to_numpy(), avgdl, k1, b)
+        most = _weight(x["max_tf"].to_numpy().astype(float), x["min_dl"].to_numpy(), avgdl, k1, b)
+        starts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+        have = [(np.zeros(0, np.int64), np.zeros(0)) for _ in rows_of]
+        least = np.full(len(rows_of), -np.inf)
+        for r in range(0, len(starts) - 1, at_once):
+            i, j = starts[r], starts[min(r + at_once, len(starts) - 1)]
+            docs, column = np.unique(code[ends[i] : ends[j]], return_inverse=True)
+            score, bound = np.zeros((len(terms), len(docs))), np.zeros(len(terms))
+            score[np.repeat(term[i:j], np.diff(ends[i : j + 1])), column] = part[ends[i] : ends[j]]
+            np.maximum.at(bound, term[i:j], most[i:j])
+            for n, (row, w) in enumerate(rows_of):
+                if w @ bound[row] < least[n] - SLACK:
+                    continue
+                s = w @ score[row]
+                some = np.flatnonzero((s > 0) & (s >= least[n] - SLACK))
+                if not len(some):
+                    continue
+                c, s = np.append(have[n][0], docs[some]), np.append(have[n][1], s[some])
+                if len(s) > k:
+                    least[n] = np.partition(s, len(s) - k)[len(s) - k]
+                    stay = s >= least[n] - 2e-9  # all that may round to the k-th score
+                    c, s = c[stay], s[stay]
+                have[n] = c, s
+        n = np.repeat(np.arange(len(have)), [len(c) for c, _ in have])
+        c = np.concatenate([c for c, _ in have]) if have else np.zeros(0, np.int64)
+        s = np.concatenate([s for _, s in have]) if have else np.zeros(0)
+        return pa.table({"query": asked.dictionary.take(pa.array(n)), "key": keys.dictionary.take(pa.array(c)), "score": pa.array(s)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    found = left.groupBy("g", "qb").cogroup(right.groupBy("g2", "qb2")).applyInArrow(run, f"query {kind(weighted, query_key)}, key {blocks.schema['keys'].dataType.elementType.simpleString()}, score double")
+    return found.select(F.col("query").alias(query_key), "key", F.bround("score", 9).alias("score"))
+
+
 def top_k(index: Inverted, terms: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, probe: int = PROBE) -> DataFrame:
     """Query terms (query_key, term) -> query_key, key, score, rank: the k best documents of every query, ties to the smaller key."""
     q = materialise(asked(index, terms, query_key), "inverted-asked")
     blocks = of_terms(index, q)
-    heads = blocks.select("term", "range", "n", "max_tf", "min_dl").join(q.select("term").distinct(), "term", "left_semi")
+    heads = blocks.select("term", "n").join(q.select("term").distinct(), "term", "left_semi")
     df = heads.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = materialise(q.join(df, "term").select(query_key, "term", (F.col("qtf") * idf).alias("w")), "inverted-weights")
-    limit = materialise(bounds(index, weighted, heads, query_key, k1, b), "inverted-bounds")
-    by_bound = Window.partitionBy(query_key).orderBy(F.col("bound").desc(), "range")
-    first = limit.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= probe).select(query_key, "range")
-    head = materialise(scored(index, first, weighted, blocks, query_key, k1, b), "inverted-first")
-    best = Window.partitionBy(query_key).orderBy(F.col("score").desc(), "key")
-    kth = head.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(query_key, F.col("score").alias("least"))
-    rest = limit.join(first, [query_key, "range"], "left_anti").join(kth, query_key, "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-    every = head.unionByName(scored(index, rest, weighted, blocks, query_key, k1, b))
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), "key")
+    return best(index, weighted, blocks, query_key, k, k1, b, probe).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -119,3 +119,16 @@ def test_stems(spark, tmp_path):
     index = opened(spark, [(1, "le licenciement économique"), (2, "les licenciements"), (3, "un préavis")], tmp_path, stemmed=True)
     got = inverted.top_k(index, asked(spark, [(1, "licencier")]), "qid", 5).collect()
     assert {r.key for r in got} == {1, 2}
+
+
+def test_neither_tokens_nor_pairs_are_shuffled(spark, tmp_path):
+    """What is dealt out are blocks, and k rows of each question and group of ranges; not a row for each document that has a question's word."""
+    docs = [(i, f"common words of all w{i % 7}") for i in range(4000)]
+    index = opened(spark, docs, tmp_path)
+    weighted = inverted.asked(index, asked(spark, [(j, "common words of all") for j in range(20)]), "qid").withColumn("w", F.lit(1.0))
+    found = inverted.best(index, weighted, index.postings, "qid", 5, group_docs=1000, query_rows=8)
+    assert 20 * 5 <= found.count() <= 20 * 4000 and found.groupBy("qid").agg(F.min("score").alias("s")).select("s").distinct().count() == 1
+    few = inverted.best(index, weighted.withColumn("w", F.when(F.col("term") == "all", 1.0 + F.col("qid")).otherwise(1e-3)), index.postings.where("term <> 'w1'"), "qid", 5)
+    assert {r.qid for r in few.collect()} == set(range(20))
+    got = inverted.top_k(index, asked(spark, [(j, f"common w{j}") for j in range(7)]), "qid", 3).collect()
+    assert sorted((r.qid, r.key, r["rank"]) for r in got) == [(j, j + 7 * i, i + 1) for j in range(7) for i in range(3)]
