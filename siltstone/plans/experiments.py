@@ -171,7 +171,7 @@ def semantic_inputs(t, spark):
 @C.add()
 def evaluation_run(t, spark):
     """All benchmark questions through retrieval, prompts, stand-in answers and every metric; its stems and models have no SQL."""
-    index, _ = retrieval._index(t)
+    index, _ = retrieval._index(t, "hybrid")
     q = t("benchmark").select(F.col("item_id").alias("query_id"), "text", F.col("text").alias("reference"), F.slice(T.metric_tokens(F.col("text")), 1, 5).alias("keywords"), (F.col("item_id") % 4).cast("string").alias("topic"))
     from siltstone.plans.retriever import Retriever
 

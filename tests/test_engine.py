@@ -367,3 +367,18 @@ def test_results_are_rewritten_in_order_over_several_files(spark, tmp_path):
     parts = sorted((tmp_path / "sorted").glob("*.json"))
     ids = [json.loads(x)["question_id"] for p in parts for x in p.read_text().splitlines()]
     assert len(parts) > 3 and ids == list(range(500))
+
+
+def test_an_index_has_the_parts_that_are_searched(spark, tmp_path):
+    """A dense search needs no inverted index; the first strategy that does builds the one it searches, from the stored chunks."""
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", f"texte mot{i}x de la loi") for i in range(20)], "chunk_id string, doc_id string, text string")
+    path, e = f"file://{tmp_path}/index", plugins.HashingEmbedder(32)
+    q = spark.createDataFrame([(1, "mot7x")], "query_id long, text string")
+    there = lambda: {n for n in ("stems", "words") if (tmp_path / "index" / n / "stats").exists()}
+    dense = retriever.open_or_build(spark, path, chunks, e, sparse=retriever.needed("dense"))
+    assert retriever.Retriever(dense).retrieve(q, "dense", 3).count() == 3 and there() == set()
+    with pytest.raises(retriever.MissingDependency):
+        retriever.Retriever(dense).retrieve(q, "hybrid", 3)
+    found = retriever.Retriever(retriever.open_or_build(spark, path, None, e, sparse=retriever.needed("unified"))).retrieve(q, "unified", 3)
+    assert found.orderBy("rank").first().chunk_id == "c7" and there() == {"words"}
+    assert retriever.open_or_build(spark, path, None, e).stems.n_docs == 20 and there() == {"stems", "words"}
