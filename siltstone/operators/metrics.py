@@ -102,6 +102,10 @@ def token_weights(texts: DataFrame, text: str, tokens) -> DataFrame:
     return each.crossJoin(F.broadcast(n)).select("t", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("w"))
 
 
+#: Rows of an Arrow batch of token vectors.
+MOST_ROWS = 1000
+
+
 def token_similarity(df: DataFrame, key: str, prediction: str, reference: str, vectors, weights: DataFrame | None = None, tokens=T.metric_tokens) -> DataFrame:
     """(key, precision, recall, f1) by greedy matching of token vectors, every token to the one of the other side with the largest cosine.
 
@@ -109,6 +113,9 @@ def token_similarity(df: DataFrame, key: str, prediction: str, reference: str, v
     largest weight, as no reference has them; without weights all count the same. Cosines are matrix products row by row, in blocks; a side without tokens gives 0, as do
     weights that are all 0.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a token is `dim` numbers, so ten thousand texts are a gigabyte
+    if not 0 < int(df.sparkSession.conf.get(batch)) <= MOST_ROWS:
+        df.sparkSession.conf.set(batch, MOST_ROWS)
     sides = {"p": prediction, "r": reference}
     d = df.select(key, *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(n) for n, c in sides.items()))
     d = d.select("*", *(vectors(F.col(n)).alias(f"{n}v") for n in sides))

@@ -20,7 +20,7 @@ def checked(df: DataFrame, vector: str, dim: int) -> DataFrame:
 
 
 #: Queries whose scores are held at a time, and the places that scores are ranked by.
-TILE, PLACES = 256, 9
+TILE, PLACES = 64, 9
 
 
 def best(score: np.ndarray, k: int) -> list[np.ndarray]:
@@ -42,7 +42,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", bl
     """
     n, n_q = vectors.count(), queries.count()
     blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_q // query_rows))
-    to = lambda d, m, name: d.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(m)).alias(name))
+    to = lambda d, m, name: d.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(m)).alias(name))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = to(vectors, blocks, "b").withColumn("qb", every(q_blocks))
     right = to(queries, q_blocks, "qb").withColumn("b", every(blocks)).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("b").alias("b2"), F.col("qb").alias("qb2"))
@@ -52,7 +52,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", bl
         empty = {"query_id": x["id"].slice(0, 0), "id": x["id"].slice(0, 0), "score": pa.array([], pa.float64())}
         if not x.num_rows or not y.num_rows:
             return pa.table(empty)
-        m = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        m = lambda t, c: t[c].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
         a, q = m(x, "v"), m(y, "qv")
         order = np.argsort(x["id"].to_numpy(), kind="stable")
         ids, a = x["id"].to_numpy()[order], a[order]
@@ -70,6 +70,7 @@ def exact(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", bl
                 cols.append(c)
                 out.append(score[i, c] if metric == "ip" else -score[i, c])
         rows, cols = np.concatenate(rows), np.concatenate(cols)
+        pa.default_memory_pool().release_unused()
         return pa.table({"query_id": y["qid"].take(pa.array(rows)), "id": pa.array(ids[cols]), "score": pa.array(np.concatenate(out))})
 
     found = left.groupBy("b", "qb").cogroup(right.groupBy("b2", "qb2")).applyInArrow(run, f"query_id {key}, id {key}, score double")

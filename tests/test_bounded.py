@@ -159,3 +159,32 @@ def test_citations_are_distinct_without_a_shuffle_of_pairs(spark):
     assert sorted(map(tuple, edges.collect())) == want
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def test_batches_of_token_vectors_are_small(spark, monkeypatch):
+    import pyarrow as pa
+
+    from siltstone.operators import metrics
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+
+    @F.arrow_udf("array<array<float>>")
+    def vectors(batch: pa.Array) -> pa.Array:
+        assert len(batch) <= 1000, len(batch)
+        return pa.array([[[1.0, 0.0]] * len(x) for x in batch.to_pylist()], pa.list_(pa.list_(pa.float32())))
+
+    try:
+        df = spark.range(5000).coalesce(1).select("id", F.lit("un deux").alias("a"), F.lit("un").alias("b"))
+        assert metrics.token_similarity(df, "id", "a", "b", vectors).where("f1 = 1").count() == 5000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_blocks_of_vectors_are_shuffled_as_they_are(spark):
+    from siltstone.operators import vectors
+
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "id long, v array<float>")
+    found = vectors.exact(v, v.where("id % 50 = 0"), 3)
+    assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 6
