@@ -36,6 +36,8 @@ RANGE = 1 << RANGE_BITS
 PROBE = 4
 #: Bucket of the heads of ranges, and files that a bucket of terms is written to at most.
 HEADS, FILES = -1, 8
+#: Distinct tokens whose stems a task remembers.
+MOST_KNOWN = 1_000_000
 #: Bounds and scores are sums in any order; so much is left between them.
 SLACK = 1e-6
 
@@ -64,6 +66,15 @@ def _cut(key_type: pa.DataType, stemmed: bool):
     """Batches of (key, tokens) -> blocks, one range of rows after the other; the head of a range has no term, its rows and their tokens."""
     names = ["term", "range", "n", "max_tf", "min_dl", "cf", "keys", "tfs", "dls"]
 
+    known: dict[str, str] = {}
+
+    def stemmed_once(w: str) -> str:
+        if w not in known:
+            if len(known) == MOST_KNOWN:
+                known.clear()
+            known[w] = stem(w)
+        return known[w]
+
     def blocks(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         key, tokens = t["key"].combine_chunks(), t["tokens"].combine_chunks()
@@ -72,7 +83,7 @@ def _cut(key_type: pa.DataType, stemmed: bool):
         words, code = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(length)), length)
         if stemmed:
-            cut = pa.array([stem(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+            cut = pa.array([stemmed_once(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
             words, code = cut.dictionary, cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
             some = np.array([w != "" for w in words.to_pylist()], bool)[code] if len(code) else np.zeros(0, bool)
             code, doc = code[some], doc[some]
