@@ -1,10 +1,11 @@
 """A stored inverted index: postings in blocks with bounds, looked up by term, and top-k that skips blocks which cannot matter.
 
-Documents are numbered into ranges of RANGE rows as they are read. A row of `postings` is a block: what one term has in one range (keys,
-counts, document lengths), the number of its documents, the largest count and the smallest length. Blocks are written by bucket of the term
-(a folder each) and sorted by term and range, so a question opens the folders of its terms only; a term that is everywhere spreads over as many blocks
-as there are ranges, and no list of a term's documents exists. `stats` has the number of documents and their mean length; it is written last, so
-an index without it is unfinished and is built again.
+Documents are numbered into ranges of RANGE rows as they are read. A block is what one term has in one range: its documents, their counts, the largest
+count and the smallest length. A stored row has all blocks of a range whose terms fall into one bucket, as arrays (`ends`: where the documents of each
+term end in `docs` and `tfs`; `docs`: places in `ids` and `dls`), and is written where the rows are read: nothing is shuffled to build an index, and a
+term costs its text and four numbers a range, not a row. Buckets are folders, so few questions open the folders of their terms only; a
+term that is everywhere spreads over as many rows as there are ranges, and no list of a term's documents exists. `postings` shows a row for each block.
+`stats` has the number of documents and their mean length; it is written last, so an index without it is unfinished and is built again.
 
 A block bounds the score of its documents for any k1 and b, as BM25 grows with the count and falls with the length. `top_k` deals ranges to
 tasks, which score PROBE ranges at a time and leave out those whose sum of bounds does not reach a question's k-th score so far.
@@ -34,8 +35,8 @@ RANGE_BITS = 7
 RANGE = 1 << RANGE_BITS
 #: Ranges that a task scores at a time.
 PROBE = 4
-#: Bucket of the heads of ranges, and files that a bucket of terms is written to at most.
-HEADS, FILES = -1, 8
+#: Bucket of the heads of ranges, and of terms if not told otherwise.
+HEADS, BUCKETS = -1, 8
 #: Distinct tokens whose stems a task remembers.
 MOST_KNOWN = 1_000_000
 #: Bounds and scores are sums in any order; so much is left between them.
@@ -55,80 +56,124 @@ class Inverted:
     @property
     def postings(self) -> DataFrame:
         """The blocks of terms; what is stored has a head of each range, too."""
-        return self.stored.where(F.col("bucket") > HEADS)
+        return _blocks(self.stored.where(F.col("bucket") > HEADS))
+
+
+def _schema(kind: str) -> str:
+    return f"range long, terms array<string>, ends array<int>, max_tfs array<int>, min_dls array<int>, cfs array<long>, docs array<tinyint>, tfs array<int>, ids array<{kind}>, dls array<int>, bucket int"
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(term, range, n, max_tf, min_dl, cf, keys, tfs, dls) and `_metadata` of the file: a row for each block of stored rows."""
+    each = rows.select("*", "_metadata", F.posexplode("terms").alias("i", "term"))
+    at = lambda c: F.get(c, F.col("i"))
+    start = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
+    n = at("ends") - start
+    docs = F.slice("docs", start + 1, n)
+    of_docs = lambda c: F.transform(docs, lambda d: F.get(c, d.cast("int")))
+    return each.select(
+        "term", "range", n.alias("n"), at("max_tfs").alias("max_tf"), at("min_dls").alias("min_dl"), at("cfs").alias("cf"),
+        of_docs("ids").alias("keys"), F.slice("tfs", start + 1, n).alias("tfs"), of_docs("dls").alias("dls"), "_metadata",
+    )
+
+
+def _packed(blocks: DataFrame) -> DataFrame:
+    """Blocks as stored rows of one term each."""
+    one = lambda c: F.array(c)
+    docs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda d: d.cast("tinyint"))
+    return blocks.select("range", one("term").alias("terms"), one("n").alias("ends"), one("max_tf").alias("max_tfs"), one("min_dl").alias("min_dls"), docs.alias("docs"), "tfs", F.col("keys").alias("ids"), "dls")
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    """By the bytes of a term and the last of them, so that a task finds it for all its terms at once, too."""
+    last = F.conv(F.hex(F.substring(F.encode("term", "UTF-8"), -1, 1)), 16, 10).cast("int")
+    return F.pmod(5 * F.octet_length("term") + F.coalesce(last, F.lit(0)), F.lit(buckets)).cast("int")
+
 
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """`_bucket` of each word."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    size, text = np.diff(at), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    last = np.zeros(len(words), np.int64)
+    last[size > 0] = text[at[1:][size > 0] - 1]
+    return (5 * size + last) % buckets
 
-def _cut(key_type: pa.DataType, stemmed: bool):
-    """Batches of (key, tokens) -> blocks, one range of rows after the other; the head of a range has no term, its rows and their tokens."""
-    names = ["term", "range", "n", "max_tf", "min_dl", "cf", "keys", "tfs", "dls"]
 
+def _cut(key_type: pa.DataType, stemmed: bool, buckets: int):
+    """Batches of (key, tokens) -> stored rows, one range after the other; the head of a range has no term, and the number of its rows and of their tokens as `ends` and `cfs`."""
+    names = ["range", "terms", "ends", "max_tfs", "min_dls", "cfs", "docs", "tfs", "ids", "dls", "bucket"]
     known: dict[str, str] = {}
 
-    def stemmed_once(w: str) -> str:
+    def stem_of(w: str) -> str:
         if w not in known:
             if len(known) == MOST_KNOWN:
                 known.clear()
             known[w] = stem(w)
         return known[w]
 
-    def blocks(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+    def rows(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        key, tokens = t["key"].combine_chunks(), t["tokens"].combine_chunks()
+        key, tokens = t["key"].combine_chunks().cast(key_type), t["tokens"].combine_chunks()
         length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = tokens.flatten().dictionary_encode()
         words, code = found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(length)), length)
         if stemmed:
-            cut = pa.array([stemmed_once(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+            cut = pa.array([stem_of(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
             words, code = cut.dictionary, cut.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
             some = np.array([w != "" for w in words.to_pylist()], bool)[code] if len(code) else np.zeros(0, bool)
             code, doc = code[some], doc[some]
+        words = words.cast(pa.string())
+        bucket = _buckets(words, buckets)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty_like(by)
+        place[by] = np.arange(len(by))
+        words, bucket, code = words.take(pa.array(by)), bucket[by], place[code]
         pair, tf = np.unique((code << RANGE_BITS) | doc, return_counts=True)
         code, doc = pair >> RANGE_BITS, pair & (RANGE - 1)
         dl = length[doc]
         first = np.flatnonzero(np.diff(code, prepend=-1))
+        term = code[first]
+        have, cut = np.unique(bucket[term], return_index=True)  # terms of a bucket stand together
+        cut = np.append(cut, len(term))
+        start = np.append(first, len(pair))[cut]
+        n = np.diff(np.append(first, len(pair)))
+        ends = np.append(first, len(pair))[1:] - np.repeat(start[:-1], np.diff(cut)) if len(term) else n
         over = lambda f, x: f.reduceat(x, first) if len(first) else x
-        head = lambda x, value, kind: pa.array(np.append(x, value), kind)
-        ends = pa.array(np.append(first, [len(pair), len(pair)]).astype(np.int32))
-        each = lambda x: pa.ListArray.from_arrays(ends, x)
-        term = pa.concat_arrays([words.cast(pa.string()).take(pa.array(code[first])), pa.array([None], pa.string())])
-        n = head(np.diff(np.append(first, len(pair))), len(length), pa.int32())
-        columns = [term, pa.array(np.full(len(term), number), pa.int64()), n, head(over(np.maximum, tf), 0, pa.int32()), head(over(np.minimum, dl), 0, pa.int32()), head(over(np.add, tf), length.sum(), pa.int64())]
-        return pa.record_batch([*columns, each(key.cast(key_type).take(pa.array(doc))), each(pa.array(tf, pa.int32())), each(pa.array(dl, pa.int32()))], names)
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+        # The last row is the head: it has one number in `ends` and `cfs`, and nothing else.
+        of_term = lambda x, kind, head=(): lists(np.append(cut, cut[-1] + len(head)), pa.array(np.append(x, np.array(head, np.int64)), kind))
+        of_pair = lambda x, kind: lists(np.append(start, start[-1]), pa.array(x, kind))
+        of_doc = lambda x: lists(np.append(np.arange(len(have) + 1) * len(length), len(have) * len(length)), pa.concat_arrays([x] * max(1, len(have))))
+        columns = [
+            pa.array(np.full(len(have) + 1, number), pa.int64()), lists(np.append(cut, cut[-1]), words.take(pa.array(term))), of_term(ends, pa.int32(), [len(length)]), of_term(over(np.maximum, tf), pa.int32()),
+            of_term(over(np.minimum, dl), pa.int32()), of_term(over(np.add, tf), pa.int64(), [length.sum()]), of_pair(doc, pa.int8()), of_pair(tf, pa.int32()), of_doc(key), of_doc(pa.array(length, pa.int32())), pa.array(np.append(have, HEADS), pa.int32()),
+        ]
+        return pa.record_batch(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, rows = TaskContext.get().partitionId() << (33 - RANGE_BITS), [], 0
+        number, held, n = TaskContext.get().partitionId() << (33 - RANGE_BITS), [], 0
         for b in batches:
             at = 0
             while at < len(b):
-                held.append(b.slice(at, RANGE - rows))
-                at, rows = at + len(held[-1]), rows + len(held[-1])
-                if rows == RANGE:
-                    yield blocks(held, number)
-                    number, held, rows = number + 1, [], 0
+                held.append(b.slice(at, RANGE - n))
+                at, n = at + len(held[-1]), n + len(held[-1])
+                if n == RANGE:
+                    yield rows(held, number)
+                    number, held, n = number + 1, [], 0
         if held:
-            yield blocks(held, number)
+            yield rows(held, number)
 
     return run
 
 
-def build(docs: DataFrame, key: str, tokens: Column, path: str, stemmed: bool = False, buckets: int = 32) -> None:
-    """Write the index of docs under path. `stemmed`: terms are stems of tokens; lengths count tokens.
-
-    Blocks are made where the rows are read, so what is shuffled is the blocks, once, to be written by bucket.
-    """
+def build(docs: DataFrame, key: str, tokens: Column, path: str, stemmed: bool = False, buckets: int = BUCKETS) -> None:
+    """Write the index of docs under path. `stemmed`: terms are stems of tokens; lengths count tokens. Every task writes what it has read, so nothing is shuffled."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
-    schema = f"term string, range long, n int, max_tf int, min_dl int, cf long, keys array<{kind}>, tfs array<int>, dls array<int>"
-    blocks = rows.mapInArrow(_cut(to_arrow_type(docs.schema[key].dataType), stemmed), schema)
-    blocks = blocks.withColumn("bucket", F.when(F.col("term").isNull(), HEADS).otherwise(_bucket(buckets)))
-    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("term", "range"), F.lit(FILES)))
-    dealt.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    heads = docs.sparkSession.read.schema(f"{schema}, bucket int").parquet(f"{path}/postings").where(F.col("bucket") == HEADS)
+    stored = rows.mapInArrow(_cut(to_arrow_type(docs.schema[key].dataType), stemmed, buckets), _schema(kind))
+    stored.sortWithinPartitions("bucket", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    heads = docs.sparkSession.read.schema(_schema(kind)).parquet(f"{path}/postings").where(F.col("bucket") == HEADS).select(F.get("ends", F.lit(0)).alias("n"), F.get("cfs", F.lit(0)).alias("cf"))
     n_docs = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
     stats = heads.agg(n_docs.alias("n_docs"), F.coalesce(F.sum("cf") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avgdl"))
     stats.select("*", F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"), F.lit(kind).alias("key_type")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
@@ -138,7 +183,7 @@ def built(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/stats/_SUCCESS")
 
 
-def open_or_build(spark: SparkSession, path: str, docs: DataFrame | None, key: str, tokens: Column, stemmed: bool = False, force: bool = False, buckets: int = 32) -> Inverted:
+def open_or_build(spark: SparkSession, path: str, docs: DataFrame | None, key: str, tokens: Column, stemmed: bool = False, force: bool = False, buckets: int = BUCKETS) -> Inverted:
     """The index under path; a missing or unfinished one, or one that is to be rebuilt, is built from docs first."""
     if force or not built(spark, path):
         if docs is None:
@@ -147,8 +192,7 @@ def open_or_build(spark: SparkSession, path: str, docs: DataFrame | None, key: s
     about = spark.read.parquet(f"{path}/stats").first()
     if about.stemmed != stemmed:
         raise ValueError(f"the index at {path} is {'' if about.stemmed else 'not '}over stems; rebuild it")
-    schema = f"term string, range long, n int, max_tf int, min_dl int, cf long, keys array<{about.key_type}>, tfs array<int>, dls array<int>, bucket int"
-    return Inverted(spark.read.schema(schema).parquet(f"{path}/postings"), about.n_docs, about.avgdl, about.buckets, stemmed)
+    return Inverted(spark.read.schema(_schema(about.key_type)).parquet(f"{path}/postings"), about.n_docs, about.avgdl, about.buckets, stemmed)
 
 
 def asked(index: Inverted, terms: DataFrame, query_key: str) -> DataFrame:
@@ -158,12 +202,17 @@ def asked(index: Inverted, terms: DataFrame, query_key: str) -> DataFrame:
     return terms.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def of_terms(index: Inverted, q: DataFrame) -> DataFrame:
-    """Blocks of the folders that the terms are in; at most `buckets` numbers reach the driver."""
+def rows_of_terms(index: Inverted, q: DataFrame) -> DataFrame:
+    """Stored rows of the folders that the terms are in; at most `buckets` numbers reach the driver."""
     wanted = [r.b for r in q.select(_bucket(index.buckets).alias("b")).distinct().collect()]
     return index.stored.where(F.col("bucket").isin(wanted)) if wanted else index.stored.where("false")
 
 
+def of_terms(index: Inverted, q: DataFrame) -> DataFrame:
+    """Blocks of the folders that the terms are in."""
+    return _blocks(rows_of_terms(index, q))
+
+
 def statistics(index: Inverted) -> DataFrame:
     """(term, df, cf) of every term, from the heads of its blocks."""
     return index.postings.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
@@ -190,41 +239,52 @@ def scored(index: Inverted, pairs: DataFrame, weighted: DataFrame, blocks: DataF
 
 
 def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, at_once: int = PROBE, group_docs: int = 8_192, query_rows: int = 4_096) -> DataFrame:
-    """(query_key, key, score): the k best documents and those that round to the k-th of each query in each group of ranges.
+    """(query_key, key, score): the k best documents and those that round to the k-th of each query in each group of ranges. `blocks`: stored rows or blocks.
 
-    All blocks of a range go to one task, which has the weights of up to query_rows queries and scores `at_once` ranges at a time; a query
-    leaves out those whose bounds cannot reach its k-th score so far. So a block is shuffled once for query_rows queries,
+    All rows of a range go to one task, which has the weights of up to query_rows queries and scores `at_once` ranges at a time; a query
+    leaves out those whose bounds cannot reach its k-th score so far. So a row is shuffled once for query_rows queries,
     the pairs of documents and queries never, and k rows of each query and group go on.
     """
     groups = max(1, -(-index.n_docs // group_docs))
     n_q = weighted.select(query_key).distinct().count()
     q_blocks = max(1, -(-n_q // query_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks.join(weighted.select("term").distinct(), "term", "left_semi").select("term", "range", "max_tf", "min_dl", "keys", "tfs", "dls")
-    left = left.select("*", F.pmod(F.xxhash64("range"), F.lit(groups)).cast("int").alias("g"), every(q_blocks).alias("qb"))
+    left = blocks if "terms" in blocks.columns else _packed(blocks)
+    left = left.select("range", "terms", "ends", "max_tfs", "min_dls", "docs", "tfs", "ids", "dls", F.pmod(F.xxhash64("range"), F.lit(groups)).cast("int").alias("g"), every(q_blocks).alias("qb"))
     right = weighted.select(F.col(query_key).alias("q"), F.col("term").alias("asked"), "w", F.pmod(F.xxhash64(query_key), F.lit(q_blocks)).cast("int").alias("qb2")).select("*", every(groups).alias("g2"))
     avgdl = index.avgdl
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        key_type = x.schema.field("keys").type.value_type
+        key_type = x.schema.field("ids").type.value_type
         if not x.num_rows or not y.num_rows:
             return pa.table({"query": y["q"].slice(0, 0), "key": pa.array([], key_type), "score": pa.array([], pa.float64())})
-        terms = pc.unique(x["term"])
+        x = x.take(pa.array(np.argsort(x["range"].to_numpy(), kind="stable")))
+        flat = lambda c: x[c].combine_chunks().flatten()
+        sizes = lambda c: pc.list_value_length(x[c].combine_chunks()).to_numpy()
+        # Blocks of asked terms only: the term of each, its row, and how many documents it has.
+        per_row, words = sizes("terms"), flat("terms")
+        asked_for = pc.is_in(words, pc.unique(y["asked"])).to_numpy(zero_copy_only=False)
+        ends = flat("ends").to_numpy()
+        before = np.append(0, ends[:-1])
+        before[(np.cumsum(per_row) - per_row)[per_row > 0]] = 0
+        counts, of_row = ends - before, np.repeat(np.arange(len(per_row)), per_row)
+        hit, counts, of_row = np.repeat(asked_for, counts), counts[asked_for], of_row[asked_for]
+        words = words.filter(pa.array(asked_for))
+        terms = pc.unique(words)
+        term, place = pc.index_in(words, terms).to_numpy(), x["range"].to_numpy()[of_row]
         y = y.filter(pc.is_in(y["asked"], terms))
         of_y = pc.index_in(y["asked"], terms).to_numpy()
         asked = y["q"].combine_chunks().dictionary_encode()
         by = np.argsort(asked.indices.to_numpy(), kind="stable")
         cut = np.searchsorted(asked.indices.to_numpy()[by], np.arange(len(asked.dictionary) + 1))
         rows_of = [(of_y[by[i:j]], y["w"].to_numpy()[by[i:j]]) for i, j in zip(cut, cut[1:], strict=False)]
-        order = np.argsort(x["range"].to_numpy(), kind="stable")
-        x = x.take(pa.array(order)).combine_chunks()
-        term, place = pc.index_in(x["term"], terms).to_numpy(), x["range"].to_numpy()
-        lists = x["keys"].combine_chunks()
-        ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
-        keys = lists.flatten().dictionary_encode()
-        code = keys.indices.to_numpy()
-        part = _weight(x["tfs"].combine_chunks().flatten().to_numpy().astype(float), x["dls"].combine_chunks().flatten().to_numpy(), avgdl, k1, b)
-        most = _weight(x["max_tf"].to_numpy().astype(float), x["min_dl"].to_numpy(), avgdl, k1, b)
+        n_ids = sizes("ids")
+        at = (np.cumsum(n_ids) - n_ids)[np.repeat(of_row, counts)] + flat("docs").to_numpy()[hit]
+        ends = np.append(0, np.cumsum(counts))
+        keys = flat("ids").dictionary_encode()
+        code = keys.indices.to_numpy()[at]
+        part = _weight(flat("tfs").to_numpy()[hit].astype(float), flat("dls").to_numpy()[at], avgdl, k1, b)
+        most = _weight(flat("max_tfs").to_numpy()[asked_for].astype(float), flat("min_dls").to_numpy()[asked_for], avgdl, k1, b)
         starts = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
         have = [(np.zeros(0, np.int64), np.zeros(0)) for _ in rows_of]
         least = np.full(len(rows_of), -np.inf)
@@ -253,17 +313,16 @@ def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str
         return pa.table({"query": asked.dictionary.take(pa.array(n)), "key": keys.dictionary.take(pa.array(c)), "score": pa.array(s)})
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    found = left.groupBy("g", "qb").cogroup(right.groupBy("g2", "qb2")).applyInArrow(run, f"query {kind(weighted, query_key)}, key {blocks.schema['keys'].dataType.elementType.simpleString()}, score double")
+    found = left.groupBy("g", "qb").cogroup(right.groupBy("g2", "qb2")).applyInArrow(run, f"query {kind(weighted, query_key)}, key {left.schema['ids'].dataType.elementType.simpleString()}, score double")
     return found.select(F.col("query").alias(query_key), "key", F.bround("score", 9).alias("score"))
 
 
 def top_k(index: Inverted, terms: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, probe: int = PROBE) -> DataFrame:
     """Query terms (query_key, term) -> query_key, key, score, rank: the k best documents of every query, ties to the smaller key."""
     q = materialise(asked(index, terms, query_key), "inverted-asked")
-    blocks = of_terms(index, q)
-    heads = blocks.select("term", "n").join(q.select("term").distinct(), "term", "left_semi")
-    df = heads.groupBy("term").agg(F.sum("n").alias("df"))
+    rows = rows_of_terms(index, q)
+    df = _blocks(rows).select("term", "n").join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = materialise(q.join(df, "term").select(query_key, "term", (F.col("qtf") * idf).alias("w")), "inverted-weights")
     order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), "key")
-    return best(index, weighted, blocks, query_key, k, k1, b, probe).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best(index, weighted, rows, query_key, k, k1, b, probe).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
