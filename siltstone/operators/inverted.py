@@ -28,8 +28,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.stem_fr import stem
 from siltstone.operators.lexical import B, K1, stems
-from siltstone.sources.files import exists, materialise
+from siltstone.sources.files import batches_of, exists, materialise
 
+#: Rows that Python reads at a time: documents, and stored rows.
+DOCS_AT_ONCE, ROWS_AT_ONCE = 1_000, 256
+#: Distinct asked terms up to which they go to where the index is read.
+MOST_ASKED = 100_000
 #: Bits of a row number within its range: a block has at most this many documents.
 RANGE_BITS = 7
 RANGE = 1 << RANGE_BITS
@@ -172,7 +176,8 @@ def build(docs: DataFrame, key: str, tokens: Column, path: str, stemmed: bool =
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
     stored = rows.mapInArrow(_cut(to_arrow_type(docs.schema[key].dataType), stemmed, buckets), _schema(kind))
-    stored.sortWithinPartitions("bucket", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    with batches_of(docs.sparkSession, DOCS_AT_ONCE):
+        stored.sortWithinPartitions("bucket", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     heads = docs.sparkSession.read.schema(_schema(kind)).parquet(f"{path}/postings").where(F.col("bucket") == HEADS).select(F.get("ends", F.lit(0)).alias("n"), F.get("cfs", F.lit(0)).alias("cf"))
     n_docs = F.coalesce(F.sum("n"), F.lit(0)).cast("long")
     stats = heads.agg(n_docs.alias("n_docs"), F.coalesce(F.sum("cf") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avgdl"))
@@ -208,6 +213,53 @@ def rows_of_terms(index: Inverted, q: DataFrame) -> DataFrame:
     return index.stored.where(F.col("bucket").isin(wanted)) if wanted else index.stored.where("false")
 
 
+def _hits(x: pa.Table, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of stored rows: which of all their terms are wanted; the row of each of these and its number of documents; and which places of `docs` are theirs."""
+    size, ends = pc.list_value_length(x["terms"].combine_chunks()).to_numpy(), x["ends"].combine_chunks().flatten().to_numpy()
+    some = pc.is_in(x["terms"].combine_chunks().flatten(), wanted).to_numpy(zero_copy_only=False)
+    before = np.append(0, ends[:-1])[: len(ends)]
+    before[(np.cumsum(size) - size)[size > 0]] = 0
+    counts = ends - before
+    return some, np.repeat(np.arange(len(size)), size)[some], counts[some], np.repeat(some, counts)
+
+
+def _only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored rows and the terms `wanted` of them -> the rows with these terms only; those without one are left out."""
+    for b in batches:
+        x = pa.Table.from_batches([b])
+        some, of_row, counts, hit = _hits(x, pc.unique(x["wanted"].combine_chunks().flatten()))
+        have, n = np.unique(of_row, return_counts=True)
+        x = x.select([c for c in x.column_names if c != "wanted"])
+        if not len(have):
+            continue
+        n_docs = np.bincount(of_row, counts, x.num_rows)[have].astype(np.int64)
+        at = {True: np.append(0, np.cumsum(n)).astype(np.int32), False: np.append(0, np.cumsum(n_docs)).astype(np.int32)}
+        out = {}
+        for c in x.column_names:
+            if c in ("range", "ids", "dls"):
+                out[c] = x[c].take(pa.array(have)).combine_chunks()
+            elif c == "ends":
+                out[c] = pa.ListArray.from_arrays(at[True], pa.array(np.cumsum(counts) - np.repeat(at[False][:-1], n), pa.int32()))
+            else:
+                of_terms = c not in ("docs", "tfs")
+                out[c] = pa.ListArray.from_arrays(at[of_terms], x[c].combine_chunks().flatten().filter(pa.array(some if of_terms else hit)))
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def asked_rows(index: Inverted, q: DataFrame) -> DataFrame:
+    """Stored rows of the folders that the terms are in, cut down to these terms where they are read, and written.
+
+    With over MOST_ASKED distinct terms the rows stay whole; what searches them looks at asked terms only.
+    """
+    rows, terms = rows_of_terms(index, q), q.select("term").distinct()
+    if terms.count() > MOST_ASKED:
+        return rows
+    words = terms.groupBy(_bucket(index.buckets).alias("bucket")).agg(F.collect_list("term").alias("wanted"))
+    own = [c for c in rows.columns if c != "bucket"]
+    with batches_of(q.sparkSession, ROWS_AT_ONCE):
+        return materialise(rows.join(F.broadcast(words), "bucket").select(*own, "wanted").mapInArrow(_only_wanted, rows.select(*own).schema), "inverted-rows")
+
+
 def of_terms(index: Inverted, q: DataFrame) -> DataFrame:
     """Blocks of the folders that the terms are in."""
     return _blocks(rows_of_terms(index, q))
@@ -260,16 +312,8 @@ def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str
             return pa.table({"query": y["q"].slice(0, 0), "key": pa.array([], key_type), "score": pa.array([], pa.float64())})
         x = x.take(pa.array(np.argsort(x["range"].to_numpy(), kind="stable")))
         flat = lambda c: x[c].combine_chunks().flatten()
-        sizes = lambda c: pc.list_value_length(x[c].combine_chunks()).to_numpy()
-        # Blocks of asked terms only: the term of each, its row, and how many documents it has.
-        per_row, words = sizes("terms"), flat("terms")
-        asked_for = pc.is_in(words, pc.unique(y["asked"])).to_numpy(zero_copy_only=False)
-        ends = flat("ends").to_numpy()
-        before = np.append(0, ends[:-1])
-        before[(np.cumsum(per_row) - per_row)[per_row > 0]] = 0
-        counts, of_row = ends - before, np.repeat(np.arange(len(per_row)), per_row)
-        hit, counts, of_row = np.repeat(asked_for, counts), counts[asked_for], of_row[asked_for]
-        words = words.filter(pa.array(asked_for))
+        asked_for, of_row, counts, hit = _hits(x, pc.unique(y["asked"]))
+        words = flat("terms").filter(pa.array(asked_for))
         terms = pc.unique(words)
         term, place = pc.index_in(words, terms).to_numpy(), x["range"].to_numpy()[of_row]
         y = y.filter(pc.is_in(y["asked"], terms))
@@ -278,7 +322,7 @@ def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str
         by = np.argsort(asked.indices.to_numpy(), kind="stable")
         cut = np.searchsorted(asked.indices.to_numpy()[by], np.arange(len(asked.dictionary) + 1))
         rows_of = [(of_y[by[i:j]], y["w"].to_numpy()[by[i:j]]) for i, j in zip(cut, cut[1:], strict=False)]
-        n_ids = sizes("ids")
+        n_ids = pc.list_value_length(x["ids"].combine_chunks()).to_numpy()
         at = (np.cumsum(n_ids) - n_ids)[np.repeat(of_row, counts)] + flat("docs").to_numpy()[hit]
         ends = np.append(0, np.cumsum(counts))
         keys = flat("ids").dictionary_encode()
@@ -320,7 +364,7 @@ def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str
 def top_k(index: Inverted, terms: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, probe: int = PROBE) -> DataFrame:
     """Query terms (query_key, term) -> query_key, key, score, rank: the k best documents of every query, ties to the smaller key."""
     q = materialise(asked(index, terms, query_key), "inverted-asked")
-    rows = rows_of_terms(index, q)
+    rows = asked_rows(index, q)
     df = _blocks(rows).select("term", "n").join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = materialise(q.join(df, "term").select(query_key, "term", (F.col("qtf") * idf).alias("w")), "inverted-weights")

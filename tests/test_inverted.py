@@ -132,3 +132,22 @@ def test_neither_tokens_nor_pairs_are_shuffled(spark, tmp_path):
     assert {r.qid for r in few.collect()} == set(range(20))
     got = inverted.top_k(index, asked(spark, [(j, f"common w{j}") for j in range(7)]), "qid", 3).collect()
     assert sorted((r.qid, r.key, r["rank"]) for r in got) == [(j, j + 7 * i, i + 1) for j in range(7) for i in range(3)]
+
+
+def test_a_range_is_a_row_for_each_bucket_and_is_written_where_it_is_read(spark, tmp_path, monkeypatch):
+    """A row for each term and range would be six times the texts, shuffled to be written; asked words cut the rows down before they are dealt out."""
+    docs = corpus()
+    df = spark.createDataFrame(docs, "id long, text string").coalesce(2)
+    index = inverted.open_or_build(spark, f"file://{tmp_path}", df, "id", T.sparse_tokens(F.col("text")))
+    ranges = index.stored.where("bucket = -1").count()
+    assert ranges * 2 < index.stored.count() <= ranges * (inverted.BUCKETS + 1) < index.postings.count()
+    assert len(list(tmp_path.glob("postings/bucket=0/*.parquet"))) <= 2
+    q = inverted.asked(index, asked(spark, QUERIES), "qid")
+    few = inverted.asked_rows(index, q)
+    terms = lambda rows: {r.t for r in rows.select(F.explode("terms").alias("t")).distinct().collect()}
+    assert terms(few) == {"w000", "w001", "w002", "w390", "w399", "zz", "long"} & terms(index.stored) and few.count() < index.stored.count()
+    own = lambda b: sorted((r.term, r.range, r.n, r.max_tf, r.min_dl, r.cf, tuple(r["keys"]), tuple(r.tfs), tuple(r.dls)) for r in b.collect())
+    assert own(inverted._blocks(few)) == own(index.postings.join(q.select("term").distinct(), "term", "left_semi"))
+    monkeypatch.setattr(inverted, "MOST_ASKED", 1)
+    got = inverted.top_k(index, asked(spark, QUERIES), "qid", 5).collect()
+    assert sorted((r.qid, r.key, r["rank"]) for r in got) == brute(docs, QUERIES, 5)
