@@ -382,3 +382,12 @@ def test_an_index_has_the_parts_that_are_searched(spark, tmp_path):
     found = retriever.Retriever(retriever.open_or_build(spark, path, None, e, sparse=retriever.needed("unified"))).retrieve(q, "unified", 3)
     assert found.orderBy("rank").first().chunk_id == "c7" and there() == {"words"}
     assert retriever.open_or_build(spark, path, None, e).stems.n_docs == 20 and there() == {"stems", "words"}
+
+
+def test_texts_are_embedded_where_they_are_read(spark):
+    """Texts of all chunks are not shuffled to be embedded; copies get the same vector, chunks without a text none."""
+    chunks = spark.createDataFrame([("a", "loi du travail"), ("b", "loi du travail"), ("c", None), ("d", "autre")], "chunk_id string, text string")
+    found = retriever.embedded(chunks, plugins.HashingEmbedder(32))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    v = {r.chunk_id: r.vector for r in found.collect()}
+    assert set(v) == {"a", "b", "d"} and v["a"] == v["b"] != v["d"]
