@@ -33,6 +33,8 @@ MOST_EXPANSIONS = 8
 MONTHS = ["janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre"]
 # Character sequences that betray UTF-8 read as a one-byte encoding.
 MOJIBAKE = ["Ã", "Â", "â€™", "â€œ", "â€"]
+# What Unicode calls white space.
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def let(value: Column, body) -> Column:
@@ -42,14 +44,14 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def clean(c: Column) -> Column:
     """Control characters dropped, line ends unified, blanks and empty lines collapsed, stripped."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    c = F.regexp_replace(c, r"\r\n|\r", "\n")
-    c = F.regexp_replace(c, r"[ \t]+", " ")
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")  # a single blank stays as it is
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 

@@ -188,3 +188,42 @@ def test_blocks_of_vectors_are_shuffled_as_they_are(spark):
     v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "id long, v array<float>")
     found = vectors.exact(v, v.where("id % 50 = 0"), 3)
     assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 6
+
+
+def test_few_queries_go_to_where_vectors_are_read(spark, monkeypatch):
+    """No vector is shuffled for them; the result is that of blocks that meet."""
+    from siltstone.operators import vectors
+
+    v = spark.range(500).select("id", F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float"), (F.col("id") % 5).cast("float")).alias("v")).repartition(4)
+    q = v.where("id % 50 = 0")
+    for metric in ("ip", "l2"):
+        rows = lambda: sorted((r.query_id, r["rank"], r.id, r.score) for r in vectors.exact(v, q, 7, metric, block_rows=60).collect())  # noqa: B023, E731
+        here = rows()
+        plan = vectors.exact(v.coalesce(2), q, 7, metric)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(here) == 70 and "MapInArrow" in plan and "CoGroup" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "FEW", 1)
+            assert rows() == here
+    assert vectors.exact(v, q.where("false"), 3).count() == 0
+
+
+def test_an_index_without_texts_finds_the_same(spark, tmp_path):
+    """Texts are not stored again; those of found chunks are cut from their documents."""
+    from siltstone.operators import corpus
+    from siltstone.plans import plugins, retriever
+
+    docs = spark.createDataFrame([(i, f"Le texte mot{i}x de la loi sur le travail. " * (20 + 30 * (i % 4))) for i in range(20)], "doc_id long, text string")
+    cut = lambda d: corpus.chunks(d).select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    texts = lambda ids: cut(docs.join(ids.select(F.col("doc_id").cast("long")), "doc_id", "left_semi"))
+    edges = {"cites": spark.createDataFrame([(str(i), str(i + 1)) for i in range(19)], "src string, dst string")}
+    e, q = plugins.HashingEmbedder(32), spark.createDataFrame([(1, "mot7x travail"), (2, "loi mot3x")], "query_id long, text string")
+    whole = retriever.open_or_build(spark, f"file://{tmp_path}/a", cut(docs), e, edges)
+    ids = retriever.open_or_build(spark, f"file://{tmp_path}/b", cut(docs), e, edges, sparse=("stems",), texts=texts)
+    assert not (tmp_path / "b" / "chunks").exists() and ids.chunks.columns == ["chunk_id", "doc_id"] and ids.chunks.count() == whole.chunks.count()
+    rows = lambda i, *a, **b: sorted(map(tuple, retriever.Retriever(i, *a).retrieve(q, **b).select("query_id", "rank", "chunk_id", "doc_id", "text", "score").collect()))
+    for strategy in ("graph", "hybrid"):
+        assert rows(ids, strategy=strategy) == rows(whole, strategy=strategy)
+    assert rows(ids, plugins.OverlapReranker(), k=3) == rows(whole, plugins.OverlapReranker(), k=3)
+    assert "text" not in retriever.Retriever(ids).retrieve(q, "dense", 3, with_texts=False).columns
+    with pytest.raises(retriever.MissingDependency):
+        retriever.open_or_build(spark, f"file://{tmp_path}/b", None, e)

@@ -102,3 +102,19 @@ def test_stemmer_on_published_samples():
 def test_context_budget_is_monotone(spark):
     d = spark.createDataFrame([(128_000,), (8_192,), (1_000,)], "w int").select(T.context_budget(F.col("w")).alias("b"))
     assert [r.b for r in d.collect()] == [89_600, 5_734, 1_024]
+
+
+def test_strip_and_clean_are_as_their_patterns(spark):
+    """Without patterns over every character: the same texts."""
+    blanks = [chr(c) for c in range(0x3001) if one_blank(chr(c))]
+    assert set(blanks) == set(T.BLANKS)
+    texts = [(b + "a" + b + "b" + b * 2,) for b in blanks] + [("​ a ﻿",), (" \t",), ("a \t b  c\td e\r\r\nf\n\r\n\n\ng",), (None,)]
+    df = spark.createDataFrame(texts, "x string")
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace("x", r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"\r\n|\r", "\n"), r"[ \t]+", " ")
+    old = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    rows = df.select(T.strip(F.col("x")), old("x"), T.clean(F.col("x")), F.coalesce(old(F.regexp_replace(x, r"\n{3,}", "\n\n")), F.lit(""))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
+
+
+def one_blank(c):
+    return c.isspace() and not 0x1C <= ord(c) <= 0x1F
