@@ -5,6 +5,7 @@ count and the smallest length. A stored row has all blocks of a range whose term
 term end in `docs` and `tfs`; `docs`: places in `ids` and `dls`), and is written where the rows are read: nothing is shuffled to build an index, and a
 term costs its text and four numbers a range, not a row. Buckets are folders, so few questions open the folders of their terms only; a
 term that is everywhere spreads over as many rows as there are ranges, and no list of a term's documents exists. `postings` shows a row for each block.
+With one bucket a row is a whole range; what searches such an index for many questions at once scores rows where they are read and shuffles k rows a question and task only.
 `stats` has the number of documents and their mean length; it is written last, so an index without it is unfinished and is built again.
 
 A block bounds the score of its documents for any k1 and b, as BM25 grows with the count and falls with the length. `top_k` deals ranges to
@@ -34,6 +35,8 @@ from siltstone.sources.files import batches_of, exists, materialise
 DOCS_AT_ONCE, ROWS_AT_ONCE = 1_000, 256
 #: Distinct asked terms up to which they go to where the index is read.
 MOST_ASKED = 100_000
+#: Weights of terms of questions up to which they go to where an index of one bucket is read, and rows of whole ranges that Python reads at a time.
+MOST_WEIGHTS, RANGES_AT_ONCE = 200_000, 64
 #: Bits of a row number within its range: a block has at most this many documents.
 RANGE_BITS = 7
 RANGE = 1 << RANGE_BITS
@@ -290,21 +293,8 @@ def scored(index: Inverted, pairs: DataFrame, weighted: DataFrame, blocks: DataF
     return hit.groupBy(query_key, F.col("p.keys").alias("key")).agg(F.bround(F.sum(part), 9).alias("score"))
 
 
-def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, at_once: int = PROBE, group_docs: int = 8_192, query_rows: int = 4_096) -> DataFrame:
-    """(query_key, key, score): the k best documents and those that round to the k-th of each query in each group of ranges. `blocks`: stored rows or blocks.
-
-    All rows of a range go to one task, which has the weights of up to query_rows queries and scores `at_once` ranges at a time; a query
-    leaves out those whose bounds cannot reach its k-th score so far. So a row is shuffled once for query_rows queries,
-    the pairs of documents and queries never, and k rows of each query and group go on.
-    """
-    groups = max(1, -(-index.n_docs // group_docs))
-    n_q = weighted.select(query_key).distinct().count()
-    q_blocks = max(1, -(-n_q // query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks if "terms" in blocks.columns else _packed(blocks)
-    left = left.select("range", "terms", "ends", "max_tfs", "min_dls", "docs", "tfs", "ids", "dls", F.pmod(F.xxhash64("range"), F.lit(groups)).cast("int").alias("g"), every(q_blocks).alias("qb"))
-    right = weighted.select(F.col(query_key).alias("q"), F.col("term").alias("asked"), "w", F.pmod(F.xxhash64(query_key), F.lit(q_blocks)).cast("int").alias("qb2")).select("*", every(groups).alias("g2"))
-    avgdl = index.avgdl
+def _scorer(avgdl: float, k: int, k1: float, b: float, at_once: int):
+    """Stored rows and weights (q, asked, w) -> query, key, score: the k best documents and those that round to the k-th of each query."""
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         key_type = x.schema.field("ids").type.value_type
@@ -356,17 +346,75 @@ def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str
         s = np.concatenate([s for _, s in have]) if have else np.zeros(0)
         return pa.table({"query": asked.dictionary.take(pa.array(n)), "key": keys.dictionary.take(pa.array(c)), "score": pa.array(s)})
 
+    return run
+
+
+def best(index: Inverted, weighted: DataFrame, blocks: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, at_once: int = PROBE, group_docs: int = 8_192, query_rows: int = 4_096) -> DataFrame:
+    """(query_key, key, score): the k best documents and those that round to the k-th of each query in each group of ranges. `blocks`: stored rows or blocks.
+
+    All rows of a range go to one task, which has the weights of up to query_rows queries and scores `at_once` ranges at a time; a query
+    leaves out those whose bounds cannot reach its k-th score so far. So a row is shuffled once for query_rows queries,
+    the pairs of documents and queries never, and k rows of each query and group go on.
+    """
+    groups = max(1, -(-index.n_docs // group_docs))
+    n_q = weighted.select(query_key).distinct().count()
+    q_blocks = max(1, -(-n_q // query_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks if "terms" in blocks.columns else _packed(blocks)
+    left = left.select("range", "terms", "ends", "max_tfs", "min_dls", "docs", "tfs", "ids", "dls", F.pmod(F.xxhash64("range"), F.lit(groups)).cast("int").alias("g"), every(q_blocks).alias("qb"))
+    right = weighted.select(F.col(query_key).alias("q"), F.col("term").alias("asked"), "w", F.pmod(F.xxhash64(query_key), F.lit(q_blocks)).cast("int").alias("qb2")).select("*", every(groups).alias("g2"))
+    run = _scorer(index.avgdl, k, k1, b, at_once)
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     found = left.groupBy("g", "qb").cogroup(right.groupBy("g2", "qb2")).applyInArrow(run, f"query {kind(weighted, query_key)}, key {left.schema['ids'].dataType.elementType.simpleString()}, score double")
     return found.select(F.col("query").alias(query_key), "key", F.bround("score", 9).alias("score"))
 
 
+def _frequencies(rows: DataFrame, wanted: pa.Array) -> DataFrame:
+    """(term, df) of the wanted terms, from the heads of their blocks; documents are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(wanted), np.int64)
+        for b in batches:
+            x = pa.Table.from_batches([b])
+            size, ends = pc.list_value_length(x["terms"].combine_chunks()).to_numpy(), x["ends"].combine_chunks().flatten().to_numpy()
+            before = np.append(0, ends[:-1])[: len(ends)]
+            before[(np.cumsum(size) - size)[size > 0]] = 0
+            at = pc.index_in(x["terms"].combine_chunks().flatten(), wanted)
+            some = at.is_valid().to_numpy(zero_copy_only=False)
+            np.add.at(n, at.drop_null().to_numpy(), (ends - before)[some])
+        yield pa.record_batch([wanted.filter(pa.array(n > 0)), pa.array(n[n > 0])], ["term", "n"])
+
+    return rows.select("terms", "ends").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def _best_where_read(index: Inverted, rows: DataFrame, weights: pa.Table, query_kind: str, k: int, k1: float, b: float, at_once: int) -> DataFrame:
+    """As `best`, of rows that are whole ranges: each task scores a batch of what it reads at a time."""
+    score = _scorer(index.avgdl, k, k1, b, at_once)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from score(pa.Table.from_batches([batch]), weights).to_batches()
+            pa.default_memory_pool().release_unused()
+
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    own = rows.select("range", "terms", "ends", "max_tfs", "min_dls", "docs", "tfs", "ids", "dls")
+    return own.mapInArrow(run, f"query {query_kind}, key {kind}, score double").select("query", "key", F.bround("score", 9).alias("score"))
+
+
 def top_k(index: Inverted, terms: DataFrame, query_key: str, k: int, k1: float = K1, b: float = B, probe: int = PROBE) -> DataFrame:
     """Query terms (query_key, term) -> query_key, key, score, rank: the k best documents of every query, ties to the smaller key."""
     q = materialise(asked(index, terms, query_key), "inverted-asked")
+    order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), "key")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if index.buckets == 1 and q.count() <= MOST_WEIGHTS:
+        stored = index.stored.where(F.col("bucket") > HEADS)
+        wanted = q.select("term").distinct().toArrow()["term"].combine_chunks().cast(pa.string())
+        with batches_of(q.sparkSession, RANGES_AT_ONCE, True):
+            weights = q.join(_frequencies(stored, wanted), "term").select(F.col(query_key).alias("q"), F.col("term").alias("asked"), (F.col("qtf") * idf).alias("w")).toArrow()
+            found = _best_where_read(index, stored, weights, q.schema[query_key].dataType.simpleString(), k, k1, b, probe)
+            return materialise(ranked(found.withColumnRenamed("query", query_key)), "inverted-top")
     rows = asked_rows(index, q)
     df = _blocks(rows).select("term", "n").join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = materialise(q.join(df, "term").select(query_key, "term", (F.col("qtf") * idf).alias("w")), "inverted-weights")
-    order = Window.partitionBy(query_key).orderBy(F.col("score").desc(), "key")
-    return best(index, weighted, rows, query_key, k, k1, b, probe).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(best(index, weighted, rows, query_key, k, k1, b, probe))

@@ -151,3 +151,21 @@ def test_a_range_is_a_row_for_each_bucket_and_is_written_where_it_is_read(spark,
     monkeypatch.setattr(inverted, "MOST_ASKED", 1)
     got = inverted.top_k(index, asked(spark, QUERIES), "qid", 5).collect()
     assert sorted((r.qid, r.key, r["rank"]) for r in got) == brute(docs, QUERIES, 5)
+
+
+@pytest.mark.parametrize("k,probe,k1", [(5, 4, 1.5), (2000, 2, 1.2)])
+def test_whole_ranges_are_scored_where_they_are_read(spark, tmp_path, monkeypatch, k, probe, k1):
+    """With one bucket no stored row is written again or shuffled: what goes on are k rows of each question."""
+    docs = corpus()
+    index = opened(spark, docs, tmp_path, buckets=1)
+    want = brute(docs, QUERIES, k, k1)
+    rows = lambda: sorted((r.qid, r.key, r["rank"]) for r in inverted.top_k(index, asked(spark, QUERIES), "qid", k, k1, probe=probe).collect())
+    with monkeypatch.context() as m:
+        m.setattr(inverted, "asked_rows", None)
+        m.setattr(inverted, "RANGES_AT_ONCE", 3)
+        assert rows() == want
+    monkeypatch.setattr(inverted, "MOST_WEIGHTS", 0)
+    assert rows() == want
+    monkeypatch.undo()
+    empty = opened(spark, [], tmp_path / "empty", buckets=1)
+    assert inverted.top_k(empty, asked(spark, QUERIES), "qid", 3).count() == 0 == inverted.top_k(index, asked(spark, [(1, "")]), "qid", 3).count()
