@@ -19,9 +19,13 @@ def mean(c: str) -> Column:
     return F.coalesce(F.bround(F.avg(c), 4), F.lit(0.0)).alias(c)
 
 
-def rollup(df: DataFrame, topic: str, metrics: list[str], mark: bool = False) -> DataFrame:
-    """Rows of every topic, the null one included, and one OVERALL row, in one aggregation; `mark` adds the column is_overall."""
-    out = df.rollup(topic).agg(F.grouping(topic).alias("__g"), F.count(F.lit(1)).alias("n"), *map(mean, metrics))
+def rollup(df: DataFrame, topic: str, metrics: list[str], mark: bool = False, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of every topic, the null one included, and one OVERALL row, in one aggregation; `mark` adds the column is_overall.
+
+    Means of optional metrics are null without values, as a model that was not asked has no score of 0.
+    """
+    scored = [F.bround(F.avg(c), 4).alias(c) for c in optional]
+    out = df.rollup(topic).agg(F.grouping(topic).alias("__g"), F.count(F.lit(1)).alias("n"), *map(mean, metrics), *scored)
     out = out.withColumn(topic, F.when(F.col("__g") == 1, F.lit("OVERALL")).otherwise(F.col(topic)))
     return (out.withColumn("is_overall", F.col("__g") == 1) if mark else out).drop("__g")
 

@@ -57,8 +57,10 @@ def metrics_tokens(word):
 
 
 def report(results: DataFrame) -> DataFrame:
-    """Means by topic and overall."""
-    return reports.rollup(results, "topic", ["keyword_recall", "word_f1", "context_coverage", "citation_faithfulness"])
+    """Means by topic and overall of every metric of a run; those of models that the run did not have are null."""
+    scored = {"judge_score": F.col("judge.score"), "faithfulness": F.col("semantic.faithfulness"), "context_precision": F.col("semantic.context_precision")}
+    always = ["keyword_recall", "word_f1", "context_coverage", "citation_faithfulness", "hallucination_risk"]
+    return reports.rollup(results.withColumns(scored), "topic", always, optional=(*scored, "similarity_f1"))
 
 
 def k_report(runs: DataFrame, k: str = "k", metrics: tuple[str, str, str] = ("kw", "f1", "cov"), latency: str = "latency") -> DataFrame:
