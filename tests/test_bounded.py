@@ -161,6 +161,35 @@ def test_citations_are_distinct_without_a_shuffle_of_pairs(spark):
     assert "Join Inner" in plan and "Aggregate" not in plan[: plan.index("Join Inner")]
 
 
+def _cited(spark):
+    body = lambda i: f"la loi n° {100 + i % 3} et la loi n° {7001 + i % 2}" + (" et le code du travail" if i % 6 == 0 else "")
+    decisions = spark.createDataFrame([(f"d{i}", body(i) if i % 5 else "rien") for i in range(300)], "doc_id string, body string")
+    laws = spark.createDataFrame([(f"l{i}", f"Loi n° {i}{100 + i % 4}" + (" modifiant la loi n° 7002 et le code du travail" if i % 3 == 0 else "")) for i in range(70)], "doc_id string, titre string")
+    keys = lambda i: [str(100 + i % 3), str(7001 + i % 2)] + ["code du travail"] * (i % 6 == 0)
+    titles = {r.doc_id: r.titre.lower() for r in laws.collect()}
+    return decisions, laws, sorted((f"d{i}", x) for i in range(300) if i % 5 for x, t in titles.items() if any(k in t for k in keys(i)))
+
+
+def test_citations_unfold_from_blocks_of_decisions(spark, monkeypatch):
+    """The join that lists pairs has laws beside blocks of decisions: its rows are far fewer than the pairs, whose keys are not tested there; small blocks and cells give the same."""
+    decisions, laws, want = _cited(spark)
+    for block, cell in ((graph.BLOCK, graph.CELL), (7, 20), (1, 1)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "CELL", cell)
+        edges = graph.cite_edges(decisions, laws)
+        assert sorted(map(tuple, edges.collect())) == want
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(all" in plan[: plan.index("Join Inner")] and "array_contains" not in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_citations_are_counted_without_pairs(spark):
+    """A row for each class of decisions and law, and numbers that add up to the pairs."""
+    decisions, laws, want = _cited(spark)
+    sizes = graph.cite_sizes(decisions, laws)
+    assert sizes.count() * 20 < len(want)
+    assert [tuple(r) for r in graph.counts(cites=sizes, none=sizes.limit(0)).collect()] == [("cites", len(want)), ("none", 0)]
+
+
 def test_batches_of_token_vectors_are_small(spark, monkeypatch):
     import pyarrow as pa
 
